@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import packing, secrets
+from gridspark.llm import decontamination, ngramjoin, packing, quality, secrets
 from gridspark.llm.queries import vocabulary
 from gridspark.llm.workspace import new_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling rejects go."""
+    return quality.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngramjoin.keep_representatives(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret becomes a mark; all documents stay."""
     return secrets.redact_documents(docs)
@@ -19,11 +34,17 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, vocabulary())
 
 
-STAGES = [("secret_scans", secret_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", ngram_join_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scans", secret_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each result is written and read again."""
+    """Applies the stages to `documents`; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
@@ -32,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Tokenising and greedy packing are not expressible in SQL; tests hold the stages against brute force.
+#: A fitted model, token ids and greedy packing are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
