@@ -31,7 +31,7 @@ TYPES: dict[str, tuple[str | None, T.DataType]] = {
     "replicationid": ("CHAR(36)", T.StringType()),
     "binary": ("BINARY", T.BinaryType()),
     "oleobject": (None, T.BinaryType()),
-    "attachment": (None, T.ArrayType(T.StructType.fromDDL("name string, type string, data binary"))),
+    "attachment": (None, T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("data", T.BinaryType())]))),
     "hyperlink": ("VARCHAR", T.StringType()),
     "calculated": (None, T.StringType()),
     "multivalued": (None, T.ArrayType(T.StringType())),
