@@ -13,11 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .workspace import new_path
 
-LEDGER = T.StructType.fromDDL("blob binary, rules array<string>, spans array<struct<kind:string,rule:string,start:long,end:long>>")
+LEDGER = "blob binary, rules array<string>, spans array<struct<kind:string,rule:string,start:bigint,end:bigint>>"
 
 #: Marks put around matches; these two characters are replaced in the scanned copy
 #: of a text first, one for one, and no pattern matches either or their stand-in.
