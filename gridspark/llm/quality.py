@@ -69,7 +69,7 @@ class Model:
 
     def weights(self, column: pa.Array) -> np.ndarray:
         bucket, doc = features(column)
-        return np.bincount(doc, weights=self.ratio[bucket], minlength=len(column))
+        return np.bincount(doc, weights=self.ratio[bucket], minlength=len(column)).astype(np.float64)
 
 
 def _counts(docs: DataFrame, target_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
