@@ -317,3 +317,46 @@ def test_rates_and_windows_on_a_stream(spark, tmp_path):
     query = ingestion.windowed_counts(stream, "ts", "k", "1 minute").writeStream.format("memory").outputMode("complete").queryName("counted").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.n for r in spark.table("counted").collect()) == [3, 3]
+
+
+def test_whole_package(spark, tmp_path):
+    from gridspark.catalogue import grid
+    from gridspark.sources.convert import artifact_identity, convert_packages
+
+    objects = "template/database/objects/"
+    module = "Option Compare Database\nSub Open_It()\n  DoCmd.OpenForm \"form1\"\n  CurrentDb.Execute \"DELETE * FROM Orders\"\n  Helper\nEnd Sub\nFunction Helper()\nEnd Function\n"
+    parts = [
+        ("template/template.xml", "<x/>"),
+        (objects + "tableOrders.xsd", XSD),
+        (objects + "query1.txt", grid(["tableOrders"], [("Helper([tableOrders].[Qty])", "q")])),
+        (objects + "form1.txt", FORM.replace("qryOrders", "query1") + "Option Compare Database\nSub Form_Load()\n  Helper\nEnd Sub\n"),
+        (objects + "macro1.txt", 'Begin\n Action ="Beep"\nEnd\n'),
+        (objects + "module1.txt", module),
+        (objects + "datamacros/datamacrosOrders.axl", f'<DataMacros {AXL}><DataMacro Event="AfterInsert"><Statements><ForEachRecord><Data><Reference>Orders</Reference></Data><Statements><Action Name="SetField"/></Statements></ForEachRecord></Statements></DataMacro></DataMacros>'),
+        (objects + "query2.txt", "Operation =7\n"),
+        (objects + "table2.xsd", '<!DOCTYPE x [<!ENTITY a "b">]><x/>'),
+    ]
+    (tmp_path / "one.accdt").write_bytes(_package(parts))
+    (tmp_path / "two.accdt").write_bytes(_package([("template/template.xml", "<x/>"), (objects + "query1.txt", grid(["missing"], ["Helper(1)"]))]))
+    made = convert_packages(spark, f"file://{tmp_path}")
+    one = F.col("path").endswith("one.accdt")
+    assert {r.object: r.translated for r in made.objects().filter(one).collect() if r.object in ("macro1", "query2", "table2")} == {"macro1": False, "query2": False, "table2": False}
+    codes = {(r.object, r.reason_code) for r in made.findings().filter(one).collect()}
+    assert {("query1", "USER_DEFINED_VBA_FUNCTION"), ("table2", "SEMANTIC_PARSE_FAILED"), ("query2", "QUERY_OPERATION_CODE_NOT_MAPPED"), ("module1", "VBA_DRIVES_ACCESS_UI")} <= codes
+    assert ("query1", "UNKNOWN_FUNCTION") in {(r.object, r.reason_code) for r in made.findings().filter(~one).collect()}
+    edges = {(r.src, r.dst, r.edge) for r in made.edges().collect()}
+    assert {
+        ("query:query1", "table:tableorders", "reads"),
+        ("form:form1", "query:query1", "reads"),
+        ("form:form1", "proc:form1:form_load", "handles"),
+        ("module:module1", "proc:module1:open_it", "contains"),
+        ("proc:module1:open_it", "proc:module1:helper", "calls"),
+        ("proc:form1:form_load", "proc:module1:helper", "calls"),
+        ("proc:module1:open_it", "form:form1", "opens"),
+    } <= edges
+    assert not any("missing" in d for _, d, _ in edges)
+    kinds = {r.kind for r in made.records.filter("record = 'cfg_node'").select(F.col("fields")["kind"].alias("kind")).collect()}
+    assert {"start", "end", "loop", "data", "ui"} <= kinds
+    assert {r.kind: (r.objects, r.complete) for r in made.summary().filter(one & (F.col("kind") == "query")).collect()} == {"query": (2, 0)}
+    rows = spark.createDataFrame([("s", "original/a", True), ("s", "b", True), ("t", "c", True), ("u", "d", True), ("u", "e", True)], "sample_id string, artifact_name string, is_candidate boolean")
+    assert {r.sample_id: r.artifact_name for r in artifact_identity(rows).collect()} == {"s": "original/a", "t": "c", "u": None}
