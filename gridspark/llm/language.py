@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .selection import fold, sample_ids
+from .selection import fold, only_ids, sample_ids
 from .textvec import slices, string_buffers
 
 BITS = 12
@@ -120,27 +120,23 @@ def _lowered(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, bound: int = PER_LANGUAGE) -> Model | None:
     """A model from up to `bound` documents of each language (`lang` not null, text with a letter)."""
-    spark = docs.sparkSession
     named = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"))
     top = [r.lang for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     chosen = {lang: sample_ids(named.filter(F.col("lang") == lang), "doc_id", bound) for lang in top}
-    ids = np.sort(np.array([i for x in chosen.values() for i in x], dtype=np.int64))
-    if not len(ids):
+    ids = [i for x in chosen.values() for i in x]
+    if not ids:
         return None
-    shared = spark.sparkContext.broadcast(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = pa.array(np.isin(batch.column(0).fill_null(-(1 << 62)).to_numpy(), shared.value))
-            for part in slices(iter([batch.filter(mask)])):
-                for at in range(0, part.num_rows, _ROWS):
-                    piece = part.slice(at, _ROWS)
-                    good = has_letter(piece.column(1))
-                    bodies = [np.minimum(x, 65535).astype(np.uint16).tobytes() if g else None for x, g in zip(counts(piece.column(1)), good, strict=True)]
-                    yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(bodies, pa.binary())], names=["doc_id", "lang", "body"])
+        for part in slices(batches):
+            for at in range(0, part.num_rows, _ROWS):
+                piece = part.slice(at, _ROWS)
+                good = has_letter(piece.column(1))
+                bodies = [np.minimum(x, 65535).astype(np.uint16).tobytes() if g else None for x, g in zip(counts(piece.column(1)), good, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(bodies, pa.binary())], names=["doc_id", "lang", "body"])
 
     picked = docs.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = [r for r in picked.mapInArrow(work, "doc_id long, lang string, body binary").collect() if r.body is not None and r.lang in chosen]
+    rows = [r for r in only_ids(picked, "doc_id", ids).mapInArrow(work, "doc_id long, lang string, body binary").collect() if r.body is not None and r.lang in chosen]
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.body))

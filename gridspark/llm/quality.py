@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .selection import kth_largest, sample_ids
+from .selection import kth_largest, only_ids, sample_ids
 from .textvec import Hasher, runs, slices, string_buffers
 from .workspace import written
 
@@ -140,17 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model
     if not target.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
-    known = np.sort(np.array(ids[1] + ids[0], dtype=np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    model = Model(ratio)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = pa.array(np.isin(batch.column(0).fill_null(-(1 << 62)).to_numpy(), shared.value))
-            for part in slices(iter([batch.filter(mask)])):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.weights(part.column(1)))], names=["doc_id", "log_weight"])
-
-    rows = docs.mapInArrow(work, "doc_id long, log_weight double").toPandas()
+    rows = score_documents(only_ids(docs, "doc_id", [*ids[1], *ids[0]]), Model(ratio)).toPandas()
     good = rows[rows["doc_id"].isin(ids[1])]["log_weight"].to_numpy()
     bad = rows[rows["doc_id"].isin(ids[0])]["log_weight"].to_numpy()
     return Model(ratio, best_cut(good, bad))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .selection import fold, sample_ids
+from .selection import fold, only_ids, sample_ids
 from .textvec import Hasher, letter_words, slices, string_buffers
 
 BITS = 20
@@ -132,27 +132,23 @@ def _lowered(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model:
     """A model from up to `bound` documents of either label; without both labels it scores 0."""
-    spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isin(0, 1))
     ids = {t: sample_ids(known.filter(F.col("toxic") == t), "doc_id", bound) for t in (0, 1)}
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not ids[0] or not ids[1]:
         return Model(np.zeros(1 << BITS), -20.0)
     truth = dict.fromkeys(ids[0], 0) | dict.fromkeys(ids[1], 1)
-    shared = spark.sparkContext.broadcast(np.sort(np.array(list(truth), dtype=np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = pa.array(np.isin(batch.column(0).fill_null(-(1 << 62)).to_numpy(), shared.value))
-            for part in slices(iter([batch.filter(mask)])):
-                bags = sentences(part.column(1))
-                order = np.argsort(bags.sentence, kind="stable")
-                bags = replace(bags, word=bags.word[order], sentence=bags.sentence[order])
-                rows = np.searchsorted(bags.sentence, bags.first)
-                bodies = [((bags.sentence[a:b] - bags.first[i]) << BITS | bags.word[a:b]).astype(np.int64).tobytes() for i, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bags.first)), pa.array(bodies, pa.binary())], names=["doc_id", "n", "body"])
-
-    rows = _lowered(docs).mapInArrow(work, "doc_id long, n long, body binary").collect()
+        for part in slices(batches):
+            bags = sentences(part.column(1))
+            order = np.argsort(bags.sentence, kind="stable")
+            bags = replace(bags, word=bags.word[order], sentence=bags.sentence[order])
+            rows = np.searchsorted(bags.sentence, bags.first)
+            bodies = [((bags.sentence[a:b] - bags.first[i]) << BITS | bags.word[a:b]).astype(np.int64).tobytes() for i, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bags.first)), pa.array(bodies, pa.binary())], names=["doc_id", "n", "body"])
+
+    rows = only_ids(_lowered(docs), "doc_id", list(truth)).mapInArrow(work, "doc_id long, n long, body binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.body))
     first = np.concatenate([[0], np.cumsum([r.n for r in rows])]).astype(np.int64)
     packed = [np.frombuffer(r.body, dtype=np.int64) for r in rows]
