@@ -9,14 +9,14 @@ gradient steps through the noisy-or, and then locate the offending sentences.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .selection import fold, only_ids, sample_ids
+from .selection import fold, sample_ids
 from .textvec import Hasher, letter_words, slices, string_buffers
 
 BITS = 20
@@ -25,6 +25,8 @@ PREFIXES = (4, 5, 6)
 #: Bound on the labelled documents that a fit reads, of either label.
 LABELLED_ROWS = 4000
 PREDICT_AT = 0.3
+#: Standard errors by which label 1 must have a feature more often for it to get a weight.
+SIGNIFICANT = 4.0
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_end long, worst_score double"
 
@@ -85,23 +87,10 @@ def noisy_or(logits: np.ndarray, first: np.ndarray) -> np.ndarray:
     return -np.expm1(-(none[first[1:]] - none[first[:-1]]))
 
 
-def train(word: np.ndarray, sentence: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, rounds: int = 120, rate: float = 0.1, decay: float = 2e-3, least: float = 4.0) -> Model:
-    """Adam on the weighted noisy-or likelihood; `share`: that of label 1 among all labelled documents.
-
-    Only features that documents of label 1 have significantly more often (`least`
-    standard errors, and in three of them) get a weight.
-    """
+def train(word: np.ndarray, sentence: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, rounds: int = 120, rate: float = 0.1, decay: float = 2e-3) -> Model:
+    """Adam on the weighted noisy-or likelihood; `share`: that of label 1 among all labelled documents."""
     n_sent = int(first[-1])
     doc = np.searchsorted(first, np.arange(n_sent), side="right") - 1
-    pairs = np.unique(doc[sentence] * (1 << BITS) + word)
-    has = label[pairs >> BITS] == 1
-    feature = pairs & ((1 << BITS) - 1)
-    n1 = np.bincount(feature[has], minlength=1 << BITS)
-    n0 = np.bincount(feature[~has], minlength=1 << BITS)
-    m1, m0 = max(label.sum(), 1), max(len(label) - label.sum(), 1)
-    error = np.sqrt((n1 + n0 + 1) / len(label) * (1 / m1 + 1 / m0))
-    keep = ((n1 >= 3) & ((n1 / m1 - n0 / m0) > least * error))[word]
-    word, sentence = word[keep], sentence[keep]
     both = np.unique(sentence * (1 << BITS) + word)  # presence in a sentence, not count
     sentence, word = both >> BITS, both & ((1 << BITS) - 1)
     used, word = np.unique(word, return_inverse=True)
@@ -131,30 +120,53 @@ def _lowered(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model:
-    """A model from up to `bound` documents of either label; without both labels it scores 0."""
+    """A model from up to `bound` documents of either label; without both labels it scores 0.
+
+    Features are counted and chosen on the executors; only the chosen ones of the
+    training documents come to the driver.
+    """
+    spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isin(0, 1))
     ids = {t: sample_ids(known.filter(F.col("toxic") == t), "doc_id", bound) for t in (0, 1)}
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not ids[0] or not ids[1]:
         return Model(np.zeros(1 << BITS), -20.0)
     truth = dict.fromkeys(ids[0], 0) | dict.fromkeys(ids[1], 1)
+    marks = spark.createDataFrame(list(truth.items()), "__id long, label int")  # of bounded length
+    learn = _lowered(docs).join(F.broadcast(marks), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            bags = sentences(part.column(1))
+            doc = np.searchsorted(bags.first, bags.sentence, side="right") - 1
+            pairs = np.unique((doc.astype(np.int64) << BITS) | bags.word)
+            feature, has = pairs & ((1 << BITS) - 1), part.column(2).to_numpy()[pairs >> BITS] == 1
+            some, place = np.unique(feature, return_inverse=True)
+            n1 = np.bincount(place, weights=has, minlength=len(some)).astype(np.int64)
+            n0 = np.bincount(place, weights=~has, minlength=len(some)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n1), pa.array(n0)], names=["feature", "n1", "n0"])
+
+    sums = learn.mapInArrow(count, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    m1, m0 = len(ids[1]), len(ids[0])
+    error = F.sqrt((F.col("n1") + F.col("n0") + 1) / (m1 + m0) * (1 / m1 + 1 / m0))
+    chosen = sums.filter((F.col("n1") >= 3) & (F.col("n1") / m1 - F.col("n0") / m0 > SIGNIFICANT * error))
+    kept = np.sort(np.array([r.feature for r in chosen.select("feature").collect()], dtype=np.int64))
+    shared = spark.sparkContext.broadcast(kept)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             bags = sentences(part.column(1))
-            order = np.argsort(bags.sentence, kind="stable")
-            bags = replace(bags, word=bags.word[order], sentence=bags.sentence[order])
-            rows = np.searchsorted(bags.sentence, bags.first)
-            bodies = [((bags.sentence[a:b] - bags.first[i]) << BITS | bags.word[a:b]).astype(np.int64).tobytes() for i, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bags.first)), pa.array(bodies, pa.binary())], names=["doc_id", "n", "body"])
+            good = np.isin(bags.word, shared.value)
+            both = np.unique((bags.sentence[good] << BITS) | bags.word[good])
+            cuts = np.searchsorted(both >> BITS, bags.first)
+            bodies = [(both[a:b] - (bags.first[i] << BITS)).tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(bags.first)), pa.array(bodies, pa.binary())], names=["doc_id", "label", "n", "body"])
 
-    rows = only_ids(_lowered(docs), "doc_id", list(truth)).mapInArrow(work, "doc_id long, n long, body binary").collect()
+    rows = learn.mapInArrow(take, "doc_id long, label int, n long, body binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.body))
     first = np.concatenate([[0], np.cumsum([r.n for r in rows])]).astype(np.int64)
-    packed = [np.frombuffer(r.body, dtype=np.int64) for r in rows]
-    sentence = np.concatenate([(x >> BITS) + f for x, f in zip(packed, first, strict=False)])
-    word = np.concatenate([x & ((1 << BITS) - 1) for x in packed])
-    return train(word, sentence, first, np.array([truth[r.doc_id] for r in rows]), counts[1] / (counts[0] + counts[1]))
+    packed = np.concatenate([np.frombuffer(r.body, dtype=np.int64) + (f << BITS) for r, f in zip(rows, first, strict=False)])
+    return train(packed & ((1 << BITS) - 1), packed >> BITS, first, np.array([r.label for r in rows]), counts[1] / (counts[0] + counts[1]))
 
 
 def score_documents(docs: DataFrame, model: Model, folds: int = 4, held: int = 2, at: float = PREDICT_AT) -> DataFrame:
