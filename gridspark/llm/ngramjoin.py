@@ -8,7 +8,7 @@
    sizes and order prefixes admit a link are chained into clusters.
 4. A cluster's sets go into a trie. Each set walks it, sharing the overlap of
    common beginnings and leaving subtrees that their remaining lengths rule out.
-   Clusters over `BLOCK` sets are joined block against block.
+   Clusters over `BLOCK` sets are joined in blocks, then what the blocks left apart.
 5. The links give components.
 
 Counts, sets and clusters cover all rows. Nothing but counts reaches the driver.
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .textvec import Hasher, distinct_by_doc, doc_starts, lower_ascii, mix, shingles, slices, space_words, string_buffers
-from .workspace import written
+from .workspace import apart, written
 
 WORDS = 5
 #: A link: NUMERATOR * intersection >= DENOMINATOR * (both sizes together); 7 and 3 are a similarity of 0.75.
@@ -178,7 +178,7 @@ def _chains(prefixes: DataFrame) -> DataFrame:
     """
     kinds = prefixes.withColumn("k", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3.0)) + 1e-9).cast("int")).select("token", "k", "set_key")
     least = kinds.groupBy("token", "k").agg(F.min("set_key").alias("least"))
-    inside = kinds.join(least, ["token", "k"]).select(F.col("set_key").alias("a"), F.col("least").alias("b"))
+    inside = kinds.join(apart(least), ["token", "k"]).select(F.col("set_key").alias("a"), F.col("least").alias("b"))
     above = least.select("token", (F.col("k") - 1).alias("k"), F.col("least").alias("b"))
     across = least.select("token", "k", F.col("least").alias("a")).join(above, ["token", "k"]).select("a", "b")
     return inside.filter("a <> b").unionByName(across.filter("a <> b")).distinct()
@@ -268,44 +268,81 @@ class Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def join_block(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the linked sets of a block; with `side`, between the two sides only.
+def join_block(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray | None = None, labels: np.ndarray | None = None) -> Forest:
+    """The linked sets of a block, connected; with `side`, links between the two sides only.
 
-    Pairs that earlier links have connected already are not compared again.
+    Sets of equal `labels` are known to be connected; what is connected is not compared again.
     """
-    forest, trie, links = Forest(len(keys)), Trie(), []
+    forest, trie = Forest(len(keys)), Trie()
+    first: dict[int, int] = {}
+    for i, label in enumerate([] if labels is None else labels.tolist()):
+        forest.union(i, first.setdefault(label, i))
     order = np.argsort(sizes, kind="stable")
     if side is not None:
-        left = [i for i in order if side[i] == 0]
-        for i in left:
+        for i in (i for i in order if side[i] == 0):
             trie.insert(int(i), tokens[i], int(sizes[i]))
         order = [i for i in order if side[i] == 1]
     for i in map(int, order):
         for j, overlap in trie.partners(tokens[i], int(sizes[i]), lambda j: forest.find(j) == forest.find(i)):  # noqa: B023
-            if NUMERATOR * overlap >= DENOMINATOR * int(sizes[i] + sizes[j]) and forest.find(i) != forest.find(j):
+            if NUMERATOR * overlap >= DENOMINATOR * int(sizes[i] + sizes[j]):
                 forest.union(i, j)
-                links.append((int(keys[i]), int(keys[j])))
         if side is None:
             trie.insert(i, tokens[i], int(sizes[i]))
-    return links
+    return forest
 
 
-def _join_group(table: pa.Table) -> pa.Table:
+_LABELS = "cluster long, a long, b long"
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Of one block: each set (a) with the set that stands for its connected sets (b)."""
     keys, sizes = table.column("set_key").to_numpy(), table.column("n").to_numpy()
-    tokens = [np.frombuffer(b, dtype=np.uint64) for b in table.column("tokens").to_pylist()]
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    links = join_block(keys, sizes, tokens, None if i == j else (table.column("own").to_numpy() == j).astype(int))
-    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+    tokens = [np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()]
+    extra = {c: table.column(c).to_numpy() for c in ("side", "label") if c in table.column_names}
+    forest = join_block(keys, sizes, tokens, extra.get("side"), extra.get("label"))
+    roots = keys[[forest.find(i) for i in range(len(keys))]]
+    return pa.table({"cluster": table.column("cluster"), "a": pa.array(keys), "b": pa.array(roots)})
+
+
+def _slot(count: Column) -> Column:
+    """A block number for each of `count` sets, by hash."""
+    return F.pmod(F.xxhash64("set_key"), F.ceil(count / BLOCK)).cast("int")
 
 
 def _linked(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links between the sets of each cluster, cluster by cluster or block by block."""
+    """Edges (a, b) that connect the linked sets of each cluster.
+
+    A cluster is joined in blocks of about BLOCK sets. Of a cluster of several blocks,
+    the sets that stand for each block's parts are joined next. What then is not in its
+    largest part is compared with all of it, block against block; so a large group of
+    copies costs in proportion to its size, and no pair goes unseen.
+    """
     counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    member = clusters.join(counts, "component").select(F.col("vertex").alias("set_key"), F.col("component").alias("cluster"), F.ceil(F.col("m") / BLOCK).cast("int").alias("q"))
-    rows = sets.join(member, "set_key").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("q")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "n", "tokens")
-    return rows.groupBy("cluster", "i", "j").applyInArrow(_join_group, "a long, b long")
+    member = clusters.join(apart(counts), "component").filter("m > 1").select(F.col("vertex").alias("set_key"), F.col("component").alias("cluster"), "m")
+    rows = sets.join(member, "set_key").select("cluster", "m", "set_key", "n", "tokens")
+    first = written(rows.withColumn("i", _slot(F.col("m"))).groupBy("cluster", "i").applyInArrow(_block, _LABELS), "blocks")
+    large = rows.filter(F.col("m") > BLOCK)
+    if member.filter(F.col("m") > BLOCK).isEmpty():
+        return first.select("a", "b").filter("a <> b")
+
+    heads = first.filter("a = b").select(F.col("a").alias("set_key"))
+    parts = large.join(heads, "set_key", "left_semi")
+    number = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
+    parts = parts.join(apart(number), "cluster").withColumn("i", _slot(F.col("k")))
+    second = written(parts.select("cluster", "i", "set_key", "n", "tokens").groupBy("cluster", "i").applyInArrow(_block, _LABELS), "heads")
+
+    upper = second.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    labels = first.join(upper, F.col("b") == F.col("__a")).select("cluster", F.col("a").alias("set_key"), F.col("__b").alias("label"))
+    sizes = labels.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"))
+    rest = largest.select(F.col("cluster").alias("__c"), F.col("top.label").alias("__top"), (F.col("all") - F.col("top.size")).alias("r")).filter("r > 0")
+    labelled = large.join(labels.select("set_key", "label"), "set_key").join(apart(rest), F.col("cluster") == F.col("__c")).withColumn("q", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("p", F.ceil(F.col("r") / BLOCK).cast("int"))
+    wanted = ["cluster", "i", "j", "side", "label", "set_key", "n", "tokens"]
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = labelled.filter("label <> __top").withColumn("i", _slot(F.col("r"))).withColumn("j", every("q")).withColumn("side", F.lit(0)).select(*wanted)
+    right = labelled.withColumn("j", _slot(F.col("m"))).withColumn("i", every("p")).withColumn("side", F.lit(1)).select(*wanted)
+    third = left.unionByName(right).groupBy("cluster", "i", "j").applyInArrow(_block, _LABELS)
+    return first.select("a", "b").unionByName(second.select("a", "b")).unionByName(third.select("a", "b")).filter("a <> b")
 
 
 def candidate_sets(docs: DataFrame) -> DataFrame:
@@ -333,9 +370,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     classes = rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     linked = classes.join(found, "set_key")
     least = linked.groupBy("component").agg(F.min("class_id").alias("least"))
-    linked = linked.join(least, "component").select("set_key", "least")
+    linked = linked.join(apart(least), "component").select("set_key", "least")
     known = classes.join(linked, "set_key", "left").select(F.col("set_key").alias("__key"), F.coalesce("least", "class_id").alias("known"))
-    out = rows.join(known, F.col("set_key") == F.col("__key"), "left")
+    out = rows.join(apart(known), F.col("set_key") == F.col("__key"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("known")).alias("component_id"))
 
 

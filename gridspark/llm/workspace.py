@@ -32,6 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """`df` dealt anew, so that a join takes it as a side of its own: an aggregate's output keeps the
+    aggregate's partitioning, and Spark splits a hot key only where it shuffles both sides for the join."""
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -379,23 +379,30 @@ def test_trie_in_blocks():
         return [f.find(i) for i in range(len(sets))]
 
     keys = np.arange(len(sets))
-    assert classes(ngramjoin.join_block(keys, sizes, sets)) == classes(want)
+    of = lambda forest: [forest.find(i) for i in range(len(sets))]
+    assert of(ngramjoin.join_block(keys, sizes, sets)) == classes(want)
     side = (keys % 2).astype(int)
-    links = ngramjoin.join_block(keys, sizes, sets, side)
-    assert classes(links) == classes((a, b) for a, b in want if side[a] != side[b])
+    between = [(a, b) for a, b in want if side[a] != side[b]]
+    assert of(ngramjoin.join_block(keys, sizes, sets, side)) == classes(between)
+    labels = keys // 3
+    known = [(i, j) for i in range(len(sets)) for j in range(i) if labels[i] == labels[j]]
+    assert of(ngramjoin.join_block(keys, sizes, sets, side, labels)) == classes(between + known)
 
 
 def test_large_clusters_are_joined_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 8)
     rng = random.Random(6)
-    words = [f"v{i}" for i in range(80)]
     rows = []
-    for i in range(90):
-        own = list(words)
-        own[rng.randrange(80)] = f"z{i}"
-        rows.append((1000 - i, " ".join(own)))
+    for i in range(120):  # drifting copies: neighbours are linked, far ones are not
+        words = [f"v{j}" for j in range(i // 2, i // 2 + 80)]
+        words[rng.randrange(80)] = f"z{i % 7}"
+        rows.append((1000 - i, " ".join(words)))
+    for i in range(30):  # shares most shingles with the others, but no link
+        start = rng.randrange(50)
+        rows.append((2000 + i, " ".join(f"v{j}" for j in range(start, start + 50)) + " " + " ".join(f"u{j}" for j in range(i, i + 40))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.component_id for r in ngramjoin.join_documents(docs).collect()} == {911}
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngramjoin.join_documents(docs).collect())
+    assert got == _brute_components(texts(docs))
 
 
 def test_components(spark):
