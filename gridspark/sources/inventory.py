@@ -25,13 +25,8 @@ INVENTORY = """sample_id string, artifacts array<struct<artifact_name string, fo
     objects array<struct<name string, kind string, subtype string, linked boolean, odbc_linked boolean, hidden boolean>>>>"""
 
 
-def bucket_of(key: str) -> str | None:
-    """The bucket of a declared-count key."""
-    bare = "".join(key.lower().split())
-    return COUNT_KEYS.get(bare) or ("query_hidden" if bare.startswith("hiddenquery") else "macro_data" if bare.startswith("datamacro") else None)
-
-
 def bucket_column(key: str = "key"):
+    """The bucket of a declared-count key, whatever its case and spacing; null for an unknown one."""
     bare = F.regexp_replace(F.lower(F.col(key)), r"\s", "")
     table = F.create_map(*[F.lit(x) for kv in COUNT_KEYS.items() for x in kv])
     return F.coalesce(F.try_element_at(table, bare), F.when(bare.startswith("hiddenquery"), "query_hidden").when(bare.startswith("datamacro"), "macro_data"))

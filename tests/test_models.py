@@ -291,7 +291,8 @@ def test_inventory(spark, tmp_path):
 
     rows = reconcile(inventory.declared_counts(artifacts), inventory.named_units(artifacts), ["sample_id", "artifact_name", "bucket"]).collect()
     assert {r.bucket: r.residual for r in rows} == {"table": 4, "table_linked": 1, "query_hidden": 1} and not any(r.over_named for r in rows)
-    assert inventory.bucket_of("Linked Table") == "table_linked" and inventory.bucket_of("x") is None
+    keys = spark.createDataFrame([("Linked Table",), ("Data Macro (axl)",), ("x",)], "key string")
+    assert [r[0] for r in keys.select(inventory.bucket_column()).collect()] == ["table_linked", "macro_data", None]
 
 
 @pytest.mark.parametrize(
