@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import new_path
+from .workspace import apart, new_path
 
 LEDGER = "blob binary, rules array<string>, spans array<struct<kind:string,rule:string,start:bigint,end:bigint>>"
 
@@ -142,7 +142,7 @@ class BlobLedger:
         hits = hits.select(F.col("blob").alias("__blob"), ordered.alias("__spans"))
         paths = versions.select(*keys, blob_id(F.col("text")).alias("blob"))
         none = F.array().cast("array<struct<kind:string,rule:string,start:long,end:long>>")
-        return paths.join(hits, paths["blob"] == hits["__blob"], "left").select(*keys, "blob", F.coalesce("__spans", none).alias("spans"))
+        return paths.join(apart(hits), paths["blob"] == F.col("__blob"), "left").select(*keys, "blob", F.coalesce("__spans", none).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -194,7 +194,7 @@ def redact_documents(docs: DataFrame, ledger: BlobLedger | None = None, mark: st
 
     last = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
     clean = F.when(text.isNull() | F.col("__spans").isNull(), text).otherwise(F.aggregate("__spans", zero, step, last))
-    out = docs.withColumn("__key", blob_id(text)).join(hits, F.col("__key") == F.col("__blob"), "left").withColumn("text", clean)
+    out = docs.withColumn("__key", blob_id(text)).join(apart(hits), F.col("__key") == F.col("__blob"), "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
