@@ -41,12 +41,29 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: Parts of the pem rule: what may stand around the base64 of a line, line ends (real or
+#: escaped), the end of a line, and any of these in a row.
+_PAD = r"""[\x20\x09"'+,;>#*|]*+"""
+_EOL = rf"(?:(?:\\++[rn]{_PAD})*+(?:\r?\n|\r)|(?:\\++[rn])++)"
+_LINE_END = rf"(?={_PAD}(?:[\r\n\\]|\z))"
+_GAP = r"""(?:[\s"'+,;>#*|]|\\++[nrt/]?+)*+"""
+_B64 = "[A-Za-z0-9+/=]"
+_FIELD = r"[A-Z][A-Za-z0-9-]*+:"
+#: Header fields, which base64 must follow; a value is one word or the rest of its line.
+_FIELDS = rf"(?:{_GAP}{_FIELD}\x20?+(?:[^\s\\]++|(?:[^\r\n\\-]|-(?!----))*+)(?={_GAP}(?:{_FIELD}|{_B64}{{16}})))*+"
+#: The key up to its END line, or else its base64: long runs, and lines of nothing else. Beyond
+#: a blank line only lines of 16 characters or more count.
+_KEY = (
+    rf"{_FIELDS}(?:(?:{_GAP}{_B64}++)*+{_GAP}-----END [A-Z0-9 ]*+-----"
+    rf"|(?:{_GAP}{_B64}{{32,}}+|{_PAD}(?:{_EOL}{_PAD})++{_B64}{{16,}}+{_LINE_END}|{_PAD}{_EOL}{_PAD}{_B64}++{_LINE_END})*+)"
+)
+
 #: The rules, base kinds first and in their order of listing.
 RULES = (
     Rule("assign", 1, r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", 12, True),
     Rule("access", 1, "AKIA", "[A-Z0-9]+", 14, True),
     Rule("hex", 1, "", "[0-9a-f]{16,}", 16, True),
-    Rule("pem", 1, "-----BEGIN ", "[A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", 2, "-----BEGIN ", f"[A-Z0-9 ]*PRIVATE KEY-----{_KEY}"),
     Rule("hosted", 1, r"\bgh[pousr]_", "[A-Za-z0-9]{36,}"),
     Rule("jwt", 1, r"\beyJ", r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url", 1, r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]{1,64}:", r"[^\x20\x09-\x0D/:@]{6,64}(?=@)"),

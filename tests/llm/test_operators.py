@@ -240,6 +240,37 @@ def test_redaction(spark, leaky, odd):
     assert out.filter("doc_id = 8").first().n_chars == len("a \x01 mark \x02 [SECRET] \x04 b")
 
 
+def test_redaction_of_private_keys(spark):
+    rng = random.Random(6)
+    code = lambda n: "".join(rng.choice("ABCDwxyz0189+/") for _ in range(n))
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [code(64) for _ in range(24)] + [code(21) + "x=="]
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-256-CBC,00FF", ""]
+    last = "\n".join([head, *lines])
+    keys = {
+        "plain": "\n".join([head, *lines, foot]),
+        "windows": "\r\n".join([head, *lines, foot]),
+        "encrypted": "\n".join([head, *fields, *lines, foot]),
+        "indented": "\n    ".join([head, *lines, foot]),
+        "escaped": "\\n".join([head, *lines, foot]),
+        "quoted": '\\n" +\n"'.join([head, *lines, foot]),
+        "one line": " ".join([head, *fields[:2], *lines, foot]),
+        "narrow": "\n".join([head, *(x[:9] for x in lines), foot]),
+        "no end": last,
+        "no end, encrypted": "\n".join([head, *fields, *lines]),
+        "long": "\n".join([head, *(code(64) for _ in range(20000)), foot]),
+    }
+    around = {name: ("see ", " then text.") if key.endswith(foot) else ("see ", "\n\nthen text.") for name, key in keys.items()}
+    rows = [(i, around[n][0] + k + around[n][1]) for i, (n, k) in enumerate(keys.items())]
+    rows.append((90, f"{head} is its first line.\nNote: prose stays. {foot}"))
+    rows.append((91, f"{keys['plain']} and {keys['plain']}"))
+    done = {r.doc_id: r.text for r in secrets.redact_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(keys):
+        assert done[i] == "[SECRET]".join(around[name]), name
+    assert done[90] == f"[SECRET] is its first line.\nNote: prose stays. {foot}"
+    assert done[91] == "[SECRET] and [SECRET]"
+
+
 # op5
 def test_token_counts(spark, documents, odd):
     path = vocabulary("piece_bpe_32k.model")
