@@ -28,7 +28,7 @@ PREDICT_AT = 0.3
 #: Standard errors by which label 1 must have a feature more often for it to get a weight.
 SIGNIFICANT = 4.0
 
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_end long, worst_score double"
+SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_end long, worst_score double, offending array<struct<start:bigint,end:bigint,score:double>>"
 
 _stop = np.zeros(256, dtype=bool)
 _stop[[10, 33, 46, 63]] = True  # line feed ! . ?
@@ -173,8 +173,9 @@ def score_documents(docs: DataFrame, model: Model, folds: int = 4, held: int = 2
     """One row per row of `docs`; see SCHEMA.
 
     Null, empty and wordless texts have score 0 and no worst sentence. Offending
-    sentences are those whose own probability is `at` or more; the worst is the
-    first of the highest probability, from its first word to its last.
+    sentences are those whose own probability is `at` or more, all listed in
+    `offending` in the order of the text; the worst is the first of the highest
+    probability. Each runs from its first word to its last.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,12 +189,15 @@ def score_documents(docs: DataFrame, model: Model, folds: int = 4, held: int = 2
             own = np.exp(-np.logaddexp(0, -z))
             n = np.diff(bags.first)
             doc = np.repeat(np.arange(len(n)), n)
-            offending = np.bincount(doc, weights=own >= at, minlength=len(n)).astype(np.int64)
+            bad = np.flatnonzero(own >= at)
+            cuts = np.searchsorted(bad, bags.first)
+            listed = pa.StructArray.from_arrays([pa.array(bags.start[bad], pa.int64()), pa.array(bags.end[bad], pa.int64()), pa.array(own[bad], pa.float64())], names=["start", "end", "score"])
+            spans = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), listed)
             order = np.lexsort((np.arange(len(own)), -own, doc))
             worst = order[np.minimum(bags.first[:-1], max(len(order) - 1, 0))] if len(order) else np.zeros(len(n), dtype=np.int64)
             none = n == 0
             pick = lambda x, t: pa.array(x[worst] if len(x) else np.zeros(len(n)), t, mask=none)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= at).astype(np.int32)), pa.array(n), pa.array(offending), pick(bags.start, pa.int64()), pick(bags.end, pa.int64()), pick(own, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= at).astype(np.int32)), pa.array(n), pa.array(np.diff(cuts)), pick(bags.start, pa.int64()), pick(bags.end, pa.int64()), pick(own, pa.float64()), spans], names=names)
 
     return _lowered(docs).withColumn("held_out", fold(F.col("doc_id"), folds) == held).mapInArrow(work, SCHEMA)
 

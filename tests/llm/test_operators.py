@@ -324,6 +324,24 @@ def test_toxicity_on_held_out_documents(spark, odd):
     assert toxicity.judge_documents(odd, marks.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_all_offending_sentences_are_located(spark, odd):
+    word = pa.array(["moron"])
+    weights = np.zeros(1 << toxicity.BITS)
+    weights[toxicity.sentences(word).word] = 5.0
+    model = toxicity.Model(weights, -5.0)
+    text = "A moron here. Nothing there! Été: \U0001f600 the moron, a moron? ok\nmoron"
+    docs = spark.createDataFrame([(1, text), (2, "Fine. Good."), (3, None), (4, text)], "doc_id long, text string")
+    out = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    for key in (1, 4):
+        assert [text[s.start : s.end] for s in out[key].offending] == ["A moron here", "Été: \U0001f600 the moron, a moron", "moron"]
+    for r in [*out.values(), *toxicity.score_documents(odd, model).collect()]:
+        assert r.n_offending == len(r.offending)
+        if r.offending:
+            worst = max(r.offending, key=lambda s: s.score)
+            assert (worst.start, worst.end, worst.score) == (r.worst_start, r.worst_end, r.worst_score) and worst.score >= toxicity.PREDICT_AT
+    assert out[2].offending == [] and out[3].offending == []
+
+
 def test_noisy_or():
     z = np.array([0.3, -1.0, 2.0])
     p = 1 / (1 + np.exp(-z))
