@@ -65,25 +65,89 @@ def neighbourhood(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def layers(links: DataFrame, nodes: DataFrame, most: int = 100) -> DataFrame:
-    """(id, layer): the longest path that leads to each node; nodes on cycles, and behind them, have null.
+def _trimmed(links: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without edges to or from them are taken off, round by round."""
+    now, before = links, -1
+    while (size := now.count()) != before:
+        before = size
+        inner = now.select(F.col("dst").alias("id")).intersect(now.select(F.col("src").alias("id")))
+        kept = now.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        now = written(kept.select("src", "dst"), "links")
+    return now
+
+
+def strong_components(links: DataFrame) -> DataFrame:
+    """(id, component): the least id of the strongly connected component of each node on a cycle.
+
+    Each node takes the least id that reaches it; what reaches that id by nodes of its kind is one
+    component. Components found are taken off until no cycle is left.
+    """
+    left = _trimmed(links.select("src", "dst").filter("src <> dst").distinct())
+    found = None
+    while not left.isEmpty():
+        colour = written(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("component", F.col("id")), "colour")
+        moved = 1
+        while moved:
+            handed = left.join(colour, left["src"] == colour["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("__new"))
+            colour = written(colour.join(handed, "id", "left").select("id", F.least("component", "__new").alias("component"), (F.col("__new") < F.col("component")).alias("moved")), "colour")
+            moved = colour.filter("moved").limit(1).count()
+            colour = colour.select("id", "component")
+        ends = left.join(colour.select(F.col("id").alias("src"), F.col("component").alias("__a")), "src").join(colour.select(F.col("id").alias("dst"), "component"), "dst")
+        inside = written(ends.filter("__a = component").select("src", "dst", "component"), "inside")
+        front = written(colour.filter("id = component"), "front")
+        member = front
+        while not front.isEmpty():
+            reached = inside.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "component").distinct()
+            front = written(reached.join(member, "id", "left_anti"), "front")
+            member = written(member.unionByName(front), "member")
+        found = member if found is None else written(found.unionByName(member), "components")
+        off = member.select("id")
+        rest = left.join(off.withColumnRenamed("id", "src"), "src", "left_anti").join(off.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        left = _trimmed(written(rest.select("src", "dst"), "links"))
+    return links.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0) if found is None else found
+
+
+def layers(links: DataFrame, nodes: DataFrame, cycles: str = "null") -> DataFrame:
+    """(id, layer): the longest path that leads to each node, of any length.
 
     Nodes without edges left to them are taken off layer by layer; the rounds are as many as layers.
+    With `cycles="null"` nodes on cycles, and behind them, have null; with `cycles="component"` every
+    strongly connected component counts as one node, so that all nodes have a layer; edges from or
+    to what is not in `nodes` are left out then.
     """
+    if cycles == "component":
+        ids = nodes.select("id").distinct()
+        links = links.filter("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     left = links.select("src", "dst").distinct()
     rest = nodes.select("id").distinct()
-    done = None
-    for layer in range(most):
+    done, layer = None, 0
+    while True:
         top = rest.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(layer))
         top = written(top, "layer")
         done = top if done is None else done.unionByName(top)
         if top.isEmpty():
             break
+        layer += 1
+        if layer % 20 == 0:
+            done = written(done, "layers")  # keeps the plan short
         rest = written(rest.join(top.select("id"), "id", "left_anti"), "rest")
         left = written(left.join(top.select(F.col("id").alias("src")), "src", "left_anti"), "links")
+    if cycles == "component" and not rest.isEmpty():
+        return _component_layers(links, nodes, left)
     return done.unionByName(rest.withColumn("layer", F.lit(None).cast("int")))
 
 
+def _component_layers(links: DataFrame, nodes: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """Layers of the graph whose strongly connected components, all within `cyclic`, are single nodes."""
+    parts = strong_components(cyclic)
+    of = lambda name: parts.select(F.col("id").alias(name), F.col("component").alias(f"__{name}"))
+    owned = nodes.select("id").distinct().join(of("id"), "id", "left").select("id", F.coalesce("__id", "id").alias("owner"))
+    joined = links.select("src", "dst").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    merged = joined.select(F.coalesce("__src", "src").alias("src"), F.coalesce("__dst", "dst").alias("dst")).filter("src <> dst").distinct()
+    found = layers(written(merged, "merged"), owned.select(F.col("owner").alias("id")))
+    return owned.join(found.withColumnRenamed("id", "owner"), "owner").select("id", "layer")
+
+
 def short_label(column: str, most: int = 90):
     flat = F.regexp_replace(column, r"\s+", " ")
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)

@@ -310,6 +310,13 @@ def test_graph_on_cycles(spark):
     assert {r.id: r.depth for r in graph.neighbourhood(links, nodes.filter("id = 'd'"), 2).collect()} == {"d": 0, "c": 1, "b": 2}
 
 
+def test_layers_with_cycles_as_one_node(spark):
+    pairs = [("a", "e"), ("e", "d"), ("d", "c"), ("c", "e"), ("c", "f"), ("f", "h"), ("h", "g"), ("g", "f"), ("d", "h"), ("h", "i"), ("a", "i"), ("j", "j"), ("j", "k"), ("?", "a")]
+    links, nodes = spark.createDataFrame(pairs, "src string, dst string").coalesce(1), spark.createDataFrame([(x,) for x in "acdefghijk"], "id string").coalesce(1)
+    assert {r.id: r.component for r in graph.strong_components(links).collect()} == dict(zip("cdefgh", "cccfff", strict=True))
+    assert {r.id: r.layer for r in graph.layers(links, nodes, cycles="component").collect()} == dict(zip("acdefghijk", (0, 1, 1, 1, 2, 2, 2, 3, 0, 1), strict=True))
+
+
 def test_rates_and_windows_on_a_stream(spark, tmp_path):
     events = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id*20) as ts, 'u' as k from range(6)")
     assert ingestion.over_limit(events, "k", "ts", 2).count() == 4
