@@ -66,7 +66,7 @@ RULES = (
     Rule("pem", 2, "-----BEGIN ", f"[A-Z0-9 ]*PRIVATE KEY-----{_KEY}"),
     Rule("hosted", 1, r"\bgh[pousr]_", "[A-Za-z0-9]{36,}"),
     Rule("jwt", 1, r"\beyJ", r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url", 1, r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]{1,64}:", r"[^\x20\x09-\x0D/:@]{6,64}(?=@)"),
+    Rule("url", 2, r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]*+:", r"[^\x20\x09-\x0D/:@]{6,}+(?=@)"),
 )
 
 

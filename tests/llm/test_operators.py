@@ -271,6 +271,17 @@ def test_redaction_of_private_keys(spark):
     assert done[91] == "[SECRET] and [SECRET]"
 
 
+def test_redaction_of_credential_urls(spark):
+    urls = ["https://me:" + "a" * 93 + "@host/x", "redis://:password1@host:6379", "ftp://" + "u" * 90 + ":secret77@h", "amqp://me:" + "b.c-d_" * 9000 + "@h"]
+    clean = ["https://host:8080/a@b", "http://" + "x" * 9000, "https://me:@host"]
+    docs = spark.createDataFrame([(i, f"at {u} now") for i, u in enumerate(urls + clean)], "doc_id long, text string")
+    done = {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()}
+    for i, u in enumerate(urls):
+        assert done[i] == f"at [SECRET]{u[u.rindex('@'):]} now"
+    for i, u in enumerate(clean, len(urls)):
+        assert done[i] == f"at {u} now"
+
+
 # op5
 def test_token_counts(spark, documents, odd):
     path = vocabulary("piece_bpe_32k.model")
