@@ -4,7 +4,8 @@ A text is a vector of hashed byte bi- and trigrams of its lower-cased letters,
 weighted by TF-IDF and normalised. Each language has several centroids, from
 spherical k-means over its training texts; a text gets the language of the
 centroid of the largest cosine. A text further from that centroid than nearly all
-of its training texts is marked as rejected.
+of its training texts is marked as rejected. Every language of the training texts is
+learned, each by a task of its own; only its centroids come to the driver.
 """
 
 from __future__ import annotations
@@ -14,18 +15,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import fold, only_ids, sample_ids
+from .selection import fold
 from .textvec import slices, string_buffers
+from .workspace import remove, write_table
 
 BITS = 12
 CENTROIDS = 4
-#: Bound on the training documents a fit reads, of each language.
-PER_LANGUAGE = 800
-#: Bound on the languages learned, those of the most training documents first.
-LANGUAGES = 400
+#: Bounds on the training documents that a fit reads: of each language, and of all together
+#: (with many languages each gets an equal share of it, at least one).
+PER_LANGUAGE, TRAINING_ROWS = 800, 100_000
+#: Bound on the model, which every worker holds; more languages than fit are an error, not left out.
+MODEL_BYTES = 256_000_000
+#: Share of a centroid's training texts that its rejection distance leaves out.
+REJECTED = 0.005
 _ROWS = 1000
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -98,49 +103,84 @@ def _kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centre
 
 
-def train(rows: np.ndarray, langs: list[str], k: int = CENTROIDS, rejected: float = 0.005) -> Model:
-    """Centroids by language; a centroid's rejection distance leaves out a share of its training texts."""
-    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1
-    blank = Model(idf, np.zeros((0, rows.shape[1])), [], np.zeros(0, int), np.zeros(0))
-    v = blank.vectors(rows)
-    names = sorted(set(langs))
-    at = np.array([names.index(x) for x in langs])
-    parts = [_kmeans(v[at == i], k) for i in range(len(names))]
-    centroids = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-    cosine = v @ centroids.T
+def train(vectors: np.ndarray, k: int = CENTROIDS, rejected: float = REJECTED) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, least cosines) of one language; texts under a centroid's least cosine are far from it."""
+    centre = _kmeans(vectors, k)
+    cosine = vectors @ centre.T
     own = np.argmax(cosine, axis=1)
-    least = np.array([np.quantile(cosine[own == i, i], rejected) if (own == i).any() else 0.0 for i in range(len(centroids))])
-    return Model(idf, centroids, names, owner, least)
+    return centre, np.array([np.quantile(cosine[own == i, i], rejected) if (own == i).any() else 0.0 for i in range(len(centre))])
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+def _lowered(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), *columns)
 
 
-def fit(docs: DataFrame, bound: int = PER_LANGUAGE) -> Model | None:
-    """A model from up to `bound` documents of each language (`lang` not null, text with a letter)."""
-    named = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    top = [r.lang for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    chosen = {lang: sample_ids(named.filter(F.col("lang") == lang), "doc_id", bound) for lang in top}
-    ids = [i for x in chosen.values() for i in x]
-    if not ids:
-        return None
+def _training_vectors(docs: DataFrame, bound: int, total: int) -> DataFrame:
+    """(lang, doc_id, bins, n): the n-gram counts of each language's documents of the least hashes."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.octet_length(F.col("text").cast("string")).alias("size"))
+    named = named.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.col("size") > 0)).select("doc_id", "lang")
+    languages = named.select("lang").distinct().count()
+    each = max(1, min(bound, total // max(languages, 1)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = named.withColumn("place", place).filter(F.col("place") <= each).select("lang", F.col("doc_id").alias("chosen_id")).distinct()  # at most `total` rows, or one a language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             for at in range(0, part.num_rows, _ROWS):
                 piece = part.slice(at, _ROWS)
-                good = has_letter(piece.column(1))
-                bodies = [np.minimum(x, 65535).astype(np.uint16).tobytes() if g else None for x, g in zip(counts(piece.column(1)), good, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(bodies, pa.binary())], names=["doc_id", "lang", "body"])
-
-    picked = docs.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = [r for r in only_ids(picked, "doc_id", ids).mapInArrow(work, "doc_id long, lang string, body binary").collect() if r.body is not None and r.lang in chosen]
-    if not rows:
+                rows = np.minimum(counts(piece.column(1)), 65535).astype(np.uint16)
+                rows[~has_letter(piece.column(1))] = 0
+                some = [np.flatnonzero(row).astype(np.uint16) for row in rows]
+                packed = [np.concatenate([x, row[x]]).tobytes() for x, row in zip(some, rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(0), pa.array(packed, pa.binary())], names=["lang", "doc_id", "packed"])
+
+    texts = _lowered(docs, F.col("lang").cast("string").alias("lang"))
+    wanted = F.broadcast(chosen.withColumnRenamed("lang", "chosen_lang"))
+    picked = texts.join(wanted, (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")), "left_semi")
+    found = picked.mapInArrow(work, "lang string, doc_id long, packed binary").filter(F.octet_length("packed") > 0)
+    return found.groupBy("lang", "doc_id").agg(F.min("packed").alias("packed"))  # rows that repeat an id are one text
+
+
+def fit(docs: DataFrame, bound: int = PER_LANGUAGE, total: int = TRAINING_ROWS) -> Model | None:
+    """A model of every language, from documents with `lang` and a letter; None without such documents."""
+    spark = docs.sparkSession
+    sample, path = write_table(_training_vectors(docs, bound, total), "language-sample")
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(1 << BITS, dtype=np.int64), 0
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                both = np.frombuffer(body, dtype=np.uint16)
+                seen[both[: len(both) // 2]] += 1
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([*range(1 << BITS), -1]), pa.array([*seen, n])], names=["bin", "n"])
+
+    known = {r.bin: r.n for r in sample.select("packed").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    n = known.pop(-1, 0)
+    if not n:
         return None
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.body))
-    return train(np.stack([np.frombuffer(r.body, dtype=np.uint16) for r in rows]).astype(np.float32), [r.lang for r in rows])
+    idf = np.log((1 + n) / (1 + np.array([known[i] for i in range(1 << BITS)]))) + 1
+    languages = sample.select("lang").distinct().count()
+    size = 4 << BITS  # of a centroid
+    if languages * size > MODEL_BYTES:
+        raise ValueError(f"lang has {languages} values: a model of them is over {MODEL_BYTES} bytes")
+    k = min(CENTROIDS, MODEL_BYTES // size // languages)
+
+    def learn(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("packed").to_pylist(), strict=True))
+        dense = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
+        for i, (_, body) in enumerate(rows):
+            both = np.frombuffer(body, dtype=np.uint16)
+            dense[i, both[: len(both) // 2]] = both[len(both) // 2 :]
+        centre, least = train(Model(idf, dense, [], np.zeros(0), np.zeros(0)).vectors(dense), k)
+        lang = table.column("lang")[0].as_py()
+        return pa.table({"lang": [lang] * len(centre), "centre": [c.astype(np.float32).tobytes() for c in centre], "least": least})
+
+    parts = sorted(sample.groupBy("lang").applyInArrow(learn, "lang string, centre binary, least double").collect())
+    remove(spark, path)
+    names = sorted({r.lang for r in parts})
+    at = {name: i for i, name in enumerate(names)}
+    return Model(idf, np.stack([np.frombuffer(r.centre, dtype=np.float32) for r in parts]), names, np.array([at[r.lang] for r in parts]), np.array([r.least for r in parts]))
 
 
 def identify(docs: DataFrame, model: Model | None, folds: int = 3, held: int = 1) -> DataFrame:
