@@ -1,13 +1,13 @@
 """Quality by importance resampling: target against raw hashed n-gram models, Gumbel top-k.
 
-Two bags of hashed n-grams are counted: over the labelled good documents (target)
-and over all documents (raw). A document's weight is the log-ratio of the two
-models over its n-grams. Gumbel noise, fixed by a document's id, is added and the
-k largest keys are kept, which at a noise scale of 1 samples without replacement in
-proportion to the weights. k is the number of documents whose weight reaches the cut
-that parts the labelled good and bad documents best. At TEMPERATURE the noise (spread
-about 0.06) is small against weights summed over a document's n-grams, so that the
-choice is practically that cut and only documents within a few tenths of it swap.
+Two bags of hashed n-grams are counted: over labelled good documents (target) and
+over all documents (raw). A document's log-weight is the log-ratio of the two models
+over its n-grams; one of more than REFERENCE n-grams weighs as an average passage of
+REFERENCE of them, so that length alone makes no weight. Standard Gumbel noise, fixed
+by a document's id, is added and the k largest keys are kept: a sample without
+replacement in proportion to the weights. k is the number of documents whose weight
+reaches the cut that best parts labelled good from bad documents which the target
+model has not seen.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from pyspark.sql import types as T
 
 from .selection import kth_largest, only_ids, sample_ids
 from .textvec import Hasher, runs, slices, string_buffers
-from .workspace import written
+from .workspace import free_names, written
 
 BUCKETS = 1 << 16
 #: Bound on the labelled rows that a fit reads, of either label.
 LABELLED_ROWS = 8000
-#: Scale of the Gumbel noise against log-weights; 1 samples in proportion to them.
-TEMPERATURE = 0.05
+#: Every FOLDS-th labelled good document is left out of the target model and finds the cut.
+FOLDS = 4
+#: n-grams up to which a log-weight is their sum; that of longer texts is scaled to so many.
+REFERENCE = 128
 
 _kind = np.zeros(256, dtype=np.uint8)
 _kind[33:128] = 2
@@ -71,7 +73,8 @@ class Model:
 
     def weights(self, column: pa.Array) -> np.ndarray:
         bucket, doc = features(column)
-        return np.bincount(doc, weights=self.ratio[bucket], minlength=len(column)).astype(np.float64)
+        total = np.bincount(doc, weights=self.ratio[bucket], minlength=len(column)).astype(np.float64)
+        return total * np.minimum(1.0, REFERENCE / np.maximum(np.bincount(doc, minlength=len(column)), 1))
 
 
 def _counts(docs: DataFrame, target_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,61 +128,69 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return _keep_columns(docs).mapInArrow(work, "doc_id long, log_weight double")
 
 
-def sampling_key(weight: str, temperature: float = TEMPERATURE) -> Column:
-    """A weight plus Gumbel noise that doc_id fixes."""
+def sampling_key(weight: str) -> Column:
+    """A log-weight plus standard Gumbel noise that doc_id fixes."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit("gumbel")), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.col(weight) - temperature * F.log(-F.log(uniform))
+    return F.col(weight) - F.log(-F.log(uniform))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model:
     """Models over all documents; the target and the cut from up to `bound` labelled rows of either label.
 
-    Without labelled good documents every ratio is 0 and nothing is rejected.
+    Of the good ones every FOLDS-th is not counted into the target; these and the bad
+    ones give the cut. A document with both labels is bad. Without labelled good
+    documents every ratio is 0 and nothing is rejected.
     """
     docs = _keep_columns(docs)
-    ids = {q: sample_ids(labels.filter(F.col("quality") == q), "doc_id", bound) for q in (1, 0)}
-    target, raw = _counts(docs, ids[1])
+    known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    ids = {q: sample_ids(known.filter(F.col("quality") == q), "doc_id", bound) for q in (1, 0)}
+    held = ids[1][::FOLDS] if len(ids[1]) >= 2 * FOLDS else ids[1]
+    target, raw = _counts(docs, sorted(set(ids[1]) - set(held)) or ids[1])
     if not target.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
-    rows = score_documents(only_ids(docs, "doc_id", [*ids[1], *ids[0]]), Model(ratio)).toPandas()
-    good = rows[rows["doc_id"].isin(ids[1])]["log_weight"].to_numpy()
+    rows = score_documents(only_ids(docs, "doc_id", [*held, *ids[0]]), Model(ratio)).toPandas()
+    good = rows[rows["doc_id"].isin(held)]["log_weight"].to_numpy()
     bad = rows[rows["doc_id"].isin(ids[0])]["log_weight"].to_numpy()
     return Model(ratio, best_cut(good, bad))
 
 
-def threshold(docs: DataFrame, model: Model, k: int | None = None, temperature: float = TEMPERATURE) -> tuple[DataFrame, float]:
+def threshold(docs: DataFrame, model: Model, k: int | None = None) -> tuple[DataFrame, float]:
     """(scores with keys, as a table; the k-th largest key): rows whose key reaches it are the sample."""
-    scores = written(score_documents(docs, model).withColumn("sampling_key", sampling_key("log_weight", temperature)), "quality-scores")
+    scores = written(score_documents(docs, model).withColumn("sampling_key", sampling_key("log_weight")), "quality-scores")
     if k is None:
         k = scores.filter(F.col("log_weight") >= model.cut).count()
     least = kth_largest(scores, "sampling_key", k)
     return scores, float("inf") if least is None else least
 
 
-def sample_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+def sample_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The sampled rows: doc_id, log_weight, sampling_key.
 
     `k` rows, by default as many as pass the cut; rows tied at the k-th key all stay,
     so rows that repeat an id and text stay together. Null and empty texts have
     weight 0. Other columns are not read; an empty table gives no row.
     """
-    scores, least = threshold(docs, fit(docs, labels), k, temperature)
+    scores, least = threshold(docs, fit(docs, labels), k)
     return scores.filter(F.col("sampling_key") >= F.lit(least))
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """`docs` without the rows that the sampling rejects; columns as they are, nothing is shuffled."""
+def keep_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """`docs` without the rows that the sampling rejects; columns as they are, nothing is shuffled.
+
+    Null and empty texts have weight 0 and stay or go by that; rows that repeat an id
+    and text stay or go together; an empty table gives no row.
+    """
     model = fit(docs, labels)
-    _, least = threshold(docs, model, k, temperature)
+    _, least = threshold(docs, model, k)
     names = docs.columns
+    text, weight = free_names(names, "text_of", "weight_of")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, text):
             arrays = [*batch.columns, pa.array(model.weights(batch.column(len(names))))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "__weight"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, weight])
 
-    wide = docs.withColumn("__text", F.col("text").cast("string"))
-    scored = wide.mapInArrow(work, T.StructType([*wide.schema.fields, T.StructField("__weight", T.DoubleType())]))
-    keyed = scored.withColumn("__key", sampling_key("__weight", temperature))
-    return keyed.filter(F.col("__key") >= F.lit(least)).select(*names)
+    wide = docs.withColumn(text, F.col("text").cast("string"))
+    scored = wide.mapInArrow(work, T.StructType([*wide.schema.fields, T.StructField(weight, T.DoubleType())]))
+    return scored.filter(sampling_key(weight) >= F.lit(least)).select(*names)

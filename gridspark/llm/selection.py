@@ -41,11 +41,11 @@ def fold(key: Column, folds: int) -> Column:
 
 def sample_ids(rows: DataFrame, key: str, bound: int) -> list[int]:
     """Up to `bound` distinct keys of `rows`, those of the least hash: the same ones at every run."""
-    spread = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(F.xxhash64(key)).alias("__h"))
-    return [r[key] for r in spread.orderBy("__h", key).limit(bound).collect()]
+    spread = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first(F.xxhash64(key)).alias("spread_by"))
+    return [r[key] for r in spread.orderBy("spread_by", key).limit(bound).collect()]
 
 
 def only_ids(df: DataFrame, key: str, ids: list[int]) -> DataFrame:
     """The rows whose key is one of `ids`, a list of bounded length (that of a training sample)."""
-    wanted = df.sparkSession.createDataFrame([(int(i),) for i in ids], "__id long")
-    return df.join(F.broadcast(wanted), F.col(key) == F.col("__id"), "left_semi")
+    wanted = df.sparkSession.createDataFrame([(int(i),) for i in ids], "wanted_id long")
+    return df.join(F.broadcast(wanted), F.col(key) == F.col("wanted_id"), "left_semi")
