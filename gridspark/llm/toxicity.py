@@ -22,8 +22,8 @@ from .textvec import Hasher, letter_words, slices, string_buffers
 BITS = 20
 #: Beginnings of words, in bytes, that are features beside whole words.
 PREFIXES = (4, 5, 6)
-#: Bound on the labelled documents that a fit reads, of either label.
-LABELLED_ROWS = 4000
+#: Bounds on the labelled documents that a fit reads: how many of either label, and the bytes of each.
+LABELLED_ROWS, LABELLED_BYTES = 4000, 200_000
 PREDICT_AT = 0.3
 #: Standard errors by which label 1 must have a feature more often for it to get a weight.
 SIGNIFICANT = 4.0
@@ -122,18 +122,21 @@ def _lowered(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model:
     """A model from up to `bound` documents of either label; without both labels it scores 0.
 
-    Features are counted and chosen on the executors; only the chosen ones of the
+    A document that several rows label is toxic if one of them says so. Labels of
+    documents that are not there, or are over LABELLED_BYTES long, are not learned
+    from, and without documents of both labels all scores are 0. Features are counted and chosen on the executors; only the chosen ones of the
     training documents come to the driver.
     """
     spark = docs.sparkSession
-    known = labels.filter(F.col("toxic").isin(0, 1))
+    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = {t: sample_ids(known.filter(F.col("toxic") == t), "doc_id", bound) for t in (0, 1)}
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nothing = Model(np.zeros(1 << BITS), -20.0)
     if not ids[0] or not ids[1]:
-        return Model(np.zeros(1 << BITS), -20.0)
+        return nothing
     truth = dict.fromkeys(ids[0], 0) | dict.fromkeys(ids[1], 1)
-    marks = spark.createDataFrame(list(truth.items()), "__id long, label int")  # of bounded length
-    learn = _lowered(docs).join(F.broadcast(marks), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+    marks = spark.createDataFrame(list(truth.items()), "marked_id long, label int")  # of bounded length
+    learn = _lowered(docs).filter(F.octet_length("text") <= LABELLED_BYTES).join(F.broadcast(marks), F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -164,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> Model
 
     rows = learn.mapInArrow(take, "doc_id long, label int, n long, body binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.body))
+    if {r.label for r in rows} != {0, 1}:
+        return nothing
     first = np.concatenate([[0], np.cumsum([r.n for r in rows])]).astype(np.int64)
     packed = np.concatenate([np.frombuffer(r.body, dtype=np.int64) + (f << BITS) for r, f in zip(rows, first, strict=False)])
     return train(packed & ((1 << BITS) - 1), packed >> BITS, first, np.array([r.label for r in rows]), counts[1] / (counts[0] + counts[1]))
