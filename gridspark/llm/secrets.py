@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import apart, new_path
+from .workspace import apart, free_names, new_path
 
-LEDGER = "blob binary, rules array<string>, spans array<struct<kind:string,rule:string,start:bigint,end:bigint>>"
+#: Spans have their place in code points and, for cutting texts, in UTF-8 bytes.
+_SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,rule:string,first_byte:bigint,last_byte:bigint>>"
+LEDGER = f"blob binary, rules array<string>, spans {_SPANS}"
 
 #: Marks put around matches; these two characters are replaced in the scanned copy
 #: of a text first, one for one, and no pattern matches either or their stand-in.
@@ -70,96 +72,116 @@ RULES = (
 )
 
 
-def _spans(scan: Column, rule: Rule, position: int) -> Column:
-    """The spans of one rule, by length of what lies between the marks."""
+def _pieces(scan: Column, rule: Rule, rank: int) -> Column:
+    """A text cut before each match of a rule, none without a match: of each piece its number, its
+    length, and the lengths of the match at its start and of that match's lead, in code points and bytes."""
     marked = F.regexp_replace(scan, f"({rule.lead})({rule.body})", f"{_OPEN}$1{_MID}$2{_CLOSE}")
     parts = F.split(marked, _OPEN)
-    empty = F.array().cast("array<struct<kind:string,rule:string,start:long,end:long,rank:int>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        lead = F.instr(part, _MID) - 1
-        size = F.instr(part, _CLOSE) - 2  # lead and body, without the mark between them
-        start = acc["at"]
-        found = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"), start.alias("start"), (start + size).cast("long").alias("end"), F.lit(position).alias("rank"))
-        keep = (size - lead) >= rule.least
-        whole = F.char_length(part).cast("long") - F.when(size >= 0, 2).otherwise(0)
-        return F.struct((start + whole).cast("long").alias("at"), F.when((size >= 0) & keep, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    def piece(part: Column, number: Column) -> Column:
+        match = F.substring_index(part, _CLOSE, 1)
+        found = number > 0  # what is before the first mark is no match
+        return F.struct(
+            F.lit(rank).alias("rank"),
+            number.alias("number"),
+            (F.char_length(part) - F.when(found, 2).otherwise(0)).cast("long").alias("chars"),
+            (F.octet_length(part) - F.when(found, 2).otherwise(0)).cast("long").alias("bytes"),
+            F.when(found, F.char_length(match) - 1).cast("long").alias("match_chars"),
+            F.when(found, F.octet_length(match) - 1).cast("long").alias("match_bytes"),
+            F.when(found, F.instr(part, _MID) - 1).cast("long").alias("lead_chars"),
+        )
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step)["out"]).otherwise(empty)
+    return F.when(F.size(parts) > 1, F.transform(parts, piece))
 
 
-def scan_text(text: Column, pending: Column | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans in a text by the rules (or by those whose key is in `pending`), by start, then rule."""
-    scan = F.translate(F.coalesce(text, F.lit("")), _OPEN + _MID + _CLOSE, _STANDIN * 3)
-    found = []
-    for i, rule in enumerate(rules):
-        spans = _spans(scan, rule, i)
-        found.append(spans if pending is None else F.when(F.array_contains(pending, rule.key), spans))
-    merged = F.filter(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())), lambda x: x.isNotNull())
-    return _in_order(merged, lambda x: x["rank"])
+def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, rules, spans: the spans in `blobs(blob, text, pending)` by the pending rules, by start, then rule.
 
-
-def _in_order(spans: Column, rank) -> Column:
-    """Spans by start, then rank, as (kind, rule, start, end)."""
-    keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["rule"].alias("rule")))
-    return F.transform(F.sort_array(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end")))
+    A piece's place is the sum of the lengths before it, a window over the pieces of
+    one blob and rule, so that the work is in proportion to a text's findings. A blob
+    has one row and is in one task already: nothing is shuffled here.
+    """
+    scan = F.translate("text", _OPEN + _MID + _CLOSE, _STANDIN * 3)
+    each = [F.when(F.array_contains("pending", rule.key), _pieces(scan, rule, i)) for i, rule in enumerate(rules)]
+    pieces = F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))
+    rows = blobs.select("blob", "pending", F.explode_outer(pieces).alias("piece")).select("blob", "pending", "piece.*")
+    before = Window.partitionBy("blob", "rank").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    start, first = (F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("chars", "bytes"))
+    placed = rows.withColumn("start", start).withColumn("first_byte", first)
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rank") + 1)
+    name = lambda of: F.element_at(F.array(*[F.lit(of(r)) for r in rules]), F.col("rank") + 1)
+    span = F.struct("start", "rank", (F.col("start") + F.col("match_chars")).alias("end"), name(lambda r: r.kind).alias("kind"), name(lambda r: r.key).alias("rule"), "first_byte", (F.col("first_byte") + F.col("match_bytes")).alias("last_byte"))
+    kept = F.when(F.col("match_chars") - F.col("lead_chars") >= least, span)
+    found = placed.groupBy("blob").agg(F.first("pending").alias("rules"), F.sort_array(F.collect_list(kept)).alias("spans"))
+    return found.select("blob", "rules", F.col("spans").cast(_SPANS).alias("spans"))
 
 
 def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_new(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows: one for each blob of `versions(text)` with unseen rule versions.
 
     Null texts are the empty blob. Copies of a blob meet by its address, with one
     copy a task after the partial aggregate, so a hot blob costs one row a task.
     """
-    keys = [r.key for r in rules]
+    wanted = F.array(*[F.lit(r.key) for r in rules])
     blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wanted = F.array(*[F.lit(k) for k in keys])
-    if ledger is None:
-        pending = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("pending", wanted)
-    else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        unseen = blobs.join(seen.filter(F.size(F.array_except(wanted, F.col("seen"))) == 0), "blob", "left_anti")
-        pending = unseen.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left").withColumn("pending", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
-    return pending.select("blob", F.col("pending").alias("rules"), scan_text(F.col("text"), F.col("pending"), rules).alias("spans"))
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+    once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    unseen = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
+    pending = once.join(seen, "blob", "left").withColumn("pending", unseen).filter(F.size("pending") > 0)
+    return _scanned(pending.select("blob", "text", "pending"), rules)
 
 
 class BlobLedger:
     """A ledger kept as Parquet; `update` appends what it had not seen."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = RULES):
+        """`path`: a folder that may hold a ledger, be empty or not be there yet; a new one if None."""
         self.spark, self.rules = spark, rules
         self.path = path or new_path(spark, "secret-ledger")
-        self.fresh = path is None
+        spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
     def update(self, versions: DataFrame) -> None:
         """Scans the unseen pairs of blob and rule version of all versions."""
-        scan_new(versions, None if self.fresh else self.rows(), self.rules).write.mode("append").parquet(self.path)
-        self.fresh = False
+        scan_new(versions, self.rows(), self.rules).write.mode("append").parquet(self.path)
+
+    def hits(self) -> DataFrame:
+        """(blob, found): the distinct spans of blobs that have any, by the rule versions in force, by start, then rule.
+
+        Blobs and rules that two writers scanned at a time count once.
+        """
+        place = F.create_map(*[F.lit(x) for i, r in enumerate(self.rules) for x in (r.key, i)])
+        current = F.filter("spans", lambda s: F.array_contains(F.array(*[F.lit(r.key) for r in self.rules]), s["rule"]))
+        rows = self.rows().select("blob", current.alias("spans")).filter(F.size("spans") > 0)
+        ranked = F.transform("spans", lambda s: s.withField("rank", F.element_at(place, s["rule"])))
+        every = rows.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(ranked))).alias("every"))
+        once = F.filter("every", lambda s, i: (i == 0) | (s != F.get(F.col("every"), i - 1)))
+        return every.select("blob", once.alias("found"))
 
     def findings(self, versions: DataFrame, keys: list[str]) -> DataFrame:
         """One row per row of `versions` (`keys`, text): keys, blob, spans (may be empty).
 
         Only rule versions in force count. Blobs without findings are not joined.
         """
-        current = F.array(*[F.lit(r.key) for r in self.rules])
-        spans = F.filter("spans", lambda s: F.array_contains(current, s["rule"]))
-        rank = {r.kind: i for i, r in enumerate(self.rules)}
-        place = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-        hits = self.rows().select("blob", spans.alias("spans")).filter(F.size("spans") > 0)
-        hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        ordered = _in_order(F.col("spans"), lambda s: F.element_at(place, s["kind"]))
-        hits = hits.select(F.col("blob").alias("__blob"), ordered.alias("__spans"))
         paths = versions.select(*keys, blob_id(F.col("text")).alias("blob"))
-        none = F.array().cast("array<struct<kind:string,rule:string,start:long,end:long>>")
-        return paths.join(apart(hits), paths["blob"] == F.col("__blob"), "left").select(*keys, "blob", F.coalesce("__spans", none).alias("spans"))
+        shown = F.transform(F.coalesce("found", F.array().cast(_SPANS)), lambda s: F.struct(s["kind"].alias("kind"), s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end")))
+        return paths.join(apart(self.hits()), "blob", "left").select(*keys, "blob", shown.alias("spans"))
+
+
+def _cuts(hits: DataFrame) -> DataFrame:
+    """(blob, cuts): the byte ranges that `hits` cover, in order; overlapping spans are one range."""
+    rows = hits.select("blob", F.explode("found").alias("s")).select("blob", F.col("s.first_byte").alias("a"), F.col("s.last_byte").alias("b"))
+    order = Window.partitionBy("blob").orderBy("a", "b")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("opens", (F.col("a") >= F.coalesce(reach, F.lit(-1))).cast("int"))
+    ranges = marked.withColumn("range", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("blob", "range").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return ranges.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
 
 
 def joined(spans: Column) -> Column:
@@ -193,25 +215,25 @@ def redact_documents(docs: DataFrame, ledger: BlobLedger | None = None, mark: st
     """`docs` with every found span replaced by `mark`; overlapping spans give one mark.
 
     Columns stay as they are; `n_chars`, where there is one, follows the new text.
-    Null texts stay null. The join back carries spans, by content address.
+    Null texts stay null, repeated rows stay, an empty table gives no row. The join
+    back carries byte ranges, by content address.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.update(docs.select(F.col("text").cast("string").alias("text")))
-    current = F.array(*[F.lit(r.key) for r in ledger.rules])
-    hits = ledger.rows().select("blob", F.filter("spans", lambda s: F.array_contains(current, s["rule"])).alias("s")).filter(F.size("s") > 0)
-    hits = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))).alias("__spans")).withColumnRenamed("blob", "__blob")
-    text = F.col("text")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        start, end = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (start - acc["at"]).cast("int"))
-        shown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), shown.alias("out"))
-
-    last = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
-    clean = F.when(text.isNull() | F.col("__spans").isNull(), text).otherwise(F.aggregate("__spans", zero, step, last))
-    out = docs.withColumn("__key", blob_id(text)).join(apart(hits), F.col("__key") == F.col("__blob"), "left").withColumn("text", clean)
+    key, blob, cuts = free_names(docs.columns, "text_key", "blob_of", "cuts_of")
+    hits = _cuts(ledger.hits()).select(F.col("blob").alias(blob), F.col("cuts").alias(cuts))
+    n = F.size(cuts)
+
+    def between(raw: Column, i: Column) -> Column:  # what is after cut i - 1 and before cut i
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(cuts), i - 1)["b"])
+        end = F.when(i == n, F.octet_length(raw)).otherwise(F.get(F.col(cuts), i)["a"])
+        return F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+
+    whole = F.array(F.col("text").cast("string").cast("binary"))  # an array of one, so that lambdas do not copy the text each time
+    clean = F.get(F.transform(whole, lambda raw: F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: between(raw, i)), mark)), 0)
+    changed = F.col("text").isNotNull() & F.col(cuts).isNotNull()
+    joined_back = docs.withColumn(key, blob_id(F.col("text"))).join(apart(hits), F.col(key) == F.col(blob), "left")
+    out = joined_back.withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
