@@ -15,12 +15,16 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import free_names
+
 BINS = 256
 BITS = 4
 WORDS = 5
 #: Attempts by table; a bin still empty then ranks all filled bins by its universal hash.
 PROBES = 12
 _PRIME = 257
+#: Bounds on what the search for the next document sends to the driver and holds in the plan.
+MOST_BUCKETS, SAMPLED = 1 << 16, 8
 #: A hash's top 8 bits (signed) name its bin, so sorted hashes lie bin by bin.
 _SHIFT_BITS = 56
 _EMPTY = (1 << _SHIFT_BITS) - 1
@@ -43,7 +47,7 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     texts, whose sequence is empty. Every step is a column of its own, as a step
     refers to the one before it from within lambdas.
     """
-    h, bins, full = f"__{name}_h", f"__{name}_b", f"__{name}_f"
+    h, bins, full = free_names(df.columns, f"{name}_hashes", f"{name}_bins", f"{name}_filled")
     keep = df.columns
     low = F.lower(F.coalesce(text, F.lit("")))
     parts = F.split(low, r"[\x20\x09-\x0D]+")  # has empty parts at the ends only
@@ -92,37 +96,55 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return with_fingerprint(docs.select("doc_id", F.col("text").cast("string").alias("text")), F.col("text"), "fingerprint").select("doc_id", "fingerprint")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], per_bucket: int = 2000, prefix: str = "next_") -> DataFrame:
+def _cuts(places: DataFrame, n: int, buckets: int) -> list[tuple[int, int]]:
+    """Places that begin about `buckets` buckets of about equal size, the least place of all first.
+
+    They come from a random sample of SAMPLED rows a bucket: it sets the sizes of
+    buckets, not what is in them.
+    """
+    first = places.agg(F.min(F.struct("rank", "tie")).alias("p")).first().p
+    share = min(1.0, SAMPLED * buckets / n)
+    table = (places if share == 1.0 else places.sample(share, 7)).toPandas().sort_values(["rank", "tie"])
+    picked = table.iloc[:: max(1, len(table) // buckets)]
+    return sorted({(first.rank, first.tie), *zip(picked["rank"].tolist(), picked["tie"].tolist(), strict=True)})
+
+
+def _longs(values: list[int]) -> Column:
+    """One literal array, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def with_next(df: DataFrame, key: str, columns: list[str], per_bucket: int = 2000, prefix: str = "next_", tie_by: list[str] | None = None) -> DataFrame:
     """Adds the values that `columns` have in the next row by descending `key`; the last row gets the first one's.
 
-    The keys are cut at quantiles, which are keys that occur, into buckets of
-    about `per_bucket` rows; a bucket's first row goes to the bucket before it as
-    well, so every window is of bounded size and no row is looked up. Rows of a
-    null key come last; rows of equal keys follow each other by the hash of `columns`.
+    Rows are dealt out by ranges of (key, hash of `tie_by` or `columns`), at most MOST_BUCKETS,
+    which a row finds by binary search; a range's first row goes to the range before
+    it as well, so each range is a window of its own and no row is looked up. Rows of
+    a null key come last; rows of equal keys follow each other by that hash, so that
+    one key's rows split; rows equal in all of it stay together.
     """
-    spark = df.sparkSession
+    rank, tie, at, to, part, kind = free_names([*df.columns, *(prefix + c for c in columns)], "rank_of", "tie_of", "at_cut", "to_part", "part_of", "kind_of")
+    null = (1 << 63) - 1
+    df_places = df.withColumn(rank, F.coalesce(F.bitwise_not(F.col(key)), F.lit(null))).withColumn(tie, F.xxhash64(*(tie_by or columns)))  # ~key falls as key rises
+    places = df_places.select(F.col(rank).alias("rank"), F.col(tie).alias("tie"))
     n = df.count()
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(n, max(least, -(-n // per_bucket))))
-    share = [i / buckets for i in range(1, buckets + 1)]
-    cuts = df.agg(F.percentile_approx(key, share, F.lit(max(10_000, 20 * buckets)))).first()[0] or []
-    top = df.agg(F.max(key)).first()[0]
-    cuts = sorted({*cuts, *([top] if top is not None else [])}, reverse=True)  # cuts[i]: the largest key of bucket i
-    if cuts:
-        bounds = F.lit([-c for c in cuts])
-        # bucket: how many cuts are at or above the key, less one; null keys go to the last
-        at = F.when(F.col(key).isNull(), len(cuts) - 1).otherwise(F.array_size(F.filter(bounds, lambda c: c <= -F.col(key))) - 1)
-    else:
-        at = F.lit(0)
-    first_key = F.lit(cuts[0] if cuts else None).cast("long")
-    before = F.when(F.col("__bucket") > 0, F.col("__bucket") - 1).otherwise(F.lit(max(len(cuts) - 1, 0)))
-    starts = F.array_contains(F.lit(cuts or [None]).cast("array<long>"), F.col(key)) if cuts else F.lit(True)
-    own = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("s"))
-    rows = df.withColumn("__bucket", at).withColumn("__to", F.explode(F.when(starts, F.array(own, F.struct(before.alias("b"), F.when(F.col(key).eqNullSafe(first_key), 2).otherwise(1).alias("s")))).otherwise(F.array(own))))
-    rows = rows.withColumn("__b", F.col("__to.b")).withColumn("__s", F.col("__to.s"))
-    window = Window.partitionBy("__b").orderBy((F.col("__s") == 2).cast("int"), F.col(key).desc_nulls_last(), F.xxhash64(*columns))
+    if not n:
+        return df.select("*", *[F.col(c).alias(prefix + c) for c in columns])
+    least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _cuts(places, n, max(1, min(n, MOST_BUCKETS, max(least, -(-n // per_bucket)))))
+    ranks, ties = _longs([c[0] for c in cuts]), _longs([c[1] for c in cuts])
+    jumps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    reached = lambda i: (F.get(ranks, i) < F.col(rank)) | ((F.get(ranks, i) == F.col(rank)) & (F.get(ties, i) <= F.col(tie)))
+    search = F.aggregate(jumps, F.lit(0), lambda low, jump: F.when((low + jump <= len(cuts)) & reached(low + jump - 1), low + jump).otherwise(low))
+    rows = df_places.withColumn(at, search - 1)
+
+    own = F.struct(F.col(at).alias("part"), F.lit(0).alias("kind"))
+    before = F.struct(F.when(F.col(at) > 0, F.col(at) - 1).otherwise(len(cuts) - 1).alias("part"), F.when(F.col(at) > 0, 1).otherwise(2).alias("kind"))
+    begins = (F.get(ranks, F.col(at)) == F.col(rank)) & (F.get(ties, F.col(at)) == F.col(tie))
+    rows = rows.withColumn(to, F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own)))).withColumn(part, F.col(f"{to}.part")).withColumn(kind, F.col(f"{to}.kind"))
+    window = Window.partitionBy(part).orderBy((F.col(kind) == 2).cast("int"), F.col(key).desc_nulls_last(), F.col(tie), F.col(kind))
     out = rows.select("*", *[F.lead(c).over(window).alias(prefix + c) for c in columns])
-    return out.filter(F.col("__s") == 0).select(*df.columns, *[prefix + c for c in columns])
+    return out.filter(F.col(kind) == 0).select(*df.columns, *[prefix + c for c in columns])
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -133,7 +155,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     marked = with_fingerprint(base, F.col("text"), "fingerprint")
-    pairs = with_next(marked, "doc_id", ["text", "fingerprint"])
+    pairs = with_next(marked, "doc_id", ["text", "fingerprint"], tie_by=["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
