@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textvec import Hasher, letter_words, mix, slices, string_buffers
+from .workspace import free_names
 
 LEAST_WORDS = 4
 COVERAGE = 0.5
 BLOCK_BYTES = 16_000_000
+#: Places in items, or seeds of a pair, that are laid out at a time.
+EXPANDED = 1_000_000
 
 SCHEMA = "doc_id long, item_id long, item_words long, tiled_words long, coverage double, n_tiles long, longest_tile long, tiles string"
 
@@ -49,48 +52,97 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class BenchmarkIndex:
-    """Seeds of a block of items: sorted window hashes with the items and places they come from."""
+    """Seeds of a block of items, by window length: for each distinct window hash the items and places
+    it comes from, and for each item its windows."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], least: int = LEAST_WORDS):
         self.ids, self.least = ids, least
         h, doc, _ = word_hashes(pa.array([(t or "").lower() for t in texts], pa.string()))
         cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
-        self.words = [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        words = [h[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.lengths = np.diff(cuts)
         self.tables = {}
         for k in range(1, least + 1):  # an item of under `least` words is a seed as a whole
-            rows = [(i, w) for i, w in enumerate(self.words) if (len(w) == k if k < least else len(w) >= k)]
+            rows = [(i, w) for i, w in enumerate(words) if (len(w) == k if k < least else len(w) >= k)]
             if rows:
-                seeds = np.concatenate([rolling(w, k) for _, w in rows])
-                item = np.concatenate([np.full(len(w) - k + 1, i) for i, w in rows])
-                place = np.concatenate([np.arange(len(w) - k + 1) for _, w in rows])
-                order = np.argsort(seeds, kind="stable")
-                distinct, first, count = np.unique(seeds[order], return_index=True, return_counts=True)
-                self.tables[k] = (distinct, first, count, item[order], place[order])
-
-    def hits(self, words: np.ndarray, doc: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray, ...]]:
-        """(k, document, item, place in document, place in item) of all seeds."""
-        for k, (distinct, first, count, item, place) in self.tables.items():
-            h = rolling(words, k)
-            if not len(h):
-                continue
-            at = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
-            good = np.flatnonzero((distinct[at] == h) & (doc[: len(h)] == doc[k - 1 :]))
-            if not len(good):
-                continue
-            c = count[at[good]]
-            total = np.cumsum(c)
-            source = np.repeat(first[at[good]] - (total - c), c) + np.arange(total[-1])
-            yield k, np.repeat(doc[good], c), item[source], np.repeat(number[good], c), place[source]
-
-
-def tile(d: np.ndarray, p: np.ndarray, k: int, item_words: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in document, place in item, length) of one pair, from its k-word seeds."""
-    diagonal = d - p
-    order = np.lexsort((p, diagonal))
-    d, p, diagonal = d[order], p[order], diagonal[order]
-    cut = np.flatnonzero(np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (p[1:] != p[:-1] + 1), [True]]))
-    queue = [(-(int(b - a) + k - 1), int(d[a]), int(p[a])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                self.tables[k] = _Seeds(k, len(ids), rows)
+
+
+class _Seeds:
+    """The k-word windows of items: postings by distinct hash, and windows by item."""
+
+    def __init__(self, k: int, n_items: int, rows: list[tuple[int, np.ndarray]]):
+        item = np.concatenate([np.full(len(w) - k + 1, i) for i, w in rows])
+        place = np.concatenate([np.arange(len(w) - k + 1) for _, w in rows])
+        self.distinct, window, count = np.unique(np.concatenate([rolling(w, k) for _, w in rows]), return_inverse=True, return_counts=True)
+        order = np.argsort(window, kind="stable")
+        self.count, self.first = count, np.cumsum(count) - count
+        self.item, self.place = item[order], place[order]
+        own = np.lexsort((place, window, item))  # an item's windows by hash
+        self.own_window, self.own_place = window[own], place[own]
+        self.own_cuts = np.searchsorted(item[own], np.arange(n_items + 1))
+
+    def candidates(self, k: int, doc: np.ndarray, window: np.ndarray, lengths: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
+        """(document, item) of which windows in common cover enough of the item, of a document's windows by document.
+
+        A window counts once a document, however often it is there. Documents are
+        taken together up to EXPANDED places of items; one document has at most as
+        many as the index.
+        """
+        both = np.unique(doc * len(self.distinct) + window)
+        doc, window = np.divmod(both, len(self.distinct))
+        ends = np.cumsum(self.count[window])
+        last = np.flatnonzero(np.concatenate([doc[1:] != doc[:-1], [True]]))  # of each document
+        at = 0
+        while at < len(doc):
+            used = ends[at - 1] if at else 0
+            fits = int(np.searchsorted(ends[last], used + EXPANDED, side="right"))
+            to = int(last[max(fits - 1, int(np.searchsorted(last, at)))]) + 1
+            n = self.count[window[at:to]]
+            total = np.cumsum(n)
+            source = np.repeat(self.first[window[at:to]] - (total - n), n) + np.arange(total[-1])
+            pair, place = np.repeat(doc[at:to], n) * len(lengths) + self.item[source], self.place[source]
+            order = np.lexsort((place, pair))
+            pair, place = pair[order], place[order]
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            gap = np.full(len(place), k)
+            same = ~new[1:]
+            gap[:-1][same] = np.minimum(k, (place[1:] - place[:-1])[same])
+            pairs = pair[new]
+            good = np.add.reduceat(gap, np.flatnonzero(new)) >= coverage * lengths[pairs % len(lengths)]
+            yield from (divmod(int(x), len(lengths)) for x in pairs[good])
+            at = to
+
+    def matches(self, k: int, item: int, window: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in document, place in item, words) of the maximal matches of a document's windows, by place, and an item."""
+        own = slice(self.own_cuts[item], self.own_cuts[item + 1])
+        lo, hi = (np.searchsorted(self.own_window[own], window, side=s) for s in ("left", "right"))
+        some = np.flatnonzero(hi > lo)
+        number, lo, n = number[some], lo[some], (hi - lo)[some]
+        parts = []
+        for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // EXPANDED)) + 1):
+            total = np.cumsum(n[part])
+            d = np.repeat(number[part], n[part])
+            p = self.own_place[own][np.repeat(lo[part] - (total - n[part]), n[part]) + np.arange(total[-1])]
+            parts.append(_join_runs(d, p, np.ones(len(d), dtype=np.int64)))
+        d, p, seeds = _join_runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return d, p, seeds + k - 1
+
+
+def _join_runs(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (places in either text, seeds) that follow on each other in both texts, made one."""
+    order = np.lexsort((p, d - p))
+    d, p, n = d[order], p[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1] + n[:-1]) | (p[1:] != p[:-1] + n[:-1])]))
+    return d[new], p[new], np.add.reduceat(n, new)
+
+
+def tile(runs: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, item_words: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in document, place in item, length) of one pair, from its maximal matches.
+
+    The longest match goes first; of equal ones that of the least place in the document, then in the item.
+    """
+    queue = [(-n, i, j) for i, j, n in zip(*(x.tolist() for x in runs), strict=True)]
     heapq.heapify(queue)
     in_doc: set[int] = set()
     in_item = np.zeros(item_words, dtype=bool)
@@ -118,23 +170,24 @@ def tile(d: np.ndarray, p: np.ndarray, k: int, item_words: int) -> list[tuple[in
 
 
 def matches(index: BenchmarkIndex, column: pa.Array, coverage: float = COVERAGE) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(document, item, tiles) of the pairs of at least that coverage, for a column of lower-cased texts."""
+    """(document, item, tiles) of the pairs of at least that coverage, for a column of lower-cased texts.
+
+    Seeds are first counted by pair; only pairs whose seeds could cover enough keep their places.
+    """
     words, doc, number = word_hashes(column)
-    for k, d, item, at, place in index.hits(words, doc, number):
-        pair = d * len(index.ids) + item
-        order = np.argsort(pair, kind="stable")
-        pair, at, place = pair[order], at[order], place[order]
-        cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            number_d, number_i = divmod(int(pair[a]), len(index.ids))
+    for k, seeds in index.tables.items():
+        h = rolling(words, k)
+        if not len(h):
+            continue
+        window = np.minimum(np.searchsorted(seeds.distinct, h), len(seeds.distinct) - 1)
+        good = np.flatnonzero((seeds.distinct[window] == h) & (doc[: len(h)] == doc[k - 1 :]))
+        if not len(good):
+            continue
+        d, window, place = doc[good], window[good], number[good]
+        for number_d, number_i in seeds.candidates(k, d, window, index.lengths, coverage):
+            of = slice(*np.searchsorted(d, [number_d, number_d + 1]))
             size = int(index.lengths[number_i])
-            under = np.zeros(size + 1, dtype=np.int64)  # words under any seed: at least those under tiles
-            seen = np.unique(place[a:b])
-            np.add.at(under, seen, 1)
-            np.add.at(under, np.minimum(seen + k, size), -1)
-            if (np.cumsum(under)[:size] > 0).sum() < coverage * size:
-                continue
-            tiles = tile(at[a:b], place[a:b], k, size)
+            tiles = tile(seeds.matches(k, number_i, window[of], place[of]), k, size)
             if sum(t[2] for t in tiles) >= coverage * size:
                 yield number_d, number_i, tiles
 
@@ -180,18 +233,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_WORDS) -> DataFrame:
-    """`docs` without the documents that cover some benchmark item; all else as it is."""
+    """`docs` without the documents that cover some benchmark item; all else as it is.
+
+    Documents of null and empty texts stay; rows that repeat stay or go alike; without
+    items all rows stay, and an empty table gives no row.
+    """
+    (low,) = free_names(docs.columns, "low_text")
     for ids, texts in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
         names = docs.columns
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             index = BenchmarkIndex(*shared.value, least)
-            for batch in slices(batches, "__low"):
+            for batch in slices(batches, low):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for d, _, _ in matches(index, batch.column(len(names)), coverage):
                     keep[d] = False
                 yield batch.select(names).filter(pa.array(keep))
 
-        docs = docs.withColumn("__low", F.lower(F.col("text").cast("string"))).mapInArrow(work, docs.schema)
+        docs = docs.withColumn(low, F.lower(F.col("text").cast("string"))).mapInArrow(work, docs.schema)
     return docs
