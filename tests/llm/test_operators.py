@@ -76,24 +76,28 @@ def _greedy(a, b, least):
                 if n >= least and (best is None or n > best[2]):
                     best = (i, j, n)
         if best is None:
-            return sum(t[2] for t in tiles)
+            return sorted(tiles)
         tiles.append(best)
         for x in range(best[2]):
             used_a[best[0] + x] = used_b[best[1] + x] = True
 
 
-def test_tiling_covers_as_much_as_the_definition():
+def test_tiling_is_that_of_the_definition(monkeypatch):
     rng = random.Random(3)
-    for _ in range(60):
-        a, b = [rng.choice("abc") for _ in range(30)], [rng.choice("abc") for _ in range(14)]
-        index = decontamination.BenchmarkIndex([0], [" ".join(b)], 3)
-        found = list(decontamination.matches(index, pa.array([" ".join(a)]), 0.0))
-        covered = sum(t[2] for _, _, tiles in found for t in tiles)
-        wanted = _greedy(a, b, 3)
-        assert abs(covered - wanted) <= 3  # ties between equal matches may be taken in another order
-        for _, _, tiles in found:
-            marks = [j + x for _, j, n in tiles for x in range(n)]
-            assert len(marks) == len(set(marks)) and all(a[i + x] == b[j + x] for i, j, n in tiles for x in range(n))
+    for case in range(200):
+        monkeypatch.setattr(decontamination, "EXPANDED", rng.choice([1, 7, 1_000_000]))
+        a, b, c = ([rng.choice("abc" if case % 2 else "ab") for _ in range(n)] for n in (30, 14, 9))
+        index = decontamination.BenchmarkIndex([0, 1], [" ".join(b), " ".join(c)], 3)
+        found = {(d, i): tiles for d, i, tiles in decontamination.matches(index, pa.array(["", " ".join(a), " ".join(c)]), 0.0)}
+        want = {(d, i): t for d, x in ((1, a), (2, c)) for i, y in enumerate((b, c)) if (t := _greedy(x, y, 3))}
+        assert found == want
+
+
+def test_common_stems_do_not_multiply():
+    stem = "which of the following is "
+    index = decontamination.BenchmarkIndex(list(range(3000)), [f"{stem} {' '.join(f'x{i}y{j}' for j in range(12))}" for i in range(3000)])
+    text = (stem + "true ") * 2000 + " ".join(f"x7y{j}" for j in range(12))
+    assert [(d, i) for d, i, _ in decontamination.matches(index, pa.array([text]))] == [(0, 7)]
 
 
 # op2
@@ -212,7 +216,6 @@ def test_secret_spans(leaky):
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     first = spark.createDataFrame([("a", "token=abcdefghijklmnop"), ("b", "token=abcdefghijklmnop"), ("c", None)], "path string, text string")
     ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/ledger", secrets.RULES[:1])
-    ledger.fresh = True
     ledger.update(first)
     assert ledger.rows().count() == 2
     ledger.update(first)
@@ -283,7 +286,8 @@ def test_redaction_of_credential_urls(spark):
 
 
 # op5
-def test_token_counts(spark, documents, odd):
+def test_token_counts(spark, documents, odd, monkeypatch):
+    rng = random.Random(8)
     path = vocabulary("piece_bpe_32k.model")
     counter, table = tokencounts.Counter(path), tokencounts.pieces(path)
     unknown = min(table.values()) - tokencounts.PENALTY
@@ -302,7 +306,11 @@ def test_token_counts(spark, documents, odd):
             score[end], tokens[end] = best, n
         return tokens[-1]
 
-    docs = documents.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(900, "日本語 \U0001f600 " + "z" * 300)], "doc_id long, text string"))
+    long = [(901, "".join(rng.choice("abcé日") for _ in range(5000))), (902, "the" * 400)]
+    monkeypatch.setattr(tokencounts, "BLOCK", 700)
+    counted = counter.count(pa.array([t for _, t in long]))[0].tolist()
+    assert counted == [brute(t) for _, t in long]
+    docs = documents.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(900, "日本語 \U0001f600 " + "z" * 300), *long], "doc_id long, text string"))
     want = sorted((str(k), sum(brute(w) for w in WHITE.split(t or "") if w)) for k, t in texts(docs))
     assert sorted((str(r.doc_id), r.n_tokens) for r in tokencounts.count_tokens(docs, path).collect()) == want
 
