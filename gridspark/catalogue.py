@@ -174,3 +174,20 @@ add("stored_crosstab", stored("TRANSFORM Count(*) AS n SELECT o_orderpriority FR
 add("stored_insert", stored("INSERT INTO region (r_regionkey, r_name) SELECT n_nationkey+100, n_name FROM nation WHERE n_regionkey = 0;"), "SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey+100, n_name FROM nation WHERE n_regionkey=0")
 add("stored_update", stored("UPDATE customer SET c_acctbal = c_acctbal + 100, c_mktsegment = 'X' WHERE c_acctbal < 0;"), "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal<0 THEN c_acctbal+100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal<0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 add("stored_delete", stored("DELETE * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000;"), "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)")
+add("stored_like", stored("SELECT n_name FROM nation WHERE n_name LIKE '*A*' AND n_name NOT LIKE '??I*';"), "SELECT n_name FROM nation WHERE n_name LIKE '%A%' AND n_name NOT LIKE '__I%'")
+add("stored_like_subquery", stored("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '*A*') AND IIf(c_acctbal>0,1,0)=1;"), "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name LIKE '%A%') AND c_acctbal > 0")
+add("stored_functions", stored("SELECT o.o_orderkey, IIf(o.o_totalprice>100000,'big','small') AS size, Nz(Switch(o.o_orderstatus='F','done'),'open') AS state, InStr(2,o.o_orderpriority,'-') AS dash, Mid(o.o_orderpriority,3,2) AS code, DateAdd('m',1,o.o_orderdate) AS due FROM orders AS o WHERE o.o_orderdate>=#1/1/1997#;"), "SELECT o_orderkey, CASE WHEN o_totalprice>100000 THEN 'big' ELSE 'small' END AS size, CASE WHEN o_orderstatus='F' THEN 'done' ELSE 'open' END AS state, CASE WHEN instr(substr(o_orderpriority,2),'-')=0 THEN 0 ELSE instr(substr(o_orderpriority,2),'-')+1 END AS dash, substr(o_orderpriority,3,2) AS code, o_orderdate + INTERVAL 1 MONTH AS due FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+add("stored_parameters", stored("PARAMETERS [least price] Double, [status] Text ( 1 ); SELECT o_orderkey FROM orders WHERE o_totalprice>[least price] AND o_orderstatus=[status];"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'O'", params={"least price": 150000, "status": "O"})
+add("stored_join_group", stored("SELECT r.r_name, Count(*) AS n, Round(Sum(customer.c_acctbal),2) AS total FROM (region AS r INNER JOIN nation ON r.r_regionkey=nation.n_regionkey) LEFT JOIN customer ON nation.n_nationkey=customer.c_nationkey WHERE r.r_regionkey<4 GROUP BY r.r_name HAVING Count(*)>5 ORDER BY r.r_name DESC;"), "SELECT r_name, count(*) AS n, round(sum(c_acctbal),2) AS total FROM region JOIN nation ON r_regionkey=n_regionkey LEFT JOIN customer ON n_nationkey=c_nationkey WHERE r_regionkey<4 GROUP BY 1 HAVING count(*)>5 ORDER BY 1 DESC")
+add("stored_from_subquery", stored("SELECT q.k, Max(q.v) AS top FROM (SELECT c_nationkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal>0) AS q GROUP BY q.k;"), "SELECT c_nationkey AS k, max(c_acctbal) AS top FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+add("stored_make_table", stored("SELECT c_custkey, c_name INTO rich FROM customer WHERE c_acctbal > 5000;"), "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
+add("stored_insert_values", stored("INSERT INTO region (r_name, r_regionkey) VALUES ('NORTH, (far)', 2+5);"), "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 7, 'NORTH, (far)'")
+add("stored_update_literal", stored("UPDATE nation SET n_name = 'a, b', n_regionkey = n_regionkey + 1 WHERE n_name LIKE 'A*';"), "SELECT n_nationkey, CASE WHEN n_name LIKE 'A%' THEN 'a, b' ELSE n_name END AS n_name, CASE WHEN n_name LIKE 'A%' THEN n_regionkey + 1 ELSE n_regionkey END AS n_regionkey FROM nation")
+add("stored_update_join", stored("UPDATE customer INNER JOIN nation ON customer.c_nationkey=nation.n_nationkey SET customer.c_mktsegment = nation.n_name, customer.c_acctbal = 0 WHERE nation.n_regionkey=1 AND customer.c_acctbal<0;"), "SELECT c_custkey, c_name, c_nationkey, CASE WHEN hit THEN 0 ELSE c_acctbal END AS c_acctbal, CASE WHEN hit THEN n_name ELSE c_mktsegment END AS c_mktsegment FROM (SELECT *, n_regionkey=1 AND c_acctbal<0 AS hit FROM customer JOIN nation ON c_nationkey=n_nationkey)")
+add("stored_crosstab_join", stored("TRANSFORM Sum(o.o_totalprice) AS total SELECT c.c_mktsegment AS segment FROM customer AS c INNER JOIN orders AS o ON c.c_custkey=o.o_custkey WHERE o.o_totalprice>1000 GROUP BY c.c_mktsegment PIVOT Year(o.o_orderdate) IN (1996,1997);"), "SELECT c_mktsegment AS segment, sum(o_totalprice) FILTER (year(o_orderdate)=1996) AS \"1996\", sum(o_totalprice) FILTER (year(o_orderdate)=1997) AS \"1997\" FROM customer JOIN orders ON c_custkey=o_custkey WHERE o_totalprice>1000 GROUP BY 1")
+
+# functions that the queries above leave out
+expressions("expr_convert_more", "orders", ["o_orderkey"], [("i", "CInt(o_totalprice/1000)", "CAST(round_even(o_totalprice/1000,0) AS INTEGER)"), ("b", "CByte(o_orderkey Mod 200)", "CAST(o_orderkey % 200 AS INTEGER)"), ("f", "CSng(o_orderkey Mod 64)", "CAST(o_orderkey % 64 AS FLOAT)"), ("m", "CDec(o_orderkey)", "CAST(o_orderkey AS DECIMAL(28,10))"), ("v", "CVar(o_orderstatus)", "o_orderstatus"), ("s", "Str(o_orderkey)", "CAST(o_orderkey AS VARCHAR)"), ("d", 'CDate("2020-02-29 13:05:00")', "TIMESTAMP '2020-02-29 13:05:00'"), ("t", "TimeValue(o_orderdate)", "strftime(o_orderdate,'%H:%M:%S')"), ("e", "IsEmpty(o_orderstatus)", "o_orderstatus IS NULL")])
+expressions("expr_clock_random", "region", ["r_regionkey"], [("d", 'DateDiff("d",Date(),Now())', "0"), ("t", "Len(Time())", "8"), ("r", "Rnd(7)>=0 And Rnd(7)<1", "true")])
+add("domain_statistics", grid(["region"], ["region.r_regionkey", ('Round(DAvg("c_acctbal","customer"),4)', "a"), ('DMin("c_acctbal","customer","c_acctbal>0")', "b"), ('Round(DStDev("c_acctbal","customer"),4)', "s"), ('Round(DVar("c_acctbal","customer"),2)', "v")]), "SELECT r_regionkey, (SELECT round(avg(c_acctbal),4) FROM customer) AS a, (SELECT min(c_acctbal) FROM customer WHERE c_acctbal>0) AS b, (SELECT round(stddev_samp(c_acctbal),4) FROM customer) AS s, (SELECT round(var_samp(c_acctbal),2) FROM customer) AS v FROM region")
+add("domain_first_last", grid(["events"], ["events.event_id", ('DFirst("value","events")', "a"), ('DLast("value","events")', "b")]), "SELECT event_id, (SELECT arg_min(value, event_id) FROM events) AS a, (SELECT arg_max(value, event_id) FROM events) AS b FROM events", order="event_id")

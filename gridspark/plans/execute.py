@@ -90,16 +90,8 @@ def _attach_domain(df: DataFrame, node: Node, number: int, tables: Tables, conte
     return df, F.coalesce(F.col(column), F.lit(0)) if name == "dcount" else F.col(column)
 
 
-def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, ties: bool = False, order: str | None = None, null_concat: str = "sql") -> DataFrame:
-    """The DataFrame of a select model.
-
-    `params`: values of form references and prompts. `ties`: TOP keeps rows tied
-    with the last one. `order`: the column by which First and Last choose.
-    """
-    if model.stored_sql is not None:
-        return run_stored(model, tables, params)
-    if model.query_type != "select":
-        raise CompileError("NON_SELECT_QUERY_SQL_NOT_GENERATED", f"operation {model.operation}")
+def joined_sources(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, order: str | None = None, null_concat: str = "sql") -> tuple[DataFrame, Context]:
+    """The joined tables of a model, and the context in which its expressions find their columns."""
     frames = {s.key: tables(s.name).alias(s.key) for s in model.sources}
     names = _Frames(frames)
     context = names.context(params=params or {}, null_concat=null_concat)
@@ -120,6 +112,20 @@ def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | Non
             df = df.join(other, condition, step.kind)
     if df is None:
         raise CompileError("JOIN_GRAPH_NOT_RESOLVED", "no tables")
+    return df, context
+
+
+def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, ties: bool = False, order: str | None = None, null_concat: str = "sql") -> DataFrame:
+    """The DataFrame of a select model.
+
+    `params`: values of form references and prompts. `ties`: TOP keeps rows tied
+    with the last one. `order`: the column by which First and Last choose.
+    """
+    if model.stored_sql is not None:
+        return run_stored(model, tables, params)
+    if model.query_type != "select":
+        raise CompileError("NON_SELECT_QUERY_SQL_NOT_GENERATED", f"operation {model.operation}")
+    df, context = joined_sources(model, tables, params, order, null_concat)
     trees = {text: parse(text) for text in [*(c.expression for c in model.columns), *(g.expression for g in model.groups), *(o.expression for o in model.ordering), *filter(None, (model.where, model.having))]}
     number = 0
     for tree in trees.values():

@@ -1,27 +1,50 @@
-"""Stored SQL: cleaned of dialect for Spark, and action queries as set operations.
+"""Stored SQL: SELECT text as query models, and action queries as set operations.
 
-Tables are immutable; an action query gives the whole table as it is afterwards.
+Clauses are cut apart and their expressions compiled by the same compiler as those of
+design grids, so functions, wildcards, dates and parameters mean the same. SELECT text
+with subqueries inside expressions goes to Spark's SQL with its literals, wildcards and
+simple functions replaced. Tables are immutable; an action query gives the whole table
+as it is afterwards.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.columns import CompileError, compile_expression, frame_context
-from gridspark.functions.neutral import ui_parameter
+from gridspark.functions.columns import CompileError, Context, compile_expression, frame_context
+from gridspark.functions.grammar import parse, walk
+from gridspark.functions.neutral import like_pattern, ui_parameter
+from gridspark.functions.registry import support_of
 
+from .clauses import bare, clauses, fail, has_subquery, read_from, read_select, split_commas, unions, without_parameters, words
 from .model import QueryModel, source_tables, stored_kind
 from .tables import Tables, bracketed
 
 _PIECES = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|#[^#\n]*#|\[[^\]]*\](?:\s*!\s*\[[^\]]*\])*|[^'\"#\[]+")
 
 
+#: Functions of the dialect that Spark has under another name with the same arguments.
+_SAME = {"iif": "if", "nz": "nvl", "len": "char_length", "ucase": "upper", "lcase": "lower", "mid": "substring", "int": "floor", "sqr": "sqrt", "sgn": "sign", "chr": "chr", "asc": "ascii"}
+_SPARK = frozenset("abs exp round left right trim ltrim rtrim replace year month day hour minute second sum avg min max count first last now".split())
+
+
+def _spark_call(m: re.Match) -> str:
+    name = m[1].lower()
+    if name in _SAME:
+        return _SAME[name]
+    if support_of(name) is not None and name not in _SPARK:
+        raise CompileError("FUNCTION_REWRITE_INCOMPLETE", f"{name} beside a subquery")
+    return m[0]
+
+
 def spark_sql(sql: str) -> tuple[str, int | None, list[str]]:
     """(text for Spark, TOP n, parameter names): brackets, literals, & and TOP of the dialect replaced."""
     out, params = [], []
+    pattern = False  # whether the next literal is a pattern of Like
     for piece in _PIECES.findall(sql.strip().rstrip(";")):
         if piece[0] == "[":
             parts = re.findall(r"\[([^\]]*)\]", piece)
@@ -30,22 +53,22 @@ def spark_sql(sql: str) -> tuple[str, int | None, list[str]]:
                 out.append(f":{params[-1]}")
             else:
                 out.append(bracketed(parts[0]))
-        elif piece[0] == '"':
-            out.append("'" + piece[1:-1].replace('""', '"').replace("'", "''") + "'")
+        elif piece[0] in "'\"":
+            value = piece[1:-1].replace(piece[0] * 2, piece[0])
+            out.append("'" + (like_pattern(value) if pattern else value).replace("\\", "\\\\").replace("'", "''") + "'")
         elif piece[0] == "#":
             m = re.fullmatch(r"#(\d{1,2})/(\d{1,2})/(\d{4})#", piece)
             out.append(f"TIMESTAMP '{m[3]}-{int(m[1]):02}-{int(m[2]):02} 00:00:00'" if m else f"TIMESTAMP '{piece.strip('#')}'")
-        elif piece[0] == "'":
-            out.append(piece)
         else:
-            out.append(piece.replace("&", "||"))
+            out.append(re.sub(r"\b([A-Za-z]\w*)\$?(?=\s*\()", _spark_call, piece).replace("&", "||"))
+        pattern = re.search(r"\bLIKE\s*$", piece, re.I) is not None
     text = "".join(out)
     m = re.match(r"\s*SELECT\s+(DISTINCT\s+)?TOP\s+(\d+)\s+", text, re.I)
     top = int(m[2]) if m else None
     return ("SELECT " + (m[1] or "") + text[m.end() :] if m else text), top, params
 
 
-def _select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
+def _spark_select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     text, top, wanted = spark_sql(sql)
     spark, views = None, {}
     for i, name in enumerate(source_tables(sql)):
@@ -54,76 +77,179 @@ def _select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
         views[f"t{i}"] = df
         text = re.sub(rf"(\b(?:FROM|JOIN)\s+)`?{re.escape(name)}`?(?!\w)(\s+AS\s+\w+)?(?=\s+(?!ON\b|WHERE\b|GROUP\b|ORDER\b|INNER\b|LEFT\b|RIGHT\b|UNION\b|HAVING\b|CROSS\b|LIMIT\b)\w|)", lambda m, i=i, name=name: f"{m[1]}{{t{i}}}{m[2] or f' AS {bracketed(name)}'}", text, flags=re.I)
     if spark is None:
-        raise CompileError("STORED_SQL_NOT_RE_PARSED", "no table")
+        raise fail("no table")
     given = {k: v for k, v in params.items() if k in wanted}
     out = spark.sql(text, args=given or None, **views)
     return out if top is None else out.limit(top)
 
 
+def _one(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
+    """One SELECT, as a model; its subqueries in FROM are tables of their own."""
+    from .execute import run_model
+
+    model, inner = read_select(sql)
+    nested = {name.casefold(): text for name, text in inner.items()}
+    return run_model(model, lambda name: _select(nested[name.casefold()], tables, params) if name.casefold() in nested else tables(name), params)
+
+
+def _select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
+    """A SELECT or a UNION of them; rows of a UNION are ordered by its last ORDER BY."""
+    parts = unions(sql)
+    if any(has_subquery(_outside_from(p)) for p, _ in parts):
+        return _spark_select(sql, tables, params)
+    if len(parts) == 1:
+        return _one(sql, tables, params)
+    order = clauses(parts[-1][0], "order by").get("order by")
+    last = parts[-1][0]
+    if order:
+        last = last[: next(a for w, a, _ in reversed(words(last)) if w == "order")]
+    frames = [_one(p, tables, params) for p, _ in [*parts[:-1], (last, False)]]
+    out = frames[0]
+    for df, (_, every) in zip(frames[1:], parts[1:], strict=True):
+        out = out.union(df)
+        out = out if every else out.distinct()
+    if order:
+        context = frame_context(dict(out.dtypes), params)
+        keys = [(re.sub(r"\s+(ASC|DESC)$", "", x, flags=re.I), re.search(r"\sDESC$", x, re.I)) for x in split_commas(order)]
+        out = out.orderBy(*[compile_expression(x, context).desc_nulls_last() if d else compile_expression(x, context).asc_nulls_first() for x, d in keys])
+    return out
+
+
+def _outside_from(text: str) -> str:
+    """A SELECT without its FROM clause."""
+    found = words(text)
+    start = next((a for w, a, _ in found if w == "from"), len(text))
+    end = next((a for w, a, _ in found if a > start and w in ("where", "group", "having", "order")), len(text))
+    return text[:start] + text[end:]
+
+
 def _crosstab(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     """TRANSFORM agg SELECT rows FROM source GROUP BY rows PIVOT column [IN (values)]."""
-    m = re.fullmatch(r"\s*TRANSFORM\s+(?P<agg>.+?)\s+SELECT\s+(?P<rows>.+?)\s+FROM\s+(?P<table>\[[^\]]+\]|\w+)(?:\s+WHERE\s+(?P<where>.+?))?\s+GROUP\s+BY\s+(?P<by>.+?)\s+PIVOT\s+(?P<pivot>.+?)(?:\s+IN\s*\((?P<values>[^)]*)\))?\s*;?\s*", sql, re.I | re.S)
-    if not m:
-        raise CompileError("STORED_SQL_NOT_RE_PARSED", "crosstab")
-    df = tables(m["table"].strip("[]"))
-    context = frame_context(dict(df.dtypes), params)
-    if m["where"]:
-        df = df.filter(compile_expression(m["where"], context))
-    bare = re.sub(r"\s+AS\s+\w+\s*$", "", m["agg"], flags=re.I)
-    by = [compile_expression(x, context).alias(x.strip().split(".")[-1].strip("[]")) for x in m["by"].split(",")]
-    values = None
-    if m["values"]:
-        values = [v.strip().strip("'\"") for v in m["values"].split(",")]
-    pivot = compile_expression(m["pivot"], context).alias("__pivot")
-    keyed = df.withColumn("__pivot", pivot)
-    return keyed.groupBy(*by).pivot("__pivot", values).agg(compile_expression(bare, context))
+    from .execute import joined_sources
+
+    body = clauses(sql, "transform", "select", "from", "where", "group by", "pivot")
+    if not {"transform", "from", "group by", "pivot"} <= set(body):
+        raise fail("crosstab")
+    model = QueryModel("crosstab")
+    nested: dict[str, str] = {}
+    read_from(body["from"], model, nested)
+    df, context = joined_sources(model, lambda name: _select(nested[name], tables, params) if name in nested else tables(name), params)
+    if "where" in body:
+        df = df.filter(compile_expression(body["where"], context))
+    aliases = {}
+    for item in split_commas(body["select"]):
+        at = [(a, b) for w, a, b in words(item) if w == "as"]
+        if at:
+            aliases[item[: at[-1][0]].strip().casefold()] = bare(item[at[-1][1] :])
+    at = [a for w, a, _ in words(body["transform"]) if w == "as"]
+    measure = body["transform"][: at[-1]] if at else body["transform"]
+    names = [aliases.get(x.casefold(), bare(x.split(".")[-1])) for x in split_commas(body["group by"])]
+    by = [compile_expression(x, context).alias(n) for x, n in zip(split_commas(body["group by"]), names, strict=True)]
+    column, listed = body["pivot"], None
+    found = [(a, b) for w, a, b in words(column) if w == "in"]
+    if found:
+        inside = column[found[-1][1] :].strip()
+        listed = [v.strip("'\"") for v in split_commas(inside[1:-1])]
+        column = column[: found[-1][0]]
+    keyed = df.withColumn("pivot_of", compile_expression(column, context))
+    return keyed.groupBy(*by).pivot("pivot_of", listed).agg(compile_expression(measure, context))
+
+
+def _assignments(text: str, target: str, types: dict[str, tuple[str, str]], context: Context) -> dict[str, Column]:
+    """Column to new value, of the list behind SET."""
+    out = {}
+    for item in split_commas(text):
+        name, sep, value = item.partition("=")
+        column = types.get(bare(name.strip().split(".")[-1]).lower())
+        if not sep or column is None or ("." in name and bare(name.strip().split(".")[0]).casefold() != target.casefold()):
+            raise fail(f"update of {name.strip()}")
+        out[column[0]] = compile_expression(value, context).cast(column[1])
+    return out
 
 
 def _update(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
-    m = re.fullmatch(r"\s*UPDATE\s+(\[[^\]]+\]|\w+)\s+SET\s+(.+?)(?:\s+WHERE\s+(.+?))?\s*;?\s*", sql, re.I | re.S)
-    if not m:
-        raise CompileError("STORED_SQL_NOT_RE_PARSED", "update")
-    df = tables(m[1].strip("[]"))
-    context = frame_context(dict(df.dtypes), params)
-    hit = compile_expression(m[3], context) if m[3] else F.lit(True)
+    """UPDATE t SET ... [WHERE ...], and of t joined with other tables.
+
+    With a join, a row that several rows match takes the least of their new values. The
+    others are matched with the distinct values that the statement reads of t, so
+    rows of t need no key and repeated ones change alike.
+    """
+    from .execute import joined_sources
+
+    body = clauses(sql, "update", "set", "where")
+    if not {"update", "set"} <= set(body):
+        raise fail("update")
+    model = QueryModel("update")
+    read_from(body["update"], model, {})
+    source = model.sources[0]
+    df = tables(source.name)
     types = {c.lower(): (c, t) for c, t in df.dtypes}
-    new = {}
-    for part in re.split(r",(?![^(]*\))", m[2]):
-        target, _, value = part.partition("=")
-        column, kind = types[target.strip().split(".")[-1].strip("[]").lower()]
-        new[column] = F.when(hit, compile_expression(value, context).cast(kind)).otherwise(F.col(bracketed(column)))
-    return df.withColumns(new)
+    if len(model.sources) == 1:
+        context = frame_context(dict(df.dtypes), params)
+        hit = compile_expression(body["where"], context) if "where" in body else F.lit(True)
+        new = _assignments(body["set"], source.key, types, context)
+        return df.withColumns({c: F.when(hit, v).otherwise(F.col(bracketed(c))) for c, v in new.items()})
+    texts = [*(j.on for j in model.joins), *([body["where"]] if "where" in body else []), *(x.partition("=")[2] for x in split_commas(body["set"]))]
+    elsewhere = {c.lower() for s in model.sources[1:] for c in tables(s.name).columns}
+    read = {n.path[-1].lower() for t in texts for n in walk(parse(t)) if n.path and (n.path[-2].casefold() == source.key.casefold() if len(n.path) > 1 else n.path[-1].lower() not in elsewhere)}
+    used = [types[c][0] for c in sorted(read & set(types))]
+    if not used:
+        raise fail("update without a condition on its table")
+    distinct = df.select(*map(bracketed, used)).distinct()
+    joined, context = joined_sources(model, lambda name: distinct if name.casefold() == source.name.casefold() else tables(name), params)
+    if "where" in body:
+        joined = joined.filter(compile_expression(body["where"], context))
+    new = _assignments(body["set"], source.key, types, context)
+    keys = [context.resolve((source.key, c)).alias(f"key_{i}") for i, c in enumerate(used)]
+    made = joined.groupBy(*keys).agg(F.min(F.struct(*[v.alias(c) for c, v in new.items()])).alias("changed"))
+    match = reduce(lambda a, b: a & b, [df[bracketed(c)].eqNullSafe(F.col(f"key_{i}")) for i, c in enumerate(used)])
+    out = df.join(made, match, "left")
+    return out.select(*[(F.when(F.col("changed").isNotNull(), F.col(f"changed.{bracketed(c)}")).otherwise(df[bracketed(c)]) if c in new else df[bracketed(c)]).alias(c) for c in df.columns])
 
 
 def _delete(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
-    m = re.fullmatch(r"\s*DELETE\s+(?:\S+\s+)?FROM\s+(\[[^\]]+\]|\w+)(?:\s+WHERE\s+(.+?))?\s*;?\s*", sql, re.I | re.S)
-    if not m:
-        raise CompileError("STORED_SQL_NOT_RE_PARSED", "delete")
-    df = tables(m[1].strip("[]"))
-    if not m[2]:
+    body = clauses(sql, "delete", "from", "where")
+    if "from" not in body:
+        raise fail("delete")
+    model = QueryModel("delete")
+    read_from(body["from"], model, {})
+    if len(model.sources) > 1:
+        raise fail("delete from a join")
+    df = tables(model.sources[0].name)
+    if "where" not in body:
         return df.limit(0)
-    return df.filter(~F.coalesce(compile_expression(m[2], frame_context(dict(df.dtypes), params)), F.lit(False)))
+    return df.filter(~F.coalesce(compile_expression(body["where"], frame_context(dict(df.dtypes), params)), F.lit(False)))
 
 
 def _insert(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
-    m = re.fullmatch(r"\s*INSERT\s+INTO\s+(\[[^\]]+\]|\w+)\s*(?:\(([^)]*)\))?\s*(SELECT\b.+)", sql, re.I | re.S)
+    """INSERT INTO t [(columns)] SELECT ... or VALUES (...); columns that are not named are null."""
+    m = re.match(r"\s*INSERT\s+INTO\s+(\[[^\]]+\]|\w+)\s*(?:\(([^)]*)\))?\s*(?=(SELECT|VALUES)\b)", sql, re.I)
     if not m:
-        raise CompileError("STORED_SQL_NOT_RE_PARSED", "insert")
-    target = tables(m[1].strip("[]"))
-    rows = _select(m[3], tables, params)
-    if m[2]:
-        rows = rows.toDF(*[c.strip().strip("[]") for c in m[2].split(",")])
+        raise fail("insert")
+    target = tables(bare(m[1]))
+    rest = sql[m.end() :].strip()
+    if m[3].lower() == "values":
+        context = frame_context({}, params)
+        lists = re.sub(r"^VALUES\s*", "", rest, flags=re.I)
+        values = [compile_expression(v, context) for v in split_commas(lists.strip()[1:-1])]
+        rows = target.sparkSession.range(1).select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    else:
+        rows = _select(rest, tables, params)
+    columns = [bare(c) for c in m[2].split(",")] if m[2] else target.columns if m[3].lower() == "values" else rows.columns
+    if len(columns) != len(rows.columns):
+        raise fail("insert of another number of columns")
+    rows = rows.toDF(*columns)
     have = {c.lower(): c for c in rows.columns}
     aligned = [(F.col(bracketed(have[c.lower()])) if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in target.dtypes]
     return target.unionByName(rows.select(*aligned))
 
 
 def run_stored(model: QueryModel, tables: Tables, params: dict[str, object] | None = None) -> DataFrame:
-    """The rows of a stored query, or the table that an action query leaves behind."""
+    """The rows of a stored query, of the table that it makes, or the table that an action query leaves behind."""
     if model.connect:
         raise CompileError("PASS_THROUGH_QUERY_TARGETS_EXTERNAL_SERVER", model.connect)
-    sql = model.stored_sql or ""
-    run = {"select": _select, "union": _select, "crosstab": _crosstab, "update": _update, "delete": _delete, "insert": _insert}.get(stored_kind(sql))
+    sql = without_parameters(model.stored_sql or "")
+    run = {"select": _select, "union": _select, "make_table": _select, "crosstab": _crosstab, "update": _update, "delete": _delete, "insert": _insert}.get(stored_kind(sql))
     if run is None:
         raise CompileError("STORED_SQL_NOT_RE_PARSED", stored_kind(sql))
     return run(sql, tables, params or {})
