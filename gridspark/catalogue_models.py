@@ -190,6 +190,68 @@ def _(spark, sf_dir):
     return datamacros.run_handler(Handler("BeforeChange", [block]), _t(spark, sf_dir, "events"), parquet_tables(spark, sf_dir)).errors.select("event_id", "error")
 
 
+def _set(column: str, value: str) -> Statement:
+    return Statement("action", "SetField", {"Field": column, "Value": value})
+
+
+def _if(condition: str, *statements: Statement) -> Statement:
+    return Statement("conditional", branches=[("if", condition, list(statements))])
+
+
+def _each(*statements: Statement, where: str = "[n].[n_regionkey]=[r_regionkey]", kind: str = "ForEachRecord") -> Statement:
+    return Statement("block", kind, {"Reference": "nation", "Alias": "n", "WhereCondition": where}, statements=list(statements))
+
+
+_NOTE = Statement("block", "CreateRecord", {"Reference": "region"}, statements=[_set("r_regionkey", "[n].[n_nationkey]"), _set("r_name", "[n].[n_name]")])
+
+
+@register("macro_for_each_rows", "SELECT r_regionkey, r_name || '!' AS r_name FROM region")
+def _(spark, sf_dir):
+    """The firing rows are the same rows after a loop over some of them."""
+    handler = Handler("AfterInsert", [_if("[r_regionkey]<2", _each(_NOTE)), _set("r_name", '[r_name] & "!"')])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "region"), parquet_tables(spark, sf_dir)).rows
+
+
+@register("macro_exit_loop", "SELECT n_nationkey AS r_regionkey, n_name AS r_name FROM nation a WHERE NOT EXISTS (SELECT 1 FROM nation b WHERE b.n_regionkey=a.n_regionkey AND b.n_nationkey<=a.n_nationkey AND b.n_nationkey>9)")
+def _(spark, sf_dir):
+    """Each region's nations in their order, up to the first with a key over 9."""
+    loop = _each(_if("[n].[n_nationkey]>9", Statement("action", "ExitForEachRecord")), _NOTE)
+    return datamacros.run_handler(Handler("AfterInsert", [loop]), _t(spark, sf_dir, "region"), parquet_tables(spark, sf_dir)).created["region"]
+
+
+@register("macro_stop", "SELECT o_orderkey, CASE WHEN o_orderstatus='F' THEN o_orderpriority WHEN o_totalprice>100000 THEN 'big' ELSE 'rest' END AS o_orderpriority FROM orders")
+def _(spark, sf_dir):
+    handler = Handler("BeforeChange", [_if("[o_orderstatus]='F'", Statement("action", "StopMacro")), _set("o_orderpriority", '"rest"'), _if("[o_totalprice]>100000", _set("o_orderpriority", '"big"'), Statement("action", "StopAllMacros")), _set("o_orderpriority", '"rest"')])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "orders"), parquet_tables(spark, sf_dir)).rows.select("o_orderkey", "o_orderpriority")
+
+
+@register("macro_edit_record", "SELECT n_nationkey, CASE WHEN n_regionkey IN (1,2) AND n_nationkey>5 THEN r_name ELSE n_name END AS n_name, n_regionkey FROM nation JOIN region ON n_regionkey=r_regionkey")
+def _(spark, sf_dir):
+    """A loop that edits the records it visits."""
+    edit = Statement("block", "EditRecord", statements=[_set("n_name", "[r_name]")])
+    loop = _each(_if("[n].[n_nationkey]>5", edit))
+    return datamacros.run_handler(Handler("AfterUpdate", [_if("[r_regionkey]=1 Or [r_regionkey]=2", loop)]), _t(spark, sf_dir, "region"), parquet_tables(spark, sf_dir)).edited["nation"]
+
+
+@register("macro_edit_lookup", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal>9000) THEN 99 ELSE n_regionkey END AS n_regionkey FROM nation")
+def _(spark, sf_dir):
+    look = _each(Statement("block", "EditRecord", statements=[_set("n_regionkey", "99")]), where="[n].[n_nationkey]=[c_nationkey]", kind="LookUpRecord")
+    return datamacros.run_handler(Handler("AfterUpdate", [_if("[c_acctbal]>9000", look)]), _t(spark, sf_dir, "customer"), parquet_tables(spark, sf_dir)).edited["nation"]
+
+
+@register("macro_delete_twice", "SELECT event_id FROM events WHERE event_type IN ('error','click') AND value < 50")
+def _(spark, sf_dir):
+    gone = Statement("action", "DeleteRecord")
+    handler = Handler("AfterInsert", [_if("[event_type]='error' And [value]<50", gone), _if("[event_type]='click' And [value]<50", gone)])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "events"), parquet_tables(spark, sf_dir)).deleted["self"].select("event_id")
+
+
+@register("macro_delete_looked_up", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey=3 AND n_nationkey>8")
+def _(spark, sf_dir):
+    loop = _each(_if("[n].[n_nationkey]>8", Statement("action", "DeleteRecord")))
+    return datamacros.run_handler(Handler("AfterDelete", [_if("[r_regionkey]=3", loop)]), _t(spark, sf_dir, "region"), parquet_tables(spark, sf_dir)).deleted["nation"]
+
+
 # names
 @register("normalize_identifier", "SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(regexp_replace(p_name || ' - ' || p_brand || '__x ', '[\\s-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g')), '_+', '_', 'g'), '_') AS id FROM part")
 def _(spark, sf_dir):

@@ -1,48 +1,76 @@
 """Data macros as set operations over the rows they fire for.
 
 Every effect is guarded by the condition of its branch, so a handler is a chain of
-projections: no row is visited by itself. Lookups and loops are joins.
+projections: no row is visited by itself. Lookups and loops are joins with the
+distinct values that their conditions read of the firing rows; a loop's rows are kept
+apart from the firing rows. What stops a handler is a mark on the row that guards
+all statements behind it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.columns import CompileError, Compiler, Context, frame_context
-from gridspark.functions.grammar import parse
+from gridspark.functions.grammar import parse, walk
+from gridspark.functions.registry import Finding
 from gridspark.plans.tables import Tables, bracketed
 from gridspark.sources.macros import Handler, Statement
 
 
 @dataclass
 class Outcome:
-    """What a handler leaves behind: the rows as they are now; rows to add by table; keys of rows
-    to delete; rows it refused, with `error`."""
+    """What a handler leaves behind: the rows as they are now; rows to add by table; rows to
+    delete by table ("self": firing rows); tables with edited records; rows it refused, with
+    `error`; findings of actions that have no effect here."""
 
     rows: DataFrame
     created: dict[str, DataFrame] = field(default_factory=dict)
     deleted: dict[str, DataFrame] = field(default_factory=dict)
+    edited: dict[str, DataFrame] = field(default_factory=dict)
     errors: DataFrame | None = None
+    findings: list[Finding] = field(default_factory=list)
+
+
+@dataclass
+class _Record:
+    """A looked-up record: its table, and the column of the rows at hand for each of its own."""
+
+    table: str
+    columns: dict[str, str]
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 class _Runner:
     def __init__(self, rows: DataFrame, tables: Tables, is_insert: bool):
         self.out, self.tables, self.is_insert = Outcome(rows), tables, is_insert
         self.columns = list(rows.columns)
-        self.looked: dict[str, dict[str, str]] = {}
+        self.looked: dict[str, _Record] = {}
+        self.current: list[_Record] = []
+        self.running: Column | None = None
+        self.edits: dict[str, list[tuple[DataFrame, list[str]]]] = {}
+        self.in_loop = False
         self.n = 0
 
+    def fresh(self, what: str) -> str:
+        self.n += 1
+        return f"__{what}_{self.n}"
+
     def context(self) -> Context:
         base = frame_context(dict(self.out.rows.dtypes))
 
         def resolve(path: tuple[str, ...]) -> Column | None:
             tail = path[-1].lower()
             if len(path) > 1 and path[-2].lower() in self.looked:
-                column = self.looked[path[-2].lower()].get(tail)
-                return None if column is None else F.col(column)
+                column = self.looked[path[-2].lower()].columns.get(tail)
+                return None if column is None else F.col(bracketed(column))
             if tail == "isinsert":
                 return F.lit(self.is_insert)
             return base.resolve(path)
@@ -58,21 +86,27 @@ class _Runner:
     def run(self, statements: list[Statement], guard: Column | None) -> None:
         for s in statements:
             if s.kind == "conditional":
-                self._conditional(s, guard)
+                self._conditional(s, self._live(guard))
             elif s.kind == "block":
-                self._block(s, guard)
+                self._block(s, self._live(guard))
             elif s.kind == "action":
-                self._action(s, guard)
+                self._action(s, self._live(guard))
+
+    def _live(self, guard: Column | None) -> Column | None:
+        """The guard of a statement: its branch's, for rows that have not been stopped."""
+        return guard if self.running is None else self.running if guard is None else guard & self.running
 
     def _both(self, guard: Column | None, condition: Column) -> Column:
         condition = F.coalesce(condition, F.lit(False))
         return condition if guard is None else guard & condition
 
+    def _hit(self, guard: Column | None) -> DataFrame:
+        return self.out.rows if guard is None else self.out.rows.filter(guard)
+
     def _conditional(self, s: Statement, guard: Column | None) -> None:
         rest, chosen = guard, []
         for name, condition, inner in s.branches:
-            mark = f"__branch_{self.n}"
-            self.n += 1
+            mark = self.fresh("branch")
             test = self.column(condition) if name != "else" and condition else F.lit(True)
             # conditions are decided before any branch changes the row
             self.out.rows = self.out.rows.withColumn(mark, self._both(rest, test))
@@ -81,11 +115,18 @@ class _Runner:
         for mark, inner in chosen:
             self.run(inner, F.col(mark))
 
+    def _stop(self, guard: Column | None) -> None:
+        mark = self.fresh("stopped")
+        self.out.rows = self.out.rows.withColumn(mark, F.lit(True) if guard is None else guard)
+        self.running = ~F.col(mark) if self.running is None else self.running & ~F.col(mark)
+
     def _action(self, s: Statement, guard: Column | None) -> None:
         name, args = s.name.lower(), s.arguments
         if name in ("setfield", "setlocalvar", "setreturnvar"):
             target = (args.get("Field") or args.get("Name") or "").split(".")[-1].strip("[]")
             known = {c.lower(): c for c in self.out.rows.columns}
+            if self.in_loop and (name == "setreturnvar" or target.lower() in {c.lower() for c in self.columns}):
+                raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"{s.name} that carries {target} from one record of a loop to the next")
             column = known.get(target.lower(), target)
             value = self.column(args.get("Value") or args.get("Expression") or "Null")
             old = F.col(bracketed(column)) if target.lower() in known else F.lit(None)
@@ -94,55 +135,186 @@ class _Runner:
             self.out.rows = self.out.rows.withColumn(column, value if guard is None else F.when(guard, value).otherwise(old))
             if name == "setreturnvar" and column not in self.columns:
                 self.columns.append(column)
+        elif self.in_loop and name in ("raiseerror", "stopmacro", "stopallmacros"):
+            raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"{s.name} in a loop")
         elif name == "raiseerror":
-            bad = self.out.rows if guard is None else self.out.rows.filter(guard)
+            bad = self._hit(guard)
             bad = bad.select(*self.columns, F.lit(args.get("Error Description") or args.get("Description") or args.get("Message") or "").alias("error"))
             self.out.errors = bad if self.out.errors is None else self.out.errors.unionByName(bad)
-            if guard is None:
-                self.out.rows = self.out.rows.limit(0)
-            else:
-                self.out.rows = self.out.rows.filter(~guard)
+            self._drop(guard)
         elif name == "deleterecord":
-            gone = self.out.rows if guard is None else self.out.rows.filter(guard)
-            self.out.deleted["self"] = gone.select(*self.columns)
-            self.out.rows = self.out.rows.limit(0) if guard is None else self.out.rows.filter(~guard)
-        elif name not in ("clearmacroerror", "stopmacro", "stopallmacros", "onerror", "exitforeachrecord"):
+            self._delete(guard)
+        elif name in ("stopmacro", "stopallmacros", "exitforeachrecord"):
+            self._stop(guard)
+        elif name in ("clearmacroerror", "onerror"):
+            self.out.findings.append(Finding("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", s.name))
+        else:
             raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", s.name)
 
+    def _drop(self, guard: Column | None) -> None:
+        self.out.rows = self.out.rows.limit(0) if guard is None else self.out.rows.filter(~F.coalesce(guard, F.lit(False)))
+
+    def _delete(self, guard: Column | None) -> None:
+        """Deletes the record at hand: the innermost looked-up one, else the firing row."""
+        if self.current:
+            record = self.current[-1]
+            table, gone = record.table, self._records(record, self._hit(guard)).distinct()
+        else:
+            table, gone = "self", self._hit(guard).select(*self.columns)
+            self._drop(guard)
+        before = self.out.deleted.get(table)
+        gone = gone if before is None else before.unionByName(gone)
+        self.out.deleted[table] = gone if table == "self" else gone.distinct()
+
+    def _records(self, record: _Record, rows: DataFrame) -> DataFrame:
+        """The looked-up records that rows hold, with the names of their table."""
+        there = rows.filter(F.col(bracketed(record.columns[""])).isNotNull())
+        return there.select(*[F.col(bracketed(record.columns[c.lower()])).alias(c) for c in self.tables(record.table).columns])
+
     def _block(self, s: Statement, guard: Column | None) -> None:
         if s.name == "Group":
             self.run(s.statements, guard)
         elif s.name == "CreateRecord":
             self._create(s, guard)
         elif s.name == "EditRecord":
-            self.run(s.statements, guard)
-        elif s.name in ("LookUpRecord", "ForEachRecord"):
-            self._join(s, guard)
+            alias = (s.arguments.get("Alias") or "").lower()
+            record = self.looked.get(alias) or (self.current[-1] if self.current else None)
+            if record is None:
+                self.run(s.statements, guard)
+            else:
+                self._edit(s, record, guard)
+        elif s.name == "LookUpRecord":
+            self._look_up(s, guard)
+        elif s.name == "ForEachRecord":
+            self._for_each(s, guard)
         else:
             raise CompileError("MACRO_ELEMENT_NOT_RECOGNISED", s.name)
 
-    def _join(self, s: Statement, guard: Column | None) -> None:
-        """Brings in the columns of the looked-up record: the least match by its columns, or every match."""
+    def _source(self, s: Statement) -> tuple[str, _Record, DataFrame, str, list[str]]:
+        """(alias, record, its table under the names of its columns here, condition, columns of the rows at hand that it reads)."""
         source = s.arguments.get("Reference") or s.arguments.get("Source") or ""
         alias = (s.arguments.get("Alias") or source).lower()
         other = self.tables(source)
-        names = {c.lower(): f"__{alias}_{c}" for c in other.columns}
-        other = other.select(*[F.col(bracketed(c)).alias(names[c.lower()]) for c in other.columns])
-        key = f"__row_{self.n}"
-        self.n += 1
-        self.looked[alias] = names
+        prefix = self.fresh(alias)
+        record = _Record(source, {c.lower(): f"{prefix}_{c}" for c in other.columns} | {"": f"{prefix}_found"})
+        renamed = other.select(*[F.col(bracketed(c)).alias(record.columns[c.lower()]) for c in other.columns], F.lit(True).alias(record.columns[""]))
         condition = s.arguments.get("WhereCondition") or s.arguments.get("Where") or "True"
-        each = s.name == "ForEachRecord"
-        rows = self.out.rows if each else self.out.rows.withColumn(key, F.monotonically_increasing_id())
-        base = self.out.rows
-        self.out.rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in other.dtypes])
-        test = Compiler(self.context()).column(parse(condition))
-        joined = rows.join(other, test, "inner" if each else "left")
-        if not each:
-            first = joined.groupBy(key).agg(F.min(F.struct(*other.columns)).alias("__first"))
-            joined = rows.join(first, key, "left").select(*base.columns, *[F.col(f"__first.`{c}`").alias(c) for c in other.columns])
-        self.out.rows = joined
-        self.run(s.statements, guard)
+        here = {c.lower(): c for c in self.out.rows.columns}
+        used = set()
+        for node in walk(parse(condition)):
+            if node.path and node.kind != "call":
+                owner = node.path[-2].lower() if len(node.path) > 1 else ""
+                if owner in self.looked and owner != alias:
+                    used.add(self.looked[owner].columns[node.path[-1].lower()])
+                elif owner != alias and node.path[-1].lower() in here:
+                    used.add(here[node.path[-1].lower()])
+        return alias, record, renamed, condition, sorted(used)
+
+    def _matches(self, record: _Record, alias: str, other: DataFrame, condition: str, used: list[str]) -> tuple[DataFrame, list[str]]:
+        """(distinct values of `used` with each record that meets the condition, their names there)."""
+        rows, keys = self.out.rows, [self.fresh("key") for _ in used]
+        self.looked[alias] = record
+        typed = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in other.dtypes])
+        self.out.rows = typed  # so that the condition sees the record's columns
+        test = self.column(condition)
+        self.out.rows = rows
+        left = rows.select(*map(bracketed, used)).distinct() if used else None
+        pairs = other.filter(test) if left is None else left.join(other, test)
+        return pairs.select(*[F.col(bracketed(u)).alias(k) for u, k in zip(used, keys, strict=True)], *other.columns), keys
+
+    def _attach(self, pairs: DataFrame, used: list[str], keys: list[str], how: str) -> DataFrame:
+        rows = self.out.rows
+        on = _all([rows[bracketed(u)].eqNullSafe(pairs[k]) for u, k in zip(used, keys, strict=True)]) if used else F.lit(True)
+        return rows.join(pairs, on, how).drop(*keys)
+
+    def _look_up(self, s: Statement, guard: Column | None) -> None:
+        """Brings in the columns of the looked-up record, the least match by its columns."""
+        alias, record, other, condition, used = self._source(s)
+        pairs, keys = self._matches(record, alias, other, condition, used)
+        least = F.min(F.struct(*[F.col(bracketed(c)) for c in other.columns])).alias("least")
+        first = (pairs.groupBy(*keys) if keys else pairs.groupBy()).agg(least).select(*keys, "least.*")
+        self.out.rows = self._attach(first, used, keys, "left")
+        self.current.append(record)
+        found = F.coalesce(F.col(bracketed(record.columns[""])), F.lit(False))
+        inner = [x for x in s.statements if not self._touches_record(x)]
+        if len(inner) == len(s.statements):
+            self.run(s.statements, guard)
+        else:
+            for x in s.statements:  # what changes the record needs one
+                self.run([x], self._both(guard, found) if self._touches_record(x) else guard)
+        self.current.pop()
+
+    @staticmethod
+    def _touches_record(s: Statement) -> bool:
+        return any(x.name in ("EditRecord", "DeleteRecord") for x in s.walk())
+
+    def _for_each(self, s: Statement, guard: Column | None) -> None:
+        """Runs the statements over every match; the firing rows stay as they were."""
+        alias, record, other, condition, used = self._source(s)
+        pairs, keys = self._matches(record, alias, other, condition, used)
+        firing, running, outer = self.out.rows, self.running, self.in_loop
+        if guard is not None:
+            self.out.rows = firing.filter(guard)
+        self.out.rows = self._attach(pairs, used, keys, "inner")
+        self.running, self.in_loop = None, True
+        self.current.append(record)
+        leave = self._leaves(s.statements)
+        if leave is not None:  # records after the first that leaves the loop, in the order of their columns, are not visited
+            mark = self.fresh("left")
+            order = Window.partitionBy(*map(bracketed, firing.columns)).orderBy(*map(bracketed, other.columns)).rowsBetween(Window.unboundedPreceding, -1)
+            self.out.rows = self.out.rows.withColumn(mark, F.coalesce(F.max(leave.cast("int")).over(order), F.lit(0))).filter(F.col(mark) == 0)
+        self.run(s.statements, None)
+        self.current.pop()
+        self.out.rows, self.running, self.in_loop = firing, running, outer
+
+    def _leaves(self, statements: list[Statement]) -> Column | None:
+        """Whether a record of a loop leaves it: by ExitForEachRecord in the loop's body or its branches."""
+        out: Column | None = None
+        for s in statements:
+            found = None
+            if s.kind == "action" and s.name.lower() == "exitforeachrecord":
+                found = F.lit(True)
+            elif s.kind == "conditional":
+                rest = F.lit(True)
+                for name, condition, inner in s.branches:
+                    test = F.coalesce(self.column(condition), F.lit(False)) if name != "else" and condition else F.lit(True)
+                    leaves = self._leaves(inner)
+                    if leaves is not None:
+                        found = rest & test & leaves if found is None else found | (rest & test & leaves)
+                    rest = rest & ~test
+            if found is not None:
+                out = found if out is None else out | found
+        return out
+
+    def _edit(self, s: Statement, record: _Record, guard: Column | None) -> None:
+        """Changes a looked-up record in its table; of several edits of one record the least stays."""
+        table = self.tables(record.table)
+        types = {c.lower(): (c, t) for c, t in table.dtypes}
+        values: dict[str, Column] = {}
+        for inner in s.statements:
+            if inner.kind == "comment":
+                continue
+            if inner.kind != "action" or inner.name.lower() != "setfield":
+                raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"{inner.name or inner.kind} in EditRecord")
+            column, kind = types[(inner.arguments.get("Field") or "").split(".")[-1].strip("[]").lower()]
+            values[column] = self.column(inner.arguments.get("Value") or "Null").cast(kind)
+        rows = self._hit(guard).filter(F.col(bracketed(record.columns[""])).isNotNull())
+        keys = [F.col(bracketed(record.columns[c.lower()])).alias(f"old_{i}") for i, c in enumerate(table.columns)]
+        made = rows.groupBy(*keys).agg(F.min(F.struct(*[v.alias(c) for c, v in values.items()])).alias("changed"))
+        self.edits.setdefault(record.table, []).append((made, list(values)))
+
+    def edited(self) -> dict[str, DataFrame]:
+        """Each table that EditRecord changed, as it is afterwards."""
+        out = {}
+        for name, edits in self.edits.items():
+            base = self.tables(name)
+            now = base.select(*[F.col(bracketed(c)).alias(f"was_{i}") for i, c in enumerate(base.columns)], *map(bracketed, base.columns))
+            for made, changed in edits:
+                on = _all([now[f"was_{i}"].eqNullSafe(made[f"old_{i}"]) for i in range(len(base.columns))])
+                new = {c: F.when(F.col("changed").isNotNull(), F.col(f"changed.{bracketed(c)}")).otherwise(F.col(bracketed(c))) for c in changed}
+                now = now.join(made, on, "left").withColumns(new).select(*now.columns)
+            out[name] = now.select(*map(bracketed, base.columns))
+        return out
 
     def _create(self, s: Statement, guard: Column | None) -> None:
         target = s.arguments.get("Reference") or s.arguments.get("In") or ""
@@ -152,7 +324,7 @@ class _Runner:
             if inner.kind == "action" and inner.name.lower() == "setfield":
                 column = (inner.arguments.get("Field") or "").split(".")[-1].strip("[]")
                 values[column.lower()] = self.column(inner.arguments.get("Value") or "Null")
-        rows = self.out.rows if guard is None else self.out.rows.filter(guard)
+        rows = self._hit(guard)
         made = rows.select(*[(values.get(c.lower(), F.lit(None))).cast(t).alias(c) for c, t in types.items()])
         before = self.out.created.get(target)
         self.out.created[target] = made if before is None else before.unionByName(made)
@@ -162,9 +334,11 @@ def run_handler(handler: Handler, rows: DataFrame, tables: Tables, is_insert: bo
     """Runs a data-macro handler over the rows that fire it. Temporary columns are gone afterwards.
 
     A looked-up record is the least match by its columns in their order, so the
-    result does not depend on the order of rows.
+    result does not depend on the order of rows. StopMacro, StopAllMacros and
+    ExitForEachRecord stop the rows (or records of a loop) for which they are reached.
     """
     runner = _Runner(rows, tables, is_insert)
     runner.run(handler.statements, None)
+    runner.out.edited = runner.edited()
     runner.out.rows = runner.out.rows.select(*[bracketed(c) for c in runner.columns])
     return runner.out
