@@ -231,7 +231,7 @@ def convert_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -
 def artifact_identity(samples: DataFrame) -> DataFrame:
     """The artifact of each sample of `samples(sample_id, artifact_name, is_candidate)`: its one candidate under
     original/, else its one candidate; a sample without exactly one has a null name and the number of candidates."""
-    original = F.col("artifact_name").startswith("original/")
+    original = F.lower("artifact_name").startswith("original/")
     found = samples.filter("is_candidate").groupBy("sample_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(original).alias("n_original"), F.min(F.when(original, F.col("artifact_name"))).alias("o"), F.min("artifact_name").alias("a"))
     name = F.when(F.col("n_original") == 1, F.col("o")).when((F.col("n_original") == 0) & (F.col("candidates") == 1), F.col("a"))
     return found.select("sample_id", name.alias("artifact_name"), "candidates")

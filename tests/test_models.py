@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zipfile
 
@@ -281,20 +282,73 @@ def test_binary_catalogs(spark, tmp_path):
         catalogs.read_catalog(old[:-1])
 
 
+def _corpus(root, **files):
+    for place, content in files.items():
+        folder = root / place
+        folder.mkdir(parents=True)
+        (folder / "object_inventory.json").write_text(content if isinstance(content, str) else json.dumps(content))
+    return f"file://{root}"
+
+
+DATABASE = {"file": "kunden.mdb", "format": "MS Jet 4 database", "counts": {"Table": 5, " Table (Linked)": 1, "Hidden Query (~sq_)": 2}, "objects": [{"name": "t", "kind": "Table"}, {"name": "~q", "kind": "hidden query"}]}
+LISTS = {"counts": {"Form": 2, "Data Macro": 1}, "tables": [], "queries": [], "forms": ["a", "b"], "reports": [], "macros": [], "data_macros": ["m"], "modules": []}
+
+
 def test_inventory(spark, tmp_path):
-    (tmp_path / "s1").mkdir()
-    (tmp_path / "s1" / "object_inventory.json").write_text('{"sample_id": "s1", "artifacts": [{"artifact_name": "a.mdb", "format_family": "jet", "declared": {"Table": 5, "Table (linked)": 1, "Hidden Query": 2}, "objects": [{"name": "t", "kind": "table"}, {"name": "~q", "kind": "query", "hidden": true}]}]}')
-    artifacts = inventory.read_inventories(spark, f"file://{tmp_path}")
-    counts = {r.bucket: r.declared for r in inventory.declared_counts(artifacts).collect()}
-    assert counts == {"table": 5, "table_linked": 1, "query_hidden": 2}
     from gridspark.operators.coverage import reconcile
 
-    rows = reconcile(inventory.declared_counts(artifacts), inventory.named_units(artifacts), ["sample_id", "artifact_name", "bucket"]).collect()
-    assert {r.bucket: r.residual for r in rows} == {"table": 4, "table_linked": 1, "query_hidden": 1} and not any(r.over_named for r in rows)
+    path = _corpus(tmp_path, one={"sample": "s1", "databases": [DATABASE, {**DATABASE, "file": "leer.accdb", "format": "ACE", "counts": {}, "objects": []}]}, two={"sample": "s2", **LISTS})
+    (tmp_path / "two" / "Original").mkdir()
+    (tmp_path / "two" / "a.accdt").write_bytes(b"PK")
+    with pytest.raises(inventory.InventoryError, match="missing or ambiguous"):
+        (tmp_path / "two" / "b.accdt").write_bytes(b"PK")
+        inventory.read_inventories(spark, path).checked()
+    (tmp_path / "two" / "b.accdt").unlink()
+    corpus = inventory.read_inventories(spark, path).checked()
+    assert {(r.sample, r.artifact, r.format_family) for r in corpus.artifacts().collect()} == {("s1", "kunden.mdb", "jet4"), ("s1", "leer.accdb", "ace"), ("s2", "a.accdt", "accdt")}
+    assert [(r.sample, r.bucket, r.name) for r in corpus.objects().orderBy("sample", "ordinal").collect()] == [("s1", "table", "t"), ("s1", "query_hidden", "~q"), ("s2", "form", "a"), ("s2", "form", "b"), ("s2", "macro_data", "m")]
+    assert {(r.artifact, r.bucket): r.weight for r in corpus.count_only().collect()} == {("kunden.mdb", "table"): 4, ("kunden.mdb", "table_linked"): 1, ("kunden.mdb", "query_hidden"): 1}
+    rows = reconcile(corpus.counts().select("sample", "artifact", "bucket", "declared"), corpus.objects(), ["sample", "artifact", "bucket"]).collect()
+    assert not any(r.over_named for r in rows) and sum(r.residual for r in rows) == 6
     keys = spark.createDataFrame([("Linked Table",), ("Data Macro (axl)",), ("x",)], "key string")
     assert [r[0] for r in keys.select(inventory.bucket_column()).collect()] == ["table_linked", "macro_data", None]
 
 
+def test_inventory_faults(spark):
+    change = lambda **x: {"sample": "s", "databases": [{**DATABASE, **x}]}
+    cases = {
+        "{": "Expecting",
+        "[]": "not an object",
+        '{"sample": ""}': "sample",
+        '{"sample": "s"}': "unknown shape",
+        '{"sample": "s", "databases": {}}': "unknown shape",
+        json.dumps(change(file=None)): "file",
+        json.dumps(change(format="dBase")): "dbase",
+        json.dumps(change(counts=[])): "counts",
+        json.dumps(change(counts={"Tables of all sorts": 1})): "unknown",
+        json.dumps(change(counts={"Table": -1})): "non-negative",
+        json.dumps(change(counts={"Table": True})): "non-negative",
+        json.dumps(change(counts={"Table": "3"})): "non-negative",
+        json.dumps(change(objects={})): "list",
+        json.dumps(change(objects=[{"name": "x", "kind": "gadget"}])): "kind",
+        json.dumps(change(objects=[{"kind": "Form"}])): "name",
+        json.dumps(change(counts={"Table": 0, "Hidden Query": 1})): "1 named",
+        json.dumps({"sample": "s", "databases": [DATABASE, DATABASE]}): "twice",
+        json.dumps({"sample": "s", **LISTS, "forms": "a"}): "list",
+        json.dumps({"sample": "s", **LISTS, "forms": ["a"]}): "2 declared, 1 named",
+    }
+    rows = spark.createDataFrame([(str(i), text) for i, text in enumerate(cases)], "source string, content string")
+    found = {}
+    for r in inventory.read_units(rows).faults().collect():
+        found.setdefault(r.source, []).append(r.fault)
+    for i, word in enumerate(cases.values()):
+        assert any(word in f for f in found[str(i)]), (word, found.get(str(i)))
+    same = spark.createDataFrame([("a", json.dumps(change())), ("b", json.dumps(change()))], "source string, content string")
+    assert [r.fault for r in inventory.read_units(same).faults().collect()] == ["the sample s is there twice"]
+    with pytest.raises(inventory.InventoryError, match="no inventory"):
+        inventory.read_units(same.limit(0)).checked()
+
+
 @pytest.mark.parametrize(
     ("text", "name"),
     [(" Customer Name ", "customer_name"), ("USER-ID", "user_id"), ("  A   B  C  ", "a_b_c"), ("abc___def", "abc_def"), ("Price($)", "price"), ("", ""), ("---", ""), ("日本語 ABC", "abc"), (" \tA-\n-- B\r\nC\v-\fD ", "a_b_c_d"), ("one - _ -- two", "one_two"), ("a-@-b", "a_b"), ("café", "caf"), ("foo.bar/baz", "foobarbaz"), ("İD", "d"), (" A B ", "a_b")],
