@@ -34,8 +34,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 7, 3
 BUCKET_BYTES = 8_000_000
 BLOCK = 512
-#: Hashes that a task deals out at a time, about 8 MB of text.
-ENTRIES = 1_500_000
+#: Hashes that a task deals out at a time, about 4 MB of text.
+ENTRIES = 750_000
 #: Stands for a document where several of a chunk have the hash; above all document numbers.
 SEVERAL = 0xFFFF
 _ROWS = 60_000
