@@ -199,16 +199,36 @@ class Conversion:
         out = self.objects().groupBy("path", "kind").agg(F.count(F.lit(1)).alias("objects"), F.count_if("translated").alias("complete"))
         return out.withColumn("completion_percentage", coverage.percentage(F.col("complete"), F.col("objects")))
 
+    def corpus_report(self, most: int = 15) -> DataFrame:
+        """(measure, name, value): totals of the corpus, and the `most` frequent blocking codes by objects, ties by code.
+
+        An object is extracted if its text was kept, complete if nothing blocks it, else partial.
+        """
+        kept = self.findings().filter("reason_code = 'SOURCE_TEXT_NOT_RETAINED'").select("path", "object", "kind", F.lit(True).alias("lost")).distinct()
+        rows = self.objects().join(kept, ["path", "object", "kind"], "left").withColumn("extracted", F.col("lost").isNull())
+        totals = rows.agg(F.count_distinct("path").alias("artifacts"), F.count(F.lit(1)).alias("objects"), F.count_if("extracted").alias("extracted"), F.count_if(F.col("extracted") & F.col("translated")).alias("complete"), F.count_if(F.col("extracted") & ~F.col("translated")).alias("partial"))
+        share = lambda c: coverage.percentage(F.col(c), F.col("objects"))
+        wide = totals.withColumn("extraction_percentage", share("extracted")).withColumn("semantic_percentage", share("complete"))
+        measures = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in wide.columns])).alias("m")).select(F.lit("total").alias("measure"), "m.*")
+        codes = self.findings().filter(coverage.blocking()).select("path", "object", "kind", "reason_code").distinct().groupBy("reason_code").agg(F.count(F.lit(1)).alias("n"))
+        top = codes.orderBy(F.desc("n"), "reason_code").limit(most)
+        return measures.unionByName(top.select(F.lit("blocking_code").alias("measure"), F.col("reason_code").alias("name"), F.col("n").cast("double").alias("value")))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Writes rows as JSON lines with sorted keys; the folder gets its files when the job commits, or none."""
+    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)
+
 
 def convert_parts(parts: DataFrame) -> Conversion:
     """Parses `parts(path, object, kind, text)`. The names of a package's procedures are known to its expressions."""
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, p.name) for path, text in zip(batch["path"], batch["text"], strict=True) if text and "Option " in text for p in vba.read_module(forms.split_code(text)[1] or text, "m").procedures]
+            rows = [(path, p.name) for path, kind, text in zip(batch["path"], batch["kind"], batch["text"], strict=True) for p in vba.read_module((text or "") if kind == "module" else forms.split_code(text or "")[1] or "", "m").procedures]
             yield pd.DataFrame(rows, columns=["path", "name"])
 
-    coded = parts.filter(F.col("kind").isin("form", "report", "module")).select("path", "text").mapInPandas(names, "path string, name string")
+    coded = parts.filter(F.col("kind").isin("form", "report", "module")).select("path", "kind", "text").mapInPandas(names, "path string, name string")
     known = coded.groupBy("path").agg(F.collect_set("name").alias("known"))
     rows = parts.select("path", "object", "kind", "text").join(known, "path", "left")
 

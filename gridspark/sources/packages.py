@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.neutral import analyse
@@ -92,19 +92,48 @@ def package_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, ENTRIES)
 
 
+def object_kind() -> Column:
+    """The kind of object that an entry defines by its name; null for other entries."""
+    kinds = F.array(*[F.nullif(F.lower(F.regexp_extract("name", f"(?i){PARTS}", i)), F.lit("")) for i in range(1, 8)])
+    return F.coalesce(*[kinds[i] for i in range(7)])
+
+
 def object_parts(entries: DataFrame) -> DataFrame:
     """Entries that define an object, with its kind and the object's name from the file name."""
-    kinds = F.array(*[F.nullif(F.lower(F.regexp_extract("name", f"(?i){PARTS}", i)), F.lit("")) for i in range(1, 8)])
     stem = F.regexp_extract("name", r"([^/]+)\.[^./]+$", 1)
-    return entries.withColumn("kind", F.coalesce(*[kinds[i] for i in range(7)])).filter("kind is not null").withColumn("object", stem)
+    return entries.withColumn("kind", object_kind()).filter("kind is not null").withColumn("object", stem)
+
+
+#: What entries that define no object are about: feature, pattern of the path, reason code.
+FEATURES = (
+    ("table_data", "/sampledata/", "TABLE_DATA_TRANSLATION_NOT_IMPLEMENTED"),
+    ("object_properties", "/properties/", "OBJECT_PROPERTIES_NORMALIZATION_NOT_IMPLEMENTED"),
+    ("relationships", "^template/database/relationships.xml$", "RELATIONSHIP_TRANSLATION_NOT_IMPLEMENTED"),
+    ("navigation_pane", "^template/database/navpane.xml$", "NAVIGATION_METADATA_TRANSLATION_NOT_IMPLEMENTED"),
+    ("database_properties", "^template/database/databaseproperties.xml$", "DATABASE_PROPERTIES_TRANSLATION_NOT_IMPLEMENTED"),
+    ("vba_references", "^template/database/vbareferences.xml$", "VBA_REFERENCE_TRANSLATION_NOT_IMPLEMENTED"),
+    ("embedded_resources", "/resources/", "EMBEDDED_RESOURCE_TRANSLATION_NOT_IMPLEMENTED"),
+    ("package_relationships", "/_rels/|[.]rels$", "PACKAGE_RELATIONSHIP_NORMALIZATION_NOT_IMPLEMENTED"),
+    ("package_metadata", "", "PACKAGE_METADATA_NORMALIZATION_NOT_IMPLEMENTED"),
+)
+TARGET = ("target_generation", "TARGET_GENERATOR_NOT_IMPLEMENTED")
 
 
 def features(entries: DataFrame) -> DataFrame:
-    """(feature, entries, names): entries that define no object, by the folder they lie in."""
-    parts = object_parts(entries).select(F.col("path").alias("__p"), F.col("name").alias("__n"))
-    rest = entries.filter("name is not null").join(parts, (F.col("path") == F.col("__p")) & (F.col("name") == F.col("__n")), "left_anti")
-    folder = F.lower(F.regexp_extract("name", r"^(?:template/)?(?:database/)?([^/]+)/", 1))
-    return rest.groupBy(F.when(folder == "", "package_root").otherwise(folder).alias("feature")).agg(F.count(F.lit(1)).alias("entries"), F.sort_array(F.collect_list("name")).alias("names"))
+    """(path, feature, status, reason_code, entries, names, objects) of what a package holds beside objects.
+
+    The first pattern that an entry's path has is its feature; each package has
+    a row of what is made of its `objects`, too.
+    """
+    rows = entries.filter("name is not null").withColumn("part", object_kind())
+    low = F.lower("name")
+    which = F.coalesce(*[F.when(low.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(FEATURES)])
+    names, codes = (F.array(*[F.lit(f[i]) for f in FEATURES]) for i in (0, 2))
+    rest = rows.filter("part is null").withColumn("which", which).groupBy("path", "which").agg(F.count(F.lit(1)).alias("entries"), F.sort_array(F.collect_list("name")).alias("names"))
+    found = rest.select("path", F.get(names, F.col("which")).alias("feature"), F.lit("not_started").alias("status"), F.get(codes, F.col("which")).alias("reason_code"), "entries", "names", F.lit(None).cast("long").alias("objects"))
+    made = rows.groupBy("path").agg(F.count("part").alias("objects"))
+    target = made.select("path", F.lit(TARGET[0]).alias("feature"), F.lit("not_started").alias("status"), F.lit(TARGET[1]).alias("reason_code"), F.lit(0).cast("long").alias("entries"), F.array().cast("array<string>").alias("names"), "objects")
+    return found.unionByName(target)
 
 
 def read_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -> DataFrame:

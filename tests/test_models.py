@@ -213,7 +213,7 @@ def test_packages(spark, tmp_path):
     assert {r.diagnostic for r in entries.filter("diagnostic is not null").collect()} == {"UNSAFE_PATH", "NOT_A_PACKAGE", "COMPRESSION_RATIO"}
     (part,) = packages.object_parts(entries).collect()
     assert (part.kind, part.object, part.encoding, part.text) == ("query", "query1", "utf-16", "Operation =1\n")
-    assert {r.feature: r.entries for r in packages.features(entries).collect()} == {"template": 1, "sampledata": 1}
+    assert {r.feature: (r.entries, r.objects) for r in packages.features(entries).collect()} == {"package_metadata": (1, None), "table_data": (1, None), "target_generation": (0, packages.object_parts(entries).count())}
     stream = ingestion.stream_packages(spark, f"file://{tmp_path}")
     assert stream.isStreaming
     query = stream.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
