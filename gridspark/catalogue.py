@@ -191,3 +191,6 @@ expressions("expr_convert_more", "orders", ["o_orderkey"], [("i", "CInt(o_totalp
 expressions("expr_clock_random", "region", ["r_regionkey"], [("d", 'DateDiff("d",Date(),Now())', "0"), ("t", "Len(Time())", "8"), ("r", "Rnd(7)>=0 And Rnd(7)<1", "true")])
 add("domain_statistics", grid(["region"], ["region.r_regionkey", ('Round(DAvg("c_acctbal","customer"),4)', "a"), ('DMin("c_acctbal","customer","c_acctbal>0")', "b"), ('Round(DStDev("c_acctbal","customer"),4)', "s"), ('Round(DVar("c_acctbal","customer"),2)', "v")]), "SELECT r_regionkey, (SELECT round(avg(c_acctbal),4) FROM customer) AS a, (SELECT min(c_acctbal) FROM customer WHERE c_acctbal>0) AS b, (SELECT round(stddev_samp(c_acctbal),4) FROM customer) AS s, (SELECT round(var_samp(c_acctbal),2) FROM customer) AS v FROM region")
 add("domain_first_last", grid(["events"], ["events.event_id", ('DFirst("value","events")', "a"), ('DLast("value","events")', "b")]), "SELECT event_id, (SELECT arg_min(value, event_id) FROM events) AS a, (SELECT arg_max(value, event_id) FROM events) AS b FROM events", order="event_id")
+add("domain_correlated_many", grid(["customer"], ["customer.c_custkey", ('DCount("*","orders","o_custkey=" & [c_custkey] & " And o_orderstatus=\'" & Left([c_mktsegment],1) & "\'")', "n"), ('DSum("o_totalprice","orders","o_custkey=" & [c_custkey] & " And o_totalprice>" & [c_acctbal]*20)', "total")]), "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey=c_custkey AND o_orderstatus=left(c_mktsegment,1)) AS n, (SELECT sum(o_totalprice) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>c_acctbal*20) AS total FROM customer")
+expressions("expr_whole_division", "lineitem", _LK, [("q", "(l_quantity+0.5)\\7", "CAST(round_even(l_quantity+0.5,0) AS BIGINT) // 7"), ("m", "(l_quantity+0.5) Mod 7", "CAST(round_even(l_quantity+0.5,0) AS BIGINT) % 7"), ("z", "l_orderkey\\(l_linenumber-1)", "l_orderkey // nullif(l_linenumber-1,0)"), ("big", "(9007199254740993+l_linenumber)\\1", "9007199254740993+l_linenumber")])
+expressions("expr_is_kinds", "region", ["r_regionkey"], [("a", "IsError(r_name)", "false"), ("b", "IsObject(r_name)", "false"), ("c", "IsArray(r_name)", "false")])

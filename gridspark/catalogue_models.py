@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.catalogue import register
-from gridspark.operators import constraints, coverage, datamacros, graph, names
+from gridspark.operators import constraints, coverage, datamacros, graph, names, screens
 from gridspark.plans.execute import run_query
 from gridspark.plans.tables import parquet_tables
 from gridspark.sources import forms, packages, schema, vba
@@ -85,6 +85,20 @@ def _(spark, sf_dir):
     return constraints.with_lookup(_t(spark, sf_dir, "customer"), "c_nationkey", _t(spark, sf_dir, "nation"), "n_nationkey", "n_name", "nation").select("c_custkey", "nation")
 
 
+@register("fk_cascade_update_composite", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 10 = 0 AND l_suppkey % 2 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS l_partkey, CASE WHEN l_partkey % 10 = 0 AND l_suppkey % 2 = 0 THEN -l_suppkey ELSE l_suppkey END AS l_suppkey FROM lineitem")
+def _(spark, sf_dir):
+    two = schema.Relationship("fk2", "lineitem", "offers", ["l_partkey", "l_suppkey"], ["p", "s"], 0x1100)
+    lines = _t(spark, sf_dir, "lineitem")
+    keys = lines.filter("l_partkey % 10 = 0 and l_suppkey % 2 = 0").select("l_partkey", "l_suppkey").distinct()
+    changes = keys.select(F.struct("l_partkey", "l_suppkey").alias("old"), F.struct((F.col("l_partkey") + 1000000).alias("p"), (-F.col("l_suppkey")).alias("s")).alias("new"))
+    return constraints.cascade_update(lines, changes, two).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@register("lookup_repeated_bound", "SELECT n_nationkey, (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey) AS someone FROM nation")
+def _(spark, sf_dir):
+    return constraints.with_lookup(_t(spark, sf_dir, "nation"), "n_nationkey", _t(spark, sf_dir, "customer"), "c_nationkey", "c_name", "someone").select("n_nationkey", "someone")
+
+
 # forms and reports
 FORM = """Begin Form
     RecordSource ="orders"
@@ -150,6 +164,29 @@ def _(spark, sf_dir):
     return df.rollup(*[g.source for g in report.group_levels]).agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top"))
 
 
+@register("form_filter_order", "SELECT o_orderkey, o_totalprice, round(o_totalprice*0.9,1) AS \"txtNet\" FROM orders WHERE o_totalprice > 150000 AND o_orderstatus <> 'P' ORDER BY o_totalprice DESC, o_orderkey")
+def _(spark, sf_dir):
+    """A form over stored SQL, with filter, order and calculated control."""
+    text = FORM.replace('RecordSource ="orders"', 'RecordSource ="SELECT * FROM orders WHERE o_orderstatus<>\'P\'"').replace("FilterOn =-1", 'FilterOn =-1\n    OrderBy ="[o_totalprice] DESC, o_orderkey"\n    OrderByOn =-1')
+    model = forms.read_form(text, "frmOrders")
+    rows = screens.form_rows(model, parquet_tables(spark, sf_dir))
+    return rows.select("o_orderkey", "o_totalprice", *[c for c, n in zip(screens.control_columns(model, rows), ["txtNet", "cboNation"], strict=True) if n == "txtNet"])
+
+
+@register("report_group_on", "SELECT date_trunc('year', o_orderdate) AS group_0, left(o_orderpriority, 1) AS group_1, CAST(floor(o_totalprice / 100000) * 100000 AS BIGINT) AS group_2, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ROLLUP(1, 2, 3)")
+def _(spark, sf_dir):
+    """Group levels by year (latest first), by the first letter and by intervals."""
+    level = lambda source, on, step, down: f"  Begin BreakLevel\n   ControlSource =\"{source}\"\n   GroupOn ={on}\n   GroupInterval ={step}\n   SortOrder ={down}\n  End\n"
+    text = 'Begin Report\n RecordSource ="orders"\n Begin\n' + level("o_orderdate", 2, 1, 1) + level("o_orderpriority", 1, 1, 0) + level("o_totalprice", 9, 100000, 0) + " End\nEnd\n"
+    model = forms.read_form(text, "rptOrders", "report")
+    return screens.report_groups(model, screens.form_rows(model, parquet_tables(spark, sf_dir)), F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
+
+
+@register("value_list_rows", "SELECT * FROM (VALUES (0, 'F', 'finished; all'), (1, 'O', 'open'), (2, 'P', NULL)) t(ordinal, column_0, column_1)")
+def _(spark, sf_dir):
+    return screens.value_list(spark, '"F";"finished; all";O;open;"P"', 2)
+
+
 # data macros
 _AXL = 'xmlns="http://schemas.microsoft.com/office/accessservices/2009/11/application"'
 BEFORE_CHANGE = f"""<DataMacros {_AXL}><DataMacro Event="BeforeChange"><Statements>

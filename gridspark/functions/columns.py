@@ -82,6 +82,11 @@ def _truncate(c: Column) -> Column:
     return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
 
 
+def _whole(c: Column) -> Column:
+    """A number as \\ and Mod take it: rounded half to even."""
+    return F.bround(c, F.lit(0)).cast("long")
+
+
 #: Interval codes of DatePart, DateAdd and DateDiff.
 _PARTS: dict[str, Callable[[Column], Column]] = {
     "yyyy": F.year, "q": F.quarter, "m": F.month, "y": F.dayofyear, "d": F.dayofmonth, "w": F.dayofweek, "ww": F.weekofyear, "h": F.hour, "n": F.minute, "s": F.second,
@@ -117,16 +122,20 @@ def date_diff(code: str, a: Column, b: Column) -> Column:
 
 
 def date_add(code: str, n: Column, d: Column) -> Column:
-    n = n.cast("int")
-    d = d.cast("timestamp")
+    """Whole intervals added in local time, so that no change of the clock shifts the hour."""
+    n, local = n.cast("int"), d.cast("timestamp_ntz")
     months = {"yyyy": 12, "q": 3, "m": 1}
     if code in months:
-        moved = F.add_months(F.to_date(d), n * months[code])
-        return (moved.cast("timestamp").cast("double") + (d.cast("double") - F.to_date(d).cast("timestamp").cast("double"))).cast("timestamp")
-    seconds = {"y": 86400, "d": 86400, "w": 86400, "ww": 604800, "h": 3600, "n": 60, "s": 1}
-    if code not in seconds:
+        day = F.to_date(local)
+        return (F.add_months(day, n * months[code]).cast("timestamp_ntz") + (local - day.cast("timestamp_ntz"))).cast("timestamp")
+    none = F.lit(0)
+    made = {
+        "y": lambda: F.make_dt_interval(n), "d": lambda: F.make_dt_interval(n), "w": lambda: F.make_dt_interval(n), "ww": lambda: F.make_dt_interval(n * 7),
+        "h": lambda: F.make_dt_interval(none, n), "n": lambda: F.make_dt_interval(none, none, n), "s": lambda: F.make_dt_interval(none, none, none, n),
+    }
+    if code not in made:
         raise CompileError("ACCESS_RUNTIME_FUNCTION", f"dateadd {code}")
-    return (d.cast("double") + n.cast("double") * seconds[code]).cast("timestamp")
+    return (local + made[code]()).cast("timestamp")
 
 
 #: Pieces of date pictures.
@@ -208,6 +217,9 @@ _SIMPLE: dict[tuple[str, int], Callable[..., Column]] = {
     ("iif", 3): lambda c, a, b: F.when(c, a).otherwise(b),
     ("isnull", 1): lambda x: x.isNull(),
     ("isempty", 1): lambda x: x.isNull(),
+    ("iserror", 1): lambda x: x.isNull() & F.lit(False),  # a column holds no errors, objects or arrays
+    ("isobject", 1): lambda x: x.isNull() & F.lit(False),
+    ("isarray", 1): lambda x: x.isNull() & F.lit(False),
     ("isnumeric", 1): lambda x: _text(x).try_cast("double").isNotNull(),
     ("isdate", 1): lambda x: _text(x).try_cast("timestamp").isNotNull(),
     ("date", 0): F.current_date,
@@ -334,11 +346,11 @@ class Compiler:
             sides = [_text(a), _text(b)]
             return F.concat(*[F.coalesce(s, F.lit("")) for s in sides] if self.context.null_concat == "access" else sides)
         if op == "\\":
-            return F.try_divide(a.cast("double"), b.cast("double")).cast("long")
+            return F.call_function("div", _whole(a), F.nullif(_whole(b), F.lit(0).cast("long")))
         if op == "/":
             return F.try_divide(a.cast("double"), b.cast("double"))
         if op == "mod":
-            return F.try_mod(a, b)
+            return F.try_mod(_whole(a), _whole(b))
         return {
             "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "^": lambda: F.pow(a, b), "=": lambda: a == b, "<>": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b,
             "<=": lambda: a <= b, ">=": lambda: a >= b, "and": lambda: a & b, "or": lambda: a | b, "xor": lambda: a != b, "eqv": lambda: a == b, "imp": lambda: ~a | b,

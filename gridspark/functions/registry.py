@@ -25,7 +25,7 @@ RUNTIME = frozenset(
 AGGREGATES = frozenset("sum avg min max count first last stdev stdevp var varp".split())
 DOMAIN = frozenset("dlookup dcount dsum davg dmin dmax dfirst dlast dstdev dvar".split())
 #: Functions that this engine runs although no portable SQL form is claimed for them.
-EXTENSIONS = frozenset("string isnumeric isdate isempty weekday datepart datediff dateadd dateserial timeserial datevalue timevalue format partition choose cvar".split()) | DOMAIN
+EXTENSIONS = frozenset("string isnumeric isdate iserror isempty isobject isarray weekday datepart datediff dateadd dateserial timeserial datevalue timevalue format partition choose cvar".split()) | DOMAIN
 #: Names that refer to the host application, not to data.
 HOST_ROOTS = frozenset({"currentproject", "currentdb", "application", "codeproject", "codedb", "docmd", "screen", "currentdata", "codedata", "dbengine", "err", "me", "tempvars"})
 UI_ROOTS = frozenset({"forms", "reports"})

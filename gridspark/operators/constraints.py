@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridspark.functions.columns import compile_expression, frame_context
 from gridspark.plans.tables import bracketed
@@ -79,16 +80,25 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, relationship: Relations
 
 
 def cascade_update(child: DataFrame, changes: DataFrame, relationship: Relationship) -> DataFrame:
-    """Child rows after key changes `changes(old, new)` of a one-column key."""
+    """Child rows after key changes `changes(old, new)`: values, or structs of the key's columns in their order."""
     if not relationship.cascade_update:
         return child
-    column = relationship.child_columns[0]
-    moved = changes.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
-    joined = child.join(moved, child[column] == F.col("__old"), "left")
-    return joined.withColumn(column, F.coalesce(F.col("__new"), F.col(bracketed(column)))).select(*child.columns)
+    columns, kind = relationship.child_columns, changes.schema["old"].dataType
+    parts = [f"old.{f.name}" for f in kind.fields] if isinstance(kind, StructType) else ["old"]
+    if len(parts) != len(columns):
+        raise ValueError(f"the key of {relationship.name} has {len(columns)} columns, the changes have {len(parts)}")
+    news = [F.col(p.replace("old", "new", 1)).alias(f"new_{i}") for i, p in enumerate(parts)] if len(parts) == 1 else [F.col(f"new.{f.name}").alias(f"new_{i}") for i, f in enumerate(changes.schema["new"].dataType.fields)]
+    moved = changes.select(*[F.col(p).alias(f"old_{i}") for i, p in enumerate(parts)], *news, F.lit(True).alias("moved"))
+    on = reduce(lambda a, b: a & b, [child[c] == moved[f"old_{i}"] for i, c in enumerate(columns)])
+    joined = child.join(moved, on, "left")
+    place = {c: i for i, c in enumerate(columns)}
+    return joined.select(*[(F.when(F.col("moved"), F.col(f"new_{place[c]}")).otherwise(child[c]) if c in place else child[c]).alias(c) for c in child.columns])
 
 
 def with_lookup(df: DataFrame, column: str, source: DataFrame, bound: str, shown: str, alias: str) -> DataFrame:
-    """A lookup column: the shown value of the row source's row whose bound column is the stored value."""
-    values = source.select(F.col(bracketed(bound)).alias("__bound"), F.col(bracketed(shown)).alias(alias))
+    """A lookup column: the shown value of the row source's row whose bound column is the stored value.
+
+    Where several rows have that bound value the least shown one counts, so rows do not multiply.
+    """
+    values = source.groupBy(F.col(bracketed(bound)).alias("__bound")).agg(F.min(bracketed(shown)).alias(alias))
     return df.join(values, df[column] == F.col("__bound"), "left").drop("__bound")

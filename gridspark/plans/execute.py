@@ -8,6 +8,7 @@ join strategies; nothing is collected here.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def _attach_domain(df: DataFrame, node: Node, number: int, tables: Tables, conte
     if key is None:
         if len(args) > 2:
             if args[2].kind != "string":
-                raise CompileError("ACCESS_RUNTIME_FUNCTION", f"{name}: criteria")
+                return _attach_correlated(df, domain, args[2], made, column, inner, context, name == "dcount")
             domain = domain.filter(compile_expression(args[2].value, inner))
         return df.crossJoin(F.broadcast(domain.agg(made))), F.col(column)  # one row
     grouped = domain.groupBy(compile_expression(key[0], inner).alias(f"{column}_key")).agg(made)
@@ -90,6 +91,41 @@ def _attach_domain(df: DataFrame, node: Node, number: int, tables: Tables, conte
     return df, F.coalesce(F.col(column), F.lit(0)) if name == "dcount" else F.col(column)
 
 
+def _pieces(criteria: Node) -> list[Node]:
+    """The operands of a chain of &."""
+    if criteria.kind == "binary" and criteria.value == "&":
+        return [p for c in criteria.children for p in _pieces(c)]
+    return _pieces(criteria.children[0]) if criteria.kind == "group" else [criteria]
+
+
+def _attach_correlated(df: DataFrame, domain: DataFrame, criteria: Node, made: Column, column: str, inner: Context, context: Context, counts: bool) -> tuple[DataFrame, Column]:
+    """Joins a domain aggregate whose criteria are text put together from values of the row.
+
+    The text is read with a name in the place of each value (and of the quotes around
+    it). The distinct values are joined with the domain, aggregated, and joined back.
+    """
+    text, values = "", []
+    pieces = _pieces(criteria)
+    for i, piece in enumerate(pieces):
+        if piece.kind == "string":
+            part = piece.value
+            if i and pieces[i - 1].kind != "string" and part[:1] in ("'", '"', "#"):
+                part = part[1:]
+            if i + 1 < len(pieces) and pieces[i + 1].kind != "string" and part[-1:] in ("'", '"', "#"):
+                part = part[:-1]
+            text += part
+        else:
+            text += f" [{column}_{len(values)}] "
+            values.append(Compiler(context).column(piece))
+    names = [f"{column}_{i}" for i in range(len(values))]
+    keys = df.select(*[v.alias(n) for v, n in zip(values, names, strict=True)]).distinct()
+    resolve = lambda path: F.col(path[-1]) if path[-1] in names else inner.resolve(path)
+    test = compile_expression(text, replace(inner, resolve=resolve))
+    grouped = keys.join(domain, test).groupBy(*names).agg(made)
+    on = reduce(lambda a, b: a & b, [v.eqNullSafe(F.col(n)) for v, n in zip(values, names, strict=True)])
+    return df.join(grouped, on, "left").drop(*names), F.coalesce(F.col(column), F.lit(0)) if counts else F.col(column)
+
+
 def joined_sources(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, order: str | None = None, null_concat: str = "sql") -> tuple[DataFrame, Context]:
     """The joined tables of a model, and the context in which its expressions find their columns."""
     frames = {s.key: tables(s.name).alias(s.key) for s in model.sources}
