@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridspark.llm import decontamination, ngramjoin, packing, quality, secrets
 from gridspark.llm.queries import vocabulary
-from gridspark.llm.workspace import new_path
+from gridspark.llm.workspace import new_path, remove
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to `documents`; each result is written as Parquet and read again.
+
+    A stage's table goes when the next one's is whole. Nulls, empty and repeated rows
+    are as each stage's operator says; an empty table gives no piece.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
 
 
