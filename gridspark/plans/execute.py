@@ -226,7 +226,7 @@ def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | Non
         sorts.append(F.col(bracketed(direct)).desc_nulls_last() if o.descending else F.col(bracketed(direct)).asc_nulls_first())
     everything = shown or [F.col("*")]
     if model.distinct:
-        df = df.select(*everything).distinct()
+        df = df.select(*everything, *extra).distinct()  # what DISTINCT is ordered by is among its columns
     else:
         df = df.select(*everything, *extra)
     if model.top and sorts and ties:

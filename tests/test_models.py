@@ -17,9 +17,9 @@ from gridspark.streaming import ingestion
 
 XSD = """<?xml version="1.0" encoding="UTF-8"?>
 <xsd:schema xmlns:xsd="http://www.w3.org/2001/XMLSchema" xmlns:od="urn:schemas-microsoft-com:officedata">
-<xsd:element name="Orders"><xsd:annotation><xsd:appinfo><od:index index-name="PrimaryKey" index-key="OrderID " primary="yes" unique="yes"/></xsd:appinfo></xsd:annotation>
+<xsd:element name="Kegs"><xsd:annotation><xsd:appinfo><od:index index-name="PrimaryKey" index-key="KegID " primary="yes" unique="yes"/></xsd:appinfo></xsd:annotation>
 <xsd:complexType><xsd:sequence>
-<xsd:element name="OrderID" od:jetType="autonumber" od:autoUnique="yes" od:nonNullable="yes"/>
+<xsd:element name="KegID" od:jetType="autonumber" od:autoUnique="yes" od:nonNullable="yes"/>
 <xsd:element name="Note" od:jetType="text"><xsd:annotation><xsd:appinfo><od:fieldProperty name="DefaultValue" value="Now()"/></xsd:appinfo></xsd:annotation>
 <xsd:simpleType><xsd:restriction base="xsd:string"><xsd:maxLength value="50"/></xsd:restriction></xsd:simpleType></xsd:element>
 <xsd:element name="Qty" od:jetType="longinteger" od:nonNullable="yes"><xsd:annotation><xsd:appinfo><od:fieldProperty name="ValidationRule" value="&gt;0"/></xsd:appinfo></xsd:annotation></xsd:element>
@@ -29,23 +29,23 @@ AXL = 'xmlns="http://schemas.microsoft.com/office/accessservices/2009/11/applica
 
 
 def test_table_schema():
-    t = schema.read_table(XSD, "Orders")
-    assert t.primary_key == ["OrderID"]
-    assert {c.name: c.sql_type for c in t.columns} == {"OrderID": "INTEGER", "Note": "VARCHAR(50)", "Qty": "INTEGER", "Files": None}
+    t = schema.read_table(XSD, "Kegs")
+    assert t.primary_key == ["KegID"]
+    assert {c.name: c.sql_type for c in t.columns} == {"KegID": "INTEGER", "Note": "VARCHAR(50)", "Qty": "INTEGER", "Files": None}
     assert "FIELD_TYPE_HAS_NO_PORTABLE_EQUIVALENT" in {f.reason_code for f in t.findings}
     ddl = t.ddl()
-    for part in ("CREATE TABLE Orders", "PRIMARY KEY (OrderID)", "DEFAULT CURRENT_TIMESTAMP", "CHECK (Qty > 0)", "OrderID INTEGER NOT NULL"):
+    for part in ("CREATE TABLE Kegs", "PRIMARY KEY (KegID)", "DEFAULT CURRENT_TIMESTAMP", "CHECK (Qty > 0)", "KegID INTEGER NOT NULL"):
         assert part in ddl
-    assert t.struct().names == ["OrderID", "Note", "Qty"] and "Files" in t.struct(opt_in=True).names
+    assert t.struct().names == ["KegID", "Note", "Qty"] and "Files" in t.struct(opt_in=True).names
     with pytest.raises(ValueError):
         schema.read_table('<!DOCTYPE x [<!ENTITY a "b">]><x/>', "x")
 
 
 def test_relationships():
-    row = "<MSysRelationships><grbit>4352</grbit><szColumn>{}</szColumn><szObject>Contacts</szObject><szReferencedColumn>{}</szReferencedColumn><szReferencedObject>Companies</szReferencedObject><szRelationship>FK</szRelationship></MSysRelationships>"
+    row = "<MSysRelationships><grbit>4352</grbit><szColumn>{}</szColumn><szObject>Tasters</szObject><szReferencedColumn>{}</szReferencedColumn><szReferencedObject>Breweries</szReferencedObject><szRelationship>FK</szRelationship></MSysRelationships>"
     (r,) = schema.read_relationships(f"<dataroot>{row.format('A', 'X')}{row.format('B', 'Y')}</dataroot>")
     assert r.enforced and r.cascade_update and r.cascade_delete and r.child_columns == ["A", "B"]
-    assert "FOREIGN KEY (A, B) REFERENCES Companies (X, Y) ON UPDATE CASCADE ON DELETE CASCADE" in r.ddl()
+    assert "FOREIGN KEY (A, B) REFERENCES Breweries (X, Y) ON UPDATE CASCADE ON DELETE CASCADE" in r.ddl()
 
 
 def test_unenforced_relationship_has_no_orphans(spark):
@@ -58,7 +58,7 @@ def test_unenforced_relationship_has_no_orphans(spark):
 def test_macros():
     xml = f"""<DataMacros {AXL}><DataMacro Event="BeforeChange"><Statements><Comment>x</Comment><ConditionalBlock><If><Condition>[IsInsert]</Condition><Statements>
     <Action Name="SetField"><Argument Name="Field">A</Argument><Argument Name="Value">Now()</Argument></Action></Statements></If><Else><Statements/></Else></ConditionalBlock></Statements></DataMacro></DataMacros>"""
-    m = macros.read_data_macros(xml, "Orders")
+    m = macros.read_data_macros(xml, "Kegs")
     (h,) = m.handlers
     assert (h.timing, h.operation) == ("before", "insert_or_update") and m.translated
     assert [b[0] for b in h.statements[1].branches] == ["if", "else"] and h.statements[1].branches[1][2] == []
@@ -72,7 +72,7 @@ def test_macros():
 
 
 FORM = """Begin Form
- RecordSource ="qryOrders"
+ RecordSource ="qryKegs"
  OnLoad ="[Event Procedure]"
  OnCurrent ="mcrRefresh"
  Begin
@@ -93,7 +93,7 @@ FORM = """Begin Form
     Begin ComboBox
      Name ="cbo"
      RowSourceType ="Table/Query"
-     RowSource ="SELECT ID FROM qryCustomers"
+     RowSource ="SELECT ID FROM qryTasters"
      AfterUpdate ="[Event Procedure]"
     End
     Begin TextBox
@@ -108,8 +108,8 @@ FORM = """Begin Form
     Begin Subform
      Name ="sub"
      SourceObject ="Form.lines"
-     LinkChildFields ="OrderID"
-     LinkMasterFields ="OrderID"
+     LinkChildFields ="KegID"
+     LinkMasterFields ="KegID"
     End
     Begin CustomControl
      Name ="ax"
@@ -124,12 +124,12 @@ End
 def test_forms():
     m = forms.read_form(FORM, "frm")
     assert m.sections == ["FormHeader", "Section"] and "Label" in m.style_defaults
-    assert {"qryOrders", "qryCustomers"} <= set(m.dependencies)
+    assert {"qryKegs", "qryTasters"} <= set(m.dependencies)
     assert {("OnLoad", "Form_Load"), ("AfterUpdate", "cbo_AfterUpdate")} <= {(e.event, e.handler) for e in m.events}
     assert next(e for e in m.events if e.event == "OnCurrent").handler_kind == "macro_object"
     by = {c.name: c for c in m.controls}
     assert by["txt"].bindings[0].sql == "COALESCE(Amount, 0) * 1.1" and by["lbl"].geometry["width"] == 2000
-    assert by["sub"].bindings[0].link_child == ("OrderID",)
+    assert by["sub"].bindings[0].link_child == ("KegID",)
     assert {"ROW_SOURCE_TYPE_NOT_A_QUERY", "CONTROL_TYPE_HAS_NO_PORTABLE_EQUIVALENT"} <= {f.reason_code for f in m.findings}
     assert forms.read_form("Begin Report\nEnd\n", "x").findings[0].reason_code == "OBJECT_BLOCK_NOT_FOUND"
 
@@ -163,7 +163,7 @@ Err_Handler:
 End Function
 
 Private Sub Helper()
-30        CurrentDb.Execute "UPDATE Orders SET Paid = True": If a Then b = 1 Else b = 2
+30        CurrentDb.Execute "UPDATE Kegs SET Paid = True": If a Then b = 1 Else b = 2
 40        Total 3
 End Sub
 '''
@@ -180,7 +180,7 @@ def test_module_code():
     assert [a[0] for a in next(s for s in total.statements if s.type == "select_case").arms] == ["case", "else"]
     assert vba.metrics(total)["loops"] == 1 and vba.metrics(total)["cyclomatic_complexity"] == 7
     e = vba.effects(helper, {"Total", "Helper"})
-    assert e["calls"] == ["Total"] and e["sql_literals"] == ["UPDATE Orders SET Paid = True"] and e["data_access"]
+    assert e["calls"] == ["Total"] and e["sql_literals"] == ["UPDATE Kegs SET Paid = True"] and e["data_access"]
     assert vba.effects(total)["docmd_targets"] == ["openform:frmResult"]
     assert [a[0] for a in helper.statements[1].arms] == ["if", "else"]
     assert {"VBA_DRIVES_ACCESS_UI", "VBA_INTERACTIVE_DIALOG"} <= set(vba.module_findings(m))
@@ -386,15 +386,15 @@ def test_whole_package(spark, tmp_path):
     from gridspark.sources.convert import artifact_identity, convert_packages
 
     objects = "template/database/objects/"
-    module = "Option Compare Database\nSub Open_It()\n  DoCmd.OpenForm \"form1\"\n  CurrentDb.Execute \"DELETE * FROM Orders\"\n  Helper\nEnd Sub\nFunction Helper()\nEnd Function\n"
+    module = "Option Compare Database\nSub Open_It()\n  DoCmd.OpenForm \"form1\"\n  CurrentDb.Execute \"DELETE * FROM Kegs\"\n  Helper\nEnd Sub\nFunction Helper()\nEnd Function\n"
     parts = [
         ("template/template.xml", "<x/>"),
-        (objects + "tableOrders.xsd", XSD),
-        (objects + "query1.txt", grid(["tableOrders"], [("Helper([tableOrders].[Qty])", "q")])),
-        (objects + "form1.txt", FORM.replace("qryOrders", "query1") + "Option Compare Database\nSub Form_Load()\n  Helper\nEnd Sub\n"),
+        (objects + "tableKegs.xsd", XSD),
+        (objects + "query1.txt", grid(["tableKegs"], [("Helper([tableKegs].[Qty])", "q")])),
+        (objects + "form1.txt", FORM.replace("qryKegs", "query1") + "Option Compare Database\nSub Form_Load()\n  Helper\nEnd Sub\n"),
         (objects + "macro1.txt", 'Begin\n Action ="Beep"\nEnd\n'),
         (objects + "module1.txt", module),
-        (objects + "datamacros/datamacrosOrders.axl", f'<DataMacros {AXL}><DataMacro Event="AfterInsert"><Statements><ForEachRecord><Data><Reference>Orders</Reference></Data><Statements><Action Name="SetField"/></Statements></ForEachRecord></Statements></DataMacro></DataMacros>'),
+        (objects + "datamacros/datamacrosKegs.axl", f'<DataMacros {AXL}><DataMacro Event="AfterInsert"><Statements><ForEachRecord><Data><Reference>Kegs</Reference></Data><Statements><Action Name="SetField"/></Statements></ForEachRecord></Statements></DataMacro></DataMacros>'),
         (objects + "query2.txt", "Operation =7\n"),
         (objects + "table2.xsd", '<!DOCTYPE x [<!ENTITY a "b">]><x/>'),
     ]
@@ -408,7 +408,7 @@ def test_whole_package(spark, tmp_path):
     assert ("query1", "UNKNOWN_FUNCTION") in {(r.object, r.reason_code) for r in made.findings().filter(~one).collect()}
     edges = {(r.src, r.dst, r.edge) for r in made.edges().collect()}
     assert {
-        ("query:query1", "table:tableorders", "reads"),
+        ("query:query1", "table:tablekegs", "reads"),
         ("form:form1", "query:query1", "reads"),
         ("form:form1", "proc:form1:form_load", "handles"),
         ("module:module1", "proc:module1:open_it", "contains"),
@@ -422,3 +422,12 @@ def test_whole_package(spark, tmp_path):
     assert {r.kind: (r.objects, r.complete) for r in made.summary().filter(one & (F.col("kind") == "query")).collect()} == {"query": (2, 0)}
     rows = spark.createDataFrame([("s", "original/a", True), ("s", "b", True), ("t", "c", True), ("u", "d", True), ("u", "e", True)], "sample_id string, artifact_name string, is_candidate boolean")
     assert {r.sample_id: r.artifact_name for r in artifact_identity(rows).collect()} == {"s": "original/a", "t": "c", "u": None}
+
+
+def test_json_is_written_with_sorted_keys(spark, tmp_path):
+    from gridspark.sources.convert import write_json
+
+    df = spark.createDataFrame([("x", 1, None)], "b string, a int, c string")
+    write_json(df.coalesce(1), f"file://{tmp_path}/out")
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_text() == '{"a":1,"b":"x"}\n' and (tmp_path / "out" / "_SUCCESS").exists()
