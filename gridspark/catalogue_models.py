@@ -355,18 +355,30 @@ def _(spark, sf_dir):
     return coverage.aspect_totals(_verdicts(spark, sf_dir))
 
 
+_FEATURE_OBJECTS = "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS object, CASE WHEN o_custkey%5=0 THEN 'query:hidden_query' ELSE CASE o_custkey%2 WHEN 0 THEN 'form' ELSE 'query' END END AS feature, CASE o_custkey%7 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'not_started' WHEN 4 THEN 'failed' ELSE 'complete' END AS status FROM orders"
+_OF = ", ".join(f"count(*) FILTER (status='{s}') AS {s}" for s in coverage.STATUSES if s != "not_applicable")
+
+
+def _feature_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = "CASE o_custkey%7 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'not_started' WHEN 4 THEN 'failed' ELSE 'complete' END"
+    return _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("object"), F.expr("CASE WHEN o_custkey%5=0 THEN 'query' WHEN o_custkey%2=0 THEN 'form' ELSE 'query' END").alias("kind"), F.expr("CASE WHEN o_custkey%5=0 THEN 'hidden_query' END").alias("subtype"), F.expr(status).alias("status")).distinct()
+
+
 @register(
     "feature_rollup",
-    f"""WITH o AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS object, CASE WHEN o_custkey%5=0 THEN 'query:hidden_query' ELSE CASE o_custkey%2 WHEN 0 THEN 'form' ELSE 'query' END END AS feature, CASE o_custkey%3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'failed' END AS status FROM orders),
+    f"""WITH o AS ({_FEATURE_OBJECTS}),
  c AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS object, {_CODE_SQL} AS code FROM orders WHERE o_orderstatus='P' AND o_custkey%4<>2),
  n AS (SELECT feature, code, count(*) AS n FROM o JOIN c USING (object) GROUP BY 1,2)
- SELECT o.feature, count(*) AS objects, count(*) FILTER (status='complete') AS complete, count(*) FILTER (status='partial') AS partial, count(*) FILTER (status='failed') AS failed, coalesce(max(l.codes),'') AS blocking_codes FROM o LEFT JOIN (SELECT feature, string_agg(code, ',' ORDER BY -n, code) AS codes FROM n GROUP BY 1) l ON o.feature = l.feature GROUP BY 1""",
+ SELECT o.feature, count(*) AS objects, {_OF}, round(count(*) FILTER (status='complete')/count(*)*100,2) AS completion_percentage, coalesce(max(l.codes),'') AS blocking_codes FROM o LEFT JOIN (SELECT feature, string_agg(code, ',' ORDER BY -n, code) AS codes FROM n GROUP BY 1) l ON o.feature = l.feature GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders")
-    objects = orders.select(F.col("o_custkey").cast("string").alias("object"), F.expr("CASE WHEN o_custkey%5=0 THEN 'query' WHEN o_custkey%2=0 THEN 'form' ELSE 'query' END").alias("kind"), F.expr("CASE WHEN o_custkey%5=0 THEN 'hidden_query' END").alias("subtype"), F.expr("CASE o_custkey%3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'failed' END").alias("status")).distinct()
-    codes = orders.filter("o_orderstatus='P'").select(F.col("o_custkey").cast("string").alias("object"), F.expr(_CODE_SQL).alias("reason_code"))
-    return coverage.feature_rollup(objects, codes)
+    codes = _t(spark, sf_dir, "orders").filter("o_orderstatus='P'").select(F.col("o_custkey").cast("string").alias("object"), F.expr(_CODE_SQL).alias("reason_code"))
+    return coverage.feature_rollup(_feature_objects(spark, sf_dir), codes)
+
+
+@register("feature_aspects", f"WITH o AS ({_FEATURE_OBJECTS}), v AS ({_VERDICT}) SELECT feature, aspect, count(*) FILTER (v.status='complete') AS complete, count(*) FILTER (v.status='partial') AS partial, count(*) FILTER (v.status='failed') AS failed, count(*) FILTER (v.status='not_applicable') AS not_applicable FROM o JOIN v ON o.object = v.object GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return coverage.feature_aspects(_feature_objects(spark, sf_dir), _verdicts(spark, sf_dir))
 
 
 @register("reconcile_declared", "WITH d AS (SELECT o_orderkey AS k, CAST(o_orderkey%6 AS BIGINT) AS declared FROM orders), n AS (SELECT l_orderkey AS k, count(*) AS named FROM lineitem GROUP BY 1) SELECT coalesce(d.k,n.k) AS k, coalesce(declared,0) AS declared, coalesce(named,0) AS named, coalesce(declared,0)-coalesce(named,0) AS residual, coalesce(declared,0)<coalesce(named,0) AS over_named FROM d FULL JOIN n ON d.k=n.k")

@@ -198,6 +198,15 @@ def _(spark, sf_dir):
     return converted(spark, sf_dir).corpus_report()
 
 
+@register("package_payload", _each("path, 6 AS objects, 3 AS procedures, 9 AS edges, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' WHEN 1 THEN NULL ELSE 'USER_DEFINED_VBA_FUNCTION' END AS query_problem"))
+def _(spark, sf_dir):
+    payload = F.from_json("payload", "objects array<struct<kind:string,problems:array<struct<reason_code:string>>>>, procedures array<struct<name:string>>, edges array<struct<edge:string>>").alias("p")
+    rows = converted(spark, sf_dir).payload().select("path", payload)
+    query = F.filter("p.objects", lambda o: o["kind"] == "query")
+    edges = F.filter("p.edges", lambda e: e["edge"] != "trigger")
+    return rows.select("path", F.size("p.objects").alias("objects"), F.size("p.procedures").alias("procedures"), F.size(edges).alias("edges"), F.get(F.get(query, 0)["problems"], 0)["reason_code"].alias("query_problem"))
+
+
 @register("package_flow", _union(_each("path, 'OpenIt' AS proc, CAST(4 AS BIGINT) AS nodes, CAST(3 AS BIGINT) AS edges"), _each("path, 'Form_Load', 3, 2")))
 def _(spark, sf_dir):
     made = converted(spark, sf_dir)

@@ -75,17 +75,29 @@ def aspect_totals(verdict: DataFrame) -> DataFrame:
     return out.withColumn("scored", F.col("complete") + F.col("partial") + F.col("failed")).withColumn("completion_percentage", percentage(F.col("complete"), F.col("scored")))
 
 
+def _with_feature(objects: DataFrame) -> DataFrame:
+    """Adds `feature`: the kind, or kind:subtype."""
+    return objects.withColumn("feature", F.when(F.col("subtype").isNull(), F.col("kind")).otherwise(F.concat_ws(":", "kind", "subtype")))
+
+
 def feature_rollup(objects: DataFrame, codes: DataFrame) -> DataFrame:
-    """By feature (kind, or kind:subtype): objects by status, and blocking codes by (-objects, code)."""
-    feature = F.when(F.col("subtype").isNull(), F.col("kind")).otherwise(F.concat_ws(":", "kind", "subtype"))
-    keyed = objects.withColumn("feature", feature)
+    """By feature: objects by status, the share of complete ones, and blocking codes by (-objects, code)."""
+    keyed = _with_feature(objects)
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
-    counts = keyed.groupBy("feature").agg(F.count(F.lit(1)).alias("objects"), of("complete"), of("partial"), of("failed"))
+    counts = keyed.groupBy("feature").agg(F.count(F.lit(1)).alias("objects"), *[of(s) for s in STATUSES if s != "not_applicable"])
+    counts = counts.withColumn("completion_percentage", percentage(F.col("complete"), F.col("objects")))
     per = codes.filter(blocking()).select("object", "reason_code").distinct().join(keyed.select("object", "feature"), "object").groupBy("feature", "reason_code").agg(F.count(F.lit(1)).alias("n"))
     listed = per.groupBy("feature").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("reason_code").alias("c")))), lambda x: x["c"]), ",").alias("blocking_codes"))
     return counts.join(listed, "feature", "left").withColumn("blocking_codes", F.coalesce("blocking_codes", F.lit("")))
 
 
+def feature_aspects(objects: DataFrame, verdict: DataFrame) -> DataFrame:
+    """By feature and aspect of `verdict(object, aspect, status)`: objects by status."""
+    of = lambda s: F.count_if(F.col("verdict") == s).alias(s)
+    rows = _with_feature(objects).select("object", "feature").join(verdict.select("object", "aspect", F.col("status").alias("verdict")), "object")
+    return rows.groupBy("feature", "aspect").agg(of("complete"), of("partial"), of("failed"), of("not_applicable"))
+
+
 def reconcile(declared: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
     """`declared(keys, declared)` against `named(keys, weight)`: residual, and whether names exceed the count."""
     total = named.groupBy(*keys).agg(F.sum("weight").alias("named"))

@@ -199,6 +199,26 @@ class Conversion:
         out = self.objects().groupBy("path", "kind").agg(F.count(F.lit(1)).alias("objects"), F.count_if("translated").alias("complete"))
         return out.withColumn("completion_percentage", coverage.percentage(F.col("complete"), F.col("objects")))
 
+    def payload(self, source_text: bool = True) -> DataFrame:
+        """(path, payload): what a viewer of one package needs, as JSON: objects with their findings (and texts),
+        procedures, control flow, and the graph. A package's limits bound its row."""
+
+        def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+            return df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+        found = self.findings().groupBy("path", "object", "kind").agg(F.sort_array(F.collect_list(F.struct("reason_code", "aspect", "detail", "note"))).alias("problems"))
+        objects = self.objects().join(found, ["path", "object", "kind"], "left")
+        text = F.col("text") if source_text else F.lit(None).cast("string")
+        out = listed(objects.withColumn("text", text), "objects", "kind", "object", "type", "translated", "text", "problems")
+        for part in (
+            listed(self.procedures(), "procedures", "object", "name", "scope", "statements", "cyclomatic_complexity"),
+            listed(self.cfg_edges(), "flow", "object", "proc", "from", "to", "label"),
+            listed(self.nodes(), "nodes", "id", "name", "kind"),
+            listed(self.edges(), "edges", "src", "dst", "edge"),
+        ):
+            out = out.join(part, "path", "left")
+        return out.select("path", F.to_json(F.struct(*sorted(c for c in out.columns if c != "path"))).alias("payload"))
+
     def corpus_report(self, most: int = 15) -> DataFrame:
         """(measure, name, value): totals of the corpus, and the `most` frequent blocking codes by objects, ties by code.
 
