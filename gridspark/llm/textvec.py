@@ -178,14 +178,3 @@ def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5) -> tup
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
     return h, d
-
-
-def distinct_by_doc(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, hash) pairs, sorted by document, then hash."""
-    if not len(h):
-        return h, d
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[keep], d[keep]

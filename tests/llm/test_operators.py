@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm import decontamination, fingerprints, language, ngramjoin, packing, pretokens, quality, secrets, tokencounts, toxicity, warc
+from gridspark.llm import decontamination, fingerprints, language, ngramjoin, packing, pretokens, quality, secrets, tokencounts, toxicity, warc, workspace
 from gridspark.llm.components import components
 from gridspark.llm.queries import vocabulary
 from gridspark.llm.selection import kth_largest
@@ -552,3 +552,33 @@ def test_every_split_owns_its_records():
 
 def test_written_tables_are_read_back(spark):
     assert written(spark.range(3), "x").count() == 3
+
+
+def test_archives_of_file_systems_that_only_spark_reads(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"page {i % 7}" * i) for i in range(40)], "page_id long, url string, html string")
+    plain = sorted(map(tuple, warc.archive_pages(pages).drop("position").collect()), key=str)
+    monkeypatch.setattr(warc, "_readable", lambda uri: False)
+    assert sorted(map(tuple, warc.archive_pages(pages).drop("position").collect()), key=str) == plain and len(plain) == 40
+
+
+def test_hot_keys_join_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k % 11 if k % 3 else 5, k) for k in range(200)] + [(None, 1), (99, 2)], "k int, v int")
+    values = rows.filter("k <> 99").groupBy("k").agg(F.max("v").alias("top"), F.count(F.lit(1)).alias("n"))
+    for how in ("inner", "left"):
+        monkeypatch.setattr(workspace, "HOT", 1000 if how == "inner" else 10)
+        got = workspace.join_counted(rows, values, "k", "n", 202, how).select("k", "v", "top").collect()
+        want = rows.join(values.drop("n"), "k", how).select("k", "v", "top").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Nowhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, other=None: other)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        workspace.shared_dir(Nowhere)
