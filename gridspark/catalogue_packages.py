@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.catalogue import grid, register
-from gridspark.sources import inventory, packages
+from gridspark.sources import catalogs, inventory, packages
 from gridspark.sources.convert import Conversion, convert_parts
 
 OBJECTS = "template/database/objects/"
@@ -87,6 +88,61 @@ def converted(spark, sf_dir: str) -> Conversion:
     return convert_parts(packages.object_parts(entries(spark, sf_dir)))
 
 
+def database_of(layout: catalogs.Layout, names: list[tuple[str, int]]) -> bytes:
+    """A binary database of objects (name, type code): a header, an empty page, the catalog's definition and its rows."""
+    columns = [("Name", 0, False, 0, 0, 0), ("Type", 1, True, 0, 0, 2)]
+    old = layout.count_size == 1
+    head = bytearray(layout.page)
+    head[4:20] = catalogs.SIGNATURES[0]
+    head[20] = 0 if old else 1
+    definition = bytearray(layout.page)
+    definition[0] = catalogs.DEFINITION
+    struct.pack_into("<H", definition, layout.columns_at, 2)
+    at = layout.body_at
+    for _, number, fixed, offset, variable, width in columns:
+        struct.pack_into("<B" if old else "<H", definition, at + layout.number_at, number)
+        struct.pack_into("<H", definition, at + layout.variable_at, variable)
+        definition[at + layout.flags_at] = int(fixed)
+        struct.pack_into("<H", definition, at + layout.fixed_at, offset)
+        struct.pack_into("<H", definition, at + layout.width_at, width)
+        at += layout.column_size
+    for name, *_ in columns:
+        raw = name.encode("cp1252" if old else "utf-16-le")
+        definition[at : at + layout.count_size] = len(raw).to_bytes(layout.count_size, "little")
+        definition[at + layout.count_size : at + layout.count_size + len(raw)] = raw
+        at += layout.count_size + len(raw)
+    data = bytearray(layout.page)
+    data[0] = catalogs.DATA
+    struct.pack_into("<I", data, 4, catalogs.CATALOG_PAGE)
+    struct.pack_into("<H", data, layout.rows_at, len(names))
+    end = layout.page
+    for i, (name, code) in enumerate(names):
+        if old:
+            raw = name.encode("cp1252")
+            body = bytes([2]) + struct.pack("<h", code) + raw + bytes([3 + len(raw), 3, 1, 3])
+        else:
+            raw = b"\xff\xfe" + name.encode("latin-1")
+            body = struct.pack("<Hh", 2, code) + raw + struct.pack("<HHHB", 4 + len(raw), 4, 1, 3)
+        end -= len(body)
+        data[end : end + len(body)] = body
+        struct.pack_into("<H", data, layout.rows_at + 2 + 2 * i, end)
+    return bytes(head) + bytes(layout.page) + bytes(definition) + bytes(data)
+
+
+def catalog_rows(spark, sf_dir: str) -> DataFrame:
+    """The objects of one binary database a supplier: the old page format where the key is even, no database for every tenth."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [int(k) for k in batch["s_suppkey"]]
+            names = lambda k: [(f"Kunden{k}", 1), (f"fern{k}", 6), (f"abfrage{k}", 5), (f"~sq_f{k}", 5), (f"form{k}", -32768), (f"bericht{k}", -32764), (f"makro{k}", -32766), (f"modul{k}", -32761), ("MSysObjects", 1), ("~TMPCLP1", 1), ("Tables", 3)]
+            content = [b"no database" if k % 10 == 0 else database_of(catalogs.OLD if k % 2 == 0 else catalogs.NEW, names(k)) for k in keys]
+            yield pd.DataFrame({"path": [str(k) for k in keys], "content": content})
+
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(work, "path string, content binary")
+    return packages.catalog_objects(files)
+
+
 _K = "s_suppkey"
 _GOOD = f"(SELECT {_K} AS k, CAST({_K} AS VARCHAR) AS path FROM supplier WHERE {_K} % 10 <> 0)"
 
@@ -215,6 +271,19 @@ def _(spark, sf_dir):
     return nodes.join(made.cfg_edges().filter(wanted).groupBy("path", "proc").agg(F.count(F.lit(1)).alias("edges")), ["path", "proc"])
 
 
+_CATALOG = [("Kunden", 1, "table"), ("fern", 6, "linked_table"), ("abfrage", 5, "query"), ("~sq_f", 5, "query"), ("form", -32768, "form"), ("bericht", -32764, "report"), ("makro", -32766, "macro"), ("modul", -32761, "module")]
+
+
+@register("catalog_objects", _union(*[_each(f"path, CASE k % 2 WHEN 0 THEN 'jet3' ELSE 'jet4' END AS format, '{n}' || path AS name, {c} AS type_code, '{kind}' AS kind, {str(n.startswith('~')).lower()} AS hidden") for n, c, kind in _CATALOG]))
+def _(spark, sf_dir):
+    return catalog_rows(spark, sf_dir).filter("diagnostic is null").select("path", "format", "name", "type_code", "kind", "hidden")
+
+
+@register("catalog_diagnostics", f"SELECT CAST({_K} AS VARCHAR) AS path FROM supplier WHERE {_K} % 10 = 0")
+def _(spark, sf_dir):
+    return catalog_rows(spark, sf_dir).filter("diagnostic is not null").select("path")
+
+
 # inventories: a customer is a sample with one database
 def _inventory(spark, sf_dir: str) -> inventory.Inventory:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

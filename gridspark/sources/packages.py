@@ -140,9 +140,9 @@ def read_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -> D
     return package_entries(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
 
 
-def read_catalogs(spark: SparkSession, path: str, pattern: str = "*.{mdb,accdb}") -> DataFrame:
-    """(path, format, name, type_code, kind, diagnostic) of the objects of binary databases, without system objects."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+def catalog_objects(files: DataFrame) -> DataFrame:
+    """(path, format, name, type_code, kind, diagnostic, hidden) of the objects of the binary databases in
+    `files(path, content)`, without system objects; a database that cannot be read is one row with a diagnostic."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,6 +160,11 @@ def read_catalogs(spark: SparkSession, path: str, pattern: str = "*.{mdb,accdb}"
     return rows.filter(F.col("diagnostic").isNotNull() | ~system).withColumn("hidden", name.startswith("~"))
 
 
+def read_catalogs(spark: SparkSession, path: str, pattern: str = "*.{mdb,accdb}") -> DataFrame:
+    """`catalog_objects` of the binary databases under a folder."""
+    return catalog_objects(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
+
+
 def expression_rows(sources: DataFrame, column: str = "source") -> DataFrame:
     """Analysis of a column of expressions: parsed, sql, translatable, identifiers, functions, codes."""
 

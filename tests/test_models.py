@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import io
 import json
-import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.catalogue_packages import database_of
 from gridspark.operators import constraints, graph, names
 from gridspark.plans.textformat import parse_text
 from gridspark.sources import catalogs, forms, inventory, macros, packages, schema, vba
@@ -221,54 +221,10 @@ def test_packages(spark, tmp_path):
     assert spark.table("arrived").count() == entries.count()
 
 
-def _database(layout, names, text, row):
-    """A file of a header, an empty page, the table definition and one data page."""
-    columns = [("Name", 0, False, 0, 0, 0), ("Type", 1, True, 0, 0, 2)]
-    head = bytearray(layout.page)
-    head[4:20] = catalogs.SIGNATURES[0]
-    head[20] = 0 if layout is catalogs.OLD else 1
-    definition = bytearray(layout.page)
-    definition[0] = catalogs.DEFINITION
-    struct.pack_into("<H", definition, layout.columns_at, 2)
-    at = layout.body_at
-    for _, number, fixed, offset, variable, width in columns:
-        form = "<B" if layout.count_size == 1 else "<H"
-        struct.pack_into(form, definition, at + layout.number_at, number)
-        struct.pack_into("<H", definition, at + layout.variable_at, variable)
-        definition[at + layout.flags_at] = int(fixed)
-        struct.pack_into("<H", definition, at + layout.fixed_at, offset)
-        struct.pack_into("<H", definition, at + layout.width_at, width)
-        at += layout.column_size
-    for name, *_ in columns:
-        raw = name.encode("cp1252" if layout.count_size == 1 else "utf-16-le")
-        definition[at : at + layout.count_size] = len(raw).to_bytes(layout.count_size, "little")
-        definition[at + layout.count_size : at + layout.count_size + len(raw)] = raw
-        at += layout.count_size + len(raw)
-    data = bytearray(layout.page)
-    data[0] = catalogs.DATA
-    struct.pack_into("<I", data, 4, catalogs.CATALOG_PAGE)
-    struct.pack_into("<H", data, layout.rows_at, len(names))
-    end = layout.page
-    for i, (name, code) in enumerate(names):
-        body = row(text(name), code)
-        end -= len(body)
-        data[end : end + len(body)] = body
-        struct.pack_into("<H", data, layout.rows_at + 2 + 2 * i, end)
-    return bytes(head) + bytes(layout.page) + bytes(definition) + bytes(data)
-
-
-def _old_row(raw, code):
-    return bytes([2]) + struct.pack("<h", code) + raw + bytes([3 + len(raw), 3, 1, 3])
-
-
-def _new_row(raw, code):
-    return struct.pack("<Hh", 2, code) + raw + struct.pack("<HHHB", 4 + len(raw), 4, 1, 3)
-
-
 def test_binary_catalogs(spark, tmp_path):
     objects = [("Kunden", 1), ("MSysObjects", 1), ("~sq_f", 5), ("frm", -32768)]
-    old = _database(catalogs.OLD, objects, lambda s: s.encode("cp1252"), _old_row)
-    new = _database(catalogs.NEW, objects, lambda s: b"\xff\xfe" + s.encode("latin-1"), _new_row)
+    old = database_of(catalogs.OLD, objects)
+    new = database_of(catalogs.NEW, objects)
     for content, kind in ((old, "jet3"), (new, "jet4")):
         found, rows = catalogs.read_catalog(content)
         assert found == kind and [(r.name, r.kind) for r in rows] == [("Kunden", "table"), ("MSysObjects", "table"), ("~sq_f", "query"), ("frm", "form")]
