@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,17 @@ _own: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written under `spark.checkpoint.dir` and read again; a temporary folder where that is unset."""
+    """`df` written under `spark.checkpoint.dir` and read again; where that is unset, in a temporary folder of a
+    local session, else it is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="gridspark-"))
-        folder = _own[0]
+            _own.append(tempfile.mkdtemp(prefix="gridspark-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        folder = f"file://{_own[0]}"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
