@@ -218,7 +218,7 @@ def _(spark, sf_dir):
     return packages.features(entries(spark, sf_dir)).drop("names")
 
 
-@register("package_diagnostics", f"SELECT CAST({_K} AS VARCHAR) AS path, 'UNSAFE_PATH' AS diagnostic FROM supplier WHERE {_K} % 10 = 0")
+@register("package_diagnostics", f"SELECT CAST({_K} AS VARCHAR) AS path, 'UNSAFE_PACKAGE_PATH' AS diagnostic FROM supplier WHERE {_K} % 10 = 0")
 def _(spark, sf_dir):
     return entries(spark, sf_dir).filter("diagnostic is not null").select("path", "diagnostic")
 
@@ -284,6 +284,37 @@ def _(spark, sf_dir):
     return catalog_rows(spark, sf_dir).filter("diagnostic is not null").select("path")
 
 
+def _inputs(spark, sf_dir: str) -> DataFrame:
+    """Files of all sorts by key: packages (whole, unsafe, no archive), databases of both formats and broken ones, texts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k in map(int, batch["s_suppkey"]):
+                made = (lambda: ("a.accdt", package_of(k)), lambda: ("b.MDB", database_of(catalogs.OLD, [("t", 1)])), lambda: ("c.accdb", b"x" * 5000), lambda: ("d.txt", b"x"), lambda: ("e.accdt", b"x"))[k % 5]()
+                rows.append((f"{k}/{made[0]}", made[1]))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(work, "path string, content binary")
+
+
+_INPUT_SQL = f"""SELECT {_K} || CASE {_K} % 5 WHEN 0 THEN '/a.accdt' WHEN 1 THEN '/b.MDB' WHEN 2 THEN '/c.accdb' WHEN 3 THEN '/d.txt' ELSE '/e.accdt' END AS path,
+ CASE {_K} % 5 WHEN 0 THEN 'accdt' WHEN 1 THEN %s WHEN 2 THEN %s WHEN 4 THEN 'accdt' END AS family,
+ CASE {_K} % 5 WHEN 0 THEN CASE WHEN {_K} % 10 = 0 THEN 'failed' ELSE 'converted' END WHEN 1 THEN %s WHEN 4 THEN 'failed' ELSE 'unsupported' END AS status,
+ CASE {_K} % 5 WHEN 0 THEN CASE WHEN {_K} % 10 = 0 THEN 'UNSAFE_PACKAGE_PATH' END WHEN 1 THEN %s WHEN 2 THEN %s WHEN 3 THEN 'UNSUPPORTED_INPUT_FORMAT' ELSE 'INVALID_ACCDT_PACKAGE' END AS reason_code,
+ CASE WHEN {_K} % 5 = 0 AND {_K} % 10 <> 0 THEN 6 WHEN {_K} % 5 = 1 THEN %s ELSE 0 END AS objects FROM supplier""".replace(" % ", " %% ")
+
+
+@register("input_status", _INPUT_SQL % ("'jet3'", "NULL", "'discovered'", "'BINARY_OBJECT_DEFINITION_EXTRACTION_NOT_IMPLEMENTED'", "'BINARY_CATALOG_NOT_READABLE'", "1"))
+def _(spark, sf_dir):
+    return packages.input_status(_inputs(spark, sf_dir))
+
+
+@register("input_status_in_memory", _INPUT_SQL % ("'jet_or_ace_binary'", "'jet_or_ace_binary'", "'unsupported'", "'BINARY_INPUT_REQUIRES_A_FILE_PATH'", "'BINARY_INPUT_REQUIRES_A_FILE_PATH'", "0"))
+def _(spark, sf_dir):
+    return packages.input_status(_inputs(spark, sf_dir), in_memory=True)
+
+
 # inventories: a customer is a sample with one database
 def _inventory(spark, sf_dir: str) -> inventory.Inventory:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

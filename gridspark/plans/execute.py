@@ -19,7 +19,7 @@ from gridspark.functions.registry import AGGREGATES, DOMAIN
 
 from .model import QueryModel, fold_joins, read_query
 from .stored import run_stored
-from .tables import Tables, bracketed, parquet_tables  # noqa: F401
+from .tables import External, Tables, bracketed, parquet_tables  # noqa: F401
 
 
 class _Frames:
@@ -151,14 +151,15 @@ def joined_sources(model: QueryModel, tables: Tables, params: dict[str, object]
     return df, context
 
 
-def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, ties: bool = False, order: str | None = None, null_concat: str = "sql") -> DataFrame:
+def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, ties: bool = False, order: str | None = None, null_concat: str = "sql", external: External | None = None) -> DataFrame:
     """The DataFrame of a select model.
 
     `params`: values of form references and prompts. `ties`: TOP keeps rows tied
-    with the last one. `order`: the column by which First and Last choose.
+    with the last one. `order`: the column by which First and Last choose. `external`:
+    who runs SQL meant for a server.
     """
     if model.stored_sql is not None:
-        return run_stored(model, tables, params)
+        return run_stored(model, tables, params, external)
     if model.query_type != "select":
         raise CompileError("NON_SELECT_QUERY_SQL_NOT_GENERATED", f"operation {model.operation}")
     df, context = joined_sources(model, tables, params, order, null_concat)

@@ -22,7 +22,7 @@ from gridspark.functions.registry import support_of
 
 from .clauses import bare, clauses, fail, has_subquery, read_from, read_select, split_commas, unions, without_parameters, words
 from .model import QueryModel, source_tables, stored_kind
-from .tables import Tables, bracketed
+from .tables import External, Tables, bracketed
 
 _PIECES = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|#[^#\n]*#|\[[^\]]*\](?:\s*!\s*\[[^\]]*\])*|[^'\"#\[]+")
 
@@ -244,8 +244,13 @@ def _insert(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     return target.unionByName(rows.select(*aligned))
 
 
-def run_stored(model: QueryModel, tables: Tables, params: dict[str, object] | None = None) -> DataFrame:
-    """The rows of a stored query, of the table that it makes, or the table that an action query leaves behind."""
+def run_stored(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, external: External | None = None) -> DataFrame:
+    """The rows of a stored query, of the table that it makes, or the table that an action query leaves behind.
+
+    SQL for a server goes to `external(connect, sql)`, unread; without that it is refused.
+    """
+    if model.connect and external is not None:
+        return external(model.connect, model.stored_sql or "")
     if model.connect:
         raise CompileError("PASS_THROUGH_QUERY_TARGETS_EXTERNAL_SERVER", model.connect)
     sql = without_parameters(model.stored_sql or "")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Tables = Callable[[str], DataFrame]
+#: Runs SQL at a server: (connect string, SQL) to rows.
+External = Callable[[str, str], DataFrame]
 
 
 def parquet_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -14,5 +16,16 @@ def parquet_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name.lower()}.parquet")
 
 
+def linked_tables(own: Tables, links: dict[str, Callable[[], DataFrame]]) -> Tables:
+    """`own` tables, but for the linked ones, whose names (in any case) have readers of their own."""
+    readers = {name.casefold(): read for name, read in links.items()}
+    return lambda name: readers[name.casefold()]() if name.casefold() in readers else own(name)
+
+
+def jdbc(spark: SparkSession, options: Callable[[str], dict[str, str]]) -> External:
+    """Pass-through SQL by JDBC; `options` turns a connect string into url, user and the like."""
+    return lambda connect, sql: spark.read.format("jdbc").options(**options(connect)).option("query", sql.strip().rstrip(";")).load()
+
+
 def bracketed(name: str) -> str:
     return f"`{name.replace('`', '``')}`"

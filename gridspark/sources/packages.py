@@ -28,17 +28,17 @@ def entry_problem(info: zipfile.ZipInfo, seen: set[str]) -> str | None:
     """Why an entry of a package is unsafe, or None."""
     name = info.filename.replace("\\", "/")
     if name.startswith("/") or re.match(r"[A-Za-z]:", name) or ".." in name.split("/"):
-        return "UNSAFE_PATH"
+        return "UNSAFE_PACKAGE_PATH"
     if name.casefold() in seen:
-        return "DUPLICATE_ENTRY"
+        return "DUPLICATE_PACKAGE_ENTRY"
     if info.flag_bits & 1:
-        return "ENCRYPTED_ENTRY"
+        return "ENCRYPTED_PACKAGE_ENTRY"
     if stat.S_ISLNK(info.external_attr >> 16):
-        return "SYMLINK_ENTRY"
+        return "UNSAFE_PACKAGE_ENTRY_TYPE"
     if info.file_size > ENTRY_BYTES:
-        return "ENTRY_TOO_LARGE"
+        return "PACKAGE_LIMIT_EXCEEDED"
     if info.file_size > RATIO_FROM and info.file_size > MOST_RATIO * max(info.compress_size, 1):
-        return "COMPRESSION_RATIO"
+        return "PACKAGE_LIMIT_EXCEEDED"
     return None
 
 
@@ -60,11 +60,11 @@ def read_entries(path: str, content: bytes) -> list[tuple]:
         package = zipfile.ZipFile(io.BytesIO(content))
         infos = sorted((i for i in package.infolist() if not i.is_dir()), key=lambda i: i.filename)
     except zipfile.BadZipFile:
-        return bad("NOT_A_PACKAGE")
+        return bad("INVALID_ACCDT_PACKAGE")
     if len(infos) > MOST_ENTRIES:
-        return bad("TOO_MANY_ENTRIES")
+        return bad("PACKAGE_LIMIT_EXCEEDED")
     if sum(i.file_size for i in infos) > TOTAL_BYTES:
-        return bad("PACKAGE_TOO_LARGE")
+        return bad("PACKAGE_LIMIT_EXCEEDED")
     out, seen = [], set()
     for info in infos:
         problem = entry_problem(info, seen)
@@ -75,7 +75,7 @@ def read_entries(path: str, content: bytes) -> list[tuple]:
         encoding, text = decode(payload) if re.search(r"\.(xsd|txt|axl|xml)$", info.filename, re.I) else (None, None)
         out.append((path, info.filename, len(payload), hashlib.sha256(payload).hexdigest(), encoding, text, None))
     if TEMPLATE not in {i.filename.casefold() for i in infos}:
-        return bad("TEMPLATE_MISSING")
+        return bad("INVALID_ACCDT_PACKAGE")
     return out
 
 
@@ -165,6 +165,28 @@ def read_catalogs(spark: SparkSession, path: str, pattern: str = "*.{mdb,accdb}"
     return catalog_objects(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
 
 
+def input_status(files: DataFrame, in_memory: bool = False) -> DataFrame:
+    """(path, family, status, reason_code, objects): what becomes of each of `files(path, content)`, by its suffix.
+
+    Packages are converted; of binary databases only the catalog is read, and none where
+    the input has no file (`in_memory`); other files are refused.
+    """
+    typed = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    inside = package_entries(typed.filter("suffix = '.accdt'")).withColumn("part", object_kind())
+    packed = inside.groupBy("path").agg(F.max("diagnostic").alias("code"), F.count("part").alias("objects"))
+    code = F.coalesce("code", F.when(F.col("objects") == 0, "NO_ACCESS_OBJECT_DEFINITIONS"))
+    packages = packed.select("path", F.lit("accdt").alias("family"), F.when(code.isNull(), "converted").otherwise("failed").alias("status"), code.alias("reason_code"), "objects")
+    binary, other = typed.filter("suffix in ('.mdb', '.accdb')"), typed.filter("suffix not in ('.accdt', '.mdb', '.accdb')")
+    refused = lambda df, family, reason: df.select("path", F.lit(family).cast("string").alias("family"), F.lit("unsupported").alias("status"), F.lit(reason).alias("reason_code"), F.lit(0).cast("long").alias("objects"))
+    if in_memory:
+        databases = refused(binary, "jet_or_ace_binary", "BINARY_INPUT_REQUIRES_A_FILE_PATH")
+    else:
+        read = catalog_objects(binary).groupBy("path").agg(F.max("format").alias("family"), F.max("diagnostic").alias("fault"), F.count("name").alias("objects"))
+        bad = F.col("fault").isNotNull()
+        databases = read.select("path", "family", F.when(bad, "unsupported").otherwise("discovered").alias("status"), F.when(bad, "BINARY_CATALOG_NOT_READABLE").otherwise("BINARY_OBJECT_DEFINITION_EXTRACTION_NOT_IMPLEMENTED").alias("reason_code"), "objects")
+    return packages.unionByName(databases).unionByName(refused(other, None, "UNSUPPORTED_INPUT_FORMAT"))
+
+
 def expression_rows(sources: DataFrame, column: str = "source") -> DataFrame:
     """Analysis of a column of expressions: parsed, sql, translatable, identifiers, functions, codes."""
 

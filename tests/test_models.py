@@ -210,7 +210,7 @@ def test_packages(spark, tmp_path):
     (tmp_path / "none.accdt").write_bytes(b"nothing")
     (tmp_path / "bomb.accdt").write_bytes(_package([("template/template.xml", b"\0" * (2 << 20))]))
     entries = packages.read_packages(spark, f"file://{tmp_path}").cache()
-    assert {r.diagnostic for r in entries.filter("diagnostic is not null").collect()} == {"UNSAFE_PATH", "NOT_A_PACKAGE", "COMPRESSION_RATIO"}
+    assert {r.diagnostic for r in entries.filter("diagnostic is not null").collect()} == {"UNSAFE_PACKAGE_PATH", "INVALID_ACCDT_PACKAGE", "PACKAGE_LIMIT_EXCEEDED"}
     (part,) = packages.object_parts(entries).collect()
     assert (part.kind, part.object, part.encoding, part.text) == ("query", "query1", "utf-16", "Operation =1\n")
     assert {r.feature: (r.entries, r.objects) for r in packages.features(entries).collect()} == {"package_metadata": (1, None), "table_data": (1, None), "target_generation": (0, packages.object_parts(entries).count())}

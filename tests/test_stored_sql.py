@@ -10,6 +10,7 @@ from gridspark.functions.columns import CompileError, compile_expression, frame_
 from gridspark.operators import constraints, datamacros, screens
 from gridspark.plans import clauses
 from gridspark.plans.execute import run_query
+from gridspark.plans.tables import linked_tables
 from gridspark.sources import forms, schema
 from gridspark.sources.macros import Handler, Statement
 
@@ -95,3 +96,12 @@ def test_days_are_added_in_local_time(spark):
         assert tuple(df.select(made('DateAdd("d",1,[t])'), made('DateAdd("m",1,[t])'), made('DateAdd("ww",-1,[t])'), made('DateAdd("h",24,[t])')).first()) == ("2024-03-31 12:30:00", "2024-04-30 12:30:00", "2024-03-23 12:30:00", "2024-03-31 12:30:00")
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_sql_for_a_server_and_linked_tables(spark, tables):
+    text = 'dbMemo "SQL" ="EXEC report"\ndbMemo "Connect" ="ODBC;DSN=x"\n'
+    with pytest.raises(CompileError, match="PASS_THROUGH"):
+        run_query(text, tables)
+    assert run_query(text, tables, external=lambda connect, sql: spark.createDataFrame([(connect, sql)], "c string, s string")).first() == ("ODBC;DSN=x", "EXEC report")
+    linked = linked_tables(tables, {"Far": lambda: tables("taps")})
+    assert rows("SELECT far.place FROM kegs INNER JOIN far ON kegs.id = far.keg WHERE far.place > 'w'", linked) == [("x",)]
