@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: Odd multiplier of the polynomial hash (fixed value; 64-bit golden ratio).
 _BASE = 0x9E3779B97F4A7C15

@@ -64,12 +64,16 @@ def join_counted(rows: DataFrame, values: DataFrame, key: str | list[str], count
     """`rows` joined on `key` with `values`, which has a row for each key and in `count` its number of `rows`.
 
     Keys with over one in HOT of the `total` rows are under HOT in number: their
-    values are broadcast and their rows stay where they are. The rest is shuffled.
-    `how` is inner or left; `count` is not among the columns of the result.
+    values are read first and broadcast, and their rows stay where they are. The rest
+    is shuffled. `how` is inner or left; `count` is not among the columns of the result.
     """
-    hot = F.col(count) > max(total // HOT, HOT_ROWS)
-    many = F.broadcast(values.filter(hot).drop(count))
-    few = rows.join(F.broadcast(values.filter(hot).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    hot, plain = F.col(count) > max(total // HOT, HOT_ROWS), values.drop(count)
+    found = values.filter(hot).drop(count).collect()
+    if not found:
+        return rows.join(apart(plain), key, how)
+    many = F.broadcast(rows.sparkSession.createDataFrame(found, plain.schema))
+    few = rows.join(F.broadcast(many.select(*keys)), key, "left_anti")
     return rows.join(many, key).unionByName(few.join(apart(values.filter(~hot).drop(count)), key, how))
 
 
