@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-scale text operators and their queries.
+"""Training-data operators: thirteen large-scale operators and their queries.
 
 Nothing outside this package imports it.
 """

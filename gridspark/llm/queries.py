@@ -2,7 +2,7 @@
 
 op9 and op10's archives hash and pack in ways that SQL has no functions for, and op1 to
 op7 learn, tile, pack or scan; tests hold those against brute force, exact round trips
-or held-out accuracy. op8 and the records of op10 have SQL.
+or held-out accuracy. op8, op11 to op13 and the records of op10 have SQL.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language, ngramjoin, packing, quality, secrets, tokencounts, toxicity, warc
+from . import collocations, decontamination, fingerprints, hardnegatives, language, ngramjoin, packing, quality, replytrees, secrets, tokencounts, toxicity, warc
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -74,7 +75,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-_QUERIES = (op1_decontamination, op2_packing, op3_quality, op4_secrets, op5_token_counts, op6_toxicity, op7_language, op8_ngram_join, op9_fingerprints, op10_warc)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive, by a block matrix product."""
+    return hardnegatives.mine_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts are control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return replytrees.format_conversations(rows.unionByName(own))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (op1_decontamination, op2_packing, op3_quality, op4_secrets, op5_token_counts, op6_toxicity, op7_language, op8_ngram_join, op9_fingerprints, op10_warc, op11_hard_negatives, op12_chat_format, op13_collocations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -118,5 +137,75 @@ FROM marked
 """
 
 
+OP11_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)
+), scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS given FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant'
+), marked AS (
+  SELECT *, length(replace(regexp_replace(regexp_replace(role, '(\[)(\\*)(INST\]|/INST\])', '\1\2\\\3', 'g'), '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|line\|>|s>|/s>|<SYS>>|</SYS>>)', '\1\2\\\3', 'g'), chr(10), '<|line|>')) + length(regexp_replace(regexp_replace(text, '(\[)(\\*)(INST\]|/INST\])', '\1\2\\\3', 'g'), '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|line\|>|s>|/s>|<SYS>>|</SYS>>)', '\1\2\\\3', 'g'))
+    + length('<|im_start|>') + 1 + length('<|im_end|>') + 1 AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, given NULLS FIRST, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, given NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+OP13_SQL = r"""
+WITH RECURSIVE pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (SELECT unnest([1, 2, 3]) AS k))
+  GROUP BY ALL
+), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM candidates c WHERE c.lang = s.lang AND c.k = s.k + 1 AND 100 * c.f >= 50 * s.a
+      AND s.phrase IN (array_to_string(c.w[1:c.k - 1], ' '), array_to_string(c.w[2:c.k], ' ')))
+)
+SELECT kept.lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM kept JOIN totals ON kept.lang = totals.lang
+WINDOW w AS (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER w <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op8_ngram_join": OP8_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_collocations": OP13_SQL}
