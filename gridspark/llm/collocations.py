@@ -66,11 +66,11 @@ class Words:
         return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(body))
 
 
-def _bits(h: np.ndarray, lang: str) -> np.ndarray:
-    """The bit of each n-gram hash in one language."""
+def _bits(h: np.ndarray, lang: str, bits: int) -> np.ndarray:
+    """The place in a set of 2**bits of each n-gram hash in one language."""
     raw = np.frombuffer(lang.encode(), dtype=np.uint8)
     own = Hasher(raw).ranges(np.array([0]), np.array([len(raw)]))
-    return mix(h ^ own) >> np.uint64(64 - FILTER_BITS)
+    return mix(h ^ own) >> np.uint64(64 - bits)
 
 
 def _counter(n: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -88,7 +88,7 @@ def _counter(n: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 if known is not None and len(first):
                     hasher = Hasher(words.bytes)
                     for shift in (0, 1):
-                        at = _bits(hasher.ranges(words.start[first + shift], words.end[first + shift + n - 2]), lang)
+                        at = _bits(hasher.ranges(words.start[first + shift], words.end[first + shift + n - 2]), lang, len(known).bit_length() + 2)
                         first = first[(known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                 found = pc.value_counts(words.text(first, n))
                 grams, counts = found.field("values").cast(pa.string()), found.field("counts")
@@ -102,17 +102,19 @@ def _counter(n: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def _frequent(grams: DataFrame) -> bytes:
     """The bit set of the given n-grams: at most 2**(FILTER_BITS - 3) bytes come to the driver."""
 
+    bits = FILTER_BITS
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text="gram"):
             langs = part.column(0)
             for lang in pc.unique(langs).to_pylist():
                 raw, offs = string_buffers(part.column(1).filter(pc.equal(langs, lang)))
-                at = np.unique(_bits(Hasher(raw).ranges(offs[:-1], offs[1:]), lang)).astype(np.int64)
+                at = np.unique(_bits(Hasher(raw).ranges(offs[:-1], offs[1:]), lang, bits)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
     places = grams.filter("gram <> ''").select("lang", "gram").mapInArrow(work, "at long")
     rows = places.groupBy(F.shiftright("at", _PART).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << _PART) - 1))).alias("bits"))
-    out = bytearray(1 << (FILTER_BITS - 3))
+    out = bytearray(1 << (bits - 3))
     for row in rows.toLocalIterator():
         at = row.part << (_PART - 3)
         out[at : at + len(row.bits)] = row.bits

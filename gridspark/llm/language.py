@@ -32,6 +32,8 @@ MODEL_BYTES = 256_000_000
 #: Share of a centroid's training texts that its rejection distance leaves out.
 REJECTED = 0.005
 _ROWS = 1000
+#: Bytes of a centroid.
+_CENTROID = 4 << BITS
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
@@ -115,14 +117,21 @@ def _lowered(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), *columns)
 
 
-def _training_vectors(docs: DataFrame, bound: int, total: int) -> DataFrame:
-    """(lang, doc_id, bins, n): the n-gram counts of each language's documents of the least hashes."""
+def _training_vectors(docs: DataFrame, bound: int, total: int) -> tuple[DataFrame, str]:
+    """(lang, doc_id, packed): the n-gram counts of each language's documents of the least hashes; a table that it reads."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.octet_length(F.col("text").cast("string")).alias("size"))
     named = named.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.col("size") > 0)).select("doc_id", "lang")
-    languages = named.select("lang").distinct().count()
+    sizes, sizes_path = write_table(named.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")), "language-sizes")
+    languages = sizes.count()
+    if languages * CENTROIDS * _CENTROID > MODEL_BYTES:
+        raise ValueError(f"lang has {languages} values: {CENTROIDS} centroids of each are over {MODEL_BYTES} bytes")
     each = max(1, min(bound, total // max(languages, 1)))
+    # hashes are even, so about twice the rows wanted lie under this share of their range; only those are ranked
+    share = F.least(F.lit(1.0), F.lit(2.0 * each + 200) / F.col("documents"))
+    low = named.join(F.broadcast(sizes), "lang").filter(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share).select("lang", "doc_id").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = named.withColumn("place", place).filter(F.col("place") <= each).select("lang", F.col("doc_id").alias("chosen_id")).distinct()  # at most `total` rows, or one a language
+    chosen, chosen_path = write_table(low.withColumn("place", place).filter(F.col("place") <= each).select("lang", F.col("doc_id").alias("chosen_id")), "language-chosen")  # at most `total` rows, or one a language
+    remove(docs.sparkSession, sizes_path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -138,13 +147,15 @@ def _training_vectors(docs: DataFrame, bound: int, total: int) -> DataFrame:
     wanted = F.broadcast(chosen.withColumnRenamed("lang", "chosen_lang"))
     picked = texts.join(wanted, (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")), "left_semi")
     found = picked.mapInArrow(work, "lang string, doc_id long, packed binary").filter(F.octet_length("packed") > 0)
-    return found.groupBy("lang", "doc_id").agg(F.min("packed").alias("packed"))  # rows that repeat an id are one text
+    return found.groupBy("lang", "doc_id").agg(F.min("packed").alias("packed")), chosen_path  # rows that repeat an id are one text
 
 
 def fit(docs: DataFrame, bound: int = PER_LANGUAGE, total: int = TRAINING_ROWS) -> Model | None:
     """A model of every language, from documents with `lang` and a letter; None without such documents."""
     spark = docs.sparkSession
-    sample, path = write_table(_training_vectors(docs, bound, total), "language-sample")
+    vectors, chosen_path = _training_vectors(docs, bound, total)
+    sample, path = write_table(vectors, "language-sample")
+    remove(spark, chosen_path)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << BITS, dtype=np.int64), 0
@@ -160,11 +171,6 @@ def fit(docs: DataFrame, bound: int = PER_LANGUAGE, total: int = TRAINING_ROWS)
     if not n:
         return None
     idf = np.log((1 + n) / (1 + np.array([known[i] for i in range(1 << BITS)]))) + 1
-    languages = sample.select("lang").distinct().count()
-    size = 4 << BITS  # of a centroid
-    if languages * size > MODEL_BYTES:
-        raise ValueError(f"lang has {languages} values: a model of them is over {MODEL_BYTES} bytes")
-    k = min(CENTROIDS, MODEL_BYTES // size // languages)
 
     def learn(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("packed").to_pylist(), strict=True))
@@ -172,7 +178,7 @@ def fit(docs: DataFrame, bound: int = PER_LANGUAGE, total: int = TRAINING_ROWS)
         for i, (_, body) in enumerate(rows):
             both = np.frombuffer(body, dtype=np.uint16)
             dense[i, both[: len(both) // 2]] = both[len(both) // 2 :]
-        centre, least = train(Model(idf, dense, [], np.zeros(0), np.zeros(0)).vectors(dense), k)
+        centre, least = train(Model(idf, dense, [], np.zeros(0), np.zeros(0)).vectors(dense))
         lang = table.column("lang")[0].as_py()
         return pa.table({"lang": [lang] * len(centre), "centre": [c.astype(np.float32).tobytes() for c in centre], "least": least})
 

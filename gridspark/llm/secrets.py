@@ -36,7 +36,6 @@ class Rule:
     body: str
     least: int = 1
     base: bool = False
-    hint: str | None = None
 
     @property
     def key(self) -> str:

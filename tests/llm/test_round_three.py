@@ -1,0 +1,176 @@
+"""op11 to op13 against plain versions, and on odd tables."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridspark.llm import collocations, hardnegatives, replytrees
+
+
+# op11
+def _mined_plainly(rows, positives=5, negatives=5):
+    kept = {}
+    for i, label, v in sorted(r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None):
+        kept.setdefault(i, (label, v))
+    out = []
+    for anchor in (i for i in kept if i % 100 == 0):
+        own, v = kept[anchor]
+        scores = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i, label == own) for i, (label, w) in kept.items() if i != anchor)
+        for s, p, _ in [x for x in scores if x[2]][:positives]:
+            found = [(-n, i) for n, i, same in scores if not same and 80 * -s <= 100 * -n <= 100 * -s][:negatives]
+            out += [(anchor, p, k + 1, i, -s, n) for k, (n, i) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_negatives_as_by_the_definition(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(hardnegatives, "ROWS", 16)
+    monkeypatch.setattr(hardnegatives, "ANCHORS", 2)
+    top = 2_000_000_000 if seed == 2 else 4  # products of the large ones need 64 bits
+    rows = [(i if rng.random() < 0.5 else i * 50, rng.randrange(3), [rng.randrange(-1, top) for _ in range(rng.choice((0, 3, 5, 5, 5)) if seed < 2 else 2)]) for i in range(150)]
+    rows += [(100, 1, [1, 2, 3]), (100, 0, [5, 5, 5]), (200, None, [1]), (None, 1, [1]), (300, 1, None)] + rows[:5]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<long>").withColumn("score", F.lit("own")).withColumn("rank", F.lit("own"))
+    got = sorted(tuple(r) for r in hardnegatives.mine(df, F.col("id") % 100 == 0).collect())
+    assert got == _mined_plainly(rows)
+
+
+def test_products_that_floats_cannot_hold():
+    a, b = np.array([[2**40 + 1, 3]]), np.array([[2**20 + 1, 5], [7, 2**61]])
+    assert hardnegatives.multiply(a, b).tolist() == [[(2**40 + 1) * (2**20 + 1) + 15, (2**40 + 1) * 7 + 3 * 2**61]]
+
+
+def test_embeddings_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, 0.5], 1), (1, [0.5, 0.4], 1), (2, [0.5, 0.45], 2), (3, [nan, 1.0], 2), (4, [inf, 1.0], 2), (5, [None, 1.0], 2), (6, None, 2), (8, [0.5, 0.45], None), (None, [0.5, 0.45], 2), (14, [0.5, 0.45], 0), (21, [0.5, 0.45], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("own"))
+    # 0 is divisible by 7, so its label becomes 2; so do the labels of 14 (to 1) and of 21 (to 0)
+    got = sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in hardnegatives.mine_embeddings(df).collect())
+    score = 128 * 128 + 128 * 115
+    assert got == [(0, 2, 1, 14, score, score), (0, 2, 2, 21, score, score), (0, 2, 3, 1, score, 128 * 128 + 128 * 102)]
+    assert hardnegatives.mine_embeddings(df.limit(0)).count() == 0 and hardnegatives.mine_embeddings(df.filter("vec_id > 0")).count() == 0
+
+
+# op12
+def _paths_plainly(rows, branches):
+    nodes = {(t, i): (p, s) for t, i, p, s in rows}
+    best = collections.defaultdict(list)
+    parents = {(t, p) for (t, _), (p, _) in nodes.items()}
+    for key in nodes:
+        if key in parents:
+            continue
+        path, at = [], key
+        while at in nodes and at not in path:
+            path.append(at)
+            at = (at[0], nodes[at][0])
+        if at in path:
+            continue
+        best[key[0]].append((-sum(nodes[x][1] for x in path) / len(path), -len(path), key[1], [x[1] for x in path[::-1]]))
+    return [(t, leaf, i + 1, x) for t, found in best.items() for _, _, leaf, path in sorted(found)[:branches] for i, x in enumerate(path)]
+
+
+@pytest.mark.parametrize("branches", [1, 3])
+def test_paths_of_reply_trees(spark, branches):
+    rng = random.Random(branches)
+    rows = [(None if t == 5 else t, i, rng.choice([None, rng.randrange(i), i - 1, 99]) if i else None, float(rng.randrange(8))) for t in range(6) for i in range(30)]
+    rows += [(7, 0, 1, 1.0), (7, 1, 0, 1.0), (7, 2, 1, 1.0), (8, 3, 3, 1.0), (9, 1, None, 0.0)]  # cycles, what hangs on one, a lone root
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, score double")
+    got = replytrees.reply_paths(df, branches)[0].collect()
+    assert sorted(((r.tree, r.leaf, r.place, r.id) for r in got), key=str) == sorted(_paths_plainly(rows, branches), key=str)
+
+
+def test_trees_become_conversations(spark):
+    rows = [(1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "low", 0.1), (1, 3, 1, "assistant", "<|im_end|> high", 0.9), (1, 3, 1, "assistant", "<|im_end|> high", 0.9), (1, 4, 3, "user", None, 0.5), (2, 1, None, None, "alone", None), (3, None, None, "user", "lost", 0.0)]
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double").withColumn("place", F.lit("own")).withColumn("turns", F.lit("own"))
+    got = {r.tree: r for r in replytrees.format_trees(df).collect()}
+    assert set(got) == {1, 2} and got[1].turns == 3
+    assert got[1].text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<\\|im_end|> high<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+    assert [got[1].text[s.start : s.stop] for s in got[1].loss] == ["<\\|im_end|> high"] and got[2].loss == []
+    assert replytrees.format_trees(df, branches=2).count() == 3 and replytrees.format_trees(df.limit(0)).count() == 0
+
+
+def test_any_text_comes_back():
+    template, rng = replytrees.Template(), random.Random(3)
+    bits = ["<|im_start|>", "<|im_end|>", "<|im_end|>\n", "\\", "<", "|im_end|>", "[INST]", "[", "/INST]", "<<SYS>>", "</s>", "<s>", "\n", "<|line|>", "user", "é日", ""]
+    for _ in range(3000):
+        turns = [("".join(rng.choices(bits, k=rng.randrange(4))), "".join(rng.choices(bits, k=rng.randrange(9)))) for _ in range(rng.randrange(4))]
+        made = [template.turn(*t) for t in turns]
+        text = "".join(m[0] for m in made)
+        assert [(r, b) for r, b, _, _ in template.turns(text)] == turns
+        assert all(c not in body for (_, _, _), (r, b) in zip(made, turns, strict=True) for body in [template.escape(b)] for c in template.control)
+
+
+def _read_plainly(rows):
+    out, texts = {}, collections.defaultdict(list)
+    for conv, turn, role, text in rows:
+        texts[conv].append(((turn is not None, turn or 0), (role is not None, role or ""), text or ""))
+    for conv, turns in texts.items():
+        turns = [(r, t) for _, (_, r), t in sorted(turns, key=lambda x: (x[0], x[1], x[2].encode()))]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        out[conv] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_conversations_are_read_back(spark):
+    rng = random.Random(4)
+    rows = [(5, i, rng.choice(["user", "assistant"]), f"turn {i} </s>é") for i in range(1500)]  # several parts
+    rows += [(1, None, "user", "no turn"), (1, 2, None, "no role"), (1, 2, "assistant", None), (1, 2, "assistant", "tie"), (1, 2, "assistant", "tie"), (2, 0, "assistant", ""), (None, 1, "user", "no id"), (None, 0, "a\nb", "x" * 50_000), (-7, 9, "user", "</s>[INST] ok [/INST]")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("id", F.lit("own")).withColumn("parent", F.lit("own"))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in replytrees.format_conversations(df).collect()}
+    assert got == _read_plainly(rows)
+    assert replytrees.format_conversations(df.limit(0)).count() == 0
+
+
+# op13
+def _phrases_plainly(rows, least, share, first):
+    counts, totals = collections.Counter(), collections.Counter()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(low)):
+            words = re.findall("[^ \t]+", piece)
+            totals[lang] += len(words)
+            for k in (1, 2, 3):
+                counts.update((lang, *words[i : i + k]) for i in range(len(words) - k + 1))
+    found = collections.defaultdict(list)
+    candidates = {g: n for g, n in counts.items() if len(g) > 2 and n >= least}
+    inside = collections.Counter()
+    for g, n in candidates.items():
+        for sub in ((g[0], *g[1:-1]), (g[0], *g[2:])):
+            inside[sub] = max(inside[sub], n)
+    for g, a in candidates.items():
+        if 100 * inside[g] >= share * a:
+            continue
+        cuts = [(1_000_000 * a * a // (counts[g[: k + 1]] * counts[(g[0], *g[k + 1 :])]), k) for k in range(1, len(g) - 1)]
+        score, k = min(cuts)
+        found[g[0]].append((-score, -a, " ".join(g[1:]).encode(), counts[g[: k + 1]], counts[(g[0], *g[k + 1 :])]))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, totals[lang], -s) for lang, all_ in found.items() for i, (s, a, p, left, right) in enumerate(sorted(all_)[:first]))
+
+
+@pytest.mark.parametrize("bits", [27, 15])
+def test_phrases_as_by_the_definition(spark, monkeypatch, bits):
+    monkeypatch.setattr(collocations, "FILTER_BITS", bits)
+    rng = random.Random(bits)
+    words = ["The", "of", "é", "ÉTÉ", "a-b", "x", "日本", "new york", "Y"]
+    text = lambda: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "?"]) for _ in range(rng.randrange(60)))
+    rows = [(text(), rng.choice(["en", "fr", None, "und"])) for _ in range(150)] + [(None, "en"), ("", "en"), (" .\n", "de"), ("zz zz zz zz zz zz zz zz zz zz zz zz", "zz")]
+    rows += [("one two three " * 4000, "en")]
+    df = spark.createDataFrame(rows, "text string, lang string").withColumn("gram", F.lit("own")).withColumn("f", F.lit("own"))
+    for first in (2000, 3):
+        got = sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in collocations.mine_phrases(df, first=first).collect())
+        assert got == _phrases_plainly(rows, 10, 50, first)
+    assert collocations.mine_phrases(df.limit(0)).count() == 0
+
+
+def test_scores_past_64_bits(spark):
+    a, left, right = 9_000_000_000_000, 10_000_000_000_007, 9_000_000_000_001
+    df = spark.createDataFrame([(a, left, right)], "a long, l long, r long")
+    assert df.select(collocations.score(F.col("a"), F.col("l"), F.col("r"))).first()[0] == 1_000_000 * a * a // (left * right)
