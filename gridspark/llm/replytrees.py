@@ -115,16 +115,19 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> tuple[DataFrame, list
     rooted = own.join(apart(there), own["tree"].eqNullSafe(there["tree_of"]) & (own["parent"] == there["parent_of"]), "left")
     step, path = write_table(rooted.select("tree", "id", F.col("parent_of").alias("above"), "total", F.lit(1).cast("long").alias("depth")), "replies")
     steps, paths = [step], [path]
+    rooted = step.filter("above is null")  # what has reached its root; each round moves on only what has not
     open_, open_before = step.filter("above is not null").count(), -1
     while open_ and open_ != open_before:
-        right = step.select(F.col("tree").alias("tree_of"), F.col("id").alias("id_of"), F.col("above").alias("above_of"), F.col("total").alias("total_of"), F.col("depth").alias("depth_of"))
-        met = step.join(apart(right), step["tree"].eqNullSafe(right["tree_of"]) & (step["above"] == right["id_of"]), "left")
-        step, path = write_table(met.select("tree", "id", F.col("above_of").alias("above"), (F.col("total") + F.coalesce("total_of", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth_of", F.lit(0))).alias("depth")), "replies")
+        left = step.filter("above is not null")
+        right = rooted.unionByName(left).select(F.col("tree").alias("tree_of"), F.col("id").alias("id_of"), F.col("above").alias("above_of"), F.col("total").alias("total_of"), F.col("depth").alias("depth_of"))
+        met = left.join(apart(right), left["tree"].eqNullSafe(right["tree_of"]) & (left["above"] == right["id_of"]))
+        step, path = write_table(met.select("tree", "id", F.col("above_of").alias("above"), (F.col("total") + F.col("total_of")).alias("total"), (F.col("depth") + F.col("depth_of")).alias("depth")), "replies")
         steps.append(step)
         paths.append(path)
+        rooted = rooted.unionByName(step.filter("above is null"))
         open_before, open_ = open_, step.filter("above is not null").count()
     parents = steps[0].select(F.col("tree").alias("tree_of"), F.col("above").alias("parent_of")).filter("parent_of is not null").distinct()
-    leaves = step.filter("above is null").join(apart(parents), step["tree"].eqNullSafe(parents["tree_of"]) & (step["id"] == parents["parent_of"]), "left_anti")
+    leaves = rooted.join(apart(parents), rooted["tree"].eqNullSafe(parents["tree_of"]) & (rooted["id"] == parents["parent_of"]), "left_anti")
     best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "id"))
     chosen = leaves.withColumn("place", best).filter(F.col("place") <= branches)
     listed, path = write_table(chosen.select("tree", F.col("id").alias("leaf"), F.col("depth").alias("place"), "id"), "reply-paths")
