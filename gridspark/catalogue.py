@@ -194,3 +194,33 @@ add("domain_first_last", grid(["events"], ["events.event_id", ('DFirst("value","
 add("domain_correlated_many", grid(["customer"], ["customer.c_custkey", ('DCount("*","orders","o_custkey=" & [c_custkey] & " And o_orderstatus=\'" & Left([c_mktsegment],1) & "\'")', "n"), ('DSum("o_totalprice","orders","o_custkey=" & [c_custkey] & " And o_totalprice>" & [c_acctbal]*20)', "total")]), "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey=c_custkey AND o_orderstatus=left(c_mktsegment,1)) AS n, (SELECT sum(o_totalprice) FROM orders WHERE o_custkey=c_custkey AND o_totalprice>c_acctbal*20) AS total FROM customer")
 expressions("expr_whole_division", "lineitem", _LK, [("q", "(l_quantity+0.5)\\7", "CAST(round_even(l_quantity+0.5,0) AS BIGINT) // 7"), ("m", "(l_quantity+0.5) Mod 7", "CAST(round_even(l_quantity+0.5,0) AS BIGINT) % 7"), ("z", "l_orderkey\\(l_linenumber-1)", "l_orderkey // nullif(l_linenumber-1,0)"), ("big", "(9007199254740993+l_linenumber)\\1", "9007199254740993+l_linenumber")])
 expressions("expr_is_kinds", "region", ["r_regionkey"], [("a", "IsError(r_name)", "false"), ("b", "IsObject(r_name)", "false"), ("c", "IsArray(r_name)", "false")])
+
+# patterns with digits, classes and backslashes, written and computed
+add("like_classes", grid(["nation"], ["nation.n_nationkey"], where="nation.n_name Like '*[0-3]' Or nation.n_name Like '[!N]*' Or nation.n_name Like '*[_]#[57]'"), "SELECT n_nationkey FROM nation WHERE regexp_full_match(n_name, '.*[0-3]') OR regexp_full_match(n_name, '[^N].*') OR regexp_full_match(n_name, '.*[_][0-9][57]')")
+add("like_backslash", grid(["nation"], ["nation.n_nationkey", ("IIf(('C:\\' & [n_regionkey] & '%') Like 'C:\\#%',1,0)", "a"), ("IIf(('C:\\d' & [n_regionkey]) Like 'C:\\[d-f]*',1,0)", "b"), ("IIf('C:x' Like 'C:\\*',1,0)", "c")]), "SELECT n_nationkey, 1 AS a, 1 AS b, 0 AS c FROM nation")
+add("like_computed", grid(["nation"], ["nation.n_nationkey"], where="('x\\' & nation.n_nationkey) Like ('[w-y]\\*' & Right(nation.n_name,1)) And ('a' & nation.n_regionkey) Like ('[!' & Chr(98) & ']#')"), "SELECT n_nationkey FROM nation WHERE right(CAST(n_nationkey AS VARCHAR),1) = right(n_name,1)")
+
+# subqueries inside expressions, with the dialect's operators in and around them
+add("stored_in_subquery", stored("SELECT c_custkey FROM customer WHERE (c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey ^ 2 = 4)) AND c_acctbal \\ 1000 > 1;"), "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND CAST(round_even(c_acctbal,0) AS BIGINT) // 1000 > 1")
+add("stored_in_or", stored("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) XOR c_acctbal < 0;"), "SELECT c_custkey FROM customer WHERE (c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) <> (c_acctbal < 0)")
+add("stored_in_correlated", stored("SELECT o.o_orderkey FROM orders AS o WHERE o.o_totalprice IN (SELECT Max(i.o_totalprice) FROM orders AS i WHERE i.o_custkey = o.o_custkey);"), "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+add("stored_exists", stored("SELECT c_custkey FROM customer WHERE EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40) AND NOT EXISTS (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey Mod 2 = 1);"), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey % 2 = 1)")
+add("stored_exists_self", stored("SELECT n_nationkey, EXISTS (SELECT * FROM nation AS b WHERE b.n_regionkey = nation.n_regionkey AND b.n_nationkey > nation.n_nationkey + 10) AS later FROM nation WHERE NOT EXISTS (SELECT * FROM nation AS b WHERE b.n_regionkey = nation.n_regionkey AND b.n_nationkey < nation.n_nationkey);"), "SELECT n_nationkey, EXISTS (SELECT 1 FROM nation b WHERE b.n_regionkey = a.n_regionkey AND b.n_nationkey > a.n_nationkey + 10) AS later FROM nation a WHERE NOT EXISTS (SELECT 1 FROM nation b WHERE b.n_regionkey = a.n_regionkey AND b.n_nationkey < a.n_nationkey)")
+add("stored_scalar_subquery", stored("SELECT n_name, (SELECT Count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AS poor, (SELECT Max(c_acctbal) FROM customer) AS top, Nz((SELECT Round(Sum(c_acctbal),2) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < -900),0)+1 AS least FROM nation;"), "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AS poor, (SELECT max(c_acctbal) FROM customer) AS top, coalesce((SELECT round(sum(c_acctbal),2) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < -900),0)+1 AS least FROM nation")
+add("stored_not_in_nulls", stored("SELECT n_nationkey, IIf(n_nationkey NOT IN (SELECT IIf(s_suppkey>50,s_nationkey,Null) FROM supplier),1,0) AS a, IIf(n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 5),1,0) AS b, IIf(Null NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 0),1,0) AS c FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey Between 3 And 7);"), "SELECT n_nationkey, CASE WHEN n_nationkey NOT IN (SELECT CASE WHEN s_suppkey>50 THEN s_nationkey END FROM supplier) THEN 1 ELSE 0 END AS a, CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 5) THEN 1 ELSE 0 END AS b, 1 AS c FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey BETWEEN 3 AND 7)")
+add("stored_quantified", stored("SELECT c_custkey, IIf(c_acctbal >= ALL (SELECT b.c_acctbal FROM customer AS b WHERE b.c_nationkey = customer.c_nationkey),1,0) AS top, IIf(c_custkey < ANY (SELECT s_suppkey FROM supplier WHERE s_nationkey = c_nationkey),1,0) AS low, IIf(c_nationkey <> ALL (SELECT s_nationkey FROM supplier WHERE s_nationkey > 12),1,0) AS other FROM customer;"), "SELECT c_custkey, CASE WHEN c_acctbal >= ALL (SELECT b.c_acctbal FROM customer b WHERE b.c_nationkey = a.c_nationkey) THEN 1 ELSE 0 END AS top, CASE WHEN c_custkey < ANY (SELECT s_suppkey FROM supplier WHERE s_nationkey = c_nationkey) THEN 1 ELSE 0 END AS low, CASE WHEN c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey > 12) THEN 1 ELSE 0 END AS other FROM customer a")
+add("stored_nested_subquery", stored("SELECT c_custkey FROM customer WHERE EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > (SELECT Avg(i.o_totalprice)*1.5 FROM orders AS i WHERE i.o_orderstatus = orders.o_orderstatus) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49));"), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders o WHERE o_custkey = c_custkey AND o_totalprice > (SELECT avg(i.o_totalprice)*1.5 FROM orders i WHERE i.o_orderstatus = o.o_orderstatus) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49))")
+add("stored_having_subquery", stored("SELECT c_nationkey, Count(*) AS n FROM customer GROUP BY c_nationkey HAVING Count(*) > (SELECT Count(*)/25 FROM customer) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0);"), "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > (SELECT count(*)/25 FROM customer) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+add("stored_delete_in", stored("DELETE FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal \\ 100 < 20) OR o_totalprice < (SELECT Avg(o_totalprice)/4 FROM orders);"), "SELECT * FROM orders WHERE NOT (o_custkey IN (SELECT c_custkey FROM customer WHERE CAST(round_even(c_acctbal,0) AS BIGINT) // 100 < 20) OR o_totalprice < (SELECT avg(o_totalprice)/4 FROM orders))")
+add("stored_update_subquery", stored("UPDATE nation SET n_regionkey = (SELECT Count(*) FROM customer WHERE c_nationkey = n_nationkey) WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20);"), "SELECT n_nationkey, n_name, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20) THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) ELSE n_regionkey END AS n_regionkey FROM nation")
+
+# action queries over joins, and the rest of SELECT
+add("stored_delete_join", stored("DELETE orders.* FROM orders INNER JOIN customer ON orders.o_custkey = customer.c_custkey WHERE customer.c_acctbal < 0 AND orders.o_orderstatus <> 'F';"), "SELECT * FROM orders WHERE NOT (o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))")
+add("stored_delete_second", stored("DELETE c.* FROM nation AS n INNER JOIN customer AS c ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey = 3;"), "SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)")
+add("stored_update_self", stored("UPDATE nation AS a INNER JOIN nation AS b ON a.n_nationkey = b.n_nationkey + 1 SET a.n_name = b.n_name WHERE b.n_regionkey = a.n_regionkey Or b.n_nationkey Mod 2 = 0;"), "SELECT a.n_nationkey, CASE WHEN b.n_nationkey IS NOT NULL AND (b.n_regionkey = a.n_regionkey OR b.n_nationkey % 2 = 0) THEN b.n_name ELSE a.n_name END AS n_name, a.n_regionkey FROM nation a LEFT JOIN nation b ON a.n_nationkey = b.n_nationkey + 1")
+add("stored_star_last", stored("SELECT n_nationkey * 2 AS twice, *, n_name & '!' AS loud FROM nation;"), "SELECT n_nationkey * 2 AS twice, nation.*, n_name || '!' AS loud FROM nation")
+add("stored_top_percent", stored("SELECT TOP 7.5 PERCENT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey;"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= ceil(count(*) OVER () * 7.5 / 100)")
+add("stored_crosstab_order", stored("TRANSFORM Count(*) AS n SELECT o_orderpriority AS p FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_orderpriority ORDER BY o_orderpriority DESC PIVOT o_orderstatus IN ('F','O');"), "SELECT o_orderpriority AS p, nullif(count(*) FILTER (o_orderstatus='F'),0) AS \"F\", nullif(count(*) FILTER (o_orderstatus='O'),0) AS \"O\" FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1 ORDER BY 1 DESC")
+
+# running domain aggregates: a range that ends at the row's value
+add("domain_running_sum", grid(["orders"], ["orders.o_orderkey", ('DSum("CLng(o_totalprice*100)","orders","o_custkey=" & [o_custkey] & " And o_orderkey<=" & [o_orderkey])', "total"), ('DCount("*","orders","o_orderkey<" & [o_orderkey])', "before"), ('DMax("o_totalprice","orders","o_totalprice>100000 And o_custkey=" & [o_custkey] & " And o_orderkey>" & [o_orderkey])', "later"), ('Round(DAvg("CLng(o_totalprice*100)","orders","o_totalprice>=" & [o_totalprice]),1)', "mean")]), "SELECT o_orderkey, CAST(sum(CAST(round_even(o_totalprice*100,0) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS total, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS before, max(CASE WHEN o_totalprice>100000 THEN o_totalprice END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, round(avg(CAST(round_even(o_totalprice*100,0) AS BIGINT)) OVER (ORDER BY o_totalprice DESC RANGE UNBOUNDED PRECEDING),1) AS mean FROM orders")

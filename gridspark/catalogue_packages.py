@@ -34,6 +34,14 @@ _FORM = """Begin Form
                     Name ="txt"
                     ControlSource ="c0"
                 End
+                Begin Subform
+                    Name ="sub"
+                    SourceObject ="Form.{lines}"
+                End
+                Begin CommandButton
+                    Name ="cmd"
+                    OnClick ="{macro}"
+                End
             End
         End
     End
@@ -43,6 +51,13 @@ Sub Form_Load()
   Work
 End Sub
 """
+_LINES = 'Begin Form\n    RecordSource ="{source}"\nEnd\n'
+_FLOW = (
+    'Begin\n    Comment ="_AXL:<UserInterfaceMacro xmlns=\\"http://schemas.microsoft.com/office/accessservices/2009/11/application\\"><Statements>'
+    '<Action Name=\\"OpenForm\\"><Argument Name=\\"FormName\\">{lines}</Argument></Action><Action Name=\\"RunCode\\"><Argument Name=\\"FunctionName\\">Work()</Argument></Action>'
+    '</Statements></UserInterfaceMacro>"\nEnd\n'
+)
+_RELATED = "<MSysRelationships><szRelationship>{name}</szRelationship><szObject>{child}</szObject><szReferencedObject>{parent}</szReferencedObject><szColumn>{column}</szColumn><szReferencedColumn>{other}</szReferencedColumn><grbit>{bits}</grbit></MSysRelationships>"
 _AXL = '<DataMacros xmlns="http://schemas.microsoft.com/office/accessservices/2009/11/application"><DataMacro Event="AfterInsert"><Statements><Action Name="SetField"/></Statements></DataMacro></DataMacros>'
 
 
@@ -51,17 +66,23 @@ def package_of(k: int) -> bytes:
     every third module a branch; macros beep where k is even."""
     columns = "".join(f'<xsd:element name="c{i}" od:jetType="longinteger"/>' for i in range(k % 3 + 1))
     branch = "    If i > 2 Then\n      Exit For\n    Else\n      x = 1\n    End If\n" if k % 3 == 0 else ""
+    table, query, form, lines, flow = (f"{n}{k}" for n in ("Kegs", "Open", "Main", "Lines", "Flow"))
+    pairs = [("KegsLines", "c0", "c0", 4096 if k % 2 else 0), *([("KegsLines", "c1", "c1", 4096)] if k % 2 else []), ("Loose", "c0", "c0", 2)]
     parts = {
         "template/template.xml": "<x/>",
         "template/database/navpane.xml": "<x/>",
+        "template/other/formStray.txt": "Begin Form\nEnd\n",
+        packages.RELATIONSHIPS: "<dataroot>" + "".join(_RELATED.format(name=n, child=lines, parent=table, column=c, other=o, bits=b) for n, c, o, b in pairs) + "</dataroot>" if k % 7 else "<dataroot>",
         f"{OBJECTS}sampledata/{k}.xml": "<x/>",
         "_rels/.rels": "<x/>",
-        f"{OBJECTS}table{k}.xsd": _XSD.format(name=f"table{k}", columns=columns),
-        f"{OBJECTS}query{k}.txt": grid([f"table{k}"], [("IIf([c0]>1,1,0)", "a"), (("NoSuchThing(1)", "[c0]", "Work()", "Work()")[k % 4], "b")]),
-        f"{OBJECTS}form{k}.txt": _FORM.format(source=f"query{k}"),
-        f"{OBJECTS}macro{k}.txt": f'Begin\n Action ="{"SetLocalVar" if k % 2 else "Beep"}"\nEnd\n',
-        f"{OBJECTS}module{k}.txt": f'Sub OpenIt()\n  DoCmd.OpenForm "form{k}"\n  Work\nEnd Sub\nFunction Work()\n  For i = 1 To {k}\n{branch}  Next i\nEnd Function\n',
-        f"{OBJECTS}datamacros/datamacrostable{k}.axl": _AXL,
+        f"{OBJECTS}table{table}.xsd": _XSD.format(name=table, columns=columns),
+        f"{OBJECTS}query{query}.txt": grid([table], [("IIf([c0]>1,1,0)", "a"), (("NoSuchThing(1)", "[c0]", "Work()", "Work()")[k % 4], "b")]),
+        f"{OBJECTS}form{form}.txt": _FORM.format(source=query, lines=lines, macro=flow),
+        f"{OBJECTS}form{lines}.txt": _LINES.format(source=table),
+        f"{OBJECTS}macroDo{k}.txt": f'Begin\n Action ="{"SetLocalVar" if k % 2 else "Beep"}"\nEnd\n',
+        f"{OBJECTS}macro{flow}.txt": _FLOW.format(lines=lines),
+        f"{OBJECTS}moduleCode{k}.txt": f'Sub OpenIt()\n  DoCmd.OpenForm "{form}"\n  s = "SELECT * FROM {table}"\n  Work\nEnd Sub\nFunction Work()\n  For i = 1 To {k}\n{branch}  Next i\nEnd Function\n',
+        f"{OBJECTS}datamacros/datamacros{table}.axl": _AXL,
     }
     if k % 10 == 0:
         parts["../outside.txt"] = "x"
@@ -156,12 +177,14 @@ def _union(*parts: str) -> str:
 
 
 _OBJECT_SQL = _union(
-    _each("path, 'table' || path AS object, 'table' AS kind, true AS translated"),
-    _each("path, 'query' || path, 'query', k % 4 = 1"),
-    _each("path, 'form' || path, 'form', true"),
-    _each("path, 'macro' || path, 'macro', false"),
-    _each("path, 'module' || path, 'module', false"),
-    _each("path, 'datamacrostable' || path, 'datamacro', true"),
+    _each("path, 'Kegs' || path AS object, 'table' AS kind, true AS translated"),
+    _each("path, 'Open' || path, 'query', k % 4 = 1"),
+    _each("path, 'Main' || path, 'form', true"),
+    _each("path, 'Lines' || path, 'form', true"),
+    _each("path, 'Do' || path, 'macro', false"),
+    _each("path, 'Flow' || path, 'macro', false"),
+    _each("path, 'Code' || path, 'module', false"),
+    _each("path, 'Kegs' || path, 'datamacro', true"),
 )
 
 
@@ -173,22 +196,36 @@ def _(spark, sf_dir):
 @register(
     "package_findings",
     _union(
-        _each("path, 'query' || path AS object, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' ELSE 'USER_DEFINED_VBA_FUNCTION' END AS reason_code", "k % 4 <> 1"),
-        _each("path, 'macro' || path, 'MACRO_STORED_AS_FLAT_ACTION_LIST'"),
-        _each("path, 'macro' || path, 'MACRO_ACTION_UI_NOT_TRANSLATABLE'", "k % 2 = 0"),
-        _each("path, 'module' || path, 'VBA_DRIVES_ACCESS_UI'"),
+        _each("path, 'Open' || path AS object, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' ELSE 'USER_DEFINED_VBA_FUNCTION' END AS reason_code", "k % 4 <> 1"),
+        _each("path, 'Do' || path, 'MACRO_STORED_AS_FLAT_ACTION_LIST'"),
+        _each("path, 'Do' || path, 'MACRO_ACTION_UI_NOT_TRANSLATABLE'", "k % 2 = 0"),
+        _each("path, 'Flow' || path, 'MACRO_ACTION_UI_NOT_TRANSLATABLE'"),
+        _each("path, 'Flow' || path, 'MACRO_ACTION_SYSTEM_NOT_TRANSLATABLE'"),
+        _each("path, 'Code' || path, 'VBA_DRIVES_ACCESS_UI'"),
+        _each("path, 'relationships', 'RELATIONSHIP_XML_NOT_PARSED'", "k % 7 = 0"),
     ),
 )
 def _(spark, sf_dir):
     return converted(spark, sf_dir).findings().select("path", "object", "reason_code")
 
 
+@register(
+    "package_relationships",
+    _union(
+        _each("path, 'KegsLines' AS name, 'Lines' || path AS child, 'Kegs' || path AS parent, CASE k % 2 WHEN 1 THEN 'c0,c1' ELSE 'c0' END AS child_columns, true AS enforced, k % 2 = 1 AS cascade_delete", "k % 7 <> 0"),
+        _each("path, 'Loose', 'Lines' || path, 'Kegs' || path, 'c0', false, false", "k % 7 <> 0"),
+    ),
+)
+def _(spark, sf_dir):
+    return converted(spark, sf_dir).relationships().select("path", "name", "child", "parent", F.array_join("child_columns", ",").alias("child_columns"), "enforced", "cascade_delete")
+
+
 @register(
     "package_procedures",
     _union(
-        _each("path, 'module' || path AS object, 'OpenIt' AS name, 2 AS statements, 0 AS branches, 0 AS loops, 1 AS cyclomatic_complexity"),
-        _each("path, 'module' || path, 'Work', CASE k % 3 WHEN 0 THEN 4 ELSE 1 END, CASE k % 3 WHEN 0 THEN 2 ELSE 0 END, 1, CASE k % 3 WHEN 0 THEN 4 ELSE 2 END"),
-        _each("path, 'form' || path, 'Form_Load', 1, 0, 0, 1"),
+        _each("path, 'Code' || path AS object, 'OpenIt' AS name, 3 AS statements, 0 AS branches, 0 AS loops, 1 AS cyclomatic_complexity"),
+        _each("path, 'Code' || path, 'Work', CASE k % 3 WHEN 0 THEN 4 ELSE 1 END, CASE k % 3 WHEN 0 THEN 2 ELSE 0 END, 1, CASE k % 3 WHEN 0 THEN 4 ELSE 2 END"),
+        _each("path, 'Main' || path, 'Form_Load', 1, 0, 0, 1"),
     ),
 )
 def _(spark, sf_dir):
@@ -198,22 +235,29 @@ def _(spark, sf_dir):
 @register(
     "package_edges",
     _union(
-        _each("path, 'query:query' || path AS src, 'table:table' || path AS dst, 'reads' AS edge"),
-        _each("path, 'form:form' || path, 'query:query' || path, 'reads'"),
-        _each("path, 'form:form' || path, 'proc:form' || path || ':form_load', 'contains'"),
-        _each("path, 'form:form' || path, 'proc:form' || path || ':form_load', 'handles'"),
-        _each("path, 'module:module' || path, 'proc:module' || path || ':openit', 'contains'"),
-        _each("path, 'module:module' || path, 'proc:module' || path || ':work', 'contains'"),
-        _each("path, 'proc:module' || path || ':openit', 'proc:module' || path || ':work', 'calls'"),
-        _each("path, 'proc:form' || path || ':form_load', 'proc:module' || path || ':work', 'calls'"),
-        _each("path, 'proc:module' || path || ':openit', 'form:form' || path, 'opens'"),
+        _each("path, 'query:open' || path AS src, 'table:kegs' || path AS dst, 'reads' AS edge"),
+        _each("path, 'form:main' || path, 'query:open' || path, 'reads'"),
+        _each("path, 'form:lines' || path, 'table:kegs' || path, 'reads'"),
+        _each("path, 'form:main' || path, 'form:lines' || path, 'embeds'"),
+        _each("path, 'form:main' || path, 'proc:main' || path || ':form_load', 'contains'"),
+        _each("path, 'form:main' || path, 'proc:main' || path || ':form_load', 'handles'"),
+        _each("path, 'form:main' || path, 'macro:flow' || path, 'handles'"),
+        _each("path, 'datamacro:kegs' || path, 'table:kegs' || path, 'trigger'"),
+        _each("path, 'macro:flow' || path, 'form:lines' || path, 'opens'"),
+        _each("path, 'macro:flow' || path, 'proc:code' || path || ':work', 'calls'"),
+        _each("path, 'module:code' || path, 'proc:code' || path || ':openit', 'contains'"),
+        _each("path, 'module:code' || path, 'proc:code' || path || ':work', 'contains'"),
+        _each("path, 'proc:code' || path || ':openit', 'proc:code' || path || ':work', 'calls'"),
+        _each("path, 'proc:main' || path || ':form_load', 'proc:code' || path || ':work', 'calls'"),
+        _each("path, 'proc:code' || path || ':openit', 'form:main' || path, 'opens'"),
+        _each("path, 'proc:code' || path || ':openit', 'table:kegs' || path, 'reads'"),
     ),
 )
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).edges().filter("edge <> 'trigger'")
+    return converted(spark, sf_dir).edges()
 
 
-@register("package_features", _union(*[_each(f"path, '{f}' AS feature, 'not_started' AS status, '{c}' AS reason_code, CAST({n} AS BIGINT) AS entries, CAST({o} AS BIGINT) AS objects") for f, c, n, o in [*[(f, c, 1, "NULL") for f, _, c in packages.FEATURES if f in ("table_data", "navigation_pane", "package_relationships", "package_metadata")], (*packages.TARGET, 0, 6)]]))
+@register("package_features", _union(*[_each(f"path, '{f}' AS feature, 'not_started' AS status, '{c}' AS reason_code, CAST({n} AS BIGINT) AS entries, CAST({o} AS BIGINT) AS objects") for f, c, n, o in [*[(f, c, 2 if f == "package_metadata" else 1, "NULL") for f, _, c in packages.FEATURES if f in ("table_data", "relationships", "navigation_pane", "package_relationships", "package_metadata")], (*packages.TARGET, 0, 8)]]))
 def _(spark, sf_dir):
     return packages.features(entries(spark, sf_dir)).drop("names")
 
@@ -236,7 +280,9 @@ def _(spark, sf_dir):
 _CODE_SQL = _union(
     "SELECT 'MACRO_STORED_AS_FLAT_ACTION_LIST' AS name, count(*) AS n FROM g",
     "SELECT 'VBA_DRIVES_ACCESS_UI', count(*) FROM g",
-    "SELECT 'MACRO_ACTION_UI_NOT_TRANSLATABLE', count(*) FILTER (k % 2 = 0) FROM g",
+    "SELECT 'MACRO_ACTION_UI_NOT_TRANSLATABLE', count(*) + count(*) FILTER (k % 2 = 0) FROM g",
+    "SELECT 'MACRO_ACTION_SYSTEM_NOT_TRANSLATABLE', count(*) FROM g",
+    "SELECT 'RELATIONSHIP_XML_NOT_PARSED', count(*) FILTER (k % 7 = 0) FROM g",
     "SELECT 'UNKNOWN_FUNCTION', count(*) FILTER (k % 4 = 0) FROM g",
     "SELECT 'USER_DEFINED_VBA_FUNCTION', count(*) FILTER (k % 4 > 1) FROM g",
 )
@@ -254,21 +300,26 @@ def _(spark, sf_dir):
     return converted(spark, sf_dir).corpus_report()
 
 
-@register("package_payload", _each("path, 6 AS objects, 3 AS procedures, 9 AS edges, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' WHEN 1 THEN NULL ELSE 'USER_DEFINED_VBA_FUNCTION' END AS query_problem"))
+@register("package_payload", _each("path, 8 AS objects, 3 AS procedures, 16 AS edges, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' WHEN 1 THEN NULL ELSE 'USER_DEFINED_VBA_FUNCTION' END AS query_problem"))
 def _(spark, sf_dir):
     payload = F.from_json("payload", "objects array<struct<kind:string,problems:array<struct<reason_code:string>>>>, procedures array<struct<name:string>>, edges array<struct<edge:string>>").alias("p")
     rows = converted(spark, sf_dir).payload().select("path", payload)
     query = F.filter("p.objects", lambda o: o["kind"] == "query")
-    edges = F.filter("p.edges", lambda e: e["edge"] != "trigger")
-    return rows.select("path", F.size("p.objects").alias("objects"), F.size("p.procedures").alias("procedures"), F.size(edges).alias("edges"), F.get(F.get(query, 0)["problems"], 0)["reason_code"].alias("query_problem"))
+    return rows.select("path", F.size("p.objects").alias("objects"), F.size("p.procedures").alias("procedures"), F.size("p.edges").alias("edges"), F.get(F.get(query, 0)["problems"], 0)["reason_code"].alias("query_problem"))
+
+
+def _flow(proc: str, edges: list[tuple[int, int, str]], where: str = "true") -> list[str]:
+    return [_each(f"path, '{proc}' AS proc, {a} AS \"from\", {b} AS \"to\", '{label}' AS label", where) for a, b, label in edges]
+
+
+#: A loop around a branch with an exit, and a loop of nothing.
+_BRANCH = [(0, 1, ""), (1, 2, "loop_body"), (2, 3, "yes"), (2, 4, "no"), (4, 1, "loop_next"), (1, 5, "loop_exit"), (3, 5, "break")]
+_EMPTY = [(0, 1, ""), (1, 1, "loop_body"), (1, 2, "loop_exit")]
 
 
-@register("package_flow", _union(_each("path, 'OpenIt' AS proc, CAST(4 AS BIGINT) AS nodes, CAST(3 AS BIGINT) AS edges"), _each("path, 'Form_Load', 3, 2")))
+@register("package_flow", _union(*_flow("OpenIt", [(i, i + 1, "") for i in range(4)]), *_flow("Form_Load", [(0, 1, ""), (1, 2, "")]), *_flow("Work", _BRANCH, "k % 3 = 0"), *_flow("Work", _EMPTY, "k % 3 <> 0")))
 def _(spark, sf_dir):
-    made = converted(spark, sf_dir)
-    wanted = F.col("proc").isin("OpenIt", "Form_Load")
-    nodes = made.cfg_nodes().filter(wanted).groupBy("path", "proc").agg(F.count(F.lit(1)).alias("nodes"))
-    return nodes.join(made.cfg_edges().filter(wanted).groupBy("path", "proc").agg(F.count(F.lit(1)).alias("edges")), ["path", "proc"])
+    return converted(spark, sf_dir).cfg_edges().filter(F.col("proc").isin("OpenIt", "Form_Load", "Work")).select("path", "proc", "from", "to", "label")
 
 
 _CATALOG = [("Kunden", 1, "table"), ("fern", 6, "linked_table"), ("abfrage", 5, "query"), ("~sq_f", 5, "query"), ("form", -32768, "form"), ("bericht", -32764, "report"), ("makro", -32766, "macro"), ("modul", -32761, "module")]
@@ -302,7 +353,7 @@ _INPUT_SQL = f"""SELECT {_K} || CASE {_K} % 5 WHEN 0 THEN '/a.accdt' WHEN 1 THEN
  CASE {_K} % 5 WHEN 0 THEN 'accdt' WHEN 1 THEN %s WHEN 2 THEN %s WHEN 4 THEN 'accdt' END AS family,
  CASE {_K} % 5 WHEN 0 THEN CASE WHEN {_K} % 10 = 0 THEN 'failed' ELSE 'converted' END WHEN 1 THEN %s WHEN 4 THEN 'failed' ELSE 'unsupported' END AS status,
  CASE {_K} % 5 WHEN 0 THEN CASE WHEN {_K} % 10 = 0 THEN 'UNSAFE_PACKAGE_PATH' END WHEN 1 THEN %s WHEN 2 THEN %s WHEN 3 THEN 'UNSUPPORTED_INPUT_FORMAT' ELSE 'INVALID_ACCDT_PACKAGE' END AS reason_code,
- CASE WHEN {_K} % 5 = 0 AND {_K} % 10 <> 0 THEN 6 WHEN {_K} % 5 = 1 THEN %s ELSE 0 END AS objects FROM supplier""".replace(" % ", " %% ")
+ CASE WHEN {_K} % 5 = 0 AND {_K} % 10 <> 0 THEN 8 WHEN {_K} % 5 = 1 THEN %s ELSE 0 END AS objects FROM supplier""".replace(" % ", " %% ")
 
 
 @register("input_status", _INPUT_SQL % ("'jet3'", "NULL", "'discovered'", "'BINARY_OBJECT_DEFINITION_EXTRACTION_NOT_IMPLEMENTED'", "'BINARY_CATALOG_NOT_READABLE'", "1"))

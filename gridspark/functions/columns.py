@@ -266,6 +266,36 @@ def aggregate(name: str, x: Column, order: Column | None = None) -> Column:
     return _AGGREGATE[name](x)
 
 
+#: A part of a Like pattern: a class of characters, or one character.
+_LIKE_PART = r"\[!?[^\]]+\]|[\s\S]"
+#: Characters that mean something inside a class of a regular expression, and outside of one.
+_IN_CLASS, _IN_REGEX = r"[\\\[\^&]", r"[\\^$.|?*+(){}\[\]]"
+
+
+def like_regex(pattern: str, case_sensitive: bool = True) -> str:
+    """A Like pattern as a regular expression: *, ?, #, [abc], [a-c] and [!a-c]; a bracket without an end is itself."""
+
+    def part(p: str) -> str:
+        if len(p) > 1:
+            return f"[{'^' if p[1] == '!' and len(p) > 3 else ''}{re.sub(_IN_CLASS, lambda m: chr(92) + m[0], p[2:-1] if p[1] == '!' and len(p) > 3 else p[1:-1])}]"
+        return {"*": ".*", "?": ".", "#": "[0-9]"}.get(p) or re.sub(_IN_REGEX, lambda m: chr(92) + m[0], p)
+
+    return ("(?s)" if case_sensitive else "(?isu)") + "\\A" + "".join(map(part, re.findall(_LIKE_PART, pattern))) + "\\z"
+
+
+def _like_regex(pattern: Column, case_sensitive: bool) -> Column:
+    """`like_regex` of a column of patterns."""
+    escaped = lambda c, which: F.regexp_replace(c, which, r"\\$0")
+
+    def part(p: Column) -> Column:
+        negated = (F.substring(p, 2, 1) == "!") & (F.length(p) > 3)
+        inner = F.when(negated, F.substring(p, F.lit(3), F.length(p) - 3)).otherwise(F.substring(p, F.lit(2), F.length(p) - 2))
+        return F.when(F.length(p) > 1, F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), escaped(inner, _IN_CLASS), F.lit("]"))).when(p == "*", ".*").when(p == "?", ".").when(p == "#", "[0-9]").otherwise(escaped(p, _IN_REGEX))
+
+    parts = F.transform(F.regexp_extract_all(pattern.cast("string"), F.lit(f"({_LIKE_PART})"), F.lit(1)), part)
+    return F.concat(F.lit(("(?s)" if case_sensitive else "(?isu)") + "\\A"), F.array_join(parts, ""), F.lit("\\z"))
+
+
 class Compiler:
     def __init__(self, context: Context):
         self.context = context
@@ -329,14 +359,12 @@ class Compiler:
 
     def _like(self, n: Node) -> Column:
         value, pattern = self.column(n.children[0]), n.children[1]
-        if pattern.kind == "string":
-            text = like_pattern(pattern.value)
-            made = value.like(text) if self.context.case_sensitive_like else value.ilike(text)
+        strict = self.context.case_sensitive_like
+        if pattern.kind == "string" and not re.search(r"[#\[]", pattern.value):
+            text = like_pattern(pattern.value.replace("\\", "\\\\"))
+            made = value.like(text) if strict else value.ilike(text)
         else:
-            p = self.column(pattern)
-            for old, new in (("\\", "\\\\"), ("%", "\\%"), ("_", "\\_"), ("*", "%"), ("?", "_")):
-                p = F.replace(p, F.lit(old), F.lit(new))
-            made = F.call_function("like", value, p) if self.context.case_sensitive_like else F.call_function("ilike", value, p)
+            made = F.call_function("rlike", value.cast("string"), F.lit(like_regex(pattern.value, strict)) if pattern.kind == "string" else _like_regex(self.column(pattern), strict))
         return ~made if n.negated else made
 
     def _binary(self, n: Node) -> Column:
@@ -356,6 +384,11 @@ class Compiler:
             "<=": lambda: a <= b, ">=": lambda: a >= b, "and": lambda: a & b, "or": lambda: a | b, "xor": lambda: a != b, "eqv": lambda: a == b, "imp": lambda: ~a | b,
         }[op]()
 
+    def _subquery(self, n: Node) -> Column:
+        raise CompileError("STORED_SQL_NOT_RE_PARSED", "a SELECT where none can be joined")
+
+    _in_query = _exists = _quantified = _subquery
+
     def _literal(self, n: Node, what: str) -> str:
         if n.kind != "string":
             raise CompileError("ACCESS_RUNTIME_FUNCTION", f"{what} needs a literal")

@@ -23,6 +23,8 @@ _TOKEN = re.compile(
 )
 WORDS = frozenset({"and", "or", "not", "xor", "eqv", "imp", "like", "in", "between", "is", "null", "true", "false", "mod"})
 LEVELS = {"imp": 1, "eqv": 2, "xor": 3, "or": 4, "and": 5, "not": 6, "compare": 7, "&": 8, "+": 9, "-": 9, "mod": 10, "\\": 11, "*": 12, "/": 12, "unary": 13, "^": 14}
+#: Kinds of nodes that hold the text of a SELECT.
+SUBQUERIES = frozenset({"subquery", "in_query", "exists", "quantified"})
 COMPARISONS = frozenset({"=", "<>", "<", ">", "<=", ">="})
 
 
@@ -40,7 +42,8 @@ class Token:
 @dataclass(frozen=True)
 class Node:
     """kind: string, number, date, bool, null, name, star, member, call, unary, binary,
-    between, in, isnull, like or group; value: its text; children: its operands."""
+    between, in, isnull, like, group, or one of SUBQUERIES (whose value is the SELECT's
+    text); value: its text; children: its operands."""
 
     kind: str
     value: str = ""
@@ -69,7 +72,7 @@ def tokens(text: str) -> list[Token]:
 
 class _Parser:
     def __init__(self, text: str):
-        self.items, self.at = tokens(text), 0
+        self.text, self.items, self.at = text, tokens(text), 0
 
     def peek(self, ahead: int = 0) -> str:
         i = self.at + ahead
@@ -87,6 +90,19 @@ class _Parser:
             found = self.items[self.at].text if self.at < len(self.items) else "the end"
             raise ParseError(f"expected {text}, found {found}")
 
+    def select(self) -> str | None:
+        """The text of a SELECT in parentheses, if one stands here."""
+        ahead = self.items[self.at + 1] if self.at + 1 < len(self.items) else None
+        if self.peek() != "(" or ahead is None or ahead.kind != "name" or ahead.text.lower() != "select":
+            return None
+        depth, start = 0, ahead.at
+        while self.at < len(self.items):
+            depth += (self.peek() == "(") - (self.peek() == ")")
+            self.at += 1
+            if not depth:
+                return self.text[start : self.items[self.at - 1].at].strip()
+        raise ParseError("expected ), found the end")
+
     def whole(self) -> Node:
         node = self.expression(0)
         if self.at < len(self.items):
@@ -121,10 +137,20 @@ class _Parser:
             self.need("and")
             return Node("between", "", (left, low, self.expression(inner)), negated)
         if word == "in":
+            inner = self.select()
+            if inner is not None:
+                return Node("in_query", inner, (left,), negated)
             self.need("(")
             return Node("in", "", (left, *self.arguments(")")), negated)
         if word == "like":
             return Node("like", "", (left, self.expression(inner)), negated)
+        ahead = self.items[self.at] if self.at < len(self.items) else None
+        if ahead is not None and ahead.kind == "name" and ahead.text.lower() in ("any", "some", "all"):
+            self.at += 1
+            query = self.select()
+            if query is not None:
+                return Node("quantified", query, (left,), path=(word, "all" if ahead.text.lower() == "all" else "any"))
+            self.at -= 1
         return Node("binary", word, (left, self.expression(inner)))
 
     def arguments(self, close: str) -> list[Node]:
@@ -170,8 +196,15 @@ class _Parser:
     def primary(self) -> Node:
         if self.at >= len(self.items):
             raise ParseError("unexpected end")
+        query = self.select()
+        if query is not None:
+            return Node("subquery", query)
         t = self.items[self.at]
         self.at += 1
+        if t.kind == "name" and t.text.lower() == "exists":
+            query = self.select()
+            if query is not None:
+                return Node("exists", query)
         if t.kind == "op" and t.text == "(":
             node = self.expression(0)
             self.need(")")

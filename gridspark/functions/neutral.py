@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from .grammar import Node, ParseError, parse
+from .grammar import SUBQUERIES, Node, ParseError, parse, walk
 from .registry import DIRECT, HOST_ROOTS, UI_ROOTS, Finding, support_of
 
 _BARE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -205,6 +205,8 @@ def analyse(source: str | None, known_functions: frozenset[str] | set[str] = fro
     out = Analysis(source or "")
     try:
         out.tree = parse(source or "")
+        if out.tree is not None and any(n.kind in SUBQUERIES for n in walk(out.tree)):
+            raise ParseError("a SELECT has no form as an expression")
     except ParseError as error:
         out.parse_error = str(error)
         out.add("EXPRESSION_PARSE_FAILED", source or "", str(error))

@@ -78,11 +78,6 @@ def unions(text: str) -> list[tuple[str, bool]]:
     return [*out, (text[at:].strip(), keep)]
 
 
-def has_subquery(text: str) -> bool:
-    """Whether a SELECT stands inside an expression's parentheses."""
-    return re.search(r"\(\s*select\b", re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\[[^\]]*\]", "''", text), re.I) is not None
-
-
 def _unwrap(text: str) -> str:
     text = text.strip()
     while text.startswith("(") and not words(text) and text.endswith(")"):
@@ -133,22 +128,20 @@ def read_from(text: str, model: QueryModel, subqueries: dict[str, str]) -> list[
 def read_select(sql: str) -> tuple[QueryModel, dict[str, str]]:
     """(model, SELECT text by name of table) of one SELECT without UNION; INTO is left out."""
     text = sql.strip()
-    m = re.match(r"SELECT\s+(?:ALL\s+)?(DISTINCT(?:ROW)?\s+)?(?:TOP\s+(\d+)\s+(?!PERCENT\b))?", text, re.I)
+    m = re.match(r"SELECT\s+(?:ALL\s+)?(DISTINCT(?:ROW)?\s+)?(?:TOP\s+(\d+(?:\.\d+)?)\s+(PERCENT\s+)?)?", text, re.I)
     if not m or re.match(r"TOP\b", text[m.end() :], re.I):
         raise fail("select")
     body = clauses(text[m.end() :], "into", "from", "where", "group by", "having", "order by")
     first = next((a for w, a, _ in words(text[m.end() :]) if w in ("into", "from")), len(text) - m.end())
     if "from" not in body:
         raise fail("no table")
-    model, subqueries = QueryModel("stored", distinct=bool(m[1]), top=m[2]), {}
+    model, subqueries = QueryModel("stored", distinct=bool(m[1]), top=f"{m[2]}%" if m[3] else m[2]), {}
     read_from(body["from"], model, subqueries)
     for item in split_commas(text[m.end() : m.end() + first]):
         named = [(a, b) for w, a, b in words(item) if w == "as"]
-        if item.strip() == "*":
-            continue
         model.columns.append(OutputColumn(item[: named[-1][0]].strip(), bare(item[named[-1][1] :])) if named else OutputColumn(item.strip()))
-    if len(split_commas(text[m.end() : m.end() + first])) > 1 and any(i.strip() == "*" for i in split_commas(text[m.end() : m.end() + first])):
-        model.columns = [OutputColumn("*"), *model.columns]
+    if [c.expression for c in model.columns] == ["*"]:
+        model.columns = []
     model.where, model.having = body.get("where"), body.get("having")
     model.groups = [OutputColumn(g) for g in split_commas(body["group by"])] if "group by" in body else []
     for item in split_commas(body["order by"]) if "order by" in body else []:

@@ -13,12 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.checkpoints import written
 from gridspark.functions.columns import CompileError, Compiler, Context, aggregate, compile_expression, frame_context
 from gridspark.functions.grammar import Node, parse, walk
 from gridspark.functions.registry import AGGREGATES, DOMAIN
 
 from .model import QueryModel, fold_joins, read_query
+from .running import RUNNING, running_values, split_criteria
 from .stored import run_stored
+from .subqueries import attach, filtered, has_subquery
 from .tables import External, Tables, bracketed, parquet_tables  # noqa: F401
 
 
@@ -64,7 +67,7 @@ def _domain_key(criteria: Node) -> tuple[str, Node] | None:
     """("field", expression) of a criterion that is text ending in = joined to an expression."""
     if criteria.kind == "binary" and criteria.value == "&" and criteria.children[0].kind == "string":
         text = criteria.children[0].value.strip()
-        if text.endswith("="):
+        if text.endswith("=") and text[-2:-1] not in ("<", ">"):
             return text[:-1].strip(), criteria.children[1]
     return None
 
@@ -83,7 +86,7 @@ def _attach_domain(df: DataFrame, node: Node, number: int, tables: Tables, conte
     if key is None:
         if len(args) > 2:
             if args[2].kind != "string":
-                return _attach_correlated(df, domain, args[2], made, column, inner, context, name == "dcount")
+                return _attach_correlated(df, domain, args[2], made, column, inner, context, _DOMAIN[name], value if args[0].value.strip() != "*" else F.lit(1))
             domain = domain.filter(compile_expression(args[2].value, inner))
         return df.crossJoin(F.broadcast(domain.agg(made))), F.col(column)  # one row
     grouped = domain.groupBy(compile_expression(key[0], inner).alias(f"{column}_key")).agg(made)
@@ -98,11 +101,12 @@ def _pieces(criteria: Node) -> list[Node]:
     return _pieces(criteria.children[0]) if criteria.kind == "group" else [criteria]
 
 
-def _attach_correlated(df: DataFrame, domain: DataFrame, criteria: Node, made: Column, column: str, inner: Context, context: Context, counts: bool) -> tuple[DataFrame, Column]:
+def _attach_correlated(df: DataFrame, domain: DataFrame, criteria: Node, made: Column, column: str, inner: Context, context: Context, kind: str, value: Column) -> tuple[DataFrame, Column]:
     """Joins a domain aggregate whose criteria are text put together from values of the row.
 
     The text is read with a name in the place of each value (and of the quotes around
-    it). The distinct values are joined with the domain, aggregated, and joined back.
+    it). The distinct values are joined with the domain, aggregated, and joined back; where
+    the criteria are equalities and one range, running sums take the place of that join.
     """
     text, values = "", []
     pieces = _pieces(criteria)
@@ -120,15 +124,22 @@ def _attach_correlated(df: DataFrame, domain: DataFrame, criteria: Node, made: C
     names = [f"{column}_{i}" for i in range(len(values))]
     keys = df.select(*[v.alias(n) for v, n in zip(values, names, strict=True)]).distinct()
     resolve = lambda path: F.col(path[-1]) if path[-1] in names else inner.resolve(path)
-    test = compile_expression(text, replace(inner, resolve=resolve))
-    grouped = keys.join(domain, test).groupBy(*names).agg(made)
+    both = replace(inner, resolve=resolve)
+    split = split_criteria(parse(text), names)
+    if split and kind in RUNNING:
+        grouped = running_values(keys, domain, split, value, kind, names, inner, both).withColumnRenamed("__value", column)
+    else:
+        grouped = keys.join(domain, compile_expression(text, both)).groupBy(*names).agg(made)
     on = reduce(lambda a, b: a & b, [v.eqNullSafe(F.col(n)) for v, n in zip(values, names, strict=True)])
-    return df.join(grouped, on, "left").drop(*names), F.coalesce(F.col(column), F.lit(0)) if counts else F.col(column)
+    return df.join(grouped, on, "left").drop(*names), F.coalesce(F.col(column), F.lit(0)) if kind == "count" else F.col(column)
+
 
+def joined_sources(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, order: str | None = None, null_concat: str = "sql", given: dict[str, DataFrame] | None = None) -> tuple[DataFrame, Context]:
+    """The joined tables of a model, and the context in which its expressions find their columns.
 
-def joined_sources(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, order: str | None = None, null_concat: str = "sql") -> tuple[DataFrame, Context]:
-    """The joined tables of a model, and the context in which its expressions find their columns."""
-    frames = {s.key: tables(s.name).alias(s.key) for s in model.sources}
+    `given`: frames that take the place of the table of an alias.
+    """
+    frames = {s.key: (given[s.key] if given and s.key in given else tables(s.name)).alias(s.key) for s in model.sources}
     names = _Frames(frames)
     context = names.context(params=params or {}, null_concat=null_concat)
     if order:
@@ -151,6 +162,25 @@ def joined_sources(model: QueryModel, tables: Tables, params: dict[str, object]
     return df, context
 
 
+def first_percent(df: DataFrame, sorts: list[Column], percent: float) -> DataFrame:
+    """The first `percent` of the rows by `sorts`, rounded up.
+
+    Rows are dealt by ranges of the order and numbered within each; the ranges' sizes, a row
+    each, give what lies before a range. So no task sees more than its range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *sorts).sortWithinPartitions(*sorts) if sorts else df
+    rows = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "top")
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = sizes.select("__part", (F.sum("__size").over(before) - F.col("__size")).alias("__start"), F.ceil(total * percent / 100).alias("__wanted"))
+    numbered = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    out = numbered.filter(F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) < F.col("__wanted"))
+    return out.orderBy("__at").select(*[bracketed(c) for c in df.columns])
+
+
 def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | None = None, ties: bool = False, order: str | None = None, null_concat: str = "sql", external: External | None = None) -> DataFrame:
     """The DataFrame of a select model.
 
@@ -170,16 +200,21 @@ def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | Non
             if node.kind == "call" and node.path[-1].lower() in DOMAIN and node not in context.replaced:
                 df, context.replaced[node] = _attach_domain(df, node, number, tables, context, order)
                 number += 1
-    compiler = Compiler(context)
-    column = lambda text: compiler.column(trees[text])
+    added = [c for i in range(number) for c in (f"__domain_{i}", f"__domain_{i}_key")]
     if model.where:
-        df = df.filter(column(model.where))
+        df, more = filtered(df, trees[model.where], tables, context)
+        added += more
+    compiler = Compiler(context)
 
     outputs: list[tuple[str, Node, str]] = []
     for c in model.columns:
         tree = trees[c.expression]
         outputs.append((c.expression, tree, c.alias or (tree.path[-1] if tree.path and tree.kind != "call" else c.expression)))
     grouped = bool(model.groups) or any(_has_aggregate(t) for _, t, _ in outputs)
+    late = [t for t in (*(t for _, t, _ in outputs), *(trees[o.expression] for o in model.ordering), *([trees[model.having]] if model.having else [])) if has_subquery(t)]
+    if not grouped:
+        df, more = attach(df, late, tables, context)
+        added += more
     if grouped:
         keys = {trees[g.expression]: f"__group_{i}" for i, g in enumerate(model.groups)}
         measures: dict[Node, str] = {}
@@ -207,7 +242,9 @@ def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | Non
                 return Compiler(after).column(aliases[tail])
             return outer(path)
 
-        compiler = Compiler(replace(after, resolve=resolve))
+        after = replace(after, resolve=resolve)
+        df, _ = attach(df, late, tables, after)
+        compiler = Compiler(after)
         if model.having:
             df = df.filter(compiler.column(trees[model.having]))
     shown = []
@@ -230,14 +267,16 @@ def run_model(model: QueryModel, tables: Tables, params: dict[str, object] | Non
         df = df.select(*everything, *extra).distinct()  # what DISTINCT is ordered by is among its columns
     else:
         df = df.select(*everything, *extra)
-    if model.top and sorts and ties:
+    if model.top and sorts and ties and not model.top.endswith("%"):
         # rank()<=n over one ordering: Spark's group limit keeps n rows and their ties a task before the last sort
         df = df.withColumn("__rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(*sorts))).filter(F.col("__rank") <= int(model.top)).drop("__rank").orderBy(*sorts)
     elif sorts:
         df = df.orderBy(*sorts)
-    if model.top and not (sorts and ties):
+    if model.top and model.top.endswith("%"):
+        df = first_percent(df, sorts, float(model.top[:-1]))
+    elif model.top and not (sorts and ties):
         df = df.limit(int(model.top))
-    return df.drop(*[f"__sort_{i}" for i in range(len(model.ordering))])
+    return df.drop(*added, *[f"__sort_{i}" for i in range(len(model.ordering))])
 
 
 def run_query(definition: str, tables: Tables, **options) -> DataFrame:

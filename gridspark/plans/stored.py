@@ -1,9 +1,8 @@
 """Stored SQL: SELECT text as query models, and action queries as set operations.
 
 Clauses are cut apart and their expressions compiled by the same compiler as those of
-design grids, so functions, wildcards, dates and parameters mean the same. SELECT text
-with subqueries inside expressions goes to Spark's SQL with its literals, wildcards and
-simple functions replaced. Tables are immutable; an action query gives the whole table
+design grids, so functions, wildcards, dates and parameters mean the same; subqueries
+inside them become joins. Tables are immutable; an action query gives the whole table
 as it is afterwards.
 """
 
@@ -17,86 +16,24 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.columns import CompileError, Context, compile_expression, frame_context
 from gridspark.functions.grammar import parse, walk
-from gridspark.functions.neutral import like_pattern, ui_parameter
-from gridspark.functions.registry import support_of
 
-from .clauses import bare, clauses, fail, has_subquery, read_from, read_select, split_commas, unions, without_parameters, words
-from .model import QueryModel, source_tables, stored_kind
+from .clauses import bare, clauses, fail, read_from, read_select, split_commas, unions, without_parameters, words
+from .model import QueryModel, stored_kind
+from .subqueries import attach, condition, filtered
 from .tables import External, Tables, bracketed
 
-_PIECES = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|#[^#\n]*#|\[[^\]]*\](?:\s*!\s*\[[^\]]*\])*|[^'\"#\[]+")
-
-
-#: Functions of the dialect that Spark has under another name with the same arguments.
-_SAME = {"iif": "if", "nz": "nvl", "len": "char_length", "ucase": "upper", "lcase": "lower", "mid": "substring", "int": "floor", "sqr": "sqrt", "sgn": "sign", "chr": "chr", "asc": "ascii"}
-_SPARK = frozenset("abs exp round left right trim ltrim rtrim replace year month day hour minute second sum avg min max count first last now".split())
-
-
-def _spark_call(m: re.Match) -> str:
-    name = m[1].lower()
-    if name in _SAME:
-        return _SAME[name]
-    if support_of(name) is not None and name not in _SPARK:
-        raise CompileError("FUNCTION_REWRITE_INCOMPLETE", f"{name} beside a subquery")
-    return m[0]
-
-
-def spark_sql(sql: str) -> tuple[str, int | None, list[str]]:
-    """(text for Spark, TOP n, parameter names): brackets, literals, & and TOP of the dialect replaced."""
-    out, params = [], []
-    pattern = False  # whether the next literal is a pattern of Like
-    for piece in _PIECES.findall(sql.strip().rstrip(";")):
-        if piece[0] == "[":
-            parts = re.findall(r"\[([^\]]*)\]", piece)
-            if len(parts) > 1:
-                params.append(ui_parameter(tuple(parts)))
-                out.append(f":{params[-1]}")
-            else:
-                out.append(bracketed(parts[0]))
-        elif piece[0] in "'\"":
-            value = piece[1:-1].replace(piece[0] * 2, piece[0])
-            out.append("'" + (like_pattern(value) if pattern else value).replace("\\", "\\\\").replace("'", "''") + "'")
-        elif piece[0] == "#":
-            m = re.fullmatch(r"#(\d{1,2})/(\d{1,2})/(\d{4})#", piece)
-            out.append(f"TIMESTAMP '{m[3]}-{int(m[1]):02}-{int(m[2]):02} 00:00:00'" if m else f"TIMESTAMP '{piece.strip('#')}'")
-        else:
-            out.append(re.sub(r"\b([A-Za-z]\w*)\$?(?=\s*\()", _spark_call, piece).replace("&", "||"))
-        pattern = re.search(r"\bLIKE\s*$", piece, re.I) is not None
-    text = "".join(out)
-    m = re.match(r"\s*SELECT\s+(DISTINCT\s+)?TOP\s+(\d+)\s+", text, re.I)
-    top = int(m[2]) if m else None
-    return ("SELECT " + (m[1] or "") + text[m.end() :] if m else text), top, params
-
-
-def _spark_select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
-    text, top, wanted = spark_sql(sql)
-    spark, views = None, {}
-    for i, name in enumerate(source_tables(sql)):
-        df = tables(name)
-        spark = df.sparkSession
-        views[f"t{i}"] = df
-        text = re.sub(rf"(\b(?:FROM|JOIN)\s+)`?{re.escape(name)}`?(?!\w)(\s+AS\s+\w+)?(?=\s+(?!ON\b|WHERE\b|GROUP\b|ORDER\b|INNER\b|LEFT\b|RIGHT\b|UNION\b|HAVING\b|CROSS\b|LIMIT\b)\w|)", lambda m, i=i, name=name: f"{m[1]}{{t{i}}}{m[2] or f' AS {bracketed(name)}'}", text, flags=re.I)
-    if spark is None:
-        raise fail("no table")
-    given = {k: v for k, v in params.items() if k in wanted}
-    out = spark.sql(text, args=given or None, **views)
-    return out if top is None else out.limit(top)
-
-
 def _one(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     """One SELECT, as a model; its subqueries in FROM are tables of their own."""
     from .execute import run_model
 
     model, inner = read_select(sql)
     nested = {name.casefold(): text for name, text in inner.items()}
-    return run_model(model, lambda name: _select(nested[name.casefold()], tables, params) if name.casefold() in nested else tables(name), params)
+    return run_model(model, lambda name: select(nested[name.casefold()], tables, params) if name.casefold() in nested else tables(name), params)
 
 
-def _select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
+def select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     """A SELECT or a UNION of them; rows of a UNION are ordered by its last ORDER BY."""
     parts = unions(sql)
-    if any(has_subquery(_outside_from(p)) for p, _ in parts):
-        return _spark_select(sql, tables, params)
     if len(parts) == 1:
         return _one(sql, tables, params)
     order = clauses(parts[-1][0], "order by").get("order by")
@@ -115,27 +52,19 @@ def _select(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     return out
 
 
-def _outside_from(text: str) -> str:
-    """A SELECT without its FROM clause."""
-    found = words(text)
-    start = next((a for w, a, _ in found if w == "from"), len(text))
-    end = next((a for w, a, _ in found if a > start and w in ("where", "group", "having", "order")), len(text))
-    return text[:start] + text[end:]
-
-
 def _crosstab(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     """TRANSFORM agg SELECT rows FROM source GROUP BY rows PIVOT column [IN (values)]."""
     from .execute import joined_sources
 
-    body = clauses(sql, "transform", "select", "from", "where", "group by", "pivot")
+    body = clauses(sql, "transform", "select", "from", "where", "group by", "order by", "pivot")
     if not {"transform", "from", "group by", "pivot"} <= set(body):
         raise fail("crosstab")
     model = QueryModel("crosstab")
     nested: dict[str, str] = {}
     read_from(body["from"], model, nested)
-    df, context = joined_sources(model, lambda name: _select(nested[name], tables, params) if name in nested else tables(name), params)
+    df, context = joined_sources(model, lambda name: select(nested[name], tables, params) if name in nested else tables(name), params)
     if "where" in body:
-        df = df.filter(compile_expression(body["where"], context))
+        df, _ = filtered(df, parse(body["where"]), tables, context)
     aliases = {}
     for item in split_commas(body["select"]):
         at = [(a, b) for w, a, b in words(item) if w == "as"]
@@ -152,7 +81,18 @@ def _crosstab(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
         listed = [v.strip("'\"") for v in split_commas(inside[1:-1])]
         column = column[: found[-1][0]]
     keyed = df.withColumn("pivot_of", compile_expression(column, context))
-    return keyed.groupBy(*by).pivot("pivot_of", listed).agg(compile_expression(measure, context))
+    out = keyed.groupBy(*by).pivot("pivot_of", listed).agg(compile_expression(measure, context))
+    if "order by" not in body:
+        return out
+    heads = {x.casefold(): n for x, n in zip(split_commas(body["group by"]), names, strict=True)} | {n.casefold(): n for n in names}
+    keys = []
+    for item in split_commas(body["order by"]):
+        key = re.sub(r"\s+(ASC|DESC)$", "", item, flags=re.I)
+        if key.casefold() not in heads:
+            raise fail(f"crosstab ordered by {key}")
+        c = F.col(bracketed(heads[key.casefold()]))
+        keys.append(c.desc_nulls_last() if re.search(r"\sDESC$", item, re.I) else c.asc_nulls_first())
+    return out.orderBy(*keys)
 
 
 def _assignments(text: str, target: str, types: dict[str, tuple[str, str]], context: Context) -> dict[str, Column]:
@@ -185,20 +125,20 @@ def _update(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     df = tables(source.name)
     types = {c.lower(): (c, t) for c, t in df.dtypes}
     if len(model.sources) == 1:
-        context = frame_context(dict(df.dtypes), params)
-        hit = compile_expression(body["where"], context) if "where" in body else F.lit(True)
+        joined, context = joined_sources(model, tables, params)
+        joined, hit, added = condition(joined, body["where"], tables, context) if "where" in body else (joined, F.lit(True), [])
+        values = [x.partition("=")[2] for x in split_commas(body["set"])]
+        joined, more = attach(joined, [parse(v) for v in values], tables, context)
         new = _assignments(body["set"], source.key, types, context)
-        return df.withColumns({c: F.when(hit, v).otherwise(F.col(bracketed(c))) for c, v in new.items()})
+        return joined.withColumns({c: F.when(hit, v).otherwise(F.col(bracketed(c))) for c, v in new.items()}).drop(*added, *more)
     texts = [*(j.on for j in model.joins), *([body["where"]] if "where" in body else []), *(x.partition("=")[2] for x in split_commas(body["set"]))]
-    elsewhere = {c.lower() for s in model.sources[1:] for c in tables(s.name).columns}
-    read = {n.path[-1].lower() for t in texts for n in walk(parse(t)) if n.path and (n.path[-2].casefold() == source.key.casefold() if len(n.path) > 1 else n.path[-1].lower() not in elsewhere)}
-    used = [types[c][0] for c in sorted(read & set(types))]
+    used = _read_of(source.key, texts, types, {c.lower() for s in model.sources[1:] for c in tables(s.name).columns})
     if not used:
         raise fail("update without a condition on its table")
     distinct = df.select(*map(bracketed, used)).distinct()
-    joined, context = joined_sources(model, lambda name: distinct if name.casefold() == source.name.casefold() else tables(name), params)
+    joined, context = joined_sources(model, tables, params, given={source.key: distinct})
     if "where" in body:
-        joined = joined.filter(compile_expression(body["where"], context))
+        joined, _ = filtered(joined, parse(body["where"]), tables, context)
     new = _assignments(body["set"], source.key, types, context)
     keys = [context.resolve((source.key, c)).alias(f"key_{i}") for i, c in enumerate(used)]
     made = joined.groupBy(*keys).agg(F.min(F.struct(*[v.alias(c) for c, v in new.items()])).alias("changed"))
@@ -207,18 +147,48 @@ def _update(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
     return out.select(*[(F.when(F.col("changed").isNotNull(), F.col(f"changed.{bracketed(c)}")).otherwise(df[bracketed(c)]) if c in new else df[bracketed(c)]).alias(c) for c in df.columns])
 
 
+def _read_of(key: str, texts: list[str], own: dict[str, tuple[str, str]], elsewhere: set[str]) -> list[str]:
+    """The columns of one table of a join that expressions read."""
+    read = {n.path[-1].lower() for t in texts for n in walk(parse(t)) if n.path and (n.path[-2].casefold() == key.casefold() if len(n.path) > 1 else n.path[-1].lower() not in elsewhere)}
+    return [own[c][0] for c in sorted(read & set(own))]
+
+
 def _delete(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
+    """DELETE [t.*] FROM t [joined with others] [WHERE ...]: the rows of t that stay.
+
+    With a join, the distinct values that the statement reads of t are matched, and rows of
+    t that have such values go; so rows need no key.
+    """
+    from .execute import joined_sources
+
     body = clauses(sql, "delete", "from", "where")
     if "from" not in body:
         raise fail("delete")
     model = QueryModel("delete")
     read_from(body["from"], model, {})
-    if len(model.sources) > 1:
-        raise fail("delete from a join")
-    df = tables(model.sources[0].name)
-    if "where" not in body:
-        return df.limit(0)
-    return df.filter(~F.coalesce(compile_expression(body["where"], frame_context(dict(df.dtypes), params)), F.lit(False)))
+    named = body.get("delete", "").rstrip("*").rstrip(".").strip()
+    source = next((x for x in model.sources if x.key.casefold() == bare(named).casefold()), None) if named else model.sources[0]
+    if source is None:
+        raise fail(f"delete of {named}")
+    df = tables(source.name)
+    if len(model.sources) == 1:
+        if "where" not in body:
+            return df.limit(0)
+        joined, context = joined_sources(model, tables, params)
+        joined, hit, added = condition(joined, body["where"], tables, context)
+        return joined.filter(~F.coalesce(hit, F.lit(False))).drop(*added)
+    others = [x for x in model.sources if x is not source]
+    texts = [*(j.on for j in model.joins), *([body["where"]] if "where" in body else [])]
+    own = {c.lower(): (c, t) for c, t in df.dtypes}
+    used = _read_of(source.key, texts, own, {c.lower() for x in others for c in tables(x.name).columns})
+    if not used:
+        raise fail("delete without a condition on its table")
+    joined, context = joined_sources(model, tables, params, given={source.key: df.select(*map(bracketed, used)).distinct()})
+    if "where" in body:
+        joined, _ = filtered(joined, parse(body["where"]), tables, context)
+    gone = joined.select(*[context.resolve((source.key, c)).alias(f"key_{i}") for i, c in enumerate(used)]).distinct()
+    match = reduce(lambda a, b: a & b, [df[bracketed(c)].eqNullSafe(F.col(f"key_{i}")) for i, c in enumerate(used)])
+    return df.join(gone, match, "left_anti")
 
 
 def _insert(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
@@ -234,7 +204,7 @@ def _insert(sql: str, tables: Tables, params: dict[str, object]) -> DataFrame:
         values = [compile_expression(v, context) for v in split_commas(lists.strip()[1:-1])]
         rows = target.sparkSession.range(1).select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
     else:
-        rows = _select(rest, tables, params)
+        rows = select(rest, tables, params)
     columns = [bare(c) for c in m[2].split(",")] if m[2] else target.columns if m[3].lower() == "values" else rows.columns
     if len(columns) != len(rows.columns):
         raise fail("insert of another number of columns")
@@ -254,7 +224,7 @@ def run_stored(model: QueryModel, tables: Tables, params: dict[str, object] | No
     if model.connect:
         raise CompileError("PASS_THROUGH_QUERY_TARGETS_EXTERNAL_SERVER", model.connect)
     sql = without_parameters(model.stored_sql or "")
-    run = {"select": _select, "union": _select, "make_table": _select, "crosstab": _crosstab, "update": _update, "delete": _delete, "insert": _insert}.get(stored_kind(sql))
+    run = {"select": select, "union": select, "make_table": select, "crosstab": _crosstab, "update": _update, "delete": _delete, "insert": _insert}.get(stored_kind(sql))
     if run is None:
         raise CompileError("STORED_SQL_NOT_RE_PARSED", stored_kind(sql))
     return run(sql, tables, params or {})

@@ -7,6 +7,7 @@ control flow, references and edges are views of them. Names resolve within a pac
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -75,7 +76,7 @@ def _macro(model: macros.MacroModel, data: bool) -> Iterator[Record]:
             for s in top.walk():
                 if s.kind == "action":
                     yield "action", {"category": s.category, "action": s.name}
-                for key, value in s.arguments.items():
+                for key, value in () if data else s.arguments.items():
                     if key in ARGUMENT_KINDS and value:
                         yield _reference(value, "opens", ARGUMENT_KINDS[key])
                     if key == "FunctionName" and value:
@@ -126,8 +127,18 @@ def _parts(kind: str, name: str, text: str, known: frozenset[str]) -> Iterator[R
         yield from _code(text, name, known)
 
 
+def _relationships(text: str | None) -> Iterator[Record]:
+    for r in schema.read_relationships(text or ""):
+        yield "relationship", {"name": r.name, "child": r.child, "parent": r.parent, "child_columns": json.dumps(r.child_columns), "parent_columns": json.dumps(r.parent_columns), "enforced": str(r.enforced).lower(), "cascade_update": str(r.cascade_update).lower(), "cascade_delete": str(r.cascade_delete).lower(), "ddl": r.ddl()}
+
+
 def parse_part(kind: str, name: str, text: str | None, known: frozenset[str] = frozenset()) -> list[Record]:
     """Records of a part; one that fails to parse is an object with a finding."""
+    if kind == "relationships":
+        try:
+            return list(_relationships(text))
+        except (ValueError, ElementTree.ParseError) as error:
+            return [("finding", {"reason_code": "RELATIONSHIP_XML_NOT_PARSED", "detail": str(error), "note": ""})]
     try:
         if text is None:
             return [("object", {"name": name}), ("finding", {"reason_code": "SOURCE_TEXT_NOT_RETAINED", "detail": name, "note": ""})]
@@ -158,6 +169,12 @@ class Conversion:
     def procedures(self) -> DataFrame:
         return self._view("procedure", "name", "scope", statements="int", branches="int", loops="int", cyclomatic_complexity="int", data_access="boolean")
 
+    def relationships(self) -> DataFrame:
+        """One row per relationship of a package: its sides, their columns in order, its rules and its DDL."""
+        rows = self._view("relationship", "name", "child", "parent", "child_columns", "parent_columns", "ddl", enforced="boolean", cascade_update="boolean", cascade_delete="boolean")
+        listed = {c: F.from_json(c, "array<string>") for c in ("child_columns", "parent_columns")}
+        return rows.withColumns(listed).drop("object", "kind", "ordinal")
+
     def actions(self) -> DataFrame:
         return self._view("action", "category", "action")
 
@@ -241,16 +258,20 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def convert_parts(parts: DataFrame) -> Conversion:
-    """Parses `parts(path, object, kind, text)`. The names of a package's procedures are known to its expressions."""
+    """Parses `parts(path, object, kind, text)`. The names of a package's procedures are known to its expressions.
+
+    The parts are read twice, for those names and for all else, so they are unpacked into a table first.
+    """
+    parts = written(parts.select("path", "object", "kind", "text"), "parts")
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(path, p.name) for path, kind, text in zip(batch["path"], batch["kind"], batch["text"], strict=True) for p in vba.read_module((text or "") if kind == "module" else forms.split_code(text or "")[1] or "", "m").procedures]
             yield pd.DataFrame(rows, columns=["path", "name"])
 
-    coded = parts.filter(F.col("kind").isin("form", "report", "module")).select("path", "kind", "text").mapInPandas(names, "path string, name string")
+    coded = parts.filter(F.col("kind").isin("form", "report", "module")).mapInPandas(names, "path string, name string")
     known = coded.groupBy("path").agg(F.collect_set("name").alias("known"))
-    rows = parts.select("path", "object", "kind", "text").join(known, "path", "left")
+    rows = parts.join(known, "path", "left")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

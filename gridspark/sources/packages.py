@@ -19,7 +19,8 @@ from . import catalogs
 
 #: Limits of a package, and which parts define objects.
 MOST_ENTRIES, ENTRY_BYTES, TOTAL_BYTES, MOST_RATIO, RATIO_FROM = 5000, 16 << 20, 128 << 20, 250, 1 << 20
-PARTS = r"(?:^|/)(?:(table)[^/]*\.xsd|(query)[^/]*\.txt|(form)[^/]*\.txt|(report)[^/]*\.txt|(macro)[^/]*\.txt|(module)[^/]*\.txt|(datamacro)s/datamacros[^/]*\.axl)$"
+PARTS = r"^template/database/objects/(?i:(table)([^/]+)\.xsd|(query|form|report|macro|module)([^/]+)\.txt|datamacros/(datamacro)s([^/]+)\.axl)$"
+RELATIONSHIPS = "template/database/relationships.xml"
 TEMPLATE = "template/template.xml"
 ENTRIES = "path string, name string, size long, sha256 string, encoding string, text string, diagnostic string"
 
@@ -92,23 +93,27 @@ def package_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, ENTRIES)
 
 
+def _part(*groups: int) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract("name", PARTS, i), F.lit("")) for i in groups])
+
+
 def object_kind() -> Column:
     """The kind of object that an entry defines by its name; null for other entries."""
-    kinds = F.array(*[F.nullif(F.lower(F.regexp_extract("name", f"(?i){PARTS}", i)), F.lit("")) for i in range(1, 8)])
-    return F.coalesce(*[kinds[i] for i in range(7)])
+    return F.lower(_part(1, 3, 5))
 
 
 def object_parts(entries: DataFrame) -> DataFrame:
-    """Entries that define an object, with its kind and the object's name from the file name."""
-    stem = F.regexp_extract("name", r"([^/]+)\.[^./]+$", 1)
-    return entries.withColumn("kind", object_kind()).filter("kind is not null").withColumn("object", stem)
+    """Entries that define an object, with its kind and its name as definitions call it; and the relationships."""
+    relationships = F.col("name") == RELATIONSHIPS
+    rows = entries.withColumn("kind", F.when(relationships, "relationships").otherwise(object_kind())).filter("kind is not null")
+    return rows.withColumn("object", F.when(relationships, "relationships").otherwise(_part(2, 4, 6)))
 
 
 #: What entries that define no object are about: feature, pattern of the path, reason code.
 FEATURES = (
     ("table_data", "/sampledata/", "TABLE_DATA_TRANSLATION_NOT_IMPLEMENTED"),
     ("object_properties", "/properties/", "OBJECT_PROPERTIES_NORMALIZATION_NOT_IMPLEMENTED"),
-    ("relationships", "^template/database/relationships.xml$", "RELATIONSHIP_TRANSLATION_NOT_IMPLEMENTED"),
+    ("relationships", f"^{RELATIONSHIPS}$", "RELATIONSHIP_TRANSLATION_NOT_IMPLEMENTED"),
     ("navigation_pane", "^template/database/navpane.xml$", "NAVIGATION_METADATA_TRANSLATION_NOT_IMPLEMENTED"),
     ("database_properties", "^template/database/databaseproperties.xml$", "DATABASE_PROPERTIES_TRANSLATION_NOT_IMPLEMENTED"),
     ("vba_references", "^template/database/vbareferences.xml$", "VBA_REFERENCE_TRANSLATION_NOT_IMPLEMENTED"),

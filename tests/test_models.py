@@ -212,7 +212,7 @@ def test_packages(spark, tmp_path):
     entries = packages.read_packages(spark, f"file://{tmp_path}").cache()
     assert {r.diagnostic for r in entries.filter("diagnostic is not null").collect()} == {"UNSAFE_PACKAGE_PATH", "INVALID_ACCDT_PACKAGE", "PACKAGE_LIMIT_EXCEEDED"}
     (part,) = packages.object_parts(entries).collect()
-    assert (part.kind, part.object, part.encoding, part.text) == ("query", "query1", "utf-16", "Operation =1\n")
+    assert (part.kind, part.object, part.encoding, part.text) == ("query", "1", "utf-16", "Operation =1\n")
     assert {r.feature: (r.entries, r.objects) for r in packages.features(entries).collect()} == {"package_metadata": (1, None), "table_data": (1, None), "target_generation": (0, packages.object_parts(entries).count())}
     stream = ingestion.stream_packages(spark, f"file://{tmp_path}")
     assert stream.isStreaming
@@ -342,37 +342,44 @@ def test_whole_package(spark, tmp_path):
     from gridspark.sources.convert import artifact_identity, convert_packages
 
     objects = "template/database/objects/"
-    module = "Option Compare Database\nSub Open_It()\n  DoCmd.OpenForm \"form1\"\n  CurrentDb.Execute \"DELETE * FROM Kegs\"\n  Helper\nEnd Sub\nFunction Helper()\nEnd Function\n"
+    module = "Option Compare Database\nSub Open_It()\n  DoCmd.OpenForm \"Main\"\n  CurrentDb.Execute \"DELETE * FROM Kegs\"\n  Helper\nEnd Sub\nFunction Helper()\nEnd Function\n"
     parts = [
         ("template/template.xml", "<x/>"),
         (objects + "tableKegs.xsd", XSD),
-        (objects + "query1.txt", grid(["tableKegs"], [("Helper([tableKegs].[Qty])", "q")])),
-        (objects + "form1.txt", FORM.replace("qryKegs", "query1") + "Option Compare Database\nSub Form_Load()\n  Helper\nEnd Sub\n"),
-        (objects + "macro1.txt", 'Begin\n Action ="Beep"\nEnd\n'),
-        (objects + "module1.txt", module),
+        (objects + "queryAll Kegs.txt", grid(["Kegs"], [("Helper([Kegs].[Qty])", "q")])),
+        (objects + "formMain.txt", FORM.replace("qryKegs", "All Kegs") + "Option Compare Database\nSub Form_Load()\n  Helper\nEnd Sub\n"),
+        (objects + "Macrobeep.txt", 'Begin\n Action ="Beep"\nEnd\n'),
+        (objects + "moduleCode.txt", module),
         (objects + "datamacros/datamacrosKegs.axl", f'<DataMacros {AXL}><DataMacro Event="AfterInsert"><Statements><ForEachRecord><Data><Reference>Kegs</Reference></Data><Statements><Action Name="SetField"/></Statements></ForEachRecord></Statements></DataMacro></DataMacros>'),
         (objects + "query2.txt", "Operation =7\n"),
         (objects + "table2.xsd", '<!DOCTYPE x [<!ENTITY a "b">]><x/>'),
+        (objects + "deeper/formStray.txt", "Begin Form\nEnd\n"),
+        ("template/other/formStray.txt", "Begin Form\nEnd\n"),
+        (objects + "form.txt", "Begin Form\nEnd\n"),
     ]
     (tmp_path / "one.accdt").write_bytes(_package(parts))
     (tmp_path / "two.accdt").write_bytes(_package([("template/template.xml", "<x/>"), (objects + "query1.txt", grid(["missing"], ["Helper(1)"]))]))
     made = convert_packages(spark, f"file://{tmp_path}")
     one = F.col("path").endswith("one.accdt")
-    assert {r.object: r.translated for r in made.objects().filter(one).collect() if r.object in ("macro1", "query2", "table2")} == {"macro1": False, "query2": False, "table2": False}
-    codes = {(r.object, r.reason_code) for r in made.findings().filter(one).collect()}
-    assert {("query1", "USER_DEFINED_VBA_FUNCTION"), ("table2", "SEMANTIC_PARSE_FAILED"), ("query2", "QUERY_OPERATION_CODE_NOT_MAPPED"), ("module1", "VBA_DRIVES_ACCESS_UI")} <= codes
-    assert ("query1", "UNKNOWN_FUNCTION") in {(r.object, r.reason_code) for r in made.findings().filter(~one).collect()}
+    assert {(r.kind, r.object) for r in made.objects().filter(one).collect()} == {("table", "Kegs"), ("query", "All Kegs"), ("form", "Main"), ("macro", "beep"), ("module", "Code"), ("datamacro", "Kegs"), ("query", "2"), ("table", "2")}
+    assert {(r.kind, r.object): r.translated for r in made.objects().filter(one & F.col("object").isin("beep", "2")).collect()} == {("macro", "beep"): False, ("query", "2"): False, ("table", "2"): False}
+    codes = {(r.kind, r.object, r.reason_code) for r in made.findings().filter(one).collect()}
+    assert {("query", "All Kegs", "USER_DEFINED_VBA_FUNCTION"), ("table", "2", "SEMANTIC_PARSE_FAILED"), ("query", "2", "QUERY_OPERATION_CODE_NOT_MAPPED"), ("module", "Code", "VBA_DRIVES_ACCESS_UI")} <= codes
+    assert ("1", "UNKNOWN_FUNCTION") in {(r.object, r.reason_code) for r in made.findings().filter(~one).collect()}
     edges = {(r.src, r.dst, r.edge) for r in made.edges().collect()}
-    assert {
-        ("query:query1", "table:tablekegs", "reads"),
-        ("form:form1", "query:query1", "reads"),
-        ("form:form1", "proc:form1:form_load", "handles"),
-        ("module:module1", "proc:module1:open_it", "contains"),
-        ("proc:module1:open_it", "proc:module1:helper", "calls"),
-        ("proc:form1:form_load", "proc:module1:helper", "calls"),
-        ("proc:module1:open_it", "form:form1", "opens"),
-    } <= edges
-    assert not any("missing" in d for _, d, _ in edges)
+    assert edges == {
+        ("query:all kegs", "table:kegs", "reads"),
+        ("form:main", "query:all kegs", "reads"),
+        ("form:main", "proc:main:form_load", "contains"),
+        ("form:main", "proc:main:form_load", "handles"),
+        ("module:code", "proc:code:open_it", "contains"),
+        ("module:code", "proc:code:helper", "contains"),
+        ("proc:code:open_it", "proc:code:helper", "calls"),
+        ("proc:main:form_load", "proc:code:helper", "calls"),
+        ("proc:code:open_it", "form:main", "opens"),
+        ("proc:code:open_it", "table:kegs", "reads"),
+        ("datamacro:kegs", "table:kegs", "trigger"),
+    }
     kinds = {r.kind for r in made.records.filter("record = 'cfg_node'").select(F.col("fields")["kind"].alias("kind")).collect()}
     assert {"start", "end", "loop", "data", "ui"} <= kinds
     assert {r.kind: (r.objects, r.complete) for r in made.summary().filter(one & (F.col("kind") == "query")).collect()} == {"query": (2, 0)}
