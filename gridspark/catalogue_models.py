@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.catalogue import register
-from gridspark.operators import constraints, coverage, datamacros, graph, names, screens
+from gridspark.checkpoints import shared_path
+from gridspark.operators import cascades, constraints, coverage, datamacros, graph, names, screens, triggers
+from gridspark.plans import scripts
 from gridspark.plans.execute import run_query
 from gridspark.plans.tables import parquet_tables
 from gridspark.sources import forms, packages, schema, vba
 from gridspark.sources.macros import Handler, Statement, read_data_macros
+from gridspark.sources.schema import Relationship
 from gridspark.streaming import ingestion
 
 
@@ -501,3 +506,183 @@ def _(spark, sf_dir):
     saved = {"qrycustomers": inner}
     tables = lambda name: run_query(saved[name.lower()], base) if name.lower() in saved else base(name)
     return run_query(grid(["qryCustomers"], ["qryCustomers.n_regionkey", ("Count(*)", "n")], groups=["qryCustomers.n_regionkey"]), tables)
+
+
+_CHAIN = [
+    Relationship("nation_region", "nation", "region", ["n_regionkey"], ["r_regionkey"], 4096 | 256),
+    Relationship("customer_nation", "customer", "nation", ["c_nationkey"], ["n_nationkey"], 4096),
+    Relationship("supplier_nation", "supplier", "nation", ["s_nationkey"], ["n_nationkey"], 4096),
+    Relationship("orders_customer", "orders", "customer", ["o_custkey"], ["c_custkey"], 4096),
+    Relationship("lineitem_orders", "lineitem", "orders", ["l_orderkey"], ["o_orderkey"], 4096),
+    Relationship("lineitem_supplier", "lineitem", "supplier", ["l_suppkey"], ["s_suppkey"], 4096),
+]
+
+
+def _all_tables(spark, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+
+
+_GONE = "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"
+
+
+@register("fk_cascade_chain", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN ({_GONE})) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN ({_GONE}))")
+def _(spark, sf_dir):
+    return cascades.delete_through(_all_tables(spark, sf_dir), _CHAIN, "region", "r_regionkey = 1").tables["lineitem"].select("l_orderkey", "l_linenumber")
+
+
+@register("fk_cascade_blocked", f"SELECT c_custkey FROM customer WHERE c_nationkey IN ({_GONE})")
+def _(spark, sf_dir):
+    rules = [Relationship(r.name, r.child, r.parent, r.child_columns, r.parent_columns, 0) if r.name == "customer_nation" else r for r in _CHAIN]
+    return cascades.delete_through(_all_tables(spark, sf_dir), rules, "region", "r_regionkey = 1").blocked["customer_nation"].select("c_custkey")
+
+
+@register("fk_cascade_self", "WITH RECURSIVE d AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 7 UNION SELECT c.c_custkey FROM customer c JOIN d ON c.c_custkey // 3 = d.c_custkey AND c.c_custkey <> d.c_custkey) SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM d)")
+def _(spark, sf_dir):
+    staff = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.expr("c_custkey div 3").alias("boss"))
+    rule = Relationship("boss", "staff", "staff", ["boss"], ["c_custkey"], 4096)
+    return cascades.delete_through({"staff": staff}, [rule], "staff", "c_custkey Mod 50 = 7").tables["staff"].select("c_custkey")
+
+
+@register("fk_cascade_update_chain", "SELECT c_custkey, CASE WHEN n_regionkey < 2 THEN n_regionkey + 100 ELSE n_regionkey END AS region, c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, sf_dir):
+    found = _all_tables(spark, sf_dir)
+    found["customer"] = found["customer"].join(found["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("region"), "c_nationkey")
+    rules = [_CHAIN[0], Relationship("customer_nation", "customer", "nation", ["region", "c_nationkey"], ["n_regionkey", "n_nationkey"], 256)]
+    return cascades.change_keys(found, rules, "region", {"r_regionkey": "r_regionkey+100"}, "r_regionkey<2").tables["customer"]
+
+
+def _local(name: str, value: str) -> Statement:
+    return Statement("action", "SetLocalVar", {"Name": name, "Value": value})
+
+
+def _orders_of(*statements: Statement, where: str = "[o].[o_custkey]=[c_custkey]") -> Statement:
+    return Statement("block", "ForEachRecord", {"Reference": "orders", "Alias": "o", "WhereCondition": where}, statements=list(statements))
+
+
+@register("macro_loop_sum", "SELECT c_custkey, coalesce((SELECT sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round_even(o_totalprice,0) AS BIGINT) WHEN o_orderkey % 2 = 0 THEN -c_nationkey ELSE 0 END) FROM orders WHERE o_custkey = c_custkey), 0) AS total, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
+def _(spark, sf_dir):
+    branch = Statement("conditional", branches=[("if", "[o].[o_orderstatus]='F'", [_local("total", "[total]+CLng([o].[o_totalprice])")]), ("elseif", "[o].[o_orderkey] Mod 2=0", [_local("total", "[total]-[c_nationkey]")])])
+    handler = Handler("AfterInsert", [_local("total", "CLng(0)"), _local("n", "CLng(0)"), _orders_of(branch, _local("n", "1+[n]")), Statement("action", "SetReturnVar", {"Name": "total", "Value": "[total]"}), Statement("action", "SetReturnVar", {"Name": "n", "Value": "[n]"})])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "customer"), parquet_tables(spark, sf_dir)).rows.select("c_custkey", F.col("total").cast("long"), F.col("n").cast("long"))
+
+
+@register("macro_loop_fold", "SELECT r_regionkey, coalesce((SELECT string_agg(n_name, ';' ORDER BY n_nationkey) FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) WHERE n_regionkey = r_regionkey AND i <= 3), '') AS r_name FROM region")
+def _(spark, sf_dir):
+    """A text that grows, until three names are in it."""
+    sep = _set("r_name", '[r_name] & IIf([k]=0,"",";") & [n].[n_name]')
+    handler = Handler("AfterInsert", [_local("k", "0"), _set("r_name", '""'), _each(_if("[k]>=3", Statement("action", "ExitForEachRecord")), sep, _local("k", "[k]+1"))])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "region"), parquet_tables(spark, sf_dir)).rows
+
+
+_OVER = "SELECT o_custkey FROM (SELECT o_custkey, sum(CAST(round_even(o_totalprice,0) AS BIGINT)) AS s FROM orders GROUP BY 1) WHERE s > 1000000"
+
+
+@register("macro_loop_raise", f"SELECT c_custkey, CASE WHEN c_custkey IN ({_OVER}) THEN 'over the limit' END AS error FROM customer")
+def _(spark, sf_dir):
+    handler = Handler("BeforeChange", [_local("total", "CLng(0)"), _orders_of(_local("total", "[total]+CLng([o].[o_totalprice])"), _if("[total]>1000000", Statement("action", "RaiseError", {"Error Description": "over the limit"})))])
+    out = datamacros.run_handler(handler, _t(spark, sf_dir, "customer"), parquet_tables(spark, sf_dir))
+    return out.rows.select("c_custkey", F.lit(None).cast("string").alias("error")).unionByName(out.errors.select("c_custkey", "error"))
+
+
+@register("macro_loop_stop", "SELECT r_regionkey, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 21) THEN r_name ELSE r_name || '!' END AS r_name FROM region")
+def _(spark, sf_dir):
+    handler = Handler("AfterInsert", [_each(_if("[n].[n_nationkey]>21", Statement("action", "StopMacro"))), _set("r_name", '[r_name] & "!"')])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "region"), parquet_tables(spark, sf_dir)).rows
+
+
+@register("macro_run_named", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 10 WHEN o_totalprice > 200000 THEN o_totalprice + 3 ELSE o_totalprice END AS o_totalprice FROM orders")
+def _(spark, sf_dir):
+    """A macro that is run with a parameter, from two branches; it runs another in turn."""
+    run = lambda name, value: Statement("action", "RunDataMacro", {"MacroName": name, "Parameter:by": value})
+    named = {"orders.Add": Handler("Add", [run("orders.Really", "[by]+0")]), "orders.Really": Handler("Really", [_set("o_totalprice", "[o_totalprice]+[by]")])}
+    start = Statement("conditional", branches=[("if", "[o_orderstatus]='F'", [run("orders.Add", "10")]), ("elseif", "[o_totalprice]>200000", [run("orders.add", "1+2")])])
+    return datamacros.run_handler(Handler("BeforeChange", [start]), _t(spark, sf_dir, "orders"), parquet_tables(spark, sf_dir), named=named).rows.select("o_orderkey", "o_totalprice")
+
+
+_CHAIN_SQL = """WITH new AS (SELECT o_orderkey + 10000000 AS k, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderstatus <> 'P'),
+ edited AS (SELECT DISTINCT c_custkey, c_nationkey FROM new JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 5000)
+ SELECT 'orders' AS t, CAST((SELECT count(*) FROM orders) + (SELECT count(*) FROM new) AS BIGINT) AS n, CAST(0 AS BIGINT) AS s
+ UNION ALL SELECT 'customer', count(*), count(*) FILTER (c_custkey IN (SELECT c_custkey FROM edited)) FROM customer
+ UNION ALL SELECT 'region', (SELECT count(*) FROM region) + (SELECT count(*) FROM edited), (SELECT sum(c_custkey) FROM edited)
+ UNION ALL SELECT 'nation', (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM edited WHERE c_custkey % 100 = 0)), 0"""
+
+
+@register("macro_trigger_chain", _CHAIN_SQL)
+def _(spark, sf_dir):
+    """New orders edit customers, whose edits make notes, some of which delete a nation; each by the handler of the table that changed."""
+    found = {n: _t(spark, sf_dir, n) for n in ("orders", "customer", "region", "nation")}
+    look = lambda table, alias, where, *inner: Statement("block", "LookUpRecord", {"Reference": table, "Alias": alias, "WhereCondition": where}, statements=list(inner))
+    edit = Statement("block", "EditRecord", {"Alias": "c"}, statements=[_set("c_mktsegment", '"seen"'), _set("c_acctbal", "[c].[c_acctbal]+0")])
+    note = Statement("block", "CreateRecord", {"Reference": "region"}, statements=[_set("r_regionkey", "[c_custkey]"), _set("r_name", '"note"')])
+    lookup = look("customer", "c", "[c].[c_custkey]=[r_regionkey]", look("nation", "n", "[n].[n_nationkey]=[c].[c_nationkey]", Statement("action", "DeleteRecord")))
+    handlers = {
+        "orders": [Handler("BeforeChange", [_if("[o_orderstatus]='P'", Statement("action", "RaiseError", {"Error Description": "pending"}))]), Handler("AfterInsert", [look("customer", "c", "[c].[c_custkey]=[o_custkey] And [c].[c_acctbal]<5000", edit)])],
+        "customer": [Handler("AfterUpdate", [note])],
+        "region": [Handler("AfterInsert", [_if("[r_regionkey] Mod 100=0", lookup)])],
+    }
+    new = found["orders"].filter("o_totalprice > 150000").withColumn("o_orderkey", (F.col("o_orderkey") + 10000000).cast(found["orders"].schema["o_orderkey"].dataType))
+    after = triggers.insert_rows(found, handlers, "orders", new).tables
+    sums = {"orders": F.lit(0), "customer": F.count_if(F.col("c_mktsegment") == "seen"), "region": F.sum(F.when(F.col("r_name") == "note", F.col("r_regionkey")).otherwise(0)), "nation": F.lit(0)}
+    parts = [after[t].agg(F.lit(t).alias("t"), F.count(F.lit(1)).alias("n"), c.cast("long").alias("s")) for t, c in sums.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_RINGS = """n AS (SELECT s_suppkey AS id FROM supplier),
+ e AS (SELECT DISTINCT src, dst FROM (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier UNION ALL SELECT s_suppkey, s_suppkey + 1 FROM supplier WHERE s_suppkey % 10 < 8 UNION ALL SELECT s_suppkey, s_suppkey - s_suppkey % 5 FROM supplier WHERE s_suppkey % 5 IN (2, 4)) WHERE src <> dst AND dst IN (SELECT id FROM n)),
+ r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
+ c AS (SELECT a.src AS id, min(a.dst) AS comp FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+ inside AS (SELECT e.src, e.dst, x.comp FROM e JOIN c x ON e.src = x.id JOIN c y ON e.dst = y.id AND x.comp = y.comp),
+ entry AS (SELECT DISTINCT c.id, c.comp FROM c JOIN e ON e.dst = c.id LEFT JOIN c s ON s.id = e.src WHERE s.comp IS DISTINCT FROM c.comp),
+ begun AS (SELECT id FROM entry UNION SELECT comp FROM c WHERE comp NOT IN (SELECT comp FROM entry)),
+ d AS (SELECT id, 0 AS steps FROM begun UNION SELECT i.dst, d.steps + 1 FROM d JOIN inside i ON i.src = d.id WHERE d.steps < 50),
+ steps AS (SELECT id, min(steps) AS steps FROM d GROUP BY 1),
+ back AS (SELECT i.src, i.dst FROM inside i JOIN steps a ON a.id = i.src JOIN steps b ON b.id = i.dst WHERE a.steps > b.steps OR (a.steps = b.steps AND a.id >= b.id)),
+ f AS (SELECT src, dst FROM e ANTI JOIN back USING (src, dst)),
+ w AS (SELECT id, 0 AS layer FROM n WHERE id NOT IN (SELECT dst FROM f) UNION SELECT f.dst, w.layer + 1 FROM w JOIN f ON f.src = w.id),
+ layered AS (SELECT id, max(layer) AS layer FROM w GROUP BY 1)"""
+
+
+def _rings(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in rings of five and in chains, and each after the one of half its key."""
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey")
+    to = lambda dst, where="true": s.filter(where).select(F.col("s_suppkey").alias("src"), F.expr(dst).alias("dst"))
+    return to("s_suppkey div 2").union(to("s_suppkey + 1", "s_suppkey % 10 < 8")).union(to("s_suppkey - s_suppkey % 5", "s_suppkey % 5 in (2, 4)")), s.select(F.col("s_suppkey").alias("id"))
+
+
+@register("graph_layers_cyclic", f"WITH RECURSIVE {_RINGS} SELECT id, layer FROM layered")
+def _(spark, sf_dir):
+    links, nodes = _rings(spark, sf_dir)
+    return graph.layers(links, nodes, cycles="cut")
+
+
+@register(
+    "graph_places",
+    f"""WITH RECURSIVE {_RINGS}, p0 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id) AS place FROM layered),
+ m1 AS (SELECT f.dst AS id, avg(place) AS m FROM f JOIN p0 ON p0.id = f.src GROUP BY 1), p1 AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(m, place), place) AS place FROM p0 LEFT JOIN m1 USING (id)),
+ m2 AS (SELECT f.src AS id, avg(place) AS m FROM f JOIN p1 ON p1.id = f.dst GROUP BY 1) SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(m, place), place) AS place FROM p1 LEFT JOIN m2 USING (id)""",
+)
+def _(spark, sf_dir):
+    links, nodes = _rings(spark, sf_dir)
+    forward = graph.forward_links(links.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    return graph.places(forward, graph.layers(forward, nodes), sweeps=2)
+
+
+_SCRIPT = [
+    "CREATE TABLE [rich ones] (k LONG NOT NULL, [full name] TEXT(50), amount CURRENCY, CONSTRAINT pk PRIMARY KEY (k));",
+    "UPDATE customer SET c_acctbal = c_acctbal + 1000 WHERE c_nationkey = 3;",
+    "INSERT INTO [rich ones] (k, [full name], amount) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 9000;",
+    "ALTER TABLE [rich ones] ADD COLUMN orders_of LONG;",
+    "DELETE FROM orders WHERE o_orderstatus = 'P';",
+    "UPDATE [rich ones] SET orders_of = (SELECT Count(*) FROM orders WHERE o_custkey = k);",
+    "SELECT k, orders_of INTO busy FROM [rich ones] WHERE orders_of > 2;",
+    "DELETE r.* FROM [rich ones] AS r INNER JOIN busy AS b ON r.k = b.k WHERE b.orders_of > 12;",
+    "ALTER TABLE [rich ones] DROP COLUMN [full name];",
+    "DROP TABLE busy;",
+]
+
+
+@register("stored_script", "WITH c AS (SELECT c_custkey AS k, CASE WHEN c_nationkey = 3 THEN c_acctbal + 1000 ELSE c_acctbal END AS amount FROM customer), r AS (SELECT k, round(amount, 2) AS amount, (SELECT count(*) FROM orders WHERE o_custkey = k AND o_orderstatus <> 'P') AS orders_of FROM c WHERE amount > 9000) SELECT k, amount, orders_of FROM r WHERE orders_of <= 12")
+def _(spark, sf_dir):
+    catalog = scripts.Catalog(spark, parquet_tables(spark, sf_dir), shared_path(spark, "catalog"))
+    catalog.run(_SCRIPT)
+    return catalog("Rich Ones").select("k", F.col("amount").cast("double").alias("amount"), F.col("orders_of").cast("long").alias("orders_of"))

@@ -7,15 +7,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written under `spark.checkpoint.dir` and read again; where that is unset, in a temporary folder of a
-    local session, else it is an error."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under `spark.checkpoint.dir`; where that is unset, in a temporary folder of a local session, else it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,6 +22,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             _own.append(tempfile.mkdtemp(prefix="gridspark-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         folder = f"file://{_own[0]}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written in the shared folder and read again: computed once, safe from lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

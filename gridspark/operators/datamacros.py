@@ -3,7 +3,7 @@
 Every effect is guarded by the condition of its branch, so a handler is a chain of
 projections: no row is visited by itself. Lookups and loops are joins with the
 distinct values that their conditions read of the firing rows; a loop's rows are kept
-apart from the firing rows. What stops a handler is a mark on the row that guards
+apart from the firing rows, but for what it carries from record to record. What stops a handler is a mark on the row that guards
 all statements behind it.
 """
 
@@ -21,6 +21,11 @@ from gridspark.functions.registry import Finding
 from gridspark.plans.tables import Tables, bracketed
 from gridspark.sources.macros import Handler, Statement
 
+from . import macroloops
+
+#: Named macros that run within each other, at most.
+NESTED = 20
+
 
 @dataclass
 class Outcome:
@@ -49,8 +54,9 @@ def _all(conditions: list[Column]) -> Column:
 
 
 class _Runner:
-    def __init__(self, rows: DataFrame, tables: Tables, is_insert: bool):
+    def __init__(self, rows: DataFrame, tables: Tables, is_insert: bool, named: dict[str, Handler] | None = None):
         self.out, self.tables, self.is_insert = Outcome(rows), tables, is_insert
+        self.named, self.depth = {k.casefold(): h for k, h in (named or {}).items()}, 0
         self.columns = list(rows.columns)
         self.looked: dict[str, _Record] = {}
         self.current: list[_Record] = []
@@ -125,8 +131,6 @@ class _Runner:
         if name in ("setfield", "setlocalvar", "setreturnvar"):
             target = (args.get("Field") or args.get("Name") or "").split(".")[-1].strip("[]")
             known = {c.lower(): c for c in self.out.rows.columns}
-            if self.in_loop and (name == "setreturnvar" or target.lower() in {c.lower() for c in self.columns}):
-                raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"{s.name} that carries {target} from one record of a loop to the next")
             column = known.get(target.lower(), target)
             value = self.column(args.get("Value") or args.get("Expression") or "Null")
             old = F.col(bracketed(column)) if target.lower() in known else F.lit(None)
@@ -135,13 +139,11 @@ class _Runner:
             self.out.rows = self.out.rows.withColumn(column, value if guard is None else F.when(guard, value).otherwise(old))
             if name == "setreturnvar" and column not in self.columns:
                 self.columns.append(column)
-        elif self.in_loop and name in ("raiseerror", "stopmacro", "stopallmacros"):
-            raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"{s.name} in a loop")
         elif name == "raiseerror":
-            bad = self._hit(guard)
-            bad = bad.select(*self.columns, F.lit(args.get("Error Description") or args.get("Description") or args.get("Message") or "").alias("error"))
-            self.out.errors = bad if self.out.errors is None else self.out.errors.unionByName(bad)
+            self._refuse(self._hit(guard), F.lit(macroloops.message_of(s)))
             self._drop(guard)
+        elif name == "rundatamacro":
+            self._run_named(args, guard)
         elif name == "deleterecord":
             self._delete(guard)
         elif name in ("stopmacro", "stopallmacros", "exitforeachrecord"):
@@ -151,6 +153,26 @@ class _Runner:
         else:
             raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", s.name)
 
+    def _refuse(self, bad: DataFrame, message: Column) -> None:
+        bad = bad.select(*map(bracketed, self.columns), message.alias("error"))
+        self.out.errors = bad if self.out.errors is None else self.out.errors.unionByName(bad)
+
+    def _run_named(self, args: dict[str, str], guard: Column | None) -> None:
+        """Runs a named macro over the same rows; its parameters are values of the rows while it runs."""
+        name = args.get("MacroName") or ""
+        handler = self.named.get(name.casefold())
+        if handler is None or self.in_loop:
+            raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"RunDataMacro {name}")
+        if self.depth >= NESTED:
+            raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", f"RunDataMacro {name} runs itself")
+        given = {k.partition(":")[2]: self.column(v) for k, v in args.items() if k.startswith("Parameter:")}
+        if given:
+            self.out.rows = self.out.rows.withColumns(given)
+        self.depth += 1
+        self.run(handler.statements, guard)
+        self.depth -= 1
+        self.out.rows = self.out.rows.drop(*[c for c in given if c not in self.columns])
+
     def _drop(self, guard: Column | None) -> None:
         self.out.rows = self.out.rows.limit(0) if guard is None else self.out.rows.filter(~F.coalesce(guard, F.lit(False)))
 
@@ -249,8 +271,13 @@ class _Runner:
         return any(x.name in ("EditRecord", "DeleteRecord") for x in s.walk())
 
     def _for_each(self, s: Statement, guard: Column | None) -> None:
-        """Runs the statements over every match; the firing rows stay as they were."""
+        """Runs the statements over every match; of the firing rows only what the loop carries changes."""
         alias, record, other, condition, used = self._source(s)
+        names = None if self.in_loop else macroloops.carried(s.statements, {c.lower() for c in self.out.rows.columns})
+        if names is not None:
+            return self._carry(s, names, alias, record, other, condition, used, guard)
+        if self.in_loop and macroloops.carried(s.statements, {c.lower() for c in self.out.rows.columns}) is not None:
+            raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", "a loop in a loop that carries values")
         pairs, keys = self._matches(record, alias, other, condition, used)
         firing, running, outer = self.out.rows, self.running, self.in_loop
         if guard is not None:
@@ -267,6 +294,54 @@ class _Runner:
         self.current.pop()
         self.out.rows, self.running, self.in_loop = firing, running, outer
 
+    def _carry(self, s: Statement, names: set[str], alias: str, record: _Record, other: DataFrame, condition: str, used: list[str], guard: Column | None) -> None:
+        """A loop that carries values: sums as aggregates of the matches, else a fold over them."""
+        here = {c.lower(): c for c in self.out.rows.columns}
+        types = {n: dict(self.out.rows.dtypes)[here[n]] for n in names}
+        parts = macroloops.sums(s.statements, names)
+        if parts is not None:
+            read = {n.path[-1].lower() for _, _, term, conditions in parts for t in (term, *(parse(x) for before, own in conditions for x in (*before, own) if x)) for n in walk(t) if n.kind == "name"}
+            used = sorted({*used, *(here[c] for c in read & set(here))})
+        pairs, keys = self._matches(record, alias, other, condition, used)
+        made = pairs.groupBy(*keys) if keys else pairs.groupBy()
+        live = F.lit(True) if guard is None else F.coalesce(guard, F.lit(False))
+        if parts is not None:
+            own = {u.lower(): k for u, k in zip(used, keys, strict=True)}
+            outer = self.context()
+            inside = Context(lambda path: F.col(bracketed(own[path[-1].lower()])) if len(path) == 1 and path[-1].lower() in own else outer.resolve(path), kind=outer.kind)
+            totals, odd, aggregates = {}, {}, []
+            for i, (_, sign, term, conditions) in enumerate(parts):
+                taken = macroloops.condition_column(conditions, lambda text: Compiler(inside).column(parse(text)))
+                value = Compiler(inside).column(term)
+                totals[i], odd[i] = self.fresh("sum"), self.fresh("null")
+                aggregates += [F.sum(F.when(taken, value if sign == "+" else -value)).alias(totals[i]), F.coalesce(F.bool_or(taken & value.isNull()), F.lit(False)).alias(odd[i])]
+            self.out.rows = self._attach(made.agg(*aggregates), used, keys, "left")
+            for n in names:
+                mine = [i for i, part in enumerate(parts) if part[0] == n]
+                value = F.col(bracketed(here[n]))
+                bad = F.lit(False)
+                for i in mine:
+                    value = value + F.coalesce(F.col(totals[i]), F.lit(0))
+                    bad = bad | F.coalesce(F.col(odd[i]), F.lit(False))
+                self.out.rows = self.out.rows.withColumn(here[n], F.when(live & bad, F.lit(None)).when(live, value.cast(types[n])).otherwise(F.col(bracketed(here[n]))))
+            self.out.rows = self.out.rows.drop(*totals.values(), *odd.values())
+            return
+        items, fold = self.fresh("items"), self.fresh("fold")
+        listed = made.agg(F.sort_array(F.collect_list(F.struct(*[F.col(bracketed(c)) for c in other.columns]))).alias(items))
+        self.out.rows = self._attach(listed, used, keys, "left")
+        fields = {c: name for c, name in record.columns.items() if c}
+        loop = macroloops.Fold(s.statements, {n: here[n] for n in names}, types, alias, fields, self.context())
+        self.out.rows = self.out.rows.withColumn(fold, F.when(live & F.col(items).isNotNull(), loop.column(F.col(items)))).drop(items)
+        state = F.col(fold)
+        for n in names:
+            self.out.rows = self.out.rows.withColumn(here[n], F.when(state.isNotNull(), state[f"v_{n}"]).otherwise(F.col(bracketed(here[n]))))
+        body = {x.name.lower() for x in s.walk() if x.kind == "action"}
+        if "raiseerror" in body:
+            self._refuse(self.out.rows.filter(state["error"].isNotNull()), state["error"])
+            self._drop(state["error"].isNotNull())
+        if body & {"stopmacro", "stopallmacros"}:
+            self._stop(F.coalesce(state["halt"] == 2, F.lit(False)))
+
     def _leaves(self, statements: list[Statement]) -> Column | None:
         """Whether a record of a loop leaves it: by ExitForEachRecord in the loop's body or its branches."""
         out: Column | None = None
@@ -330,14 +405,16 @@ class _Runner:
         self.out.created[target] = made if before is None else before.unionByName(made)
 
 
-def run_handler(handler: Handler, rows: DataFrame, tables: Tables, is_insert: bool = True) -> Outcome:
+def run_handler(handler: Handler, rows: DataFrame, tables: Tables, is_insert: bool = True, named: dict[str, Handler] | None = None) -> Outcome:
     """Runs a data-macro handler over the rows that fire it. Temporary columns are gone afterwards.
 
     A looked-up record is the least match by its columns in their order, so the
     result does not depend on the order of rows. StopMacro, StopAllMacros and
     ExitForEachRecord stop the rows (or records of a loop) for which they are reached.
+    A loop goes through its matches in the order of their columns, and what it sets of the
+    values known before it is carried on. `named` has the macros that RunDataMacro runs, by name.
     """
-    runner = _Runner(rows, tables, is_insert)
+    runner = _Runner(rows, tables, is_insert, named)
     runner.run(handler.statements, None)
     runner.out.edited = runner.edited()
     runner.out.rows = runner.out.rows.select(*[bracketed(c) for c in runner.columns])

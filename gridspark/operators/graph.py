@@ -107,17 +107,65 @@ def strong_components(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0) if found is None else found
 
 
+def forward_links(links: DataFrame) -> DataFrame:
+    """(src, dst): the edges without those that close cycles, and without loops.
+
+    The nodes of a strongly connected component are in an order: by the number of steps within it
+    from where edges enter it (from its least id, where none do), then by id. Edges within
+    it that do not lead on in that order go; the rounds are as many as its longest such way.
+    """
+    own = written(links.select("src", "dst").filter("src <> dst").distinct(), "links")
+    parts = written(strong_components(own), "parts")
+    if parts.isEmpty():
+        return own
+    of = lambda name: parts.select(F.col("id").alias(name), F.col("component").alias(f"__{name}"))
+    both = own.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    within = F.col("__src").eqNullSafe(F.col("__dst")) & F.col("__dst").isNotNull()
+    inside = written(both.filter(within).select("src", "dst", F.col("__dst").alias("component")), "inside")
+    entered = both.filter(F.col("__dst").isNotNull() & ~within).select(F.col("dst").alias("id"), F.col("__dst").alias("component")).distinct()
+    closed = parts.filter("id = component").join(entered.select("component").distinct(), "component", "left_anti").select("id", "component")
+    front = written(entered.unionByName(closed).select("id", F.lit(0).alias("steps")), "front")
+    found = front
+    while not front.isEmpty():
+        reached = inside.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("steps") + 1).alias("steps")).distinct()
+        front = written(reached.join(found.select("id"), "id", "left_anti"), "front")
+        found = written(found.unionByName(front), "steps")
+    place = lambda name: found.select(F.col("id").alias(name), F.struct("steps", "id").alias(f"__{name}"))
+    back = inside.join(place("src"), "src").join(place("dst"), "dst").filter("__src >= __dst").select("src", "dst")
+    return own.join(back, ["src", "dst"], "left_anti")
+
+
+def places(links: DataFrame, layered: DataFrame, sweeps: int = 4) -> DataFrame:
+    """(id, layer, place): an order within the layers of `layered(id, layer)` that lets few of the edges cross.
+
+    Nodes start by id. A sweep moves each node to the mean place of its neighbours in the layers
+    before it, the next one to that of those behind it, all layers at once; nodes without any stay. Ties
+    keep their order. Each layer is numbered by one task.
+    """
+    numbered = lambda df, *by: df.select("id", "layer", F.row_number().over(Window.partitionBy("layer").orderBy(*by)).alias("place"))
+    now = written(numbered(layered.filter("layer is not null"), "id"), "places")
+    for sweep in range(sweeps):
+        near, far = ("dst", "src") if sweep % 2 == 0 else ("src", "dst")
+        known = now.select(F.col("id").alias(far), F.col("place").alias("__there"))
+        mean = links.select("src", "dst").distinct().join(known, far).groupBy(F.col(near).alias("id")).agg(F.avg("__there").alias("__mean"))
+        now = written(numbered(now.join(mean, "id", "left"), F.coalesce("__mean", F.col("place")), "place"), "places")
+    return now
+
+
 def layers(links: DataFrame, nodes: DataFrame, cycles: str = "null") -> DataFrame:
     """(id, layer): the longest path that leads to each node, of any length.
 
     Nodes without edges left to them are taken off layer by layer; the rounds are as many as layers.
-    With `cycles="null"` nodes on cycles, and behind them, have null; with `cycles="component"` every
-    strongly connected component counts as one node, so that all nodes have a layer; edges from or
-    to what is not in `nodes` are left out then.
+    With `cycles="null"` nodes on cycles, and behind them, have null; with `cycles="cut"` edges that
+    close cycles are left out first (see `forward_links`); with `cycles="component"` every
+    strongly connected component counts as one node. In the last two all nodes have a layer, and edges from or
+    to what is not in `nodes` are left out.
     """
-    if cycles == "component":
+    if cycles in ("component", "cut"):
         ids = nodes.select("id").distinct()
         links = links.filter("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    if cycles == "cut":
+        links = written(forward_links(links), "forward")
     left = links.select("src", "dst").distinct()
     rest = nodes.select("id").distinct()
     done, layer = None, 0

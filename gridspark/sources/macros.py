@@ -116,7 +116,7 @@ def _statements(e: ElementTree.Element, model: MacroModel) -> list[Statement]:
         name = _local(c)
         if name == "Action":
             action = c.get("Name", "")
-            out.append(Statement("action", action, {a.get("Name", ""): a.text or "" for a in c if _local(a) == "Argument"}))
+            out.append(Statement("action", action, {a.get("Name", ""): a.text or "" for a in c if _local(a) == "Argument"} | {f"Parameter:{a.get('Name', '')}": a.get("Value") or a.text or "" for p in c if _local(p) == "Parameters" for a in p}))
             _report(model, action)
         elif name == "ConditionalBlock":
             branches = []
