@@ -7,7 +7,6 @@ must be found: objects, findings, procedures, control flow, edges, features, dia
 from __future__ import annotations
 
 import io
-import json
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -368,19 +367,17 @@ def _(spark, sf_dir):
 
 # inventories: a customer is a sample with one database
 def _inventory(spark, sf_dir: str) -> inventory.Inventory:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k in map(int, batch["c_custkey"]):
-                objects = [{"name": f"t{i}", "kind": "Table"} for i in range(k % 4)] + [{"name": f"q{i}", "kind": "Hidden Query (~sq_)"} for i in range(k % 2)]
-                database = {"file": f"{k}.mdb", "format": "Jet 4" if k % 3 else "ACE 12", "counts": {"Table": 3 + (k % 5 == 0), "Linked  Table": k % 3, "Hidden Query": k % 2}, "objects": objects}
-                rows.append((str(k), json.dumps({"sample": f"s{k}", "databases": [database]}) if k % 50 else "{"))
-            yield pd.DataFrame(rows, columns=["source", "content"])
-
-    return inventory.read_units(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").mapInPandas(work, "source string, content string"))
+    """The files' texts, made of the key; every fiftieth has a fault, of four sorts."""
+    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("k"))
+    listed = lambda name, kind, n: f"transform(slice(array(0,1,2,3), 1, k % {n}), i -> named_struct('name', concat('{name}', i), 'kind', '{kind}'))"
+    database = f"""named_struct('file', concat(k, '.mdb'), 'format', if(k % 200 = 100, 'Paper 1', if(k % 3 = 0, 'ACE 12', 'Jet 4')),
+        'counts', map('Table', 3 + int(k % 5 = 0), 'Linked  Table', k % 3, if(k % 200 = 50, 'Gadget', 'Hidden Query'), k % 2),
+        'objects', concat({listed("t", "Table", 4)}, {listed("q", "Hidden Query (~sq_)", 2)}, if(k % 200 = 150, array(named_struct('name', 'x', 'kind', 'macro')), array())))"""
+    text = F.expr(f"if(k % 200 = 0, '{{', to_json(named_struct('sample', concat('s', k), 'databases', array({database}))))")
+    return inventory.read_units(k.select(F.col("k").cast("string").alias("source"), text.alias("content")))
 
 
-_C = "(SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS source FROM customer WHERE c_custkey % 50 <> 0)"
+_C = "(SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS source FROM customer WHERE c_custkey % 50 <> 0 OR c_custkey % 200 = 150)"
 
 
 @register(
@@ -389,6 +386,7 @@ _C = "(SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS source FROM customer
         f"SELECT source, 'table' AS bucket, 3 + CASE k % 5 WHEN 0 THEN 1 ELSE 0 END AS declared, k % 4 AS named, 3 + CASE k % 5 WHEN 0 THEN 1 ELSE 0 END - k % 4 AS residual FROM {_C}",
         f"SELECT source, 'table_linked', k % 3, 0, k % 3 FROM {_C}",
         f"SELECT source, 'query_hidden', k % 2, k % 2, 0 FROM {_C}",
+        f"SELECT source, 'macro', 0, 1, -1 FROM {_C} WHERE k % 200 = 150",
     ),
 )
 def _(spark, sf_dir):
@@ -400,9 +398,9 @@ def _(spark, sf_dir):
     return _inventory(spark, sf_dir).count_only().drop("source")
 
 
-@register("inventory_faults", "SELECT CAST(c_custkey AS VARCHAR) AS source FROM customer WHERE c_custkey % 50 = 0")
+@register("inventory_faults", "SELECT CAST(c_custkey AS VARCHAR) AS source, CASE c_custkey % 200 WHEN 0 THEN 'the file is no JSON' WHEN 50 THEN 'count key ''Gadget'' is unknown' WHEN 100 THEN 'format ''paper 1'' is unknown' ELSE 'macro of ' || c_custkey || '.mdb: 0 declared, 1 named' END AS fault FROM customer WHERE c_custkey % 50 = 0")
 def _(spark, sf_dir):
-    return _inventory(spark, sf_dir).faults().select("source")
+    return _inventory(spark, sf_dir).faults()
 
 
 # value lists and macros as text

@@ -24,7 +24,7 @@ from gridspark.operators.graph import KIND_ORDER, OPENERS
 from gridspark.plans.model import read_query, source_tables
 from gridspark.plans.textformat import parse_text
 
-from . import flow, forms, macros, schema, vba
+from . import documents, flow, forms, macros, schema, vba
 from .packages import object_parts, read_packages
 
 RECORDS = "path string, object string, kind string, record string, ordinal long, fields map<string,string>"
@@ -234,7 +234,7 @@ class Conversion:
             listed(self.edges(), "edges", "src", "dst", "edge"),
         ):
             out = out.join(part, "path", "left")
-        return out.select("path", F.to_json(F.struct(*sorted(c for c in out.columns if c != "path"))).alias("payload"))
+        return out.select("path", documents.json_of(out.drop("path")).alias("payload"))
 
     def corpus_report(self, most: int = 15) -> DataFrame:
         """(measure, name, value): totals of the corpus, and the `most` frequent blocking codes by objects, ties by code.
@@ -253,8 +253,8 @@ class Conversion:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Writes rows as JSON lines with sorted keys; the folder gets its files when the job commits, or none."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)
+    """Writes rows as JSON lines (see `documents.sorted_json`); the folder gets its files when the job commits, or none."""
+    documents.sorted_json(df).write.text(path)
 
 
 def convert_parts(parts: DataFrame) -> Conversion:

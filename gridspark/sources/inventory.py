@@ -8,11 +8,8 @@ the corpus is at fault; nothing of a faulty corpus is passed on.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,84 +39,108 @@ def bucket_of(key: object) -> str | None:
 
 def bucket_column(key: str = "key") -> Column:
     """`bucket_of` as a column."""
-    bare = F.regexp_replace(F.lower(F.col(key)), r"\s", "")
+    return _bucket(F.col(key))
+
+
+def _bucket(key: Column) -> Column:
+    bare = F.regexp_replace(F.lower(key), r"\s", "")
     table = F.create_map(*[F.lit(x) for kv in COUNT_KEYS.items() for x in kv])
     return F.coalesce(F.try_element_at(table, bare), *[F.when(bare.startswith(begin), b) for begin, b in KEY_BEGINNINGS.items()])
 
 
-class _Reader:
-    """The units of one file; the first fault ends it."""
-
-    def __init__(self, source: str):
-        self.source, self.sample, self.out = source, None, []
-
-    def add(self, record: str, artifact: str | None = None, family: str | None = None, bucket: str | None = None, name: str | None = None, ordinal: int | None = None, n: int | None = None) -> None:
-        self.out.append((self.source, self.sample, artifact, family, record, bucket, name, ordinal, n))
-
-    def text(self, value: object, what: str) -> str:
-        if not isinstance(value, str) or not value:
-            raise InventoryError(f"{what} is not a text")
-        return value
-
-    def counts(self, value: object, artifact: str | None, family: str) -> None:
-        if not isinstance(value, dict):
-            raise InventoryError("counts is not an object")
-        for key, n in value.items():
-            bucket = bucket_of(key)
-            if bucket is None:
-                raise InventoryError(f"count key {key!r} is unknown")
-            if type(n) is not int or n < 0:
-                raise InventoryError(f"the count of {key!r} is no non-negative integer")
-            self.add("declared", artifact, family, bucket, n=n)
-
-    def database(self, entry: object) -> str:
-        if not isinstance(entry, dict):
-            raise InventoryError("an entry of databases is not an object")
-        artifact = self.text(entry.get("file"), "file")
-        description = self.text(entry.get("format"), f"format of {artifact!r}").lower()
-        family = next((f for word, f in FORMATS.items() if word in description), None)
-        if family is None:
-            raise InventoryError(f"format {description!r} is unknown")
-        self.add("artifact", artifact, family)
-        self.counts(entry.get("counts"), artifact, family)
-        if not isinstance(entry.get("objects"), list):
-            raise InventoryError(f"objects of {artifact!r} is not a list")
-        for i, o in enumerate(entry["objects"]):
-            if not isinstance(o, dict) or bucket_of(o.get("kind")) is None:
-                raise InventoryError(f"object {i} of {artifact!r} has no known kind")
-            self.add("object", artifact, family, bucket_of(o["kind"]), self.text(o.get("name"), f"name of object {i} of {artifact!r}"), i, 1)
-        return artifact
-
-    def package(self, data: dict) -> None:
-        """A template package, whose name is found among the sample's files later."""
-        self.add("artifact", None, "accdt")
-        self.counts(data["counts"], None, "accdt")
-        i = 0
-        for key, bucket in PACKAGE_LISTS.items():
-            if not isinstance(data[key], list):
-                raise InventoryError(f"{key} is not a list")
-            for value in data[key]:
-                self.add("object", None, "accdt", bucket, self.text(value, f"an entry of {key}"), i, 1)
-                i += 1
-
-    def read(self, content: str) -> list[tuple]:
-        try:
-            data = json.loads(content)
-            if not isinstance(data, dict):
-                raise InventoryError("the file is not an object")
-            self.sample = self.text(data.get("sample"), "sample")
-            if isinstance(data.get("databases"), list):
-                names = [self.database(entry) for entry in data["databases"]]
-                if len(set(names)) < len(names):
-                    raise InventoryError("an artifact is there twice")
-            elif "counts" in data and all(key in data for key in PACKAGE_LISTS):
-                self.package(data)
-            else:
-                raise InventoryError("the file has an unknown shape")
-        except ValueError as fault:  # InventoryError, or JSON that does not parse
-            self.out = []
-            self.add("fault", name=str(fault))
-        return self.out
+def _get(value: Column, key: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{key}", kind)
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _as_text(value: Column) -> Column:
+    """A value that is a text, and not an empty one; else null."""
+    return F.when(_is(value, "STRING"), F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
+
+
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit("'"), text, F.lit("'"))
+
+
+def _fault(*tests: tuple[Column, Column]) -> Column:
+    """The text of the first test that fails."""
+    return F.coalesce(*[F.when(bad, text) for bad, text in tests])
+
+
+def _first(faults: Column) -> Column:
+    return F.get(F.filter(faults, lambda f: f.isNotNull()), 0)
+
+
+def _unit(record: str, artifact: Column | None = None, family: Column | None = None, bucket: Column | None = None, name: Column | None = None, ordinal: Column | None = None, n: Column | None = None) -> Column:
+    cast = lambda c, kind: (F.lit(None) if c is None else c).cast(kind)
+    return F.struct(cast(artifact, "string").alias("artifact"), cast(family, "string").alias("format_family"), F.lit(record).alias("record"), cast(bucket, "string").alias("bucket"), cast(name, "string").alias("name"), cast(ordinal, "long").alias("ordinal"), cast(n, "long").alias("n"))
+
+
+def _family(description: Column) -> Column:
+    return F.coalesce(*[F.when(description.contains(word), family) for word, family in FORMATS.items()])
+
+
+def _counts_fault(counts: Column) -> Column:
+    """What is wrong with declared counts; keys are looked at in their order by name."""
+    entries = F.map_entries(F.try_variant_get(counts, "$", "map<string,variant>"))
+    one = lambda e: _fault(
+        (_bucket(e["key"]).isNull(), F.concat(F.lit("count key "), _quoted(e["key"]), F.lit(" is unknown"))),
+        (~_is(e["value"], "BIGINT") | (F.try_variant_get(e["value"], "$", "bigint") < 0), F.concat(F.lit("the count of "), _quoted(e["key"]), F.lit(" is no non-negative integer"))),
+    )
+    return F.coalesce(F.when(~_is(counts, "OBJECT"), "counts is not an object"), _first(F.transform(entries, one)))
+
+
+def _declared(counts: Column, artifact: Column | None, family: Column) -> Column:
+    entries = F.map_entries(F.try_variant_get(counts, "$", "map<string,variant>"))
+    return F.transform(entries, lambda e: _unit("declared", artifact, family, _bucket(e["key"]), n=F.try_variant_get(e["value"], "$", "bigint")))
+
+
+def _database_fault(d: Column) -> Column:
+    file, description = _as_text(_get(d, "file")), F.lower(_as_text(_get(d, "format")))
+    objects = _get(d, "objects", "array<variant>")
+    one = lambda o, i: _fault(
+        (~_is(o, "OBJECT") | F.coalesce(_bucket(_as_text(_get(o, "kind"))), F.lit("")).eqNullSafe(""), F.concat(F.lit("object "), i.cast("string"), F.lit(" of "), _quoted(file), F.lit(" has no known kind"))),
+        (_as_text(_get(o, "name")).isNull(), F.concat(F.lit("name of object "), i.cast("string"), F.lit(" of "), _quoted(file), F.lit(" is not a text"))),
+    )
+    return F.coalesce(
+        _fault(
+            (~_is(d, "OBJECT"), F.lit("an entry of databases is not an object")),
+            (file.isNull(), F.lit("file is not a text")),
+            (description.isNull(), F.concat(F.lit("format of "), _quoted(file), F.lit(" is not a text"))),
+            (_family(description).isNull(), F.concat(F.lit("format "), _quoted(description), F.lit(" is unknown"))),
+        ),
+        _counts_fault(_get(d, "counts")),
+        F.when(~_is(_get(d, "objects"), "ARRAY"), F.concat(F.lit("objects of "), _quoted(file), F.lit(" is not a list"))),
+        _first(F.transform(objects, one)),
+    )
+
+
+def _database_units(d: Column) -> Column:
+    file = _as_text(_get(d, "file"))
+    family = _family(F.lower(_as_text(_get(d, "format"))))
+    named = F.transform(_get(d, "objects", "array<variant>"), lambda o, i: _unit("object", file, family, _bucket(_as_text(_get(o, "kind"))), _as_text(_get(o, "name")), i, F.lit(1)))
+    return F.concat(F.array(_unit("artifact", file, family)), _declared(_get(d, "counts"), file, family), named)
+
+
+def _package_fault(v: Column) -> Column:
+    tests = []
+    for key in PACKAGE_LISTS:
+        entries = F.transform(_get(v, key, "array<variant>"), lambda x: F.when(_as_text(x).isNull(), f"an entry of {key} is not a text"))  # noqa: B023
+        tests += [F.when(~_is(_get(v, key), "ARRAY"), f"{key} is not a list"), _first(entries)]
+    return F.coalesce(_counts_fault(_get(v, "counts")), *tests)
+
+
+def _package_units(v: Column) -> Column:
+    """The units of a template package, whose name is found among the sample's files later."""
+    family, before, lists = F.lit("accdt"), F.lit(0), []
+    for key, bucket in PACKAGE_LISTS.items():
+        entries = _get(v, key, "array<variant>")
+        lists.append(F.transform(entries, lambda x, i: _unit("object", None, family, F.lit(bucket), _as_text(x), before + i, F.lit(1))))  # noqa: B023
+        before = before + F.size(entries)
+    return F.concat(F.array(_unit("artifact", None, family)), _declared(_get(v, "counts"), None, family), *lists)
 
 
 @dataclass
@@ -166,14 +187,29 @@ class Inventory:
 
 
 def read_units(files: DataFrame) -> Inventory:
-    """The units of `files(source, content)`: texts of inventory files."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [u for source, content in zip(batch["source"], batch["content"], strict=True) for u in _Reader(source).read(content)]
-            yield pd.DataFrame(rows, columns=_NAMES).astype({"ordinal": "Int64", "n": "Int64"})
+    """The units of `files(source, content)`: texts of inventory files.
 
-    return Inventory(files.select("source", "content").mapInPandas(work, UNITS))
+    A file is one VARIANT value, which is tested in its order (keys of an object by name); the
+    first thing wrong is its fault, and it gives no other unit.
+    """
+    value = files.select("source", F.try_parse_json("content").alias("v"))
+    v = F.col("v")
+    databases = _get(v, "databases", "array<variant>")
+    listed = _is(_get(v, "databases"), "ARRAY")
+    packed = F.lit(True)
+    for key in ("counts", *PACKAGE_LISTS):
+        packed = packed & _get(v, key).isNotNull()
+    names = F.transform(databases, lambda d: _as_text(_get(d, "file")))
+    fault = F.coalesce(
+        _fault((v.isNull(), F.lit("the file is no JSON")), (~_is(v, "OBJECT"), F.lit("the file is not an object")), (_as_text(_get(v, "sample")).isNull(), F.lit("sample is not a text"))),
+        F.when(listed, _first(F.transform(databases, _database_fault))),
+        F.when(listed & (F.size(F.array_distinct(names)) < F.size(names)), "an artifact is there twice"),
+        F.when(~listed & packed, _package_fault(v)),
+        F.when(~listed & ~packed, "the file has an unknown shape"),
+    )
+    units = F.when(F.col("fault").isNotNull(), F.array(_unit("fault", name=F.col("fault")))).when(listed, F.flatten(F.transform(databases, _database_units))).otherwise(_package_units(v))
+    rows = value.withColumn("fault", fault).select("source", F.when(F.col("fault").isNull(), _as_text(_get(v, "sample"))).alias("sample"), F.explode(units).alias("u"))
+    return Inventory(rows.select("source", "sample", *[f"u.{c}" for c in _NAMES[2:]]))
 
 
 def read_inventories(spark: SparkSession, path: str) -> Inventory:

@@ -273,7 +273,7 @@ def test_inventory(spark, tmp_path):
 def test_inventory_faults(spark):
     change = lambda **x: {"sample": "s", "databases": [{**DATABASE, **x}]}
     cases = {
-        "{": "Expecting",
+        "{": "no JSON",
         "[]": "not an object",
         '{"sample": ""}': "sample",
         '{"sample": "s"}': "unknown shape",
@@ -393,4 +393,23 @@ def test_json_is_written_with_sorted_keys(spark, tmp_path):
     df = spark.createDataFrame([("x", 1, None)], "b string, a int, c string")
     write_json(df.coalesce(1), f"file://{tmp_path}/out")
     (part,) = (tmp_path / "out").glob("part-*")
-    assert part.read_text() == '{"a":1,"b":"x"}\n' and (tmp_path / "out" / "_SUCCESS").exists()
+    assert part.read_text() == '{"a":1,"b":"x","c":null}\n' and (tmp_path / "out" / "_SUCCESS").exists()
+
+
+def test_documents_appear_whole_or_not_at_all(spark, tmp_path):
+    from gridspark.sources import documents
+
+    rows = spark.createDataFrame([("a/b c", {"z": 1, "y": 2}, [(2, None)]), ("d", None, None)], "name string, m map<string,int>, list array<struct<q:int,p:string>>")
+    made = rows.withColumn("text", documents.json_of(rows))
+    assert documents.write_documents(made, f"file://{tmp_path}/out", "name", "text") == 2
+    read = lambda: {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")}
+    before = read()
+    assert before == {"a%2Fb+c.json": '{"list":[{"p":null,"q":2}],"m":{"y":2,"z":1},"name":"a/b c"}\n', "d.json": '{"list":null,"m":null,"name":"d"}\n'}
+    bad = made.withColumn("text", F.when(F.col("name") == "d", F.raise_error(F.lit("no"))).otherwise("new"))
+    with pytest.raises(Exception, match="no"):
+        documents.write_documents(bad, f"file://{tmp_path}/out", "name", "text")
+    assert read() == before
+    with pytest.raises(ValueError):
+        documents.write_documents(made.union(made), f"file://{tmp_path}/out", "name", "text")
+    documents.write_documents(made.withColumn("text", F.lit("{}")).filter("name = 'd'"), f"file://{tmp_path}/out", "name", "text")
+    assert read() == before | {"d.json": "{}\n"}
