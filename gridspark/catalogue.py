@@ -224,3 +224,5 @@ add("stored_crosstab_order", stored("TRANSFORM Count(*) AS n SELECT o_orderprior
 
 # running domain aggregates: a range that ends at the row's value
 add("domain_running_sum", grid(["orders"], ["orders.o_orderkey", ('DSum("CLng(o_totalprice*100)","orders","o_custkey=" & [o_custkey] & " And o_orderkey<=" & [o_orderkey])', "total"), ('DCount("*","orders","o_orderkey<" & [o_orderkey])', "before"), ('DMax("o_totalprice","orders","o_totalprice>100000 And o_custkey=" & [o_custkey] & " And o_orderkey>" & [o_orderkey])', "later"), ('Round(DAvg("CLng(o_totalprice*100)","orders","o_totalprice>=" & [o_totalprice]),1)', "mean")]), "SELECT o_orderkey, CAST(sum(CAST(round_even(o_totalprice*100,0) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS total, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS before, max(CASE WHEN o_totalprice>100000 THEN o_totalprice END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later, round(avg(CAST(round_even(o_totalprice*100,0) AS BIGINT)) OVER (ORDER BY o_totalprice DESC RANGE UNBOUNDED PRECEDING),1) AS mean FROM orders")
+expressions("expr_is_error", "lineitem", _LK, [("a", "IsError(l_quantity/(l_linenumber-1))", "l_linenumber = 1"), ("b", "IsError(CLng(IIf(l_linenumber=2,'x','5')) & CDate(l_returnflag))", "true"), ("c", "IsError(Log(l_linenumber-3)+1)", "l_linenumber <= 3"), ("d", "IsError(l_quantity Mod (l_linenumber-2)/10)", "l_linenumber <= 7"), ("e", "IsError(CDbl(l_discount))", "false")])
+expressions("expr_is_array", "embeddings", ["vec_id"], [("a", "IsArray(embedding)", "embedding IS NOT NULL"), ("b", "IsArray(label)", "false"), ("c", "IsObject(embedding)", "false")])

@@ -686,3 +686,33 @@ def _(spark, sf_dir):
     catalog = scripts.Catalog(spark, parquet_tables(spark, sf_dir), shared_path(spark, "catalog"))
     catalog.run(_SCRIPT)
     return catalog("Rich Ones").select("k", F.col("amount").cast("double").alias("amount"), F.col("orders_of").cast("long").alias("orders_of"))
+
+
+@register(
+    "report_group_spans",
+    """SELECT make_timestamp(1899 + 5 * CAST(floor((year(o_orderdate) - 1899) / 5.0) AS BIGINT), 1, 1, 0, 0, 0.0) AS group_0,
+ CAST(DATE '1899-12-01' + to_months(CAST(4 * floor((year(o_orderdate) * 12 + month(o_orderdate) - 22800) / 4.0) AS INTEGER)) AS TIMESTAMP) AS group_1,
+ CAST(DATE '1899-12-30' + CAST(10 * floor(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) / 10.0) AS INTEGER) AS TIMESTAMP) AS group_2, count(*) AS n FROM orders GROUP BY ROLLUP(1, 2, 3)""",
+)
+def _(spark, sf_dir):
+    """Group levels by five years, by four months and by ten days."""
+    level = lambda on, step: f"  Begin BreakLevel\n   ControlSource =\"o_orderdate\"\n   GroupOn ={on}\n   GroupInterval ={step}\n  End\n"
+    model = forms.read_form('Begin Report\n RecordSource ="orders"\n Begin\n' + level(2, 5) + level(4, 4) + level(6, 10) + " End\nEnd\n", "rptSpans", "report")
+    return screens.report_groups(model, screens.form_rows(model, parquet_tables(spark, sf_dir)), F.count(F.lit(1)).alias("n"))
+
+
+@register("macro_on_error", "SELECT event_id, CASE WHEN value > 90 AND event_type <> 'view' THEN 'large 7' WHEN value > 50 THEN 'passed' ELSE 'small' END AS event_type FROM events WHERE NOT (value > 90 AND event_type = 'view')")
+def _(spark, sf_dir):
+    """Errors are refused, passed over after OnError Next, and forgotten after ClearMacroError."""
+    fail = lambda least, text: _if(f"[value]>{least}", Statement("action", "RaiseError", {"Error Description": text, "Error Number": "7"}))
+    handler = Handler("BeforeChange", [
+        _if("[event_type]<>'view'", Statement("action", "OnError", {"GoTo": "Next"})),
+        fail(90, "large"),
+        _set("event_type", 'IIf([MacroError].[Number]=7,[MacroError].[Description] & " " & [MacroError].[Number],"small")'),
+        Statement("action", "ClearMacroError"),
+        Statement("action", "OnError", {"GoTo": "Next"}),
+        fail(50, "middle"),
+        _if('[MacroError].[Description]="middle" And [event_type]="small"', _set("event_type", '"passed"')),
+    ])
+    return datamacros.run_handler(handler, _t(spark, sf_dir, "events"), parquet_tables(spark, sf_dir)).rows.select("event_id", "event_type")
+

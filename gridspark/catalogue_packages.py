@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import struct
+import warnings
 import zipfile
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.catalogue import grid, register
+from gridspark.catalogue import grid, register, stored
 from gridspark.sources import catalogs, inventory, packages
 from gridspark.sources.convert import Conversion, convert_parts
 
@@ -409,3 +410,76 @@ def _(spark, sf_dir):
     text = F.expr("CASE p_size % 3 WHEN 0 THEN concat('[x] Like ', chr(34), 'a*', p_size, chr(34)) WHEN 1 THEN concat('Gadget', p_size, '(1)') ELSE 'Nz([x])' END")
     rows = packages.expression_rows(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.alias("source")))
     return rows.select("p_partkey", F.explode("codes").alias("code"))
+
+
+def _limited(k: int) -> bytes:
+    """A package that breaks one rule by its key; every eighth is whole."""
+    kind, out = k % 8, io.BytesIO()
+    if kind == 1:
+        return b"PK no archive"
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of names that are there twice
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+            if kind != 2:
+                package.writestr(packages.TEMPLATE, "<x/>")
+            package.writestr({3: "/template/x.txt", 4: "template\\..\\x.txt"}.get(kind, "template/x.txt"), "0" * (3 << 20) if kind == 5 else "x")
+            if kind == 6:
+                package.writestr("Template/X.txt", "y")
+            if kind == 7:
+                link = zipfile.ZipInfo("template/link")
+                link.external_attr = 0o120777 << 16
+                package.writestr(link, "x.txt")
+    return out.getvalue()
+
+
+@register("package_limits", "SELECT CAST(c_custkey AS VARCHAR) AS path, CASE c_custkey % 8 WHEN 1 THEN 'INVALID_ACCDT_PACKAGE' WHEN 2 THEN 'INVALID_ACCDT_PACKAGE' WHEN 3 THEN 'UNSAFE_PACKAGE_PATH' WHEN 4 THEN 'UNSAFE_PACKAGE_PATH' WHEN 5 THEN 'PACKAGE_LIMIT_EXCEEDED' WHEN 6 THEN 'DUPLICATE_PACKAGE_ENTRY' WHEN 7 THEN 'UNSAFE_PACKAGE_ENTRY_TYPE' END AS diagnostic FROM customer")
+def _(spark, sf_dir):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [int(k) for k in batch["c_custkey"]]
+            yield pd.DataFrame({"path": [str(k) for k in keys], "content": [_limited(k) for k in keys]})
+
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").mapInPandas(work, "path string, content binary")
+    return packages.package_entries(files).groupBy("path").agg(F.max("diagnostic").alias("diagnostic"))
+
+
+#: Parts (kind, text) with the codes that each has to give.
+_CODED: list[tuple[str, str, list[str]]] = [
+    ("query", grid(["t"], [("[a]", "b")], where="[a] Like 'x*'"), ["LIKE_WILDCARD_DIALECT"]),
+    ("query", grid(["t"], [("Gadget([a])", "b")]), ["UNKNOWN_FUNCTION"]),
+    ("query", grid(["t"], [("Nz([a])", "b"), ("Int([a])", "c"), ("[a]\\2", "d")]), ["NZ_DEFAULT_DEPENDS_ON_TYPE", "INT_FIX_ROUNDING", "INTEGER_DIVISION_SEMANTICS"]),
+    ("query", grid(["t"], [("[a] Eqv [b]", "c")]), ["LOGICAL_OPERATOR_NOT_IN_SQL"]),
+    ("query", grid(["t"], [("[a]", "b")], where="[a]=[Forms]![f]![x]"), ["UI_REFERENCE_BECOMES_PARAMETER"]),
+    ("query", grid(["t"], [("[CurrentProject].[Path]", "b")]), ["ACCESS_OBJECT_MODEL_REFERENCE"]),
+    ("query", grid(["t"], [("Environ('x')", "b")]), ["ACCESS_RUNTIME_FUNCTION"]),
+    ("query", grid(["t"], [("1 +", "b")]), ["EXPRESSION_PARSE_FAILED"]),
+    ("query", grid(["t"], [("InStr(1,[a],'x')", "b")]), ["FUNCTION_REWRITE_INCOMPLETE"]),
+    ("query", grid(["t"], ["t.a"], option=16, top=5), ["TOP_CLAUSE_IS_DIALECT_SPECIFIC"]),
+    ("query", grid(["t", "u"], ["t.a"]), ["IMPLICIT_CROSS_JOIN"]),
+    ("query", grid(["t"], ["t.a"], option=64), ["QUERY_OPTION_BITS_NOT_MAPPED"]),
+    ("query", grid(["t", "u"], ["t.a"], joins=[("t", "u", "t.a=u.a", 9)]), ["JOIN_FLAG_NOT_MAPPED"]),
+    ("query", grid(["t"], ["t.a"], operation=7), ["QUERY_OPERATION_CODE_NOT_MAPPED", "NON_SELECT_QUERY_SQL_NOT_GENERATED"]),
+    ("query", stored("SELECT a FROM t UNION SELECT b FROM u"), ["STORED_SQL_NOT_RE_PARSED"]),
+    ("query", 'dbMemo "SQL" ="SELECT 1"\ndbMemo "Connect" ="ODBC;DSN=x"\n', ["PASS_THROUGH_QUERY_TARGETS_EXTERNAL_SERVER"]),
+    ("table", _XSD.format(name="t", columns='<xsd:element name="a" od:jetType="strange"/>'), ["JET_FIELD_TYPE_NOT_MAPPED"]),
+    ("table", "<x/>", ["TABLE_ELEMENT_NOT_FOUND"]),
+    ("table", "<x", ["SEMANTIC_PARSE_FAILED"]),
+    ("macro", 'Begin\n Action ="Beep"\nEnd\n', ["MACRO_STORED_AS_FLAT_ACTION_LIST", "MACRO_ACTION_UI_NOT_TRANSLATABLE"]),
+    ("macro", 'Begin\n Action ="NoSuchAction"\nEnd\n', ["MACRO_STORED_AS_FLAT_ACTION_LIST", "MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE"]),
+    ("macro", 'Begin\n Comment ="_AXL:<x"\nEnd\n', ["MACRO_AXL_NOT_PARSED", "MACRO_STORED_AS_FLAT_ACTION_LIST"]),
+    ("datamacro", "<DataMacros><DataMacro Event='AfterInsert'><Statements><Odd/></Statements></DataMacro></DataMacros>", ["MACRO_ELEMENT_NOT_RECOGNISED"]),
+    ("form", 'Begin Form\n OnLoad ="[Embedded Macro]"\nEnd\n', ["EMBEDDED_MACRO_BODY_NOT_IN_TEXT_DEFINITION"]),
+    ("form", "Operation =1\n", ["OBJECT_BLOCK_NOT_FOUND"]),
+    ("relationships", "<x", ["RELATIONSHIP_XML_NOT_PARSED"]),
+    *[("module", f"Sub A()\n  {line}\nEnd Sub\n", [code]) for line, code in (('MsgBox "x"', "VBA_INTERACTIVE_DIALOG"), ('Shell "x"', "VBA_STARTS_EXTERNAL_PROCESS"), ('Set x = CreateObject("y")', "VBA_AUTOMATION_OBJECT"), ('SendKeys "x"', "VBA_SENDS_KEYSTROKES"), ('Kill "x"', "VBA_FILE_SYSTEM_ACCESS"), ("x = Environ(1)", "VBA_HOST_ENVIRONMENT"), ("Application.Quit", "VBA_ACCESS_APPLICATION_OBJECT"), ("DoCmd.Beep", "VBA_DRIVES_ACCESS_UI"))],
+    ("module", 'Declare Function F Lib "x" ()\n', ["VBA_DECLARES_EXTERNAL_LIBRARY"]),
+]
+
+
+@register("finding_codes", f"SELECT CAST(c_custkey AS VARCHAR) AS path, code AS reason_code FROM customer JOIN (VALUES {', '.join(f'({i}, {c!r})' for i, (_, _, codes) in enumerate(_CODED) for c in codes)}) t(i, code) ON c_custkey % {len(_CODED)} = i")
+def _(spark, sf_dir):
+    """A part of each sort a customer, by its key."""
+    texts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text")) for kind, text, _ in _CODED])
+    chosen = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("path"), F.get(texts, (F.col("c_custkey") % len(_CODED)).cast("int")).alias("p"))
+    return convert_parts(chosen.select("path", F.lit("x").alias("object"), "p.kind", "p.text")).findings().select("path", "reason_code").distinct()
+

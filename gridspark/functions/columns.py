@@ -217,9 +217,6 @@ _SIMPLE: dict[tuple[str, int], Callable[..., Column]] = {
     ("iif", 3): lambda c, a, b: F.when(c, a).otherwise(b),
     ("isnull", 1): lambda x: x.isNull(),
     ("isempty", 1): lambda x: x.isNull(),
-    ("iserror", 1): lambda x: x.isNull() & F.lit(False),  # a column holds no errors, objects or arrays
-    ("isobject", 1): lambda x: x.isNull() & F.lit(False),
-    ("isarray", 1): lambda x: x.isNull() & F.lit(False),
     ("isnumeric", 1): lambda x: _text(x).try_cast("double").isNotNull(),
     ("isdate", 1): lambda x: _text(x).try_cast("timestamp").isNotNull(),
     ("date", 0): F.current_date,
@@ -236,9 +233,9 @@ _SIMPLE: dict[tuple[str, int], Callable[..., Column]] = {
     ("timeserial", 3): lambda h, n, s: _clock(h * 3600 + n * 60 + s),
     ("datevalue", 1): lambda x: _text(x).try_cast("date"),
     ("timevalue", 1): lambda x: F.date_format(x.cast("timestamp"), "HH:mm:ss"),
-    ("cint", 1): lambda x: F.bround(x.cast("double"), 0).cast("int"),
-    ("clng", 1): lambda x: F.bround(x.cast("double"), 0).cast("int"),
-    ("cbyte", 1): lambda x: F.bround(x.cast("double"), 0).cast("int"),
+    ("cint", 1): lambda x: F.bround(x.try_cast("double"), 0).try_cast("int"),
+    ("clng", 1): lambda x: F.bround(x.try_cast("double"), 0).try_cast("int"),
+    ("cbyte", 1): lambda x: F.bround(x.try_cast("double"), 0).try_cast("int"),
     ("cdbl", 1): lambda x: x.try_cast("double"),
     ("csng", 1): lambda x: x.try_cast("float"),
     ("ccur", 1): lambda x: x.try_cast("decimal(19,4)"),
@@ -252,6 +249,8 @@ _SIMPLE: dict[tuple[str, int], Callable[..., Column]] = {
     ("partition", 4): _partition,
 }
 
+CONVERSIONS = frozenset("cint clng cbyte cdbl csng ccur cdec cdate datevalue timevalue".split())
+
 _AGGREGATE: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "stdev": F.stddev_samp, "stdevp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop,
 }
@@ -389,6 +388,25 @@ class Compiler:
 
     _in_query = _exists = _quantified = _subquery
 
+    def _fails(self, n: Node) -> Column:
+        """Whether an expression has an error, which is null here: a division by zero, a conversion of what it can't
+        convert, a root or logarithm of what has none; in itself or in any operand, as all are evaluated."""
+        own = [F.lit(False)]
+        name = n.path[-1].lower().rstrip("$") if n.kind == "call" else ""
+        if n.kind == "binary" and n.value in ("/", "\\", "mod"):
+            divisor = self.column(n.children[1])
+            own.append((divisor if n.value == "/" else _whole(divisor)) == 0)
+        elif name in CONVERSIONS and len(n.children) == 1:
+            own.append(self.column(n.children[0]).isNotNull() & self.column(n).isNull())
+        elif name in ("sqr", "log") and len(n.children) == 1:
+            x = self.column(n.children[0])
+            own.append(x < 0 if name == "sqr" else x <= 0)
+        own += [self._fails(c) for c in n.children if name not in ("isnull", "iserror")]
+        out = F.lit(False)
+        for x in own:
+            out = out | F.coalesce(x, F.lit(False))
+        return out
+
     def _literal(self, n: Node, what: str) -> str:
         if n.kind != "string":
             raise CompileError("ACCESS_RUNTIME_FUNCTION", f"{what} needs a literal")
@@ -428,6 +446,11 @@ class Compiler:
             return format_value(self.column(args[0]), self._literal(args[1], name), None)
         if name == "rnd":
             return F.rand(int(args[0].value) if args and args[0].kind == "number" else 0)
+        if name == "iserror" and len(args) == 1:
+            return self._fails(args[0])
+        if name in ("isarray", "isobject") and len(args) == 1:
+            kind = (self.context.kind(args[0].path) if args[0].path else None) or ""
+            return self.column(args[0]).isNotNull() & F.lit(kind.startswith("array" if name == "isarray" else ("struct", "map")))
         build = _SIMPLE.get((name, len(args)))
         if build is None:
             kind = support_of(name)

@@ -25,6 +25,8 @@ from . import macroloops
 
 #: Named macros that run within each other, at most.
 NESTED = 20
+#: Columns of rows while a handler runs: whether errors are passed over, and the last one passed over.
+_RESUME, _ERROR, _NUMBER = "__resume", "__error_text", "__error_number"
 
 
 @dataclass
@@ -77,6 +79,10 @@ class _Runner:
             if len(path) > 1 and path[-2].lower() in self.looked:
                 column = self.looked[path[-2].lower()].columns.get(tail)
                 return None if column is None else F.col(bracketed(column))
+            if len(path) > 1 and path[-2].lower() == "macroerror":
+                column = {"description": _ERROR, "number": _NUMBER}.get(tail)
+                here = column in self.out.rows.columns
+                return None if column is None else F.col(column) if here else F.lit(None)
             if tail == "isinsert":
                 return F.lit(self.is_insert)
             return base.resolve(path)
@@ -140,15 +146,22 @@ class _Runner:
             if name == "setreturnvar" and column not in self.columns:
                 self.columns.append(column)
         elif name == "raiseerror":
-            self._refuse(self._hit(guard), F.lit(macroloops.message_of(s)))
-            self._drop(guard)
+            self._raise(s, guard)
         elif name == "rundatamacro":
             self._run_named(args, guard)
         elif name == "deleterecord":
             self._delete(guard)
         elif name in ("stopmacro", "stopallmacros", "exitforeachrecord"):
             self._stop(guard)
-        elif name in ("clearmacroerror", "onerror"):
+        elif name == "clearmacroerror":
+            for c, kind in ((_ERROR, "string"), (_NUMBER, "int")):
+                if c in self.out.rows.columns:
+                    self.out.rows = self.out.rows.withColumn(c, F.lit(None).cast(kind) if guard is None else F.when(~guard, F.col(c)))
+        elif name == "onerror" and (args.get("GoTo") or args.get("Goto") or "").strip().lower() in ("next", "fail"):
+            on = F.lit((args.get("GoTo") or args.get("Goto")).strip().lower() == "next")
+            old = F.col(_RESUME) if _RESUME in self.out.rows.columns else F.lit(False)
+            self.out.rows = self.out.rows.withColumn(_RESUME, on if guard is None else F.when(guard, on).otherwise(old))
+        elif name == "onerror":  # goes on in a submacro
             self.out.findings.append(Finding("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", s.name))
         else:
             raise CompileError("MACRO_ACTION_UNKNOWN_NOT_TRANSLATABLE", s.name)
@@ -157,6 +170,19 @@ class _Runner:
         bad = bad.select(*map(bracketed, self.columns), message.alias("error"))
         self.out.errors = bad if self.out.errors is None else self.out.errors.unionByName(bad)
 
+    def _raise(self, s: Statement, guard: Column | None) -> None:
+        """Refuses rows; those for which OnError says Next go on, with the error in MacroError."""
+        message, number = F.lit(macroloops.message_of(s)), F.lit(int(s.arguments.get("Error Number") or s.arguments.get("Number") or -1))
+        if _RESUME in self.out.rows.columns:
+            hit = F.lit(True) if guard is None else F.coalesce(guard, F.lit(False))
+            here = self.out.rows.columns
+            for c, value, kind in ((_ERROR, message, "string"), (_NUMBER, number, "int")):
+                old = F.col(c) if c in here else F.lit(None).cast(kind)
+                self.out.rows = self.out.rows.withColumn(c, F.when(hit & F.col(_RESUME), value).otherwise(old))
+            guard = hit & ~F.col(_RESUME)
+        self._refuse(self._hit(guard), message)
+        self._drop(guard)
+
     def _run_named(self, args: dict[str, str], guard: Column | None) -> None:
         """Runs a named macro over the same rows; its parameters are values of the rows while it runs."""
         name = args.get("MacroName") or ""

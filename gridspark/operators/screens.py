@@ -60,9 +60,29 @@ def group_key(level: GroupLevel, df: DataFrame) -> Column:
         return F.left(value.cast("string"), F.lit(step))
     if on == INTERVAL:
         return F.floor(value / step) * step
-    if on not in GROUP_ON or step != 1:
+    if on not in GROUP_ON or step < 1:
         raise CompileError("ROW_SOURCE_TYPE_NOT_A_QUERY", f"group on {on} by {step}")
-    return F.date_trunc(GROUP_ON[on], value)
+    return F.date_trunc(GROUP_ON[on], value) if step == 1 else _spans(GROUP_ON[on], value, step)
+
+
+def _spans(unit: str, value: Column, step: int) -> Column:
+    """The beginning of the `step` years, months and so on that hold a time, counted from the unit with 30 December 1899,
+    the dialect's day zero."""
+    month, day = F.year(value) * 12 + F.month(value) - (1899 * 12 + 12), F.datediff(value, F.lit("1899-12-30").cast("date"))
+    begin = lambda n: F.floor(n / step).cast("int") * step
+    since = lambda date: F.lit(date).cast("date")
+    made = {
+        "year": lambda: F.add_months(since("1899-01-01"), 12 * begin(F.year(value) - 1899)),
+        "quarter": lambda: F.add_months(since("1899-10-01"), 3 * begin(F.floor((month + 2) / 3))),
+        "month": lambda: F.add_months(since("1899-12-01"), begin(month)),
+        "week": lambda: F.date_add(since("1899-12-25"), 7 * begin(F.floor((day + 5) / 7))),
+        "day": lambda: F.date_add(since("1899-12-30"), begin(day)),
+    }
+    if unit in made:
+        return made[unit]().cast("timestamp")
+    seconds = 3600 if unit == "hour" else 60
+    zero = F.unix_timestamp(F.lit("1899-12-30").cast("timestamp"))
+    return F.timestamp_seconds(zero + F.floor((F.unix_timestamp(value) - zero) / (seconds * step)) * (seconds * step))
 
 
 def report_groups(model: FormModel, df: DataFrame, *measures: Column) -> DataFrame:

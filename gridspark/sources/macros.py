@@ -149,6 +149,7 @@ def read_data_macros(xml: str, table: str) -> MacroModel:
 
 def read_macro(block: Block, name: str) -> MacroModel:
     """A macro: its embedded XML where there is some, else the flat list of actions."""
+    faults: list[Finding] = []
     for b in block.children:
         comment = "".join(b.all("Comment"))
         if comment.startswith("_AXL:"):
@@ -156,11 +157,11 @@ def read_macro(block: Block, name: str) -> MacroModel:
             try:
                 root = safe_xml(comment[5:])
             except (ValueError, ElementTree.ParseError) as error:
-                model.findings.append(Finding("MACRO_AXL_NOT_PARSED", str(error)))
+                faults = [Finding("MACRO_AXL_NOT_PARSED", str(error))]
                 break
             model.handlers.append(Handler("run", _statements(root, model)))
             return model
-    model = MacroModel(name, "legacy_action_list", [], [Finding("MACRO_STORED_AS_FLAT_ACTION_LIST", name)])
+    model = MacroModel(name, "legacy_action_list", [], [*faults, Finding("MACRO_STORED_AS_FLAT_ACTION_LIST", name)])
     rows = []
     for b in block.children:
         action = b.get("Action")
