@@ -41,13 +41,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digests and spans of secrets of every document."""
-    return secrets.scan_documents(_table(spark, sf_dir, "documents"))
+    """Counts, digests and spans of secrets of every document, whose rows come in two updates of one ledger."""
+    return secrets.scan_updates(_table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unigram token counts of every document."""
-    return tokencounts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    """Token counts of every document under a unigram model whose scores all documents give."""
+    return tokencounts.count_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

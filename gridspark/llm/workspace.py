@@ -31,8 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_fallback[0]}"
 
 
+#: Paths given out in this session and not deleted since.
+_given: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.add(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables of this session that are still there: those that results read, when these are used up."""
+    remove(spark, *_given)
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -49,9 +60,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that nothing reads any more."""
-    for path in paths:
+    for path in list(paths):
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _given.difference_update(paths)
 
 
 def apart(df: DataFrame) -> DataFrame:
