@@ -93,7 +93,23 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (op1_decontamination, op2_packing, op3_quality, op4_secrets, op5_token_counts, op6_toxicity, op7_language, op8_ngram_join, op9_fingerprints, op10_warc, op11_hard_negatives, op12_chat_format, op13_collocations)
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4's result what SQL can say, too: the secrets of each base kind by document."""
+    return secrets.scan_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9's result what SQL can say, too: the length and the edited text of each document."""
+    return fingerprints.compare_edited(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+def packing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2's result what SQL can say, too: every document is there, and its pieces are all of it."""
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole"), (F.max(F.col("start") + F.col("length")) == F.max("doc_tokens")).alias("reaches_end"))
+
+
+_QUERIES = (op1_decontamination, op2_packing, op3_quality, op4_secrets, op5_token_counts, op6_toxicity, op7_language, op8_ngram_join, op9_fingerprints, op10_warc, op11_hard_negatives, op12_chat_format, op13_collocations, secret_counts, fingerprint_edits, packing_whole)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -207,5 +223,24 @@ QUALIFY row_number() OVER w <= 2000
 """
 
 
+COUNTS_SQL = r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+EDITS_SQL = r"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+nexts AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS n FROM rows WINDOW w AS (ORDER BY doc_id DESC))
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars,
+  sha256(substr(t, 1, length(t) - length(t) // 2) || substr(n, 1, length(t) // 2)) AS edited_sha256
+FROM nexts
+"""
+
+WHOLE_SQL = "SELECT DISTINCT doc_id, true AS whole, true AS reaches_end FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": OP8_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op8_ngram_join": OP8_SQL, "op10_warc": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_collocations": OP13_SQL, "secret_counts": COUNTS_SQL, "fingerprint_edits": EDITS_SQL, "packing_whole": WHOLE_SQL}
