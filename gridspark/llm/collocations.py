@@ -25,7 +25,7 @@ WORDS, LEAST, SHARE, FIRST = 3, 10, 50, 2000
 #: The bit set of frequent n-grams has 2**FILTER_BITS bits, whatever the data.
 FILTER_BITS = 27
 _PART = 15
-_SLICE = 2_000_000
+_SLICE = 500_000
 
 _apart = np.zeros(256, dtype=bool)
 _apart[[0x20, 9]] = True
