@@ -233,3 +233,16 @@ def test_tables_that_results_read_can_be_deleted(spark):
     assert df.count() == 3 and Path(path.removeprefix("file:")).exists()
     workspace.clean(spark)
     assert not Path(path.removeprefix("file:")).exists() and not workspace._given
+
+
+def test_the_packing_stage_on_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, None), (2, ""), (3, "x " * 30_000), (3, "x " * 30_000), (None, "no id"), (4, "two words"), (4, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("own").alias("start"), F.lit("own").alias("sequence_id"), F.lit(None).cast("string").alias("lang"))
+    pieces = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    assert {p.doc_id for p in pieces} == {1, 2, 3, 4, None} and all(p.offset + p.length <= 1024 for p in pieces)
+    for key, copies in ((1, 1), (3, 2), (4, 2), (None, 1)):
+        own = [p for p in pieces if p.doc_id == key]
+        assert sum(p.length for p in own) == copies * own[0].doc_tokens
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), "").count() == 0
