@@ -28,11 +28,16 @@ def stream_packages(spark: SparkSession, path: str, pattern: str = "*.accdt", on
 def over_limit(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
     """Events that exceed `limit` of their key within the last `seconds`, themselves included.
 
-    A window over time of each key; keys are many, and a window's rows are read once.
+    Time is cut into spans; an event of the last `seconds` of a span counts in the next one, too. So a
+    window holds one key in one span, however many events a key has.
     """
-    second = F.unix_timestamp(at)
-    window = Window.partitionBy(key).orderBy(second).rangeBetween(-(seconds - 1), 0)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(window)).filter(F.col("in_window") > limit)
+    second, span = F.unix_timestamp(at), max(3600, 10 * seconds)
+    own = F.floor(second / span)
+    spread = events.withColumn("__second", second).withColumn("__own", own)
+    spread = spread.withColumn("__span", F.explode(F.when(second > (own + 1) * span - seconds, F.array(own, own + 1)).otherwise(F.array(own))))
+    window = Window.partitionBy(key, "__span").orderBy("__second").rangeBetween(-(seconds - 1), 0)
+    counted = spread.withColumn("in_window", F.count(F.lit(1)).over(window))
+    return counted.filter((F.col("__span") == F.col("__own")) & (F.col("in_window") > limit)).drop("__second", "__own", "__span")
 
 
 def over_limit_stream(events: DataFrame, key: str, at: str, limit: int, seconds: int = 60, late: str = "2 minutes") -> DataFrame:
