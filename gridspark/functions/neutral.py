@@ -6,6 +6,7 @@ from this text.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -200,6 +201,11 @@ class _Renderer:
         return None
 
 
+@functools.lru_cache(maxsize=64)
+def _lowered(names: frozenset[str]) -> frozenset[str]:
+    return frozenset(n.lower() for n in names)
+
+
 def analyse(source: str | None, known_functions: frozenset[str] | set[str] = frozenset()) -> Analysis:
     """Parses and renders an expression; a failure to parse is a finding, not an exception."""
     out = Analysis(source or "")
@@ -212,5 +218,5 @@ def analyse(source: str | None, known_functions: frozenset[str] | set[str] = fro
         out.add("EXPRESSION_PARSE_FAILED", source or "", str(error))
         return out
     if out.tree is not None:
-        out.sql = _Renderer(out, frozenset(k.lower() for k in known_functions)).text(out.tree)
+        out.sql = _Renderer(out, _lowered(frozenset(known_functions))).text(out.tree)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -252,10 +253,15 @@ def metrics(p: Procedure) -> dict[str, int]:
     return {"statements": len(all_), "branches": branches, "loops": loops, "exits": of("exit"), "gotos": of("goto"), "labels": of("label"), "cyclomatic_complexity": 1 + branches + loops}
 
 
+@functools.lru_cache(maxsize=64)
+def _folded(names: frozenset[str]) -> dict[str, str]:
+    return {n.casefold(): n for n in sorted(names)}
+
+
 def effects(p: Procedure, known: set[str] | frozenset[str] = frozenset()) -> dict[str, list[str]]:
     """Calls of known procedures, DoCmd actions, SQL literals and codes of external effects."""
     found: dict[str, list[str]] = {"calls": [], "docmd_actions": [], "docmd_targets": [], "sql_literals": [], "external": [], "data_access": []}
-    folded = {k.casefold(): k for k in known}
+    folded = _folded(frozenset(known))
 
     def put(kind: str, value: str) -> None:
         if value not in found[kind]:
