@@ -184,10 +184,11 @@ def mine_phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, share:
     reached = F.sum("many").over(Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     levels = scored.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("many")).withColumn("reached", reached)  # a million levels at most
     cut = levels.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("reached") >= first, F.col("score"))), F.min("score")).alias("cut"))
+    cut, cut_path = write_table(cut, "phrases-cut")  # a row a language: small enough for Spark to see that, so phrases stay where they are
     high = scored.join(cut, "lang").filter("score >= cut")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     top = high.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= first)
     totals = counts.filter("gram = '' and words = 1").select("lang", F.col("f").alias("n"))
     out, _ = write_table(top.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
-    remove(docs.sparkSession, path, *paths)
+    remove(docs.sparkSession, path, cut_path, *paths)
     return out
