@@ -53,7 +53,7 @@ class Block:
 
 
 def _quoted(line: str) -> str | None:
-    m = _QUOTED.match(line)
+    m = _QUOTED.match(line) if '"' in line else None
     return None if m is None else unescape(m["body"].replace('""', '"'))
 
 
@@ -73,8 +73,8 @@ def parse_text(text: str) -> Block:
             if len(stack) > 1:
                 stack.pop()
             continue
-        begin = _BEGIN.match(line)
-        if begin and "=" not in bare:
+        begin = _BEGIN.match(line) if "=" not in bare else None
+        if begin:
             if len(stack) >= DEEPEST:
                 raise ValueError("blocks are nested too deeply")
             block = Block(begin["type"])
