@@ -6,20 +6,24 @@ must be found: objects, findings, procedures, control flow, edges, features, dia
 
 from __future__ import annotations
 
+import functools
 import io
 import struct
 import warnings
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.catalogue import grid, register, stored
+from gridspark.plans.tables import dealt
 from gridspark.sources import catalogs, inventory, packages
 from gridspark.sources.convert import Conversion, convert_parts
 
+#: Files that a task makes before it hands them over.
+MADE = 200
 OBJECTS = "template/database/objects/"
 _XSD = """<xsd:schema xmlns:xsd="http://www.w3.org/2001/XMLSchema" xmlns:od="urn:schemas-microsoft-com:officedata">
 <xsd:element name="{name}"><xsd:complexType><xsd:sequence>{columns}</xsd:sequence></xsd:complexType></xsd:element></xsd:schema>"""
@@ -93,16 +97,25 @@ def package_of(k: int) -> bytes:
     return out.getvalue()
 
 
-def entries(spark, sf_dir: str) -> DataFrame:
-    """The entries of all packages, read from their bytes."""
+def made_files(rows: DataFrame, made: Callable[[int], tuple[str, bytes]]) -> DataFrame:
+    """files(path, content) of the keys in `rows`, dealt over tasks; a task hands over MADE files at a time."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["s_suppkey"].tolist()
-            yield pd.DataFrame({"path": [str(k) for k in keys], "content": [package_of(int(k)) for k in keys]})
+            keys = [int(k) for k in batch.iloc[:, 0]]
+            for i in range(0, len(keys), MADE):
+                yield pd.DataFrame([made(k) for k in keys[i : i + MADE]], columns=["path", "content"])
+
+    return dealt(rows).mapInPandas(work, "path string, content binary")
+
 
-    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(work, "path string, content binary")
-    return packages.package_entries(files)
+def _keys(spark, sf_dir: str, table: str, key: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key)
+
+
+def entries(spark, sf_dir: str) -> DataFrame:
+    """The entries of all packages, read from their bytes."""
+    return packages.package_entries(made_files(_keys(spark, sf_dir, "supplier", "s_suppkey"), lambda k: (str(k), package_of(k))))
 
 
 def converted(spark, sf_dir: str) -> Conversion:
@@ -153,15 +166,11 @@ def database_of(layout: catalogs.Layout, names: list[tuple[str, int]]) -> bytes:
 def catalog_rows(spark, sf_dir: str) -> DataFrame:
     """The objects of one binary database a supplier: the old page format where the key is even, no database for every tenth."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [int(k) for k in batch["s_suppkey"]]
-            names = lambda k: [(f"Kunden{k}", 1), (f"fern{k}", 6), (f"abfrage{k}", 5), (f"~sq_f{k}", 5), (f"form{k}", -32768), (f"bericht{k}", -32764), (f"makro{k}", -32766), (f"modul{k}", -32761), ("MSysObjects", 1), ("~TMPCLP1", 1), ("Tables", 3)]
-            content = [b"no database" if k % 10 == 0 else database_of(catalogs.OLD if k % 2 == 0 else catalogs.NEW, names(k)) for k in keys]
-            yield pd.DataFrame({"path": [str(k) for k in keys], "content": content})
+    def made(k: int) -> tuple[str, bytes]:
+        names = [(f"Kunden{k}", 1), (f"fern{k}", 6), (f"abfrage{k}", 5), (f"~sq_f{k}", 5), (f"form{k}", -32768), (f"bericht{k}", -32764), (f"makro{k}", -32766), (f"modul{k}", -32761), ("MSysObjects", 1), ("~TMPCLP1", 1), ("Tables", 3)]
+        return str(k), b"no database" if k % 10 == 0 else database_of(catalogs.OLD if k % 2 == 0 else catalogs.NEW, names)
 
-    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(work, "path string, content binary")
-    return packages.catalog_objects(files)
+    return packages.catalog_objects(made_files(_keys(spark, sf_dir, "supplier", "s_suppkey"), made))
 
 
 _K = "s_suppkey"
@@ -338,15 +347,11 @@ def _(spark, sf_dir):
 def _inputs(spark, sf_dir: str) -> DataFrame:
     """Files of all sorts by key: packages (whole, unsafe, no archive), databases of both formats and broken ones, texts."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k in map(int, batch["s_suppkey"]):
-                made = (lambda: ("a.accdt", package_of(k)), lambda: ("b.MDB", database_of(catalogs.OLD, [("t", 1)])), lambda: ("c.accdb", b"x" * 5000), lambda: ("d.txt", b"x"), lambda: ("e.accdt", b"x"))[k % 5]()
-                rows.append((f"{k}/{made[0]}", made[1]))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+    def made(k: int) -> tuple[str, bytes]:
+        name, content = (lambda: ("a.accdt", package_of(k)), lambda: ("b.MDB", database_of(catalogs.OLD, [("t", 1)])), lambda: ("c.accdb", b"x" * 5000), lambda: ("d.txt", b"x"), lambda: ("e.accdt", b"x"))[k % 5]()
+        return f"{k}/{name}", content
 
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(work, "path string, content binary")
+    return made_files(_keys(spark, sf_dir, "supplier", "s_suppkey"), made)
 
 
 _INPUT_SQL = f"""SELECT {_K} || CASE {_K} % 5 WHEN 0 THEN '/a.accdt' WHEN 1 THEN '/b.MDB' WHEN 2 THEN '/c.accdb' WHEN 3 THEN '/d.txt' ELSE '/e.accdt' END AS path,
@@ -412,9 +417,10 @@ def _(spark, sf_dir):
     return rows.select("p_partkey", F.explode("codes").alias("code"))
 
 
-def _limited(k: int) -> bytes:
-    """A package that breaks one rule by its key; every eighth is whole."""
-    kind, out = k % 8, io.BytesIO()
+@functools.cache
+def _limited(kind: int) -> bytes:
+    """A package that breaks one of seven rules; that of kind 0 is whole."""
+    out = io.BytesIO()
     if kind == 1:
         return b"PK no archive"
     with warnings.catch_warnings():
@@ -434,12 +440,7 @@ def _limited(k: int) -> bytes:
 
 @register("package_limits", "SELECT CAST(c_custkey AS VARCHAR) AS path, CASE c_custkey % 8 WHEN 1 THEN 'INVALID_ACCDT_PACKAGE' WHEN 2 THEN 'INVALID_ACCDT_PACKAGE' WHEN 3 THEN 'UNSAFE_PACKAGE_PATH' WHEN 4 THEN 'UNSAFE_PACKAGE_PATH' WHEN 5 THEN 'PACKAGE_LIMIT_EXCEEDED' WHEN 6 THEN 'DUPLICATE_PACKAGE_ENTRY' WHEN 7 THEN 'UNSAFE_PACKAGE_ENTRY_TYPE' END AS diagnostic FROM customer")
 def _(spark, sf_dir):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = [int(k) for k in batch["c_custkey"]]
-            yield pd.DataFrame({"path": [str(k) for k in keys], "content": [_limited(k) for k in keys]})
-
-    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").mapInPandas(work, "path string, content binary")
+    files = made_files(_keys(spark, sf_dir, "customer", "c_custkey"), lambda k: (str(k), _limited(k % 8)))
     return packages.package_entries(files).groupBy("path").agg(F.max("diagnostic").alias("diagnostic"))
 
 
@@ -480,6 +481,6 @@ _CODED: list[tuple[str, str, list[str]]] = [
 def _(spark, sf_dir):
     """A part of each sort a customer, by its key."""
     texts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text")) for kind, text, _ in _CODED])
-    chosen = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("path"), F.get(texts, (F.col("c_custkey") % len(_CODED)).cast("int")).alias("p"))
+    chosen = dealt(_keys(spark, sf_dir, "customer", "c_custkey")).select(F.col("c_custkey").cast("string").alias("path"), F.get(texts, (F.col("c_custkey") % len(_CODED)).cast("int")).alias("p"))
     return convert_parts(chosen.select("path", F.lit("x").alias("object"), "p.kind", "p.text")).findings().select("path", "reason_code").distinct()
 

@@ -7,7 +7,7 @@ import io
 import re
 import stat
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,8 @@ MOST_ENTRIES, ENTRY_BYTES, TOTAL_BYTES, MOST_RATIO, RATIO_FROM = 5000, 16 << 20,
 PARTS = r"^template/database/objects/(?i:(table)([^/]+)\.xsd|(query|form|report|macro|module)([^/]+)\.txt|datamacros/(datamacro)s([^/]+)\.axl)$"
 RELATIONSHIPS = "template/database/relationships.xml"
 TEMPLATE = "template/template.xml"
+#: Rows and bytes of the frames that tasks hand over.
+BATCH_ROWS, BATCH_BYTES = 5000, 8 << 20
 ENTRIES = "path string, name string, size long, sha256 string, encoding string, text string, diagnostic string"
 
 
@@ -80,15 +82,31 @@ def read_entries(path: str, content: bytes) -> list[tuple]:
     return out
 
 
+def _together(found: Iterable[tuple[list[tuple], int]]) -> Iterator[list[tuple]]:
+    """Rows of several files (rows, bytes) in one list, as far as BATCH_ROWS and BATCH_BYTES go: a frame of a few rows costs more than reading them."""
+    out, held = [], 0
+    for rows, size in found:
+        if out and (len(out) + len(rows) > BATCH_ROWS or held + size > BATCH_BYTES):
+            yield out
+            out, held = [], 0
+        out += rows
+        held += size
+    if out:
+        yield out
+
+
 def package_entries(files: DataFrame) -> DataFrame:
     """Entries of the packages in `files(path, content)`, as read by the binaryFile source; see ENTRIES."""
     names = [c.split()[0] for c in ENTRIES.split(", ")]
 
+    def read(path: str, content: bytes) -> tuple[list[tuple], int]:
+        rows = read_entries(path, bytes(content))
+        return rows, sum(r[2] or 0 for r in rows)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = pd.DataFrame(read_entries(path, bytes(content)), columns=names)
-                yield rows.astype({"size": "Int64"})
+            for rows in _together(read(*file) for file in zip(batch["path"], batch["content"], strict=True)):
+                yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
 
     return files.select("path", "content").mapInPandas(work, ENTRIES)
 
@@ -149,14 +167,16 @@ def catalog_objects(files: DataFrame) -> DataFrame:
     """(path, format, name, type_code, kind, diagnostic, hidden) of the objects of the binary databases in
     `files(path, content)`, without system objects; a database that cannot be read is one row with a diagnostic."""
 
+    def read(at: str, content: bytes) -> tuple[list[tuple], int]:
+        try:
+            kind, rows = catalogs.read_catalog(bytes(content))
+        except catalogs.CatalogError as error:
+            return [(at, None, None, None, None, str(error))], 0
+        return [(at, kind, r.name, r.type_code, r.kind, None) for r in rows], sum(len(r.name) for r in rows)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    kind, rows = catalogs.read_catalog(bytes(content))
-                    out = [(at, kind, r.name, r.type_code, r.kind, None) for r in rows]
-                except catalogs.CatalogError as error:
-                    out = [(at, None, None, None, None, str(error))]
+            for out in _together(read(*file) for file in zip(batch["path"], batch["content"], strict=True)):
                 yield pd.DataFrame(out, columns=["path", "format", "name", "type_code", "kind", "diagnostic"]).astype({"type_code": "Int64"})
 
     rows = files.select("path", "content").mapInPandas(work, "path string, format string, name string, type_code int, kind string, diagnostic string")
