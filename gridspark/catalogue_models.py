@@ -12,7 +12,7 @@ from gridspark.checkpoints import shared_path
 from gridspark.operators import cascades, constraints, coverage, datamacros, graph, names, screens, triggers
 from gridspark.plans import scripts
 from gridspark.plans.execute import run_query
-from gridspark.plans.tables import parquet_tables
+from gridspark.plans.tables import dealt, parquet_tables
 from gridspark.sources import forms, packages, schema, vba
 from gridspark.sources.macros import Handler, Statement, read_data_macros
 from gridspark.sources.schema import Relationship
@@ -482,7 +482,7 @@ def _(spark, sf_dir):
 
             yield pd.DataFrame(rows, columns=["p_partkey", "statements", "branches", "loops"])
 
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(work, "p_partkey long, statements long, branches long, loops long")
+    return dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_size")).mapInPandas(work, "p_partkey long, statements long, branches long, loops long")
 
 
 # rates and event-time windows
