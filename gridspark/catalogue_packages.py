@@ -374,7 +374,7 @@ def _(spark, sf_dir):
 # inventories: a customer is a sample with one database
 def _inventory(spark, sf_dir: str) -> inventory.Inventory:
     """The files' texts, made of the key; every fiftieth has a fault, of four sorts."""
-    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("k"))
+    k = dealt(_keys(spark, sf_dir, "customer", "c_custkey")).select(F.col("c_custkey").cast("int").alias("k"))
     listed = lambda name, kind, n: f"transform(slice(array(0,1,2,3), 1, k % {n}), i -> named_struct('name', concat('{name}', i), 'kind', '{kind}'))"
     database = f"""named_struct('file', concat(k, '.mdb'), 'format', if(k % 200 = 100, 'Paper 1', if(k % 3 = 0, 'ACE 12', 'Jet 4')),
         'counts', map('Table', 3 + int(k % 5 = 0), 'Linked  Table', k % 3, if(k % 200 = 50, 'Gadget', 'Hidden Query'), k % 2),

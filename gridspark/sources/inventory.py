@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.checkpoints import written
+
 from .convert import artifact_identity
 
 #: Count keys, lower-cased and without white space; beginnings of further ones;
@@ -52,7 +54,13 @@ def _get(value: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{key}", kind)
 
 
+#: Types that only objects and lists can be read as; telling their whole schema would go through all that they hold.
+_READ_AS = {"OBJECT": "map<string,variant>", "ARRAY": "array<variant>"}
+
+
 def _is(value: Column, kind: str) -> Column:
+    if kind in _READ_AS:
+        return F.try_variant_get(value, "$", _READ_AS[kind]).isNotNull()
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
@@ -190,7 +198,7 @@ def read_units(files: DataFrame) -> Inventory:
     """The units of `files(source, content)`: texts of inventory files.
 
     A file is one VARIANT value, which is tested in its order (keys of an object by name); the
-    first thing wrong is its fault, and it gives no other unit.
+    first thing wrong is its fault, and it gives no other unit. The units are written once, as every view reads them.
     """
     value = files.select("source", F.try_parse_json("content").alias("v"))
     v = F.col("v")
@@ -208,8 +216,10 @@ def read_units(files: DataFrame) -> Inventory:
         F.when(~listed & ~packed, "the file has an unknown shape"),
     )
     units = F.when(F.col("fault").isNotNull(), F.array(_unit("fault", name=F.col("fault")))).when(listed, F.flatten(F.transform(databases, _database_units))).otherwise(_package_units(v))
-    rows = value.withColumn("fault", fault).select("source", F.when(F.col("fault").isNull(), _as_text(_get(v, "sample"))).alias("sample"), F.explode(units).alias("u"))
-    return Inventory(rows.select("source", "sample", *[f"u.{c}" for c in _NAMES[2:]]))
+    rows = value.withColumn("fault", fault).select("source", F.when(F.col("fault").isNull(), _as_text(_get(v, "sample"))).alias("sample"), F.explode_outer(units).alias("u"))
+    # outer, as for a plain explode Spark asks for the length of the list first and so makes it twice
+    listing = rows.filter("u is not null").select("source", "sample", *[f"u.{c}" for c in _NAMES[2:]])
+    return Inventory(written(listing, "units"))
 
 
 def read_inventories(spark: SparkSession, path: str) -> Inventory:

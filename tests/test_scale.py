@@ -64,3 +64,19 @@ def test_keys_of_a_small_file_are_dealt(spark, name, monkeypatch):
     monkeypatch.setattr(DataFrame, "mapInPandas", watched)
     QUERIES[name](spark, SF)
     assert _tasks(dealt[0]) > 1
+
+
+def test_inventories_are_read_once(spark):
+    """The views of an inventory read its written units, of many tasks; before, each went through all texts again."""
+    from gridspark.catalogue_packages import _inventory
+    from gridspark.sources import inventory
+
+    units = _inventory(spark, SF).units
+    assert len(units.inputFiles()) > 1
+    assert sorted(map(tuple, QUERIES["inventory_faults"](spark, SF).collect())) == sorted((str(k), _fault(k)) for k in range(0, spark.read.parquet(f"{SF}/customer.parquet").count(), 50))
+    none = spark.createDataFrame([("a", '{"sample": "s", "databases": []}')], "source string, content string")
+    assert inventory.read_units(none).units.count() == 0
+
+
+def _fault(k: int) -> str:
+    return {0: "the file is no JSON", 50: "count key 'Gadget' is unknown", 100: "format 'paper 1' is unknown"}.get(k % 200, f"macro of {k}.mdb: 0 declared, 1 named")
