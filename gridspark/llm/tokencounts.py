@@ -96,8 +96,8 @@ class Counter:
             out[part] = self._count_trie(codes, start[part], end[part])
         return out
 
-    def _count_path(self, codes: np.ndarray) -> int:
-        """The count of one long word, in memory of a bounded part of it."""
+    def _count_path(self, codes: np.ndarray, taken: np.ndarray | None = None) -> int:
+        """The count of one long word, in memory of a bounded part of it. `taken` gets the length of the last piece by end (0: a character that is none)."""
         keep = self.longest + 1
         forward, tokens = [0.0] * keep, [0] * keep  # of the last ends, by end modulo `keep`
         for a in range(0, len(codes) + 1, BLOCK):
@@ -116,30 +116,57 @@ class Counter:
             steps = zip(end[order].tolist(), size[order].tolist(), score[order].tolist(), strict=True)
             step, sizes = next(steps, None), utf8_size(part).tolist()
             for at in range(back + 1, len(part) + 1):
-                best, n, alone, place = -np.inf, 0, True, a - back + at
+                best, n, alone, place, last = -np.inf, 0, True, a - back + at, 0
                 while step is not None and step[0] == at:
                     before = (place - step[1]) % keep
                     alone &= step[1] > 1
                     if forward[before] + step[2] > best:
-                        best, n = forward[before] + step[2], tokens[before] + 1
+                        best, n, last = forward[before] + step[2], tokens[before] + 1, step[1]
                     step = next(steps, None)
                 before = (place - 1) % keep
                 if alone and forward[before] + self.unknown > best:
-                    best, n = forward[before] + self.unknown, tokens[before] + sizes[at - 1]
+                    best, n, last = forward[before] + self.unknown, tokens[before] + sizes[at - 1], 0
                 forward[place % keep], tokens[place % keep] = best, n
+                if taken is not None:
+                    taken[place] = last
         return tokens[(len(codes) + 1) % keep]
 
-    def expect(self, column: pa.Array) -> None:
-        """Adds to `used` the pieces of the best segmentation of every word of some texts, but of words over LONG.
+    def _expect_path(self, codes: np.ndarray, times: int) -> None:
+        """Adds to `used` the pieces of one long word; the steps of its path take a few bytes a code point."""
+        taken = np.zeros(len(codes) + 2, dtype=np.int32)
+        self._count_path(codes, taken)
+        on, at = np.zeros(len(taken), dtype=bool), len(codes) + 1
+        while at:
+            on[at] = True
+            at -= max(int(taken[at]), 1)
+        taken[~on] = 0  # what is left: the pieces, by their ends
+        for a in range(0, len(taken), BLOCK):
+            before = min(a, self.longest)
+            part = codes[max(a - before - 1, 0) : a + BLOCK]
+            if a == before:
+                part = np.concatenate([[MARK], part])
+            end = np.flatnonzero(taken[a : a + BLOCK])
+            size, end = taken[a : a + BLOCK][end], end + before
+            h = Hasher(part.astype(np.uint32)).ranges(end - size, end)
+            self.used += times * np.bincount(self.order[np.searchsorted(self.hashes, h)], minlength=len(self.used))
+
+    def expect(self, column: pa.Array, whole: bool = False) -> None:
+        """Adds to `used` the pieces of the best segmentation of every word of some texts; of words over LONG only if `whole`.
 
-        The pieces of known words stay in a pool, bounded as the cache of counts is.
+        A word over LONG is a path of its own. The pieces of known words stay in a pool, bounded as the cache of counts is.
         """
         codes, at = code_points(*string_buffers(column))
         start, end, _ = runs(~((codes == 32) | ((codes >= 9) & (codes <= 13))), at)
-        start, end = start[end - start <= LONG], end[end - start <= LONG]
+        hasher, long = Hasher(codes), end - start > LONG
+        if whole and long.any():
+            a, b = start[long], end[long]
+            _, index, times = np.unique(hasher.ranges(a, b), return_index=True, return_counts=True)
+            for i, n in zip(index.tolist(), times.tolist(), strict=True):
+                self._expect_path(codes[a[i] : b[i]], n)
+        start, end = start[~long], end[~long]
         if not len(start):
             return
-        distinct, index, times = np.unique(Hasher(codes).ranges(start, end), return_index=True, return_counts=True)
+        distinct, index, times = np.unique(hasher.ranges(start, end), return_index=True, return_counts=True)
         place = np.searchsorted(self.known, distinct)
         there = place < len(self.known)
         there[there] = self.known[place[there]] == distinct[there]
@@ -279,8 +306,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def estimate(docs: DataFrame, vocabulary: str) -> np.ndarray:
-    """Log-probabilities of the pieces, in the order of `pieces`, from their occurrences in all texts.
+def estimate(docs: DataFrame, vocabulary: str, whole: bool = False) -> np.ndarray:
+    """Log-probabilities of the pieces, in the order of `pieces`, from their occurrences in all texts: in all words
+    if `whole`, as `count_documents` asks, else in those of up to LONG code points.
 
     A piece that never occurs counts as half an occurrence. Counts of pieces, as many as the
     vocabulary has, are summed on the executors and brought to the driver.
@@ -290,7 +318,7 @@ def estimate(docs: DataFrame, vocabulary: str) -> np.ndarray:
         counter = expecting_counter(vocabulary)
         counter.used[:] = 0
         for batch in slices(batches):
-            counter.expect(batch.column(1))
+            counter.expect(batch.column(1), whole)
         some = np.flatnonzero(counter.used)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counter.used[some])], names=["piece", "n"])
 
@@ -319,4 +347,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, scores: np.ndarray | None = N
 
 def count_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """`count_tokens` by the log-probabilities that the same texts give."""
-    return count_tokens(docs, vocabulary, estimate(docs, vocabulary))
+    return count_tokens(docs, vocabulary, estimate(docs, vocabulary, whole=True))
