@@ -11,6 +11,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 import gridspark.catalogue_models  # noqa: F401  registers its queries
 import gridspark.catalogue_packages  # noqa: F401
 from gridspark.catalogue import QUERIES
+from gridspark.plans.tables import dealt
 from gridspark.sources import packages
 
 SF = "/root/testdata/sf0.01"
@@ -80,3 +81,8 @@ def test_inventories_are_read_once(spark):
 
 def _fault(k: int) -> str:
     return {0: "the file is no JSON", 50: "count key 'Gadget' is unknown", 100: "format 'paper 1' is unknown"}.get(k % 200, f"macro of {k}.mdb: 0 declared, 1 named")
+
+
+def test_tasks_of_dealt_rows_are_small(spark):
+    """A task's files, which Spark hands over together, do not grow with the input."""
+    assert dealt(spark.range(30_000)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 1_000
