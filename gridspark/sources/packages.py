@@ -82,7 +82,7 @@ def read_entries(path: str, content: bytes) -> list[tuple]:
     return out
 
 
-def _together(found: Iterable[tuple[list[tuple], int]]) -> Iterator[list[tuple]]:
+def together(found: Iterable[tuple[list[tuple], int]]) -> Iterator[list[tuple]]:
     """Rows of several files (rows, bytes) in one list, as far as BATCH_ROWS and BATCH_BYTES go: a frame of a few rows costs more than reading them."""
     out, held = [], 0
     for rows, size in found:
@@ -105,7 +105,7 @@ def package_entries(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rows in _together(read(*file) for file in zip(batch["path"], batch["content"], strict=True)):
+            for rows in together(read(*file) for file in zip(batch["path"], batch["content"], strict=True)):
                 yield pd.DataFrame(rows, columns=names).astype({"size": "Int64"})
 
     return files.select("path", "content").mapInPandas(work, ENTRIES)
@@ -151,12 +151,17 @@ def features(entries: DataFrame) -> DataFrame:
     rows = entries.filter("name is not null").withColumn("part", object_kind())
     low = F.lower("name")
     which = F.coalesce(*[F.when(low.rlike(pattern), F.lit(i)) for i, (_, pattern, _) in enumerate(FEATURES)])
-    names, codes = (F.array(*[F.lit(f[i]) for f in FEATURES]) for i in (0, 2))
-    rest = rows.filter("part is null").withColumn("which", which).groupBy("path", "which").agg(F.count(F.lit(1)).alias("entries"), F.sort_array(F.collect_list("name")).alias("names"))
-    found = rest.select("path", F.get(names, F.col("which")).alias("feature"), F.lit("not_started").alias("status"), F.get(codes, F.col("which")).alias("reason_code"), "entries", "names", F.lit(None).cast("long").alias("objects"))
-    made = rows.groupBy("path").agg(F.count("part").alias("objects"))
-    target = made.select("path", F.lit(TARGET[0]).alias("feature"), F.lit("not_started").alias("status"), F.lit(TARGET[1]).alias("reason_code"), F.lit(0).cast("long").alias("entries"), F.array().cast("array<string>").alias("names"), "objects")
-    return found.unionByName(target)
+    other = F.when(F.col("part").isNull(), F.struct(which.alias("which"), "name"))
+    found = rows.groupBy("path").agg(F.count("part").alias("objects"), F.sort_array(F.collect_list(other)).alias("others"))
+
+    def row(feature: str, code: str, names: Column, objects: Column) -> Column:
+        size = F.size(names).cast("long")
+        return F.struct(F.lit(feature).alias("feature"), F.lit("not_started").alias("status"), F.lit(code).alias("reason_code"), size.alias("entries"), names.alias("names"), objects.alias("objects"))
+
+    names = lambda i: F.transform(F.filter("others", lambda o: o["which"] == i), lambda o: o["name"])
+    made = [row(feature, code, names(i), F.lit(None).cast("long")) for i, (feature, _, code) in enumerate(FEATURES)]
+    target = row(*TARGET, F.array().cast("array<string>"), F.col("objects"))
+    return found.select("path", F.explode(F.array(*made, target)).alias("f")).select("path", "f.*").filter((F.col("entries") > 0) | F.col("objects").isNotNull())
 
 
 def read_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -> DataFrame:
@@ -176,7 +181,7 @@ def catalog_objects(files: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for out in _together(read(*file) for file in zip(batch["path"], batch["content"], strict=True)):
+            for out in together(read(*file) for file in zip(batch["path"], batch["content"], strict=True)):
                 yield pd.DataFrame(out, columns=["path", "format", "name", "type_code", "kind", "diagnostic"]).astype({"type_code": "Int64"})
 
     rows = files.select("path", "content").mapInPandas(work, "path string, format string, name string, type_code int, kind string, diagnostic string")

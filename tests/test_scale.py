@@ -86,3 +86,7 @@ def _fault(k: int) -> str:
 def test_tasks_of_dealt_rows_are_small(spark):
     """A task's files, which Spark hands over together, do not grow with the input."""
     assert dealt(spark.range(30_000)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 1_000
+
+
+def test_features_read_packages_once(spark):
+    assert QUERIES["package_features"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
