@@ -25,7 +25,7 @@ from gridspark.plans.model import read_query, source_tables
 from gridspark.plans.textformat import parse_text
 
 from . import documents, flow, forms, macros, schema, vba
-from .packages import object_parts, read_packages
+from .packages import object_parts, read_packages, together
 
 RECORDS = "path string, object string, kind string, record string, ordinal long, fields map<string,string>"
 #: Macro arguments that name an object, with its kind.
@@ -273,15 +273,17 @@ def convert_parts(parts: DataFrame) -> Conversion:
     known = coded.groupBy("path").agg(F.collect_set("name").alias("known"))
     rows = parts.join(known, "path", "left")
 
+    def read(path: str, name: str, kind: str, text: str | None, functions) -> tuple[list[tuple], int]:
+        found = parse_part(kind, name, text, frozenset() if functions is None else frozenset(functions))
+        return [(path, name, kind, record, i, fields) for i, (record, fields) in enumerate(found)], len(text or "")
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, name, kind, text, functions in zip(batch["path"], batch["object"], batch["kind"], batch["text"], batch["known"], strict=True):
-                found = parse_part(kind, name, text, frozenset() if functions is None else frozenset(functions))
-                out += [(path, name, kind, record, i, fields) for i, (record, fields) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["path", "object", "kind", "record", "ordinal", "fields"])
+            parts = zip(batch["path"], batch["object"], batch["kind"], batch["text"], batch["known"], strict=True)
+            for out in together(read(*part) for part in parts):
+                yield pd.DataFrame(out, columns=["path", "object", "kind", "record", "ordinal", "fields"])
 
-    return Conversion(written(rows.mapInPandas(work, RECORDS), "records"))
+    return Conversion(written(rows.mapInPandas(work, RECORDS), "records", "record"))
 
 
 def convert_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -> Conversion:
