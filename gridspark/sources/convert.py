@@ -30,6 +30,8 @@ from .packages import object_parts, read_packages, together
 RECORDS = "path string, object string, kind string, record string, ordinal long, fields map<string,string>"
 #: Macro arguments that name an object, with its kind.
 ARGUMENT_KINDS = {"FormName": "form", "ReportName": "report", "QueryName": "query", "TableName": "table", "MacroName": "macro", "ObjectName": ""}
+#: Parts that a task parses, on average; those of one package stay together.
+MOST_PARTS = 10_000
 
 Record = tuple[str, dict[str, str]]
 
@@ -262,6 +264,7 @@ def convert_parts(parts: DataFrame) -> Conversion:
 
     The parts are read twice, for those names and for all else, so they are unpacked into a table first.
     """
+    spark = parts.sparkSession
     parts = written(parts.select("path", "object", "kind", "text"), "parts")
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,6 +273,9 @@ def convert_parts(parts: DataFrame) -> Conversion:
             yield pd.DataFrame(rows, columns=["path", "name"])
 
     coded = parts.filter(F.col("kind").isin("form", "report", "module")).mapInPandas(names, "path string, name string")
+    tasks = -(-parts.count() // MOST_PARTS)
+    if tasks > spark.sparkContext.defaultParallelism:  # by number: Spark makes some task more than cores, however large the parts are
+        parts, coded = parts.repartition(tasks, "path"), coded.repartition(tasks, "path")
     known = coded.groupBy("path").agg(F.collect_set("name").alias("known"))
     rows = parts.join(known, "path", "left")
 

@@ -110,3 +110,14 @@ def test_records_lie_apart_and_share_bounded_frames(spark, monkeypatch):
 
 def test_features_read_packages_once(spark):
     assert QUERIES["package_features"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
+
+
+def test_parsed_parts_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's parts do not grow with the input; before, there were as many tasks as cores, however many parts."""
+    monkeypatch.setattr(convert, "MOST_PARTS", 2)
+    parts = [(f"p{i}", "c", "module", f"Sub A{i}()\n  x = A{i}()\nEnd Sub\n") for i in range(200)]
+    conversion = convert.convert_parts(spark.createDataFrame(parts, "path string, object string, kind string, text string"))
+    tasks = {f.rpartition("/")[2].split("-")[1] for f in conversion.records.inputFiles()}
+    assert len(tasks) > 2 * spark.sparkContext.defaultParallelism
+    assert conversion.objects().count() == conversion.procedures().count() == 200
+    assert {tuple(r) for r in conversion.procedures().select("path", "name").collect()} == {(f"p{i}", f"A{i}") for i in range(200)}
