@@ -22,6 +22,7 @@ MOST_ENTRIES, ENTRY_BYTES, TOTAL_BYTES, MOST_RATIO, RATIO_FROM = 5000, 16 << 20,
 PARTS = r"^template/database/objects/(?i:(table)([^/]+)\.xsd|(query|form|report|macro|module)([^/]+)\.txt|datamacros/(datamacro)s([^/]+)\.axl)$"
 RELATIONSHIPS = "template/database/relationships.xml"
 TEMPLATE = "template/template.xml"
+DATABASES = (".mdb", ".accdb")
 #: Rows and bytes of the frames that tasks hand over.
 BATCH_ROWS, BATCH_BYTES = 5000, 8 << 20
 ENTRIES = "path string, name string, size long, sha256 string, encoding string, text string, diagnostic string"
@@ -111,13 +112,13 @@ def package_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, ENTRIES)
 
 
-def _part(*groups: int) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract("name", PARTS, i), F.lit("")) for i in groups])
+def _part(*groups: int, name: Column | str = "name") -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(name, PARTS, i), F.lit("")) for i in groups])
 
 
-def object_kind() -> Column:
+def object_kind(name: Column | str = "name") -> Column:
     """The kind of object that an entry defines by its name; null for other entries."""
-    return F.lower(_part(1, 3, 5))
+    return F.lower(_part(1, 3, 5, name=name))
 
 
 def object_parts(entries: DataFrame) -> DataFrame:
@@ -168,6 +169,11 @@ def read_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -> D
     return package_entries(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
 
 
+def system_object(name: Column, kind: Column) -> Column:
+    """Whether a row of a catalog is none of the user's objects."""
+    return name.startswith("MSys") | name.startswith("f_") | name.startswith("~TMPCLP") | F.coalesce(kind, F.lit("infrastructure")).isin("infrastructure", "container", "relationship")
+
+
 def catalog_objects(files: DataFrame) -> DataFrame:
     """(path, format, name, type_code, kind, diagnostic, hidden) of the objects of the binary databases in
     `files(path, content)`, without system objects; a database that cannot be read is one row with a diagnostic."""
@@ -186,8 +192,7 @@ def catalog_objects(files: DataFrame) -> DataFrame:
 
     rows = files.select("path", "content").mapInPandas(work, "path string, format string, name string, type_code int, kind string, diagnostic string")
     name = F.col("name")
-    system = name.startswith("MSys") | name.startswith("f_") | name.startswith("~TMPCLP") | F.coalesce(F.col("kind"), F.lit("infrastructure")).isin("infrastructure", "container", "relationship")
-    return rows.filter(F.col("diagnostic").isNotNull() | ~system).withColumn("hidden", name.startswith("~"))
+    return rows.filter(F.col("diagnostic").isNotNull() | ~system_object(name, F.col("kind"))).withColumn("hidden", name.startswith("~"))
 
 
 def read_catalogs(spark: SparkSession, path: str, pattern: str = "*.{mdb,accdb}") -> DataFrame:
@@ -199,22 +204,44 @@ def input_status(files: DataFrame, in_memory: bool = False) -> DataFrame:
     """(path, family, status, reason_code, objects): what becomes of each of `files(path, content)`, by its suffix.
 
     Packages are converted; of binary databases only the catalog is read, and none where
-    the input has no file (`in_memory`); other files are refused.
+    the input has no file (`in_memory`); other files are refused. Each file is read once, in one row.
     """
-    typed = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
-    inside = package_entries(typed.filter("suffix = '.accdt'")).withColumn("part", object_kind())
-    packed = inside.groupBy("path").agg(F.max("diagnostic").alias("code"), F.count("part").alias("objects"))
-    code = F.coalesce("code", F.when(F.col("objects") == 0, "NO_ACCESS_OBJECT_DEFINITIONS"))
-    packages = packed.select("path", F.lit("accdt").alias("family"), F.when(code.isNull(), "converted").otherwise("failed").alias("status"), code.alias("reason_code"), "objects")
-    binary, other = typed.filter("suffix in ('.mdb', '.accdb')"), typed.filter("suffix not in ('.accdt', '.mdb', '.accdb')")
-    refused = lambda df, family, reason: df.select("path", F.lit(family).cast("string").alias("family"), F.lit("unsupported").alias("status"), F.lit(reason).alias("reason_code"), F.lit(0).cast("long").alias("objects"))
-    if in_memory:
-        databases = refused(binary, "jet_or_ace_binary", "BINARY_INPUT_REQUIRES_A_FILE_PATH")
-    else:
-        read = catalog_objects(binary).groupBy("path").agg(F.max("format").alias("family"), F.max("diagnostic").alias("fault"), F.count("name").alias("objects"))
-        bad = F.col("fault").isNotNull()
-        databases = read.select("path", "family", F.when(bad, "unsupported").otherwise("discovered").alias("status"), F.when(bad, "BINARY_CATALOG_NOT_READABLE").otherwise("BINARY_OBJECT_DEFINITION_EXTRACTION_NOT_IMPLEMENTED").alias("reason_code"), "objects")
-    return packages.unionByName(databases).unionByName(refused(other, None, "UNSUPPORTED_INPUT_FORMAT"))
+
+    def read(path: str, suffix: str, content: bytes) -> tuple[list[tuple], int]:
+        names, kinds, family, fault = [], [], None, None
+        if suffix == ".accdt":
+            rows = read_entries(path, bytes(content))
+            names, fault = [r[1] for r in rows if r[1] is not None], rows[0][6]
+            kinds = [None] * len(names)
+        elif suffix in DATABASES and not in_memory:
+            try:
+                family, rows = catalogs.read_catalog(bytes(content))
+                names, kinds = [r.name for r in rows], [r.kind for r in rows]
+            except catalogs.CatalogError as error:
+                fault = str(error)
+        return [(path, suffix, names, kinds, family, fault)], sum(map(len, names))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for out in together(read(*file) for file in zip(batch["path"], batch["suffix"], batch["content"], strict=True)):
+                yield pd.DataFrame(out, columns=["path", "suffix", "names", "kinds", "family", "fault"])
+
+    typed = files.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), "content").filter("suffix is not null")
+    rows = typed.mapInPandas(work, "path string, suffix string, names array<string>, kinds array<string>, family string, fault string")
+    package, binary, bad = F.col("suffix") == ".accdt", F.col("suffix").isin(*DATABASES), F.col("fault").isNotNull()
+    parts = F.size(F.filter("names", lambda n: object_kind(n).isNotNull())).cast("long")
+    found = F.size(F.filter(F.arrays_zip("names", "kinds"), lambda o: ~system_object(o["names"], o["kinds"]))).cast("long")
+    packed = F.coalesce("fault", F.when(parts == 0, "NO_ACCESS_OBJECT_DEFINITIONS"))
+    database = F.when(bad, "BINARY_CATALOG_NOT_READABLE").otherwise("BINARY_OBJECT_DEFINITION_EXTRACTION_NOT_IMPLEMENTED")
+    databases = ("jet_or_ace_binary", "unsupported", "BINARY_INPUT_REQUIRES_A_FILE_PATH", F.lit(0)) if in_memory else (F.col("family"), F.when(bad, "unsupported").otherwise("discovered"), database, found)
+    of = lambda a, b, c: F.when(package, a).when(binary, b).otherwise(c)
+    return rows.select(
+        "path",
+        of("accdt", databases[0], None).alias("family"),
+        of(F.when(packed.isNull(), "converted").otherwise("failed"), databases[1], "unsupported").alias("status"),
+        of(packed, databases[2], "UNSUPPORTED_INPUT_FORMAT").alias("reason_code"),
+        of(parts, databases[3], 0).cast("long").alias("objects"),
+    )
 
 
 def expression_rows(sources: DataFrame, column: str = "source") -> DataFrame:

@@ -121,3 +121,24 @@ def test_parsed_parts_are_dealt_by_their_number(spark, monkeypatch):
     assert len(tasks) > 2 * spark.sparkContext.defaultParallelism
     assert conversion.objects().count() == conversion.procedures().count() == 200
     assert {tuple(r) for r in conversion.procedures().select("path", "name").collect()} == {(f"p{i}", f"A{i}") for i in range(200)}
+
+
+@pytest.mark.parametrize("name", ["input_status", "input_status_in_memory"])
+def test_inputs_are_read_once(spark, name):
+    """Files are made once and read once; before, once for each of packages, databases and others."""
+    assert QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
+
+
+def test_status_of_odd_inputs(spark):
+    """A database of system objects alone has a row, too; a package without objects fails; paths need no suffix."""
+    from gridspark.catalogue_packages import database_of, package_of
+    from gridspark.sources import catalogs
+
+    files = [("a/S.MDB", database_of(catalogs.OLD, [("MSysObjects", 1), ("~TMPCLP1", 1)])), ("b.accdb", database_of(catalogs.NEW, [("t", 1), ("q", 5), ("MSysX", 1)])), ("c.accdt", _package(2)), ("d.ACCDT", package_of(7)), ("e.mdb", b""), ("f", b"x")]
+    rows = spark.createDataFrame(files, "path string, content binary")
+    other = ("f", None, "unsupported", "UNSUPPORTED_INPUT_FORMAT", 0)
+    packed = [("c.accdt", "accdt", "failed", "NO_ACCESS_OBJECT_DEFINITIONS", 0), ("d.ACCDT", "accdt", "converted", None, 8)]
+    later, refused = "BINARY_OBJECT_DEFINITION_EXTRACTION_NOT_IMPLEMENTED", "BINARY_INPUT_REQUIRES_A_FILE_PATH"
+    read = [("a/S.MDB", "jet3", "discovered", later, 0), ("b.accdb", "jet4", "discovered", later, 2), ("e.mdb", None, "unsupported", "BINARY_CATALOG_NOT_READABLE", 0)]
+    assert sorted(map(tuple, packages.input_status(rows).collect())) == sorted([*read, *packed, other])
+    assert sorted(map(tuple, packages.input_status(rows, in_memory=True).collect())) == sorted([*((p, "jet_or_ace_binary", "unsupported", refused, 0) for p in ("a/S.MDB", "b.accdb", "e.mdb")), *packed, other])
