@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridspark.catalogue import grid, register, stored
 from gridspark.plans.tables import dealt
 from gridspark.sources import catalogs, inventory, packages
-from gridspark.sources.convert import Conversion, convert_parts
+from gridspark.sources.convert import OF_EDGES, OF_OBJECTS, Conversion, convert_parts
 
 #: Files that a task makes before it hands them over.
 MADE = 200
@@ -118,8 +118,9 @@ def entries(spark, sf_dir: str) -> DataFrame:
     return packages.package_entries(made_files(_keys(spark, sf_dir, "supplier", "s_suppkey"), lambda k: (str(k), package_of(k))))
 
 
-def converted(spark, sf_dir: str) -> Conversion:
-    return convert_parts(packages.object_parts(entries(spark, sf_dir)))
+def converted(spark, sf_dir: str, *kept: str) -> Conversion:
+    """All packages, converted; of the records, the sorts that are `kept` (all, without any)."""
+    return convert_parts(packages.object_parts(entries(spark, sf_dir)), *kept)
 
 
 def database_of(layout: catalogs.Layout, names: list[tuple[str, int]]) -> bytes:
@@ -215,7 +216,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).findings().select("path", "object", "reason_code")
+    return converted(spark, sf_dir, "finding").findings().select("path", "object", "reason_code")
 
 
 @register(
@@ -226,7 +227,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).relationships().select("path", "name", "child", "parent", F.array_join("child_columns", ",").alias("child_columns"), "enforced", "cascade_delete")
+    return converted(spark, sf_dir, "relationship").relationships().select("path", "name", "child", "parent", F.array_join("child_columns", ",").alias("child_columns"), "enforced", "cascade_delete")
 
 
 @register(
@@ -238,7 +239,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).procedures().select("path", "object", "name", "statements", "branches", "loops", "cyclomatic_complexity")
+    return converted(spark, sf_dir, "procedure").procedures().select("path", "object", "name", "statements", "branches", "loops", "cyclomatic_complexity")
 
 
 @register(
@@ -263,7 +264,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).edges()
+    return converted(spark, sf_dir, *OF_EDGES).edges()
 
 
 @register("package_features", _union(*[_each(f"path, '{f}' AS feature, 'not_started' AS status, '{c}' AS reason_code, CAST({n} AS BIGINT) AS entries, CAST({o} AS BIGINT) AS objects") for f, c, n, o in [*[(f, c, 2 if f == "package_metadata" else 1, "NULL") for f, _, c in packages.FEATURES if f in ("table_data", "relationships", "navigation_pane", "package_relationships", "package_metadata")], (*packages.TARGET, 0, 8)]]))
@@ -306,7 +307,7 @@ _CODE_SQL = _union(
  UNION ALL SELECT 'total', 'extraction_percentage', 100.0 FROM t UNION ALL SELECT 'total', 'semantic_percentage', round(complete * 100.0 / objects, 2) FROM t""",
 )
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).corpus_report()
+    return converted(spark, sf_dir, *OF_OBJECTS).corpus_report()
 
 
 @register("package_payload", _each("path, 8 AS objects, 3 AS procedures, 16 AS edges, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' WHEN 1 THEN NULL ELSE 'USER_DEFINED_VBA_FUNCTION' END AS query_problem"))
@@ -328,7 +329,7 @@ _EMPTY = [(0, 1, ""), (1, 1, "loop_body"), (1, 2, "loop_exit")]
 
 @register("package_flow", _union(*_flow("OpenIt", [(i, i + 1, "") for i in range(4)]), *_flow("Form_Load", [(0, 1, ""), (1, 2, "")]), *_flow("Work", _BRANCH, "k % 3 = 0"), *_flow("Work", _EMPTY, "k % 3 <> 0")))
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).cfg_edges().filter(F.col("proc").isin("OpenIt", "Form_Load", "Work")).select("path", "proc", "from", "to", "label")
+    return converted(spark, sf_dir, "cfg_edge").cfg_edges().filter(F.col("proc").isin("OpenIt", "Form_Load", "Work")).select("path", "proc", "from", "to", "label")
 
 
 _CATALOG = [("Kunden", 1, "table"), ("fern", 6, "linked_table"), ("abfrage", 5, "query"), ("~sq_f", 5, "query"), ("form", -32768, "form"), ("bericht", -32764, "report"), ("makro", -32766, "macro"), ("modul", -32761, "module")]
@@ -482,5 +483,5 @@ def _(spark, sf_dir):
     """A part of each sort a customer, by its key."""
     texts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text")) for kind, text, _ in _CODED])
     chosen = dealt(_keys(spark, sf_dir, "customer", "c_custkey")).select(F.col("c_custkey").cast("string").alias("path"), F.get(texts, (F.col("c_custkey") % len(_CODED)).cast("int")).alias("p"))
-    return convert_parts(chosen.select("path", F.lit("x").alias("object"), "p.kind", "p.text")).findings().select("path", "reason_code").distinct()
+    return convert_parts(chosen.select("path", F.lit("x").alias("object"), "p.kind", "p.text"), "finding").findings().select("path", "reason_code").distinct()
 

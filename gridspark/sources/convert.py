@@ -30,6 +30,10 @@ from .packages import object_parts, read_packages, together
 RECORDS = "path string, object string, kind string, record string, ordinal long, fields map<string,string>"
 #: Macro arguments that name an object, with its kind.
 ARGUMENT_KINDS = {"FormName": "form", "ReportName": "report", "QueryName": "query", "TableName": "table", "MacroName": "macro", "ObjectName": ""}
+#: Sorts of records that views read: those of objects, of edges, and of all that a payload holds.
+OF_OBJECTS = ("object", "finding")
+OF_EDGES = ("object", "procedure", "reference", "call", "handler")
+OF_PAYLOAD = (*OF_EDGES, "finding", "cfg_edge")
 #: Parts that a task parses, on average; those of one package stay together.
 MOST_PARTS = 10_000
 
@@ -53,9 +57,10 @@ def _graph(owner: str, nodes, edges) -> Iterator[Record]:
 
 
 def _code(text: str, name: str, known: frozenset[str]) -> Iterator[Record]:
-    module = vba.read_module(text, name)
+    module, external = vba.read_module(text, name), []
     for p in module.procedures:
         effect = vba.effects(p, known)
+        external += effect["external"]
         yield "procedure", {"name": p.name, "kind": p.kind, "scope": p.scope, **{k: str(v) for k, v in vba.metrics(p).items()}, "data_access": str(bool(effect["data_access"])).lower()}
         for call in effect["calls"]:
             yield "call", {"procedure": p.name, "target": call}
@@ -68,7 +73,7 @@ def _code(text: str, name: str, known: frozenset[str]) -> Iterator[Record]:
                 yield _reference(table, "reads", "", p.name)
         g = vba.control_flow(p)
         yield from _graph(p.name, g.nodes, g.edges)
-    for code in vba.module_findings(module):
+    for code in vba.module_findings(module, external):
         yield "finding", {"reason_code": code, "detail": name, "note": ""}
 
 
@@ -151,11 +156,14 @@ def parse_part(kind: str, name: str, text: str | None, known: frozenset[str] = f
 
 @dataclass
 class Conversion:
-    """The parsed records of packages, and views of them."""
+    """The parsed records of packages, and views of them; `kept` are the sorts of records that are there, all if empty."""
 
     records: DataFrame
+    kept: tuple[str, ...] = ()
 
     def _view(self, record: str, *fields: str, **typed: str) -> DataFrame:
+        if self.kept and record not in self.kept:
+            raise ValueError(f"the conversion kept no records of sort {record!r}")
         get: list[Column] = [F.col("fields")[f].alias(f) for f in fields] + [F.col("fields")[f].cast(t).alias(f) for f, t in typed.items()]
         return self.records.filter(F.col("record") == record).select("path", "object", "kind", "ordinal", *get)
 
@@ -259,17 +267,18 @@ def write_json(df: DataFrame, path: str) -> None:
     documents.sorted_json(df).write.text(path)
 
 
-def convert_parts(parts: DataFrame) -> Conversion:
+def convert_parts(parts: DataFrame, *kept: str) -> Conversion:
     """Parses `parts(path, object, kind, text)`. The names of a package's procedures are known to its expressions.
 
-    The parts are read twice, for those names and for all else, so they are unpacked into a table first.
+    The parts are read twice, for those names and for all else, so they are unpacked into a table first. Of the records
+    only those of the sorts `kept` are handed over and written (all, without any).
     """
     spark = parts.sparkSession
     parts = written(parts.select("path", "object", "kind", "text"), "parts")
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, p.name) for path, kind, text in zip(batch["path"], batch["kind"], batch["text"], strict=True) for p in vba.read_module((text or "") if kind == "module" else forms.split_code(text or "")[1] or "", "m").procedures]
+            rows = [(path, p) for path, kind, text in zip(batch["path"], batch["kind"], batch["text"], strict=True) for p in vba.procedure_names((text or "") if kind == "module" else forms.split_code(text or "")[1] or "")]
             yield pd.DataFrame(rows, columns=["path", "name"])
 
     coded = parts.filter(F.col("kind").isin("form", "report", "module")).mapInPandas(names, "path string, name string")
@@ -281,7 +290,7 @@ def convert_parts(parts: DataFrame) -> Conversion:
 
     def read(path: str, name: str, kind: str, text: str | None, functions) -> tuple[list[tuple], int]:
         found = parse_part(kind, name, text, frozenset() if functions is None else frozenset(functions))
-        return [(path, name, kind, record, i, fields) for i, (record, fields) in enumerate(found)], len(text or "")
+        return [(path, name, kind, record, i, fields) for i, (record, fields) in enumerate(found) if not kept or record in kept], len(text or "")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -289,7 +298,7 @@ def convert_parts(parts: DataFrame) -> Conversion:
             for out in together(read(*part) for part in parts):
                 yield pd.DataFrame(out, columns=["path", "object", "kind", "record", "ordinal", "fields"])
 
-    return Conversion(written(rows.mapInPandas(work, RECORDS), "records", "record"))
+    return Conversion(written(rows.mapInPandas(work, RECORDS), "records", "record"), kept)
 
 
 def convert_packages(spark: SparkSession, path: str, pattern: str = "*.accdt") -> Conversion:

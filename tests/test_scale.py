@@ -1,6 +1,7 @@
 """Work is dealt by the number of rows, not by the bytes of a file; frames hold several files."""
 
 import io
+import json
 import zipfile
 
 import pandas as pd
@@ -142,3 +143,28 @@ def test_status_of_odd_inputs(spark):
     read = [("a/S.MDB", "jet3", "discovered", later, 0), ("b.accdb", "jet4", "discovered", later, 2), ("e.mdb", None, "unsupported", "BINARY_CATALOG_NOT_READABLE", 0)]
     assert sorted(map(tuple, packages.input_status(rows).collect())) == sorted([*read, *packed, other])
     assert sorted(map(tuple, packages.input_status(rows, in_memory=True).collect())) == sorted([*((p, "jet_or_ace_binary", "unsupported", refused, 0) for p in ("a/S.MDB", "b.accdb", "e.mdb")), *packed, other])
+
+
+CODED = [("p", "Code", "module", 'Sub A()\n  DoCmd.OpenForm "Main"\n  B\nEnd Sub\nSub B()\nEnd Sub\n'), ("p", "Main", "form", "Begin Form\nEnd\n"), ("q", "None", "module", "")]
+
+
+def test_conversions_hand_over_only_the_records_that_are_read(spark):
+    """A report needs objects and findings; before, the control flow of all procedures was written for it, too."""
+    parts = spark.createDataFrame(CODED, "path string, object string, kind string, text string")
+    whole, some = convert.convert_parts(parts), convert.convert_parts(parts, *convert.OF_OBJECTS)
+    sorts = lambda c: {f.partition("/record=")[2].partition("/")[0] for f in c.records.inputFiles()}
+    assert sorts(some) == {"object", "finding"} < sorts(whole)
+    for view in ("objects", "findings", "summary", "corpus_report"):
+        assert sorted(map(str, getattr(some, view)().collect())) == sorted(map(str, getattr(whole, view)().collect()))
+    with pytest.raises(ValueError, match="cfg_edge"):
+        some.cfg_edges()
+    assert convert.convert_parts(parts, "relationship").relationships().count() == 0
+
+
+def test_names_of_procedures_need_no_statements(monkeypatch):
+    from gridspark.sources import vba
+
+    text = "Option Explicit\nSub A(): x = 1: y = \"'\" ' End Sub\nEnd Sub\nPrivate Function B() As Long\n If x Then\nEnd Function\nSub Open_()\n x\n"
+    names = [p.name for p in vba.read_module(text, "m").procedures]
+    monkeypatch.setattr(vba, "_Tree", None)
+    assert vba.procedure_names(text) == names == ["A", "B"]
