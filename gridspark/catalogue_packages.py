@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridspark.catalogue import grid, register, stored
 from gridspark.plans.tables import dealt
 from gridspark.sources import catalogs, inventory, packages
-from gridspark.sources.convert import OF_EDGES, OF_OBJECTS, Conversion, convert_parts
+from gridspark.sources.convert import OF_EDGES, OF_OBJECTS, OF_PAYLOAD, Conversion, convert_parts
 
 #: Files that a task makes before it hands them over.
 MADE = 200
@@ -313,7 +313,7 @@ def _(spark, sf_dir):
 @register("package_payload", _each("path, 8 AS objects, 3 AS procedures, 16 AS edges, CASE k % 4 WHEN 0 THEN 'UNKNOWN_FUNCTION' WHEN 1 THEN NULL ELSE 'USER_DEFINED_VBA_FUNCTION' END AS query_problem"))
 def _(spark, sf_dir):
     payload = F.from_json("payload", "objects array<struct<kind:string,problems:array<struct<reason_code:string>>>>, procedures array<struct<name:string>>, edges array<struct<edge:string>>").alias("p")
-    rows = converted(spark, sf_dir).payload().select("path", payload)
+    rows = converted(spark, sf_dir, *OF_PAYLOAD).payload().select("path", payload)
     query = F.filter("p.objects", lambda o: o["kind"] == "query")
     return rows.select("path", F.size("p.objects").alias("objects"), F.size("p.procedures").alias("procedures"), F.size("p.edges").alias("edges"), F.get(F.get(query, 0)["problems"], 0)["reason_code"].alias("query_problem"))
 

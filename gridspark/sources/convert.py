@@ -169,7 +169,11 @@ class Conversion:
 
     def objects(self) -> DataFrame:
         """One row per object: its text, whether nothing blocks it, and the number of findings."""
-        found = self.findings().groupBy("path", "object", "kind").agg(F.count(F.lit(1)).alias("findings"), F.count_if(coverage.blocking()).alias("blocking"))
+        return self._objects()
+
+    def _objects(self, *more: Column) -> DataFrame:
+        """`objects`, with `more` aggregates of an object's findings."""
+        found = self.findings().groupBy("path", "object", "kind").agg(F.count(F.lit(1)).alias("findings"), F.count_if(coverage.blocking()).alias("blocking"), *more)
         rows = self._view("object", "type", "text").drop("ordinal").join(found, ["path", "object", "kind"], "left")
         return rows.withColumn("findings", F.coalesce("findings", F.lit(0))).withColumn("translated", F.coalesce(F.col("blocking"), F.lit(0)) == 0).drop("blocking")
 
@@ -231,20 +235,23 @@ class Conversion:
         procedures, control flow, and the graph. A package's limits bound its row."""
 
         def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-            return df.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+            return df.select("path", F.struct(*columns).alias(name))
 
-        found = self.findings().groupBy("path", "object", "kind").agg(F.sort_array(F.collect_list(F.struct("reason_code", "aspect", "detail", "note"))).alias("problems"))
-        objects = self.objects().join(found, ["path", "object", "kind"], "left")
+        problems = F.sort_array(F.collect_list(F.struct("reason_code", "aspect", "detail", "note"))).alias("problems")
+        objects = self._objects(problems)
         text = F.col("text") if source_text else F.lit(None).cast("string")
-        out = listed(objects.withColumn("text", text), "objects", "kind", "object", "type", "translated", "text", "problems")
-        for part in (
+        parts = (
+            listed(objects.withColumn("text", text), "objects", "kind", "object", "type", "translated", "text", "problems"),
             listed(self.procedures(), "procedures", "object", "name", "scope", "statements", "cyclomatic_complexity"),
             listed(self.cfg_edges(), "flow", "object", "proc", "from", "to", "label"),
             listed(self.nodes(), "nodes", "id", "name", "kind"),
             listed(self.edges(), "edges", "src", "dst", "edge"),
-        ):
-            out = out.join(part, "path", "left")
-        return out.select("path", documents.json_of(out.drop("path")).alias("payload"))
+        )
+        # all lists are grouped at once: a shuffle of its own for each, and joins of them, cost more than what they hold
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        lists = {c: F.sort_array(F.collect_list(c)) for c in rows.columns[1:]}
+        found = rows.groupBy("path").agg(*[F.when(F.size(x) > 0, x).alias(c) for c, x in lists.items()])
+        return found.filter("objects is not null").select("path", documents.json_of(found.drop("path")).alias("payload"))
 
     def corpus_report(self, most: int = 15) -> DataFrame:
         """(measure, name, value): totals of the corpus, and the `most` frequent blocking codes by objects, ties by code.

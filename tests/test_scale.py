@@ -168,3 +168,14 @@ def test_names_of_procedures_need_no_statements(monkeypatch):
     names = [p.name for p in vba.read_module(text, "m").procedures]
     monkeypatch.setattr(vba, "_Tree", None)
     assert vba.procedure_names(text) == names == ["A", "B"]
+
+
+def test_payloads_are_grouped_once(spark):
+    """The lists of a payload are grouped by one shuffle; before, each had its own, and a join. A list of nothing is null."""
+    conversion = convert.convert_parts(spark.createDataFrame(CODED, "path string, object string, kind string, text string"), *convert.OF_PAYLOAD)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(conversion.payload()) == joins(conversion.objects()) + joins(conversion.edges())
+    found = {r.path: json.loads(r.payload) for r in conversion.payload().collect()}
+    assert {c for c, v in found["q"].items() if v is None} == {"procedures", "flow", "edges"}
+    assert [len(found["p"][c]) for c in ("objects", "procedures", "nodes")] == [2, 2, 4]
+    assert [(e["src"], e["dst"], e["edge"]) for e in found["p"]["edges"]] == sorted([("module:code", "proc:code:a", "contains"), ("module:code", "proc:code:b", "contains"), ("proc:code:a", "form:main", "opens"), ("proc:code:a", "proc:code:b", "calls")])
