@@ -200,7 +200,7 @@ _OBJECT_SQL = _union(
 
 @register("package_objects", _OBJECT_SQL)
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).objects().select("path", "object", "kind", "translated")
+    return converted(spark, sf_dir, *OF_OBJECTS).objects().select("path", "object", "kind", "translated")
 
 
 @register(
