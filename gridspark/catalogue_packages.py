@@ -284,7 +284,7 @@ def _(spark, sf_dir):
 
 @register("package_summary", f"SELECT path, kind, count(*) AS objects, count(*) FILTER (translated) AS complete, CASE WHEN bool_or(translated) THEN 100.0 ELSE 0.0 END AS completion_percentage FROM ({_OBJECT_SQL}) GROUP BY 1, 2")
 def _(spark, sf_dir):
-    return converted(spark, sf_dir).summary()
+    return converted(spark, sf_dir, *OF_OBJECTS).summary()
 
 
 _CODE_SQL = _union(
